@@ -49,13 +49,13 @@ WITH RECURSIVE held AS (
 ), lost AS (
   SELECT h.id, h.parent_id FROM held h WHERE NOT EXISTS (SELECT 1 FROM tree t WHERE t.id = h.id)
 ), walk AS (
-  SELECT id, parent_id AS at FROM lost
+  SELECT id, parent_id AS cur FROM lost
   UNION
-  SELECT w.id, l.parent_id FROM walk w JOIN lost l ON l.id = w.at
+  SELECT w.id, l.parent_id FROM walk w JOIN lost l ON l.id = w.cur
 ), ring AS (
-  SELECT id FROM walk WHERE at = id
+  SELECT id FROM walk WHERE cur = id
 ), circle AS (
-  SELECT w.id, min(w.at) AS root_id FROM walk w JOIN ring r ON r.id = w.at GROUP BY w.id
+  SELECT w.id, min(w.cur) AS root_id FROM walk w JOIN ring r ON r.id = w.cur GROUP BY w.id
 )
 """
 
@@ -67,8 +67,8 @@ FROM held h LEFT JOIN tree t ON t.id = h.id LEFT JOIN circle c ON c.id = h.id WH
     + """SELECT h.id AS symbol_id, coalesce(t.root_id, c.root_id) AS root_id, CAST(coalesce(t.depth, -1) AS INTEGER) AS depth, t.path AS path
 FROM held h LEFT JOIN tree t ON t.id = h.id LEFT JOIN circle c ON c.id = h.id""",
     "p4_descendants": _FOREST
-    + """SELECT a.anc AS ancestor_id, a.id AS descendant_id, CAST(a.depth - a.at + 1 AS INTEGER) AS distance FROM (
-  SELECT id, depth, unnest(ids) AS anc, generate_subscripts(ids, 1) AS at FROM tree
+    + """SELECT a.anc AS ancestor_id, a.id AS descendant_id, CAST(a.depth - a.pos + 1 AS INTEGER) AS distance FROM (
+  SELECT id, depth, unnest(ids) AS anc, generate_subscripts(ids, 1) AS pos FROM tree
 ) a WHERE a.anc <> a.id""",
     "p4_circles": _FOREST + """SELECT c.root_id, r.id AS symbol_id FROM ring r JOIN circle c ON c.id = r.id""",
 }
