@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom.llm.leaks import leaked_items
+from codeloom.llm.levels import reading_levels
 from codeloom.llm.sql import ORACLES
 from codeloom.llm.splitting import LIMIT, split_oversized
 from codeloom.llm.terms import clean_language, distinctive_terms, reconcile, term_frequencies
@@ -54,6 +56,28 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_terms(spark, sf_dir).where("mark is not null").select("token", "language", "mark")
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "documents").select(F.col("doc_id").alias("document"), "text")
+
+
+def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = load(spark, sf_dir, "eval_items").select(F.col("item_id").alias("item"), "text")
+    return leaked_items(_texts(spark, sf_dir), items).withColumnsRenamed({"document": "doc_id", "item": "item_id"})
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_leaks(spark, sf_dir).select("doc_id", "item_id").distinct()
+
+
+def p10_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = load(spark, sf_dir, "level_labels").select(F.col("doc_id").alias("document"), "band", "rater")
+    return reading_levels(_texts(spark, sf_dir), labels).withColumnRenamed("document", "doc_id")
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p10_levels(spark, sf_dir).where(F.col("band").isin("entry", "expert")).select("doc_id", "band").distinct()
+
+
 QUERIES = {
     "p3_found": p3_found,
     "p3_scores": p3_scores,
@@ -61,4 +85,8 @@ QUERIES = {
     "p6_pieces": p6_pieces,
     "p7_found": p7_found,
     "p7_terms": p7_terms,
+    "p8_found": p8_found,
+    "p8_leaks": p8_leaks,
+    "p10_found": p10_found,
+    "p10_levels": p10_levels,
 }
