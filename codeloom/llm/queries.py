@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom.llm.docs import documented_functions
 from codeloom.llm.leaks import leaked_items
 from codeloom.llm.levels import reading_levels
 from codeloom.llm.sql import ORACLES
@@ -21,6 +22,15 @@ def _term_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("record"), clean_language(F.col("language")).alias("language"), F.col("subwords").alias("terms"))
 
 
+def p2_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = documented_functions(load(spark, sf_dir, "symbols"), load(spark, sf_dir, "code_chunks"))
+    return pairs.withColumnsRenamed({"symbol": "symbol_id", "chunk": "chunk_id"})
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_pairs(spark, sf_dir).select("symbol_id", "chunk_id").distinct()
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = distinctive_terms(_term_records(spark, sf_dir), at_least=3)
     return scored.where("doc_count between 2 and 8").select(F.col("record").alias("chunk_id"), F.col("term").alias("token"))
@@ -79,6 +89,8 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_pairs": p2_pairs,
     "p3_found": p3_found,
     "p3_scores": p3_scores,
     "p6_found": p6_found,
