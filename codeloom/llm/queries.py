@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from codeloom.llm.docs import documented_functions
 from codeloom.llm.leaks import leaked_items
 from codeloom.llm.levels import reading_levels
+from codeloom.llm.origins import file_origins
 from codeloom.llm.sql import ORACLES
 from codeloom.llm.splitting import LIMIT, split_oversized
 from codeloom.llm.terms import clean_language, distinctive_terms, reconcile, term_frequencies
@@ -22,6 +23,19 @@ def _term_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("record"), clean_language(F.col("language")).alias("language"), F.col("subwords").alias("terms"))
 
 
+def p1_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tests = (
+        load(spark, sf_dir, "symbols").groupBy(F.col("file_path").alias("f")).agg(F.coalesce(F.bool_or("is_test"), F.lit(False)).alias("is_test"))
+    )
+    files = file_origins(load(spark, sf_dir, "code_chunks"))
+    joined = files.join(tests, F.col("file_path") == F.col("f"), "left")
+    return joined.select("file_path", "origin", "reason", F.coalesce("is_test", F.lit(False)).alias("is_test"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return file_origins(load(spark, sf_dir, "code_chunks")).where("origin is not null").select("file_path").distinct()
+
+
 def p2_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = documented_functions(load(spark, sf_dir, "symbols"), load(spark, sf_dir, "code_chunks"))
     return pairs.withColumnsRenamed({"symbol": "symbol_id", "chunk": "chunk_id"})
@@ -89,6 +103,8 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_files": p1_files,
     "p2_found": p2_found,
     "p2_pairs": p2_pairs,
     "p3_found": p3_found,
