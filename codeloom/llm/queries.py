@@ -10,9 +10,10 @@ from codeloom.llm.leaks import leaked_items
 from codeloom.llm.levels import reading_levels
 from codeloom.llm.origins import file_origins
 from codeloom.llm.sql import ORACLES
+from codeloom.llm.secrets import find_secrets
 from codeloom.llm.splitting import LIMIT, split_oversized
 from codeloom.llm.terms import clean_language, distinctive_terms, reconcile, term_frequencies
-from codeloom.operators.common import latest_rows
+from codeloom.operators.common import keep_latest, latest_rows
 from codeloom.sources.tables import load
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -57,6 +58,15 @@ def p3_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = load(spark, sf_dir, "code_chunks").where("id is not null").select(F.col("id").alias("chunk"), "updated_at", "content")
+    return keep_latest(find_secrets(chunks), chunks.select("chunk", "updated_at"), "chunk").withColumnRenamed("chunk", "chunk_id")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_secrets(spark, sf_dir).select("chunk_id", "line_no").distinct()
+
+
 def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = load(spark, sf_dir, "code_chunks")
     last = chunks.where("id is not null").groupBy(F.col("id").alias("k")).agg(F.max("updated_at").alias("v"))
@@ -109,6 +119,8 @@ QUERIES = {
     "p2_pairs": p2_pairs,
     "p3_found": p3_found,
     "p3_scores": p3_scores,
+    "p5_found": p5_found,
+    "p5_secrets": p5_secrets,
     "p6_found": p6_found,
     "p6_pieces": p6_pieces,
     "p7_found": p7_found,
