@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from codeloom.llm.docs import documented_functions
 from codeloom.llm.leaks import leaked_items
 from codeloom.llm.levels import reading_levels
+from codeloom.llm.mixing import Mixture, mix
 from codeloom.llm.origins import file_origins
 from codeloom.llm.sql import ORACLES
 from codeloom.llm.secrets import find_secrets
@@ -103,6 +104,19 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_leaks(spark, sf_dir).select("doc_id", "item_id").distinct()
 
 
+def _mixture(spark: SparkSession, sf_dir: str) -> Mixture:
+    documents = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("document"), "source", "text")
+    return mix(documents, load(spark, sf_dir, "mix_targets"))
+
+
+def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixture(spark, sf_dir).report
+
+
+def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixture(spark, sf_dir).documents.withColumnRenamed("document", "doc_id")
+
+
 def p10_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = load(spark, sf_dir, "level_labels").select(F.col("doc_id").alias("document"), "band", "rater")
     return reading_levels(_texts(spark, sf_dir), labels).withColumnRenamed("document", "doc_id")
@@ -127,6 +141,8 @@ QUERIES = {
     "p7_terms": p7_terms,
     "p8_found": p8_found,
     "p8_leaks": p8_leaks,
+    "p9_mixture": p9_mixture,
+    "p9_report": p9_report,
     "p10_found": p10_found,
     "p10_levels": p10_levels,
 }
