@@ -93,5 +93,5 @@ FROM sym f WHERE kind = 'class'""",
     "c25_modules": _W + r"SELECT -(1000000000 + row_number() OVER (ORDER BY path)) AS id, path FROM (SELECT DISTINCT regexp_extract(file_path, '^(.*)/[^/]*$', 1) AS path FROM sym WHERE file_path IS NOT NULL)",
     "e_scalars": _W + r"SELECT id, coalesce(canonical_fqn, fqn) AS c, lower(name) AS lo, upper(name) AS up, CAST(length(name) AS INTEGER) AS n, substring(name, 2, 3) AS s, replace(name, 'a', 'A') AS r, 'x' AS t, CAST(line_start AS VARCHAR) AS l, regexp_extract(file_path, '([^/]*)$', 1) AS base, line_end - line_start AS span, line_start % 7 AS m FROM sym WHERE kind = 'field'",
     "e_predicates": _W + "SELECT id, CAST(ends_with(name, 'r') AS INTEGER) AS r, CAST(canonical_fqn IS NULL AS INTEGER) AS missing, 1 AS is_variable FROM sym WHERE kind = 'variable' AND (contains(name, 'e') <> is_test OR visibility IN ('private','public'))",
-    "e_aggregates": _W + "SELECT kind AS label, count(*) AS n, CAST(sum(line_start) AS BIGINT) AS s, avg(line_start) AS a, min(name) AS lo, max(name) AS hi, list_sort(list(DISTINCT visibility)) AS v FROM sym WHERE kind = 'function' GROUP BY 1",
+    "e_aggregates": _W + "SELECT kind AS label, count(*) AS n, CAST(sum(line_start) AS BIGINT) AS s, avg(line_start) AS a, min(name) AS lo, max(name) AS hi, list_sort(list(DISTINCT visibility), 'ASC', 'NULLS FIRST') AS v FROM sym WHERE kind = 'function' GROUP BY 1",
 }

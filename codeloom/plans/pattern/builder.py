@@ -60,6 +60,7 @@ class Builder:
         self.frame = Frame()
         self.fresh = 0
         self.labels_of: dict[str, list[str] | None] = {}
+        self.inside = 0  # depth of EXISTS: there, typed edges are read as stored, without unresolved targets
 
     # queries
 
@@ -167,10 +168,6 @@ class Builder:
         for edge, node in zip(edges, nodes[1:], strict=True):
             here = self.hop(here, edge, node, optional)
 
-    def may_meet(self, variable: str, pattern: S.NodePattern, label: str) -> bool:
-        labels = _labels(pattern.labels) or self.labels_of.get(pattern.variable or "", None)
-        return labels is None or label in labels
-
     def hop(self, here: str, edge: S.EdgePattern, node: S.NodePattern, optional: bool) -> str:
         if edge.hops:
             return self.walk(here, edge, node)
@@ -178,10 +175,11 @@ class Builder:
         name = edge.variable or self.new_name()
         if edge.variable and edge.variable in self.frame.scope:
             raise PatternError(f"{edge.variable} is bound twice", "semantic")
-        mine = self.labels_of.get(here)
-        unresolved = self.may_meet(there, node, "Unresolved") or mine is None or "Unresolved" in mine
-        files = self.may_meet(there, node, "File") and (mine is None or "File" in mine)
-        links = self.graph.links(_types(edge.types), unresolved and bool(set(_labels(node.labels) or ["Unresolved"]) & {"Unresolved"} or (mine and "Unresolved" in mine)), files)
+        mine, theirs = self.labels_of.get(here), _labels(node.labels) or self.labels_of.get(node.variable or "")
+        named = any("Unresolved" in (x or ()) for x in (mine, theirs))
+        unresolved = named or (theirs is None and not (self.inside and edge.types))
+        files = (theirs is None or "File" in theirs) and (mine is None or "File" in mine)
+        links = self.graph.links(_types(edge.types), unresolved, files)
         for key, value in edge.properties:
             column = F.col(key) if key in EDGE_COLUMNS or key == "line" else F.col("properties")[key]
             links = links.where(column == self.constant(value))
@@ -291,6 +289,7 @@ class Builder:
         columns = self.outer_columns(exists)
         keys = [c for c in columns if not c.count(_SEP) or c.endswith(_SEP + "id")]
         outer, self.frame = self.frame, Frame(None, {})
+        self.inside += 1
         try:
             if columns:
                 scope = {c.split(_SEP)[0]: outer.scope[c.split(_SEP)[0]] for c in columns}
@@ -302,6 +301,7 @@ class Builder:
             inner = self.frame.df
         finally:
             self.frame = outer
+            self.inside -= 1
         return inner.select(*[F.col(f"`{k}`").alias(f"_k{n}") for n, k in enumerate(keys)], F.lit(1).alias("_hit")).distinct(), keys
 
     def semi(self, exists: S.Exists, how: str) -> None:
