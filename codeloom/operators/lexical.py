@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -63,7 +65,7 @@ def bm25(chunks: DataFrame, query: str) -> DataFrame:
     chunks, of words and of holders per term come from one aggregation; they are as many as the
     query has words."""
     terms = X.query_tokens(query)
-    split = [w for t in terms for w in X.re.findall(X.FULL_TEXT, t)]
+    split = [w for t in terms for w in re.findall(X.FULL_TEXT, t)]
     if not split:
         return chunks.select("id", F.lit(0.0).alias("score")).where("false")
     unique = list(dict.fromkeys(split))
@@ -96,14 +98,14 @@ def informative_terms(stats: DataFrame, total: int, query: str) -> list[str]:
     out = []
     for w in words:
         docs = seen.get(("token", w)) or seen.get(("prefix", w[:3]), 0)
-        if docs > 0 and (X.re and (total / docs) >= 2.718281828 ** IDF_FLOOR or docs <= 2):
+        if docs > 0 and (math.log(total / docs) >= IDF_FLOOR or docs <= 2):
             out.append(w)
     return out
 
 
 def match_counts(chunks: DataFrame, query: str) -> DataFrame:
     """is_test, n: chunks that hold a word of the query, tests apart."""
-    terms = list(dict.fromkeys(w for t in X.query_tokens(query) for w in X.re.findall(X.FULL_TEXT, t)))
+    terms = list(dict.fromkeys(w for t in X.query_tokens(query) for w in re.findall(X.FULL_TEXT, t)))
     rows = field_frequencies(chunks, terms).where(" or ".join(f"f{k} > 0" for k in range(len(terms))) or "false")
     return rows.join(chunks.select("id", F.coalesce("is_test", F.lit(False)).alias("is_test")), "id").groupBy("is_test").agg(F.count("*").alias("n"))
 
