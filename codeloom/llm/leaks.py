@@ -23,7 +23,7 @@ MIN_SEEDS = (MIN_WORDS - SEED + 1) - SEED * int(MIN_WORDS * CHANGED_SHARE)
 BOILERPLATE_ITEMS = 4
 #: Words of items that one pass over the corpus carries; more items take more passes.
 BLOCK_WORDS = 1_000_000
-MATCH, CHANGE = 1, -3
+MATCH, CHANGE = 1, -1
 
 _INLINE = re.compile(r"</?(?:b|i|em|strong|code|span|u|a|mark|sub|sup|tt|small|font)\b[^<>]{0,200}>", re.I)
 _TAG = re.compile(r"<[/!a-zA-Z][^<>]{0,400}>")
@@ -114,18 +114,32 @@ def _align(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
         else:
             j -= 1
             steps.append((-1, j))
-    return steps[::-1]
+    steps.reverse()
+    return _extended(steps, n, m)
+
+
+def _extended(steps: list[tuple[int, int]], n: int, m: int) -> list[tuple[int, int]]:
+    """The steps with word pairs added at both ends: an alignment stops before a changed word that
+    is near its end, and a stretch may go on beyond it."""
+    whole = [s for s in steps if s[0] >= 0 and s[1] >= 0]
+    if not whole:
+        return steps
+    (i, j), (k, l) = whole[0], whole[-1]
+    before = [(i - d, j - d) for d in range(min(i, j, MIN_WORDS), 0, -1)]
+    after = [(k + d, l + d) for d in range(1, min(n - 1 - k, m - 1 - l, MIN_WORDS) + 1)]
+    return before + steps[steps.index(whole[0]) : len(steps) - steps[::-1].index(whole[-1])] + after
 
 
 def _stretch(a: np.ndarray, b: np.ndarray, steps: list[tuple[int, int]], least: int) -> tuple[int, int] | None:
-    """(words, changed) of the longest stretch of at least ``least`` words of ``a`` in which at
-    most one word in ten is changed, left out or put in."""
+    """(words, changed) of the longest stretch of at least ``least`` words of ``a``, whole at both
+    ends, in which at most one word in ten is changed, left out or put in."""
     word = np.array([x >= 0 for x, _ in steps], np.int64)
     changed = np.array([x < 0 or y < 0 or a[x] != b[y] for x, y in steps], np.int64)
     words, changes = np.concatenate(([0], word.cumsum())), np.concatenate(([0], changed.cumsum()))
     length = words[None, :] - words[:, None]
     edits = changes[None, :] - changes[:, None]
-    good = (length >= least) & (edits <= np.floor(length * CHANGED_SHARE + 1e-9))
+    firm = changed == 0
+    good = np.append(firm, False)[:, None] & np.insert(firm, 0, False)[None, :] & (length >= least) & (edits <= np.floor(length * CHANGED_SHARE + 1e-9))
     if not good.any():
         return None
     at = np.unravel_index(int(np.where(good, length * 1000 - edits, -1).argmax()), good.shape)
@@ -168,7 +182,7 @@ def find_leaks(index: SeedIndex, text: str) -> list[tuple[object, int, int]]:
             region = codes[begin : int(group[-1]) + SEED + len(passage) + 2].copy()
             while True:
                 steps = _align(passage, region)
-                if sum(x >= 0 for x, _ in steps) * (1 + CHANGED_SHARE) < least:
+                if sum(x >= 0 and y >= 0 and passage[x] == region[y] for x, y in steps) < need:
                     break
                 got = _stretch(passage, region, steps, least)
                 if got is not None:
@@ -197,8 +211,8 @@ def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
     """document, item, words, changed for every document with a stretch of an item's passage.
 
     documents: document (unique), text; items: item (unique), text. A stretch is MIN_WORDS or more
-    consecutive words of the passage (all of a shorter one) of which at most one in ten is changed,
-    left out or put in. Null and empty texts give no rows. The items are the stated query set: they
+    consecutive words of the passage (all of a shorter one), the first and the last of them whole,
+    of which at most one in ten is changed, left out or put in. Null and empty texts give no rows. The items are the stated query set: they
     are carried to the corpus in blocks of bounded size, one pass over the documents for each.
     """
     passages = passages_of(items).persist()

@@ -154,6 +154,7 @@ def reading_levels(documents: DataFrame, labels: DataFrame) -> DataFrame:
     placeholder and log texts and other languages give no rows. Without any usable rating there
     is no model and no row.
     """
+    documents = documents.select("document", "text")
     agreed = agreed_ratings(labels)
     chosen = agreed.orderBy(F.xxhash64("document"), "document").limit(MAX_RATED)
     rows = documents.join(chosen, "document").select("band", "text").collect()
@@ -190,6 +191,6 @@ def reading_levels(documents: DataFrame, labels: DataFrame) -> DataFrame:
             )
 
     kind = documents.schema["document"].dataType.simpleString()
-    return documents.select("document", "text").mapInArrow(
+    return documents.mapInArrow(
         run, f"document {kind}, band string, sentences int, share double, margin double"
     )

@@ -104,7 +104,7 @@ def _snapped(text: str, at: list[int], strength: list[int], count: int, room: in
         if low > high:
             return None
         target = min(max(last + (size - last) // (left + 1), low), high)
-        reach = max(room // 4, 1)
+        reach = max(room // 3, 1)
         best, best_score = None, None
         while k < len(at) and at[k] < low:
             k += 1
