@@ -22,7 +22,7 @@ from codeloom.operators import resolve as S
 from codeloom.operators import traverse as T
 from codeloom.operators import vector as V
 from codeloom.plans.pattern.execute import execute
-from codeloom.plans.pattern.graph_views import PatternGraph
+from codeloom.pattern_queries import pattern_graph
 from codeloom.sources.sinks import append_audit
 from codeloom.views import Corpus
 
@@ -354,8 +354,7 @@ class Engine:
         return {"outcome": payload["outcome"], "tests": payload["tests"]} if scope == "tests" else payload
 
     def pattern(self, query: str, limit: int = 100, cursor: str | None = None, timeout_ms: int = 5_000) -> dict[str, Any]:
-        c = self.corpus
-        return execute(query, PatternGraph(c.symbols, c.edges, c.modules), limit, cursor, timeout_ms, self.generation)
+        return execute(query, pattern_graph(self.corpus), limit, cursor, timeout_ms, self.generation)
 
     def related(self, file_path: str, line: int, limit: int = 5) -> dict[str, Any]:
         """Chunks related to the one at a line: nearest vectors of other files, blended with packages."""

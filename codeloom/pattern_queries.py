@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from codeloom.plans.pattern.builder import build
-from codeloom.plans.pattern.graph_views import PatternGraph
+from codeloom.plans.pattern.graph_views import NODE_PROPERTIES, PatternGraph
 from codeloom.views import SQL_VIEWS, Corpus
 
 _W = "WITH RECURSIVE " + SQL_VIEWS
@@ -39,9 +39,14 @@ TEXTS = {
 }
 
 
+def pattern_graph(c: Corpus) -> PatternGraph:
+    """The graph with the columns that patterns can address; texts are not read."""
+    return PatternGraph(c.symbols_with(*[p for p in NODE_PROPERTIES if p not in ("id", "label")], "parent_symbol_id"), c.edges, c.modules)
+
+
 def graph(spark: SparkSession, sf_dir: str) -> PatternGraph:
     c = Corpus(spark, sf_dir)
-    return PatternGraph(c.symbols, c.edges, c.modules)
+    return pattern_graph(c)
 
 
 def _query(text: str):

@@ -35,7 +35,7 @@ def clean_symbols(raw: DataFrame, columns: list[str] | None = None) -> DataFrame
     return rows
 
 
-def clean_edges(raw: DataFrame) -> DataFrame:
+def clean_edges(raw: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Of edges that state the same, the one with the least id. Combined before the shuffle, so a
     symbol that is the target of a third of all rows does not gather them."""
     same = [
@@ -44,8 +44,13 @@ def clean_edges(raw: DataFrame) -> DataFrame:
         F.col("edge_type").alias("_e"),
         F.when(F.col("target_symbol_id").isNull(), F.coalesce("target_raw", F.lit(""))).alias("_r"),
     ]
-    kept = raw.where("id is not null").groupBy(*same).agg(F.min_by(F.struct(*EDGE_COLUMNS), "id").alias("_held"))
-    return kept.select(*[F.col("_held")[c].alias(c) for c in EDGE_COLUMNS]).withColumn("resolved", F.coalesce("resolved", F.lit(False)))
+    # what is stated is the key itself; only the rest has to be carried along with the least id
+    stated = {"source_symbol_id": "_s", "target_symbol_id": "_t", "edge_type": "_e"}
+    wanted = columns or EDGE_COLUMNS
+    rest = [c for c in wanted if c not in stated and c != "id"]
+    kept = raw.where("id is not null").groupBy(*same).agg(F.min("id").alias("_id"), F.min_by(F.struct(*rest), "id").alias("_held"))
+    out = kept.select(*[F.col("_id").alias("id") if c == "id" else F.col(stated[c]).alias(c) if c in stated else F.col("_held")[c].alias(c) for c in wanted])
+    return out.withColumn("resolved", F.coalesce("resolved", F.lit(False)))
 
 
 @dataclass(frozen=True)
@@ -68,11 +73,15 @@ class Corpus:
 
     @cached_property
     def edges(self) -> DataFrame:
-        return clean_edges(self.table("edges"))
+        """Without the ranges of targets, which no operator reads."""
+        return clean_edges(self.table("edges"), [c for c in EDGE_COLUMNS if c != "target_range"])
 
     @cached_property
     def resolved_edges(self) -> DataFrame:
-        return self.edges.where("resolved and target_symbol_id is not null")
+        """Those that lead to a symbol, with what the graph operators look at. Edges without a target
+        are dropped before anything is shuffled: they never state the same as one with a target."""
+        lean = ["id", "source_symbol_id", "target_symbol_id", "edge_type", "source_range", "resolution_tier", "resolved"]
+        return clean_edges(self.table("edges").where("target_symbol_id is not null"), lean).where("resolved")
 
     @cached_property
     def chunks(self) -> DataFrame:
