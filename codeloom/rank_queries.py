@@ -14,6 +14,7 @@ from codeloom.operators import resolve as S
 from codeloom.operators import traverse as T
 from codeloom.operators import vector as V
 from codeloom.text_queries import _BM, SEARCH_TEXT
+from codeloom.text_queries import ORACLES as _TEXT_SQL
 from codeloom.views import SQL_VIEWS, Corpus
 
 _W = "WITH RECURSIVE " + SQL_VIEWS
@@ -206,6 +207,34 @@ SELECT CAST((SELECT sum(length(content) // 4) FROM pool) AS BIGINT) AS returned,
   CASE WHEN c1.n IS NOT NULL THEN c1.t WHEN c2.n IS NOT NULL THEN c2.t WHEN c3.n IS NOT NULL THEN c3.t ELSE c4.t END AS t
   FROM rf LEFT JOIN c1 ON c1.k = rf.raw LEFT JOIN c2 ON c2.k = rf.raw LEFT JOIN c3 ON c3.k = rf.leaf AND c3.f = rf.file_path LEFT JOIN c4 ON c4.k = rf.leaf)
 SELECT id, CASE WHEN n = 0 THEN 'no_match' WHEN n > 1 THEN 'ambiguous' ELSE tr END AS tier, CASE WHEN n = 1 THEN t END AS target, n FROM j""",
+    "h28_confidence": _W + r"""
+, w AS (SELECT id, coalesce(subwords, []) AS s, is_definition AS d, lower(regexp_extract(regexp_replace(coalesce(fqn, ''), '\(.*$', ''), '([^.:]*)$', 1)) = 'index' AS x FROM chk
+), q(t) AS (VALUES ('rebuild'), ('index'), ('token'), ('cache')
+), o AS (SELECT w.id, w.d, w.x, sum(CASE WHEN list_contains(s, t) OR len(list_filter(s, lambda v: length(v) >= 4 AND (starts_with(v, t) OR starts_with(t, v)) AND abs(length(v) - length(t)) <= 3)) > 0 THEN 1 ELSE 0 END) / 4.0 AS ov FROM w, q GROUP BY ALL
+), b AS (SELECT id, d, x, 0.5 * ov + 0.5 * 0.3 + CASE WHEN d THEN 0.1 ELSE 0 END AS sc FROM o
+), f AS (SELECT id, round(least(1, greatest(0, CASE WHEN x THEN greatest(sc, CASE WHEN d THEN 0.85 ELSE 0.75 END) ELSE sc END)), 6) AS confidence FROM b)
+SELECT id, confidence, CASE WHEN confidence >= 0.7 THEN 'high' WHEN confidence >= 0.4 THEN 'medium' ELSE 'low' END AS band FROM f""",
+    "h30_rerank": _BM + _POOL_SQL + ", fc AS (" + _TEXT_SQL["s3_s8_file_classes"] + r"""
+), lf AS (SELECT p.*, coalesce(is_definition, false) AS d, lower(regexp_extract(regexp_replace(coalesce(fqn, ''), '\(.*$', ''), '([^.:]*)$', 1)) AS leaf, lower(coalesce(p.content, '')) AS low, '/' || lower(p.file_path) AS lp FROM pool p
+), pr AS (SELECT DISTINCT leaf FROM lf WHERE d AND leaf IN (SELECT t FROM q)
+), rr AS (SELECT lf.*, fc.role, fc.non_canonical, fc.doc_tier, fc.config_tier, EXISTS (SELECT 1 FROM pr WHERE contains(lf.low, pr.leaf)) AS uses, EXISTS (SELECT 1 FROM q WHERE contains(lower(coalesce(lf.fqn, '')), q.t)) AS named
+  FROM lf JOIN fc ON fc.file_path = lf.file_path)
+SELECT id, round(score * CASE WHEN d AND leaf IN (SELECT t FROM q) THEN 1.5 WHEN d AND named THEN 1.2 ELSE 1 END * CASE WHEN NOT d AND uses THEN 0.85 ELSE 1 END
+  * CASE WHEN content_type = 'docs' THEN 1.2 * CASE doc_tier WHEN 'project' THEN 1.35 WHEN 'third_party' THEN 0.35 WHEN 'generated' THEN 0.6 ELSE 1 END ELSE 1 END
+  * CASE WHEN content_type = 'config' THEN CASE WHEN config_tier = 'primary' THEN 1.35 WHEN config_tier IN ('test','sample','generated') THEN 0.7 ELSE 1 END ELSE 1 END
+  * CASE WHEN list_has_any(string_split(lower(file_path), '/'), ['rebuild', 'index', 'token', 'cache']) THEN 1.15 ELSE 1 END * CASE WHEN coalesce(is_test, false) THEN 0.5 ELSE 1 END * CASE WHEN non_canonical THEN 0.25 ELSE 1 END
+  * CASE WHEN role IN ('model','dto','assembler','exception') AND NOT d THEN 0.6 ELSE 1 END * CASE WHEN role = 'infra' THEN 0.35 ELSE 1 END
+  * CASE WHEN regexp_matches(lp, '\.min\.(js|css)$') OR contains(lp, '/dist/') THEN 0.2 ELSE 1 END * CASE WHEN regexp_matches(lp, '/(node_modules|vendor|bower_components)/') THEN 0.5 ELSE 1 END
+  * CASE WHEN ends_with(lp, '.d.ts') THEN 0.7 ELSE 1 END, 6) AS score FROM rr""",
+    "a18_budget_trim": _BM + """
+, t AS (SELECT id, round(score, 9) AS s FROM sc ORDER BY round(score, 9) DESC, id LIMIT 40
+), r AS (SELECT t.id, sum(length(k.content) // 4) OVER (ORDER BY t.s DESC, t.id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM t JOIN chk k ON k.id = t.id)
+SELECT id FROM r WHERE run <= 1200""",
+    "r1_candidates": _W + r"""
+, w AS (SELECT id, fqn, name, regexp_extract(regexp_replace(fqn, '\(.*$', ''), '([^.:]*)$', 1) AS leaf, list_filter(string_split_regex(lower(regexp_replace(regexp_replace(name, '([a-z0-9])([A-Z])', '\1_\2', 'g'), '([A-Z])([A-Z][a-z])', '\1_\2', 'g')), '[_\-]+'), lambda x: x <> '') AS p FROM sym
+), st AS (SELECT id, CASE WHEN fqn = 'buildIndex' OR name = 'buildIndex' OR lower(leaf) = 'buildindex' THEN 1 WHEN ends_with(lower(fqn), 'buildindex') THEN 2 WHEN contains(lower(fqn), 'buildindex') THEN 3
+  WHEN list_has_any(p, ['build', 'index']) THEN 4 WHEN levenshtein(lower(name), 'buildindex') <= 2 THEN 5 END AS k FROM w)
+SELECT id, CASE k WHEN 1 THEN 'exact' WHEN 2 THEN 'suffix' WHEN 3 THEN 'substring' WHEN 4 THEN 'subword' ELSE 'edits' END AS stage FROM st WHERE k = (SELECT min(k) FROM st)""",
     "r5_unique_leafs": _W + "SELECT name, count(*) AS n, CASE WHEN count(*) = 1 THEN min(id) END AS id FROM sym GROUP BY 1",
     "g3_overloads": _W + "SELECT parent_symbol_id, name, count(*) AS n, min(id) AS first, max(id) AS last FROM sym WHERE parent_symbol_id IS NOT NULL AND kind IN ('function','method','constructor') GROUP BY 1, 2 HAVING count(*) > 1",
     "v4_related": _W + """

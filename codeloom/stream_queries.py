@@ -64,5 +64,9 @@ ORACLES = {
 WITH g AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)
 ), s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, fresh DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM g)
 SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 30 MINUTE <= {_LAST}""",
+    "st_session_weights": """
+WITH s AS (SELECT file_path, event_time, coalesce(weight_score, CASE event_type WHEN 'WRITE' THEN 1.0 WHEN 'READ' THEN 0.7 ELSE 0.0 END) AS w, max(event_time) OVER (PARTITION BY file_path) AS last
+  FROM sessions WHERE file_path IS NOT NULL AND event_time IS NOT NULL)
+SELECT file_path, round(max(w * exp(-0.1 * (epoch_us(last) - epoch_us(event_time)) / 3600000000.0)), 6) AS weight FROM s GROUP BY 1""",
     "st_refreshed_files": "SELECT file_path, checksum, size FROM files WHERE NOT coalesce(size > 20000, false)",
 }

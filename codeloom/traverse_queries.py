@@ -154,6 +154,22 @@ UNION SELECT 'outgoing', target_symbol_id, edge_type FROM res WHERE edge_type IN
 UNION SELECT 'members', id, 'CONTAINS' FROM sym WHERE parent_symbol_id = {_ROOT}
 UNION SELECT 'container', parent_symbol_id, 'CONTAINS' FROM sym WHERE id = {_ROOT} AND parent_symbol_id IS NOT NULL""",
     "g13_impact": _W + _IMPACT + _BOUNDED + _RISK,
+    # the closure: no shortest distance in these graphs is longer than the bound, which only ends the walk
+    "g13_impact_closure": _W + _IMPACT + """
+, w(node, depth) AS (SELECT id, 0 FROM seed UNION SELECT up.b, w.depth + 1 FROM w JOIN up ON up.a = w.node WHERE w.depth < 40
+), d AS (SELECT node, min(depth) AS distance FROM w GROUP BY 1)""" + _RISK,
+    "g5_subtypes": _W + """
+, dn AS (SELECT DISTINCT e.target_symbol_id AS a, e.source_symbol_id AS b, s.fqn FROM edg e JOIN sym s ON s.id = e.source_symbol_id WHERE e.edge_type IN ('INHERITS','IMPLEMENTS') AND e.target_symbol_id IS NOT NULL
+), w(root, node, depth, lead) AS (
+  SELECT s.id, dn.b, 1, dn.fqn FROM sym s JOIN dn ON dn.a = s.id WHERE s.kind IN ('class','interface','enum','type_alias')
+  UNION SELECT w.root, dn.b, w.depth + 1, w.lead || '>' || dn.fqn FROM w JOIN dn ON dn.a = w.node WHERE w.depth < 5
+), m AS (SELECT root, node, min(depth) AS depth FROM w GROUP BY 1, 2)
+SELECT w.root, w.node AS id, m.depth, min(w.lead) AS path FROM w JOIN m ON m.root = w.root AND m.node = w.node AND m.depth = w.depth GROUP BY 1, 2, 3""",
+    "g18_import_cycles": _W + _MODULES + """
+, l AS MATERIALIZED (SELECT DISTINCT source_path AS a, target_path AS b FROM mods WHERE resolved AND target_path IS NOT NULL
+), w(f, last, p) AS (SELECT a, b, [a, b] FROM l WHERE a < b UNION ALL SELECT w.f, l.b, list_append(w.p, l.b) FROM w JOIN l ON l.a = w.last WHERE l.b > w.f AND NOT list_contains(w.p, l.b) AND len(w.p) < 4)
+SELECT array_to_string(p, ' > ') AS members, CAST(len(p) AS INTEGER) AS length FROM w WHERE EXISTS (SELECT 1 FROM l WHERE l.a = w.last AND l.b = w.f)
+UNION ALL SELECT a, 1 FROM l WHERE a = b""",
     "g14_changed_tests": _W + _IMPACT + _BOUNDED + " SELECT s.id, d.distance FROM d JOIN sym s ON s.id = d.node WHERE s.is_test",
     "g16_communities": _community_sql(10),
     "s17_module_edges": _W + _MODULES + " SELECT source_path, target_path, target_raw, resolved FROM mods",
