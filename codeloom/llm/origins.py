@@ -24,6 +24,8 @@ COPY_SHARE = 0.8
 #: evidence is at least this, in at least MINED_REPOS repositories.
 MINED_BOUND = 0.5
 MINED_REPOS = 2
+#: Characters from which equal texts in several repositories count as taken from elsewhere.
+SHARED_SIZE = 200
 #: Lines of leading comment that can be a header.
 HEADER_LINES = 14
 
@@ -177,7 +179,7 @@ def file_origins(chunks: DataFrame) -> DataFrame:
     first = lambda c: F.min_by(c, F.struct(F.coalesce("line_start", F.lit(1 << 30)), "chunk"))
     repo = F.split("file_path", "/")[0]
     files = parts.groupBy("file_path").agg(
-        *[F.sum(c).alias(c) for c in ("total", "steps", "literal", "dense")], first("generated").alias("says_generated"), first("project").alias("project")
+        *[F.sum(c).alias(c) for c in ("total", "steps", "literal", "dense", "size")], F.bit_xor("print").alias("mark"), first("generated").alias("says_generated"), first("project").alias("project")
     )
     files = files.withColumn("repo", F.lower(repo)).withColumn(
         "shown",
@@ -187,16 +189,19 @@ def file_origins(chunks: DataFrame) -> DataFrame:
     )
     foreign = F.col("project").isNotNull() & (F.col("project") != F.col("repo"))
     own = F.col("project").isNotNull() & (F.col("project") == F.col("repo"))
-    files = files.select("file_path", "repo", "shown", foreign.alias("foreign"), own.alias("own"))
+    files = files.select("file_path", "repo", "shown", foreign.alias("foreign"), own.alias("own"), "mark", "size")
 
     stated = declared_kinds(files.select("file_path"), attribute_rules(chunks))
     stated = stated.groupBy("file_path").pivot("kind", ["generated", "vendored"]).agg(F.first("state"))
     stated = stated.withColumnsRenamed({"generated": "said_generated", "vendored": "said_vendored", "file_path": "p"})
     files = cut(files.join(stated, F.col("file_path") == F.col("p"), "left").drop("p"))
 
-    seen = files.select(
-        "file_path", "repo",
-        F.coalesce("said_generated", F.col("shown").isNotNull()).alias("made"), F.coalesce("said_vendored", "foreign").alias("taken"),
+    # the same text in several repositories was taken from somewhere: evidence for patterns, not a verdict
+    again = files.where(F.col("size") >= SHARED_SIZE).groupBy(F.col("mark").alias("m"), F.col("size").alias("z")).agg(F.count_distinct("repo").alias("n")).where("n > 1")
+    met = files.join(again, (F.col("mark") == F.col("m")) & (F.col("size") == F.col("z")), "left")
+    seen = met.select(
+        "file_path", "repo", F.coalesce("said_generated", F.col("shown").isNotNull()).alias("made"),
+        F.coalesce("said_vendored", F.col("foreign") | (F.col("m").isNotNull() & ~F.col("own"))).alias("taken"),
     )
     mined = mined_patterns(seen)
     below = F.expr("substring(file_path, locate('/', file_path) + 1)")
