@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -115,26 +115,41 @@ class LevelModels:
         return np.add.reduceat(self.log_probability[flat], begins, axis=0)
 
 
-def fit_models(rated: list[tuple[str, list[list[str]]]]) -> LevelModels:
+def fit_models(rated: Iterable[tuple[str, list[list[str]]]]) -> LevelModels:
     """Models from (band, sentences) of rated documents, by word counts of whole documents.
 
     A rating holds for most sentences of its document, not for each, and some ratings are wrong;
     that blurs the models a little but leaves every sentence likeliest under its own level.
     """
+    counts = Counter((band, w) for band, sentences in rated for s in sentences for w in s)
+    return models_of((band, w, n) for (band, w), n in counts.items())
+
+
+def models_of(counts: Iterable[tuple[str, str, int]]) -> LevelModels:
+    """Models from (band, word, occurrences)."""
     vocabulary: dict[str, int] = {}
-    flat, band_of = [], []
-    for band, sentences in rated:
-        for s in sentences:
-            flat += [vocabulary.setdefault(w, len(vocabulary)) for w in s]
-            band_of += [BANDS.index(band)] * len(s)
-    if not flat:
+    cells = [(vocabulary.setdefault(w, len(vocabulary)), BANDS.index(band), n) for band, w, n in counts]
+    if not cells:
         return LevelModels({}, np.zeros((1, len(BANDS))))
-    counts = np.zeros((len(vocabulary), len(BANDS)))
-    np.add.at(counts, (np.array(flat), np.array(band_of)), 1)
-    table = np.log((counts + SMOOTHING) / (counts.sum(0) + SMOOTHING * len(vocabulary)))
+    words, bands, n = np.array(cells).T
+    table = np.zeros((len(vocabulary), len(BANDS)))
+    np.add.at(table, (words, bands), n)
+    table = np.log((table + SMOOTHING) / (table.sum(0) + SMOOTHING * len(vocabulary)))
     return LevelModels(vocabulary, np.vstack([table, np.zeros(len(BANDS))]))
 
 
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """band, word, n of the English sentences of each batch of band, text."""
+    for batch in batches:
+        counts: Counter[tuple[str, str]] = Counter()
+        for band, text in zip(batch.column("band").to_pylist(), batch.column("text")):
+            counts.update((band, w) for s in english_body(text.as_py()) for w in s)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([b for b, _ in counts], pa.string()), pa.array([w for _, w in counts], pa.string()), pa.array(list(counts.values()), pa.int64())],
+            names=["band", "word", "n"],
+        )
+
+
 def agreed_ratings(labels: DataFrame) -> DataFrame:
     """document, band: the band most raters gave; documents without a clear one are left out."""
     votes = (
@@ -157,8 +172,13 @@ def reading_levels(documents: DataFrame, labels: DataFrame) -> DataFrame:
     documents = documents.select("document", "text")
     agreed = agreed_ratings(labels)
     chosen = agreed.orderBy(F.xxhash64("document"), "document").limit(MAX_RATED)
-    rows = documents.join(chosen, "document").select("band", "text").collect()
-    models = fit_models([(r["band"], english_body(r["text"])) for r in sorted(rows, key=lambda r: (r["band"], r["text"] or ""))])
+    # at most MAX_RATED rows are broadcast, and only their vocabulary comes to the driver
+    counts = (
+        documents.join(F.broadcast(chosen), "document").select("band", "text")
+        .mapInArrow(_count_words, "band string, word string, n long")
+        .groupBy("band", "word").agg(F.sum("n").alias("n"))
+    )
+    models = models_of((r["band"], r["word"], r["n"]) for r in sorted(counts.collect()))
     shared = documents.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
