@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codeloom.functions.paths import stem
+from codeloom.functions.text import leaf
+
 #: Types that count for degrees and as evidence of use (TESTS is derived from them).
 USE_TYPES = ("CALLS", "INHERITS", "IMPLEMENTS", "REFERENCES", "USAGE", "CALL_REFERENCE")
 IMPORTANCE_TYPES = ("CALLS", "USAGE")
@@ -361,3 +364,44 @@ def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column],
     shuffle as a limit per task and group."""
     ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
     return ranked.where(F.col("_rank") <= k).drop("_rank")
+
+
+def call_pages(resolved: DataFrame, limit: int, offset: int = 0) -> DataFrame:
+    """symbol_id, direction (callers, callees), neighbour, calls, total: one page of each direction of
+    every symbol, the most calls first, with the exact number of neighbours.
+
+    Calls are added up before anything is ranked, and totals come from a count with partial sums, so
+    a symbol that a third of all rows call stays bounded in every task. Edges without an end give no row."""
+    calls = resolved.where("edge_type = 'CALLS' and source_symbol_id is not null and target_symbol_id is not null")
+    ends = [("callees", "source_symbol_id", "target_symbol_id"), ("callers", "target_symbol_id", "source_symbol_id")]
+    sides = F.explode(F.array(*[F.struct(F.lit(d).alias("direction"), F.col(a).alias("symbol_id"), F.col(b).alias("neighbour")) for d, a, b in ends]))
+    pairs = calls.select(sides.alias("s")).select("s.*").groupBy("symbol_id", "direction", "neighbour").agg(F.count("*").alias("calls"))
+    totals = pairs.groupBy("symbol_id", "direction").agg(F.count("*").alias("total"))
+    ranked = pairs.withColumn("_rank", F.row_number().over(Window.partitionBy("symbol_id", "direction").orderBy(F.desc("calls"), F.asc("neighbour"))))
+    return ranked.where(F.col("_rank") <= offset + limit).where(F.col("_rank") > offset).drop("_rank").join(totals, ["symbol_id", "direction"])
+
+
+def chunk_symbols(chunks: DataFrame, symbols: DataFrame) -> DataFrame:
+    """chunk_id, symbol_id, how: the symbol that a chunk stands for.
+
+    By its full name (fqn), else the smallest span of its file that encloses its first line (span),
+    else a symbol of its file with the last part of its name (name) or named as the file (stem). Of
+    several, the one with the least id; chunks that nothing fits give no row, nor do nulls."""
+    chunks = chunks.select("id", "fqn", "file_path", "line_start").withColumnsRenamed({"fqn": "c_fqn"})
+    named = symbols.where("name is not null").groupBy(F.col("file_path").alias("f"), F.col("name").alias("s_name")).agg(F.min("id").alias("symbol_id"))
+    full = symbols.groupBy(F.col("fqn").alias("s_fqn")).agg(F.min("id").alias("symbol_id"))
+    points = chunks.where("file_path is not null").select(F.col("id").alias("chunk_id"), "file_path", F.col("line_start").alias("line"))
+    spans = symbols.select("file_path", "line_start", "line_end", F.col("id").alias("span_id"))
+    in_file = lambda part: (F.col("file_path") == F.col("f")) & (part == F.col("s_name"))
+    found = [
+        chunks.join(full, F.col("c_fqn") == F.col("s_fqn")).select(F.col("id").alias("chunk_id"), "symbol_id"),
+        smallest_enclosing(points, spans, ["chunk_id"]).select("chunk_id", F.col("span_id").alias("symbol_id")),
+        chunks.join(named, in_file(leaf(F.col("c_fqn")))).select(F.col("id").alias("chunk_id"), "symbol_id"),
+        chunks.join(named, in_file(stem(F.col("file_path")))).select(F.col("id").alias("chunk_id"), "symbol_id"),
+    ]
+    ways = F.array(*[F.lit(w) for w in ("fqn", "span", "name", "stem")])
+    every = found[0].withColumn("way", F.lit(1))
+    for n, rows in enumerate(found[1:], 2):
+        every = every.unionByName(rows.withColumn("way", F.lit(n)))
+    best = every.groupBy("chunk_id").agg(F.min(F.struct("way", "symbol_id")).alias("m"))
+    return best.select("chunk_id", "m.symbol_id", F.element_at(ways, F.col("m.way")).alias("how"))

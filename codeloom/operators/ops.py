@@ -81,6 +81,13 @@ def coverage(files: DataFrame, chunks: DataFrame, symbols: DataFrame) -> DataFra
     return rows.select("file_path", status.alias("status"), F.coalesce("chunks", F.lit(0)).alias("chunks"), F.coalesce("symbols", F.lit(0)).alias("symbols"))
 
 
+def carried_coverage(covered: DataFrame, processed: DataFrame, deleted: DataFrame) -> DataFrame:
+    """Coverage after an incremental run: rows of files that it left alone are carried forward, those
+    of processed files replaced, and those of deleted ones dropped."""
+    gone = processed.select("file_path").unionByName(deleted.select("file_path"))
+    return covered.join(gone, "file_path", "left_anti").unionByName(processed)
+
+
 def scope_coverage(covered: DataFrame) -> DataFrame:
     """scope, files, worst: the most severe status below the first directory."""
     rank = F.array_position(F.array(*[F.lit(s) for s in SEVERITY]), F.col("status"))

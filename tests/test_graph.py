@@ -117,3 +117,26 @@ def test_smallest_enclosing_breaks_ties_by_id(spark):
     spans = spark.createDataFrame([("f", 1, 500, 1), ("f", 100, 250, 2), ("f", 100, 250, 3), ("g", 1, 9, 4), ("f", None, 3, 5)], "file_path string, line_start int, line_end int, span_id long")
     points = spark.createDataFrame([("f", 120, 7), ("f", 400, 8), ("f", 999, 9)], "file_path string, line int, k int")
     assert ids(G.smallest_enclosing(points, spans, ["k"]), "k", "span_id") == [(7, 2), (8, 1)]
+
+
+def test_call_pages_count_before_they_rank(spark):
+    rows = [(1, 2, "CALLS")] * 3 + [(1, 3, "CALLS"), (1, 4, "CALLS"), (2, 4, "CALLS"), (1, 4, "USAGE"), (None, 4, "CALLS"), (1, None, "CALLS")]
+    edges = spark.createDataFrame([(*r, "x") for r in rows], "source_symbol_id long, target_symbol_id long, edge_type string, total string")
+    got = sorted((r["symbol_id"], r["direction"], r["neighbour"], r["calls"], r["total"]) for r in G.call_pages(edges, 2).collect())
+    assert got == [(1, "callees", 2, 3, 3), (1, "callees", 3, 1, 3), (2, "callees", 4, 1, 1), (2, "callers", 1, 3, 1), (3, "callers", 1, 1, 1), (4, "callers", 1, 1, 2), (4, "callers", 2, 1, 2)]
+    assert ids(G.call_pages(edges, 2, 2).where("symbol_id = 1"), "neighbour") == [(4,)]
+    assert G.call_pages(edges.where("false"), 2).count() == 0
+
+
+def test_chunks_find_their_symbol_by_the_first_way_that_fits(spark):
+    symbols = spark.createDataFrame(
+        [(1, "a.f", "f", "d/a.py", 1, 9), (2, "a.f", "f", "d/a.py", 3, 5), (3, "b.g", "g", "d/b.py", None, None), (4, "c.c", "c", "d/c.py", None, None), (5, None, None, None, None, None)],
+        "id long, fqn string, name string, file_path string, line_start int, line_end int",
+    )
+    chunks = spark.createDataFrame(
+        [(1, "a.f", "d/a.py", 7, "x"), (2, "zz", "d/a.py", 4, "x"), (3, "zz.g(int)", "d/b.py", 4, "x"), (4, None, "d/c.py", 1, "x"), (5, "zz", "d/e.py", None, "x"), (6, None, None, None, None)],
+        "id long, fqn string, file_path string, line_start int, symbol_id string",
+    )
+    assert ids(G.chunk_symbols(chunks.drop("symbol_id"), symbols), "chunk_id", "symbol_id", "how") == [(1, 1, "fqn"), (2, 2, "span"), (3, 3, "name"), (4, 4, "stem")]
+    assert ids(G.chunk_symbols(chunks, symbols), "chunk_id", "symbol_id") == [(1, 1), (2, 2), (3, 3), (4, 4)]
+    assert G.chunk_symbols(chunks.where("false"), symbols).count() == 0 and G.chunk_symbols(chunks, symbols.where("false")).count() == 0
