@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,28 +16,33 @@ class Crf:
     transitions: list[list[float]]
     begin: list[float]
 
+    def score(self, features: list[str]) -> tuple[float, ...]:
+        """A token's score by label; features never seen weigh nothing."""
+        rows = [w for w in map(self.table.get, features) if w is not None]
+        return tuple(map(sum, zip(*rows, strict=True))) if rows else (0.0,) * len(self.begin)
+
     def viterbi(self, sequence: list[list[str]]) -> list[int]:
-        """The likeliest labels of a sequence of tokens' features; features never seen weigh nothing."""
-        get, states = self.table.get, range(len(self.begin))
+        """The likeliest labels of a sequence of tokens' features."""
+        return self.path(map(self.score, sequence))
+
+    def path(self, scores: Iterable[tuple[float, ...]]) -> list[int]:
+        """The likeliest labels of a sequence of tokens' scores."""
+        states = range(len(self.begin))
+        into = [[row[y] for row in self.transitions] for y in states]
         best: list[float] = []
-        back: list[list[int]] = []
-        for features in sequence:
-            scores = [0.0] * len(self.begin)
-            for feature in features:
-                weights = get(feature)
-                if weights is not None:
-                    for y in states:
-                        scores[y] += weights[y]
+        back: list[tuple[int, ...]] = []
+        for score in scores:
             if not best:
-                best = [self.begin[y] + scores[y] for y in states]
+                best = [b + s for b, s in zip(self.begin, score, strict=True)]
                 continue
-            pointers, step = [], []
+            step, pointers = [], []
             for y in states:
-                via = max(states, key=lambda x: best[x] + self.transitions[x][y])  # noqa: B023
-                pointers.append(via)
-                step.append(best[via] + self.transitions[via][y] + scores[y])
+                ways = [b + t for b, t in zip(best, into[y])]
+                top = max(ways)
+                step.append(top + score[y])
+                pointers.append(ways.index(top))
             best = step
-            back.append(pointers)
+            back.append(tuple(pointers))
         if not best:
             return []
         labels = [max(states, key=best.__getitem__)]
@@ -50,21 +56,24 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
     return top + np.log(np.exp(x - np.expand_dims(top, axis)).sum(axis))
 
 
-def train(sequences: list[list[list[str]]], labels: list[list[int]], states: int = 2, rounds: int = 80, l2: float = 1e-4, rate: float = 0.3) -> Crf:
+def train(sequences: list[list[list[str]]], labels: list[list[int]], states: int = 2, rounds: int = 200, l2: float = 1e-4, rate: float = 0.3) -> Crf:
     """Weights of greatest likelihood (with an L2 penalty) by full-batch Adam; deterministic."""
+    order = sorted(range(len(sequences)), key=lambda i: -len(sequences[i]))
+    sequences, labels = [sequences[i] for i in order], [labels[i] for i in order]
     index: dict[str, int] = {}
     flat: list[int] = []
-    sizes: list[int] = []
-    for sequence in sequences:
-        for features in sequence:
-            flat += [index.setdefault(f, len(index)) for f in features]
-            sizes.append(len(features))
+    seen: dict[tuple[str, ...], int] = {}
+    rows = np.array([seen.setdefault(tuple(features), len(seen)) for sequence in sequences for features in sequence])
+    for features in seen:
+        flat += [index.setdefault(f, len(index)) for f in features]
+    sizes = [len(features) for features in seen]
     ids, counts = np.array(flat), np.array(sizes)
     starts = np.concatenate(([0], counts.cumsum()[:-1]))
     n, longest = len(sequences), max(map(len, sequences))
     lengths = np.array([len(s) for s in sequences])
+    going = [int((lengths > t).sum()) for t in range(longest)]  # the longest come first
     where = np.full((n, longest), -1)
-    where[np.arange(longest)[None, :] < lengths[:, None]] = np.arange(len(counts))
+    where[np.arange(longest)[None, :] < lengths[:, None]] = np.arange(len(rows))
     mask = where >= 0
     gold = np.zeros((n, longest, states))
     for i, y in enumerate(labels):
@@ -74,33 +83,34 @@ def train(sequences: list[list[list[str]]], labels: list[list[int]], states: int
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in params]
     for k in range(1, rounds + 1):
         weights, trans, begin = params
-        token_scores = np.add.reduceat(weights[ids], starts, axis=0)
+        token_scores = np.add.reduceat(weights[ids], starts, axis=0)[rows]
         scores = np.where(mask[:, :, None], token_scores[where], 0.0)
         forward = np.zeros((n, longest, states))
         forward[:, 0] = begin + scores[:, 0]
         for t in range(1, longest):
-            step = _logsum(forward[:, t - 1, :, None] + trans, 1) + scores[:, t]
-            forward[:, t] = np.where(mask[:, t, None], step, forward[:, t - 1])
+            m = going[t]
+            forward[:m, t] = _logsum(forward[:m, t - 1, :, None] + trans, 1) + scores[:m, t]
         backward = np.zeros((n, longest, states))
         for t in range(longest - 2, -1, -1):
-            step = _logsum(trans + (scores[:, t + 1] + backward[:, t + 1])[:, None, :], 2)
-            backward[:, t] = np.where(mask[:, t + 1, None], step, backward[:, t + 1])
+            m = going[t + 1]
+            backward[:m, t] = _logsum(trans + (scores[:m, t + 1] + backward[:m, t + 1])[:, None, :], 2)
         total = _logsum(forward[np.arange(n), lengths - 1], 1)
-        marginal = np.exp(forward + backward - total[:, None, None]) * mask[:, :, None]
+        marginal = np.exp(np.where(mask[:, :, None], forward + backward - total[:, None, None], -np.inf))
         pairs = np.zeros((states, states))
         for t in range(longest - 1):
-            joint = forward[:, t, :, None] + trans + (scores[:, t + 1] + backward[:, t + 1])[:, None, :] - total[:, None, None]
-            pairs += (np.exp(joint) * mask[:, t + 1, None, None]).sum(0)
+            m = going[t + 1]
+            pairs += np.exp(forward[:m, t, :, None] + trans + (scores[:m, t + 1] + backward[:m, t + 1])[:, None, :] - total[:m, None, None]).sum(0)
         surplus = (marginal - gold)[mask]
+        by_row = [np.bincount(rows, surplus[:, y], len(seen)) for y in range(states)]
         grads = [
-            np.stack([np.bincount(ids, np.repeat(surplus[:, y], counts), len(index)) for y in range(states)], 1),
+            np.stack([np.bincount(ids, np.repeat(by_row[y], counts), len(index)) for y in range(states)], 1),
             pairs - gold_pairs,
             (marginal[:, 0] - gold[:, 0]).sum(0),
         ]
-        for p, g, m in zip(params, grads, moments, strict=True):
+        for p, g, moment in zip(params, grads, moments, strict=True):
             g = g / n + l2 * p
-            m[0] = 0.9 * m[0] + 0.1 * g
-            m[1] = 0.99 * m[1] + 0.01 * g * g
-            p -= rate * (m[0] / (1 - 0.9**k)) / (np.sqrt(m[1] / (1 - 0.99**k)) + 1e-8)
+            moment[0] = 0.9 * moment[0] + 0.1 * g
+            moment[1] = 0.99 * moment[1] + 0.01 * g * g
+            p -= rate * (moment[0] / (1 - 0.9**k)) / (np.sqrt(moment[1] / (1 - 0.99**k)) + 1e-8)
     weights, trans, begin = params
     return Crf({f: tuple(weights[k].tolist()) for f, k in index.items()}, trans.tolist(), begin.tolist())

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -29,8 +29,10 @@ _PASS = re.compile(r"(?<![a-z])pass(?![a-z])|pass(?:w|phrase)|pass(?=[^a-z]|$)")
 #: ... or the shape of one: a digit right before a letter (not in hexadecimal constants), or a user in a URL.
 _MIXED = re.compile(r"(?<!0)\d[A-Za-z](?!\w{0,3}\()|//[^\s/:@]+:[^\s@]+@")
 _OPEN_END = re.compile(r"(?:[,(\[{=:+`>|]|>-|\|-|\"\"\"|''')\s*$")
-_LONG = 1_000
-_AROUND = 250
+#: Characters over which a name on a line speaks for what follows it; ordinary lines are shorter.
+_REACH = 1_000
+#: Longer texts are not kept by the caches.
+_KEPT = 200
 
 _LEX = re.compile(
     r"(?P<pem>-----(?:BEGIN|END) [A-Z0-9 ]+-----)|(?P<quoted>\"[^\s\"'`\\]+\"|'[^\s\"'`\\]+'|`[^\s\"'`\\]+`)|(?P<space>\s+)"
@@ -39,6 +41,7 @@ _LEX = re.compile(
 _URL = re.compile(r"(?:[A-Za-z][\w+.\-]*:)?[A-Za-z][\w+.\-]*://")
 _USER = re.compile(r"([^:@/?#]*):([^@/]*)@")
 _ASSIGN = re.compile(r"(-{0,2}[A-Za-z_][\w.\-]*)(:=|=|:)(?=.)(?!=+$)(?!//)")
+_QUOTED_ASSIGN = re.compile(r"[A-Za-z_][\w.\-]*=[^=]")
 _QUERY = re.compile(r"[?&;]")
 
 _PLACEHOLDER = re.compile(
@@ -53,7 +56,7 @@ _HOST = re.compile(r"^[\w-]+(?:\.[\w-]+)*\.(?:example|test|invalid|com|net|org|i
 _CLASSES = (("up", re.compile(r"[A-Z]")), ("low", re.compile(r"[a-z]")), ("dig", re.compile(r"\d")), ("sp", re.compile(r"[!#$%^&*?~]")))
 
 
-@dataclass
+@dataclass(slots=True)
 class Token:
     text: str
     begin: int
@@ -107,44 +110,49 @@ def shape(text: str) -> str:
 
 def _split(text: str, begin: int, quote: str, out: list[Token]) -> None:
     """A run of characters as tokens: parts of a URL, a name with its value, or one token."""
-    url = _URL.match(text)
-    if url:
-        out.append(Token(url.group(), begin, "op", quote))
-        at = url.end()
-        user = _USER.match(text, at)
-        if user:
-            out.append(Token(user.group(1), begin + at, "user", quote))
-            out.append(Token(":", begin + user.end(1), "op", quote))
-            out.append(Token(user.group(2), begin + user.start(2), "pass", quote))
-            at = user.end() - 1
-            out.append(Token("@", begin + at, "op", quote))
-            at += 1
-        tail = _QUERY.search(text, at)
-        stop = tail.start() if tail else len(text)
-        if stop > at:
-            out.append(Token(text[at:stop], begin + at, "host", quote))
-        while stop < len(text):
-            out.append(Token(text[stop], begin + stop, "op", quote))
-            more = _QUERY.search(text, stop + 1)
-            end = more.start() if more else len(text)
-            _split(text[stop + 1 : end], begin + stop + 1, quote, out)
-            stop = end
-        return
-    named = _ASSIGN.match(text)
-    if named and (not quote or re.match(r"[A-Za-z_][\w.\-]*=[^=]", text)):
-        out.append(Token(named.group(1), begin, "name", quote))
-        out.append(Token(named.group(2), begin + named.start(2), "op", quote))
-        _split(text[named.end() :], begin + named.end(), quote, out)
-        return
-    if not quote:
-        bare = text.rstrip(".:")
-        if bare and bare != text:
-            _split(bare, begin, quote, out)
-            out.append(Token(text[len(bare) :], begin + len(bare), "op", ""))
-            return
-    if text:
-        plain = any(c.isalnum() for c in text)
-        out.append(Token(text, begin, "value" if quote else "word" if plain else "mark", quote))
+    todo: list[Token | tuple[int, int]] = [(0, len(text))]
+    while todo:
+        part = todo.pop()
+        if isinstance(part, Token):
+            out.append(part)
+            continue
+        at, end = part
+        url = _URL.match(text, at, end)
+        if url:
+            out.append(Token(url.group(), begin + at, "op", quote))
+            at = url.end()
+            user = _USER.match(text, at, end)
+            if user:
+                out.append(Token(user.group(1), begin + at, "user", quote))
+                out.append(Token(":", begin + user.end(1), "op", quote))
+                out.append(Token(user.group(2), begin + user.start(2), "pass", quote))
+                at = user.end() - 1
+                out.append(Token("@", begin + at, "op", quote))
+                at += 1
+            tail = _QUERY.search(text, at, end)
+            stop = tail.start() if tail else end
+            if stop > at:
+                out.append(Token(text[at:stop], begin + at, "host", quote))
+            rest: list[Token | tuple[int, int]] = []
+            while stop < end:
+                more = _QUERY.search(text, stop + 1, end)
+                rest += [Token(text[stop], begin + stop, "op", quote), (stop + 1, more.start() if more else end)]
+                stop = more.start() if more else end
+            todo += reversed(rest)
+            continue
+        named = _ASSIGN.match(text, at, end)
+        if named and (not quote or _QUOTED_ASSIGN.match(text, at, end)):
+            out.append(Token(named.group(1), begin + at, "name", quote))
+            out.append(Token(named.group(2), begin + named.start(2), "op", quote))
+            todo.append((named.end(), end))
+            continue
+        word = text[at:end]
+        bare = "" if quote else word.rstrip(".:")
+        if bare and bare != word:
+            todo += [Token(word[len(bare) :], begin + at + len(bare), "op", ""), (at, at + len(bare))]
+        elif word:
+            plain = any(c.isalnum() for c in word)
+            out.append(Token(word, begin + at, "value" if quote else "word" if plain else "mark", quote))
 
 
 def lex(line: str) -> list[Token]:
@@ -183,62 +191,82 @@ def _class(text: str) -> str:
     return "word" if text[:1].isalpha() else "none"
 
 
-def features(tokens: list[Token], before: str) -> list[list[str]]:
-    """Features of every token; ``before`` is the context that the line above leaves open."""
-    out = []
-    words: list[str] = []
+def contexts(tokens: list[Token], before: str) -> Iterator[tuple]:
+    """All that the features of each token depend on; ``before`` is the context that the line above
+    leaves open. What a name says of the line holds for ``_REACH`` characters."""
+    w1 = w2 = "none"
     marks = ""
-    strong = hashed = reader = weak = False
+    strong = hashed = reader = weak = -1  # where the last of each holds to
     last_shape = "none"
     plus = False
+    first = "first"
+    final = len(tokens) - 1
     for n, t in enumerate(tokens):
-        is_mark = t.kind in ("mark", "op")
-        nxt = tokens[n + 1].text if n + 1 < len(tokens) else "$"
-        if is_mark:
-            out.append([f"m={t.text[:3]}", f"m|{t.kind}"])
-            marks = (marks + t.text[:3])[-3:]
-            plus = plus or t.text == "+"
+        text, kind = t.text, t.kind
+        if kind == "mark" or kind == "op":
+            yield text[:3], kind
+            marks = (marks + text[:3])[-3:]
+            plus = plus or text == "+"
             continue
-        kind = "pem" if t.kind == "pem" else shape(t.text)
-        if t.kind == "pem":
-            kind = "pem_" + ("private" if "PRIVATE" in t.text else "other") + ("_end" if "END" in t.text[:9] else "")
-        size = len(t.text)
+        size = len(text)
+        if kind == "pem":
+            form = "pem_" + ("private" if "PRIVATE" in text else "other") + ("_end" if "END" in text[:9] else "")
+            here = _class(text)
+        elif size > _KEPT:
+            form, here = shape.__wrapped__(text), _class.__wrapped__(text)
+        else:
+            form, here = shape(text), _class(text)
         length = "0" if size < 6 else "6" if size < 9 else "9" if size < 16 else "16" if size < 28 else "28" if size < 50 else "50"
-        w1 = words[-1] if words else "none"
-        w2 = words[-2] if len(words) > 1 else "none"
-        first = "first" if not words else "later"
-        near = "strong" if strong else "hash" if hashed else "no"
-        out.append(
-            [
-                "bias", f"s={kind}", f"s={kind}|{length}", f"k={t.kind}", f"q={bool(t.quote)}", f"w1={w1}", f"w1={w1}|s={kind}", f"w1={w1}|{marks[-2:]}|s={kind}",
-                f"w2={w2}|w1={w1}|s={kind}", f"near={near}|s={kind}", f"near={near}|reader={reader}|s={kind}", f"k={t.kind}|s={kind}", f"k={t.kind}|w1={w1}|s={kind}",
-                f"pre={before}|{first}|s={kind}", f"pre={before}|{first}|q={bool(t.quote)}", f"last={last_shape}|plus={plus}|s={kind}", f"next={nxt[:2]}|s={kind}",
-                f"self={_class(t.text) if kind in ('word', 'dashed', 'indexed') else kind}", f"weak={weak}|s={kind}", f"weak={weak}|w1={w1}|{marks[-2:]}|s={kind}", f"k={t.kind}|near={near}|s={kind}|{length}",
-            ]
+        at = t.begin
+        near = "strong" if strong >= at else "hash" if hashed >= at else "no"
+        plain = form in ("word", "dashed", "indexed")
+        yield (
+            form, length, kind, bool(t.quote), w1, w2, marks[-2:], near, reader >= at, before, first, last_shape, plus,
+            tokens[n + 1].text[:2] if n < final else "$", here if plain else form, weak >= at,
         )
-        here = _class(t.text)
-        if t.kind in ("word", "name", "value", "user", "host") and kind in ("word", "dashed", "indexed", "host", "placeholder"):
-            strong = strong or here == "strong"
-            hashed = hashed or here == "hash"
-            reader = reader or here == "reader"
-            weak = weak or here == "weak"
-            words.append(here)
+        w2, first = w1, "later"
+        if (plain or form in ("host", "placeholder")) and kind in ("word", "name", "value", "user", "host"):
+            if here == "strong":
+                strong = at + _REACH
+            elif here == "hash":
+                hashed = at + _REACH
+            elif here == "reader":
+                reader = at + _REACH
+            elif here == "weak":
+                weak = at + _REACH
+            w1 = here
         else:
-            words.append("lit")
-        if t.kind == "host":
-            words[-1] = "host"
-        last_shape, plus, marks = kind, False, ""
-    return out
+            w1 = "lit"
+        if kind == "host":
+            w1 = "host"
+        last_shape, plus, marks = form, False, ""
+
+
+def spelled(context: tuple) -> list[str]:
+    """The features of a token in its context."""
+    if len(context) == 2:
+        return [f"m={context[0]}", f"m|{context[1]}"]
+    kind, length, k, q, w1, w2, marks, near, reader, before, first, last_shape, plus, nxt, self, weak = context
+    return [
+        "bias", f"s={kind}", f"s={kind}|{length}", f"k={k}", f"q={q}", f"w1={w1}", f"w1={w1}|s={kind}", f"w1={w1}|{marks}|s={kind}",
+        f"w2={w2}|w1={w1}|s={kind}", f"near={near}|s={kind}", f"near={near}|reader={reader}|s={kind}", f"k={k}|s={kind}", f"k={k}|w1={w1}|s={kind}",
+        f"pre={before}|{first}|s={kind}", f"pre={before}|{first}|q={q}", f"last={last_shape}|plus={plus}|s={kind}", f"next={nxt}|s={kind}",
+        f"self={self}", f"weak={weak}|s={kind}", f"weak={weak}|w1={w1}|{marks}|s={kind}", f"k={k}|near={near}|s={kind}|{length}",
+    ]
 
 
 @dataclass
 class Line:
-    """A line, or a stretch of a very long one, that may hold a secret."""
+    """A line that may hold a secret."""
 
     number: int
     offset: int
     tokens: list[Token]
-    features: list[list[str]]
+    before: str
+
+    @property
+    def features(self) -> list[list[str]]:
+        return [spelled(c) for c in contexts(self.tokens, self.before)]
 
 
 def _context(line: str) -> str:
@@ -254,70 +282,27 @@ def _context(line: str) -> str:
     return "literal" if re.search(r"[\"'][A-Za-z0-9+/=]{30,}[\"']\s*[+,]?\s*$", line) else "open"
 
 
-def _signs(text: str) -> list[int]:
-    """Offsets of everything that makes its line worth labelling."""
-    low = text.lower()
-    if len(low) != len(text):  # a few letters change their length with their case
-        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    at = []
-    for sign in _SIGNS:
-        k = low.find(sign)
-        while k >= 0:
-            at.append(k)
-            k = low.find(sign, k + len(sign))
-    if "pass" in low:
-        at += [m.start() for m in _PASS.finditer(low)]
-    at += [m.start() for m in _MIXED.finditer(text)]
-    return sorted(at)
+def _signed(line: str) -> bool:
+    low = line.lower()
+    return any(sign in low for sign in _SIGNS) or bool(_PASS.search(low) or _MIXED.search(line))
 
 
 def candidate_lines(text: str) -> list[Line]:
-    """The lines of ``text`` (split at LF) that may hold a secret, with tokens and features: those
-    with a sign of one and those that follow a line which such a sign leaves open."""
-    signs = _signs(text)
-    if not signs:
-        return []
-    starts = [0]
-    k = text.find("\n")
-    while k >= 0:
-        starts.append(k + 1)
-        k = text.find("\n", k + 1)
-    by_line: dict[int, list[int]] = {}
-    for at in signs:
-        by_line.setdefault(bisect_right(starts, at) - 1, []).append(at)
+    """The lines of ``text`` (split at LF) that may hold a secret: those with a sign of one and
+    those that follow a line which such a sign leaves open."""
     out: list[Line] = []
-    todo, done = sorted(by_line, reverse=True), -1
-    above_line, above = -1, "closed"
-    while todo:
-        n = todo.pop()
-        if n <= done:
-            continue
-        done = n
-        offset = starts[n]
-        line = text[offset : starts[n + 1] - 1 if n + 1 < len(starts) else len(text)]
-        if above_line != n - 1:
-            above = "closed"
-        if line.strip():
-            hits = [at - offset for at in by_line.get(n, [])]
-            if len(line) <= _LONG or not hits:
-                if len(line) <= _LONG:
-                    tokens = lex(line)
-                    out.append(Line(n + 1, offset, tokens, features(tokens, above)))
-            else:
-                last = 0
-                for hit in hits:
-                    if hit < last:
-                        continue
-                    low = max(last, hit - _AROUND)
-                    while low > max(last, hit - 2 * _AROUND) and not line[low - 1].isspace():
-                        low -= 1
-                    last = min(len(line), hit + _AROUND)
-                    while last < min(len(line), hit + 2 * _AROUND) and not line[last].isspace():
-                        last += 1
-                    tokens = [Token(t.text, t.begin + low, t.kind, t.quote) for t in lex(line[low:last])]
-                    out.append(Line(n + 1, offset, tokens, features(tokens, above)))
-            above = _context(line)
-        above_line = n
-        if above in ("strong", "hash", "literal") and n + 1 < len(starts):
-            todo.append(n + 1)
+    offset, carried = 0, False
+    above, context = "", None  # the last line that is not blank
+    for n, line in enumerate(text.split("\n")):
+        if line and not line.isspace():
+            before, context = context, None
+            if carried or _signed(line):
+                if before is None:  # a line that tells nothing passes on what it names, not that it is open
+                    before = _context(above)
+                    before = "closed" if before == "open" else before
+                out.append(Line(n + 1, offset, lex(line), before))
+                context = _context(line)
+            carried = context in ("strong", "hash", "literal")
+            above = line
+        offset += len(line) + 1
     return out

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import random
 import string
+from base64 import b64encode
 
 #: Lines drawn per template and round.
 REPEATS = 30
@@ -34,6 +35,7 @@ POSITIVE = [
     "For the {W} box use root, password {S}, and tell nobody.", "For the {W} box use svc-{W}, password {S}, and tell nobody.", "I logged in with `{S}` because the {W} was locked.",
     "The shared {W} login is svc-{W} / {S} until the rotation.", "The {W} login is admin / {S} for now.", "Log in as svc-{W} with `{S}`; the login changes weekly.",
     "Set `{N}={S}` before you start the {W}.", "{N}=$(printf '%s' '{S}')", "{X}", '{N} = "{X}"', 'String {N} = "{X}\\n{L}{L}\\n{E}";', 'const {N} = `\n{X}', '    "{N}": "{S}", // keep', "password: {S}  # {W}",
+    '  "{N}": "{S}",\n  "{W}{n}": 712,', '  "headers": {{"X-Auth": "{S}"}},\n  "{W}{n}": 64,', '  "{N}": "{S}",\n  "{W}_{W}": "{W}",',
 ]
 
 NEGATIVE = [
@@ -51,6 +53,9 @@ NEGATIVE = [
     "// eslint-disable-next-line", "    // eslint-disable-next-line", "# noqa: E501", "	field{n} int32 `wire:\"varint,{n},opt,name=session{C}{C}\"`", "@generated by {W}weave from {W}_{W}.idl", "if (!{K}) {{",
     "user: svc-{W}", "def load_{W}_token({W}, secret):", "function read{C}Secret(password: string) {{", "public String get{C}Password() {{", "See the {W} secret in the vault.", '{W}.set("{W}", "{A_}-{W}-{W}")', 'version = "4.27.3-{h}"', "2024-01-0{d}T10:11:12 [INFO] {K}={n}",
     'opts.put("{J}",\n    "{H}");', '{J} =\n    "{H}"', "{N}: str", "{N}: string;", "private String {N};", '{K} = build_{W}_{W}({K}, "{W}")', "!function(a,b,c){{\"use strict\";var j=x(n,15);for(var l=0;l<s.length;l++)b.push(s[l]);", 'export const decode{C}{n} = (b: Buf) => b.read({n}, 8);', "    public static final int {V_}_{n}_FIELD_NUMBER = {n};",
+    '  "{N}": "{P}",\n  "{W}{n}": 345,', '  "{N}": "{P}",\n  "{W}_{W}": "{W}",',
+    "def get_{W}_{W}_{n}(self):", "def set_{A_}_{W}_{n}(self, value):", "    return self.get_{W}_{W}_{n}() + {n}", "func get_{A_}_{W}_{n}(s string) {{", "# autogenerated file - do not modify by hand\ndef get_{A_}_{W}_{n}(self):",
+    "{{name: get_{W}_{W}_{n}, size: {n}}}", "var {W}_{W}_{W}_{n} = run_{W}_{A_}_{n}({K})", "The {A_}-{W} {W} reads {W}-{W}-{A_} first.", "import {K} from '{W}-{W}-{A_}';",
 ]
 
 
@@ -109,7 +114,7 @@ def _fill(template: str, rng: random.Random) -> tuple[str, list[tuple[int, int]]
             key, at = template[at + 1 : end], end + 1
             value = {
                 "S": lambda: _secret(rng), "T": lambda: _text(rng, _ALNUM, 12, 16), "L": lambda: _text(rng, _ALNUM, 32, 38), "A": lambda: _text(rng, rng.choice([_ALNUM, _ALNUM, _ALNUM, string.ascii_letters]), 12, 16),
-                "B": lambda: "c3Zj" + _text(rng, _ALNUM, 16, 20) + rng.choice(["", "=", "=="]), "X": lambda: f"-----BEGIN {pem}PRIVATE KEY-----", "E": lambda: f"-----END {pem}PRIVATE KEY-----",
+                "B": lambda: b64encode(b"svc:" + _text(rng, rng.choice([_ALNUM, string.ascii_letters]), 12, 16).encode()).decode(), "X": lambda: f"-----BEGIN {pem}PRIVATE KEY-----", "E": lambda: f"-----END {pem}PRIVATE KEY-----",
                 "P": lambda: rng.choice(_PLACEHOLDERS), "H": lambda: _text(rng, "0123456789abcdef", *rng.choice([(40, 40), (64, 64), (32, 32)])), "h": lambda: _text(rng, "0123456789abcdef", 8, 8),
                 "U": lambda: "-".join(_text(rng, "0123456789abcdef", k, k) for k in (8, 4, 4, 4, 12)), "R": lambda: f"{rng.choice(_WORDS)}-{rng.choice(_ADJECTIVES)}-reader",
                 "O": lambda: f"{rng.choice(_WORDS)}-{rng.randint(0, 19)}.{rng.choice(['example', 'test', 'invalid', 'internal.example'])}", "N": lambda: rng.choice(_NAMES), "J": lambda: rng.choice(_HASHY),

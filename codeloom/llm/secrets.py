@@ -10,11 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from codeloom.llm.crf import Crf, train
-from codeloom.llm.secret_lines import candidate_lines
+from codeloom.llm.secret_lines import Line, candidate_lines, contexts, spelled
 from codeloom.llm.secret_training import labelled_texts
 
 _PEM_END = re.compile(r"-----END [A-Z0-9 ]+-----")
 _CONTINUES = re.compile(r"[+\\]\s*$")
+#: Contexts of tokens whose scores are kept; beyond, they are worked out anew.
+_MEMO = 100_000
 
 
 @lru_cache(maxsize=1)
@@ -35,17 +37,31 @@ def secret_model() -> Crf:
     return train(sequences, labels)
 
 
-def secret_spans(text: str, model: Crf) -> list[tuple[int, int, int]]:
+def _labels(line: Line, model: Crf, memo: dict) -> list[int]:
+    scores = []
+    for context in contexts(line.tokens, line.before):
+        score = memo.get(context)
+        if score is None:
+            score = model.score(spelled(context))
+            if len(memo) < _MEMO:
+                memo[context] = score
+        scores.append(score)
+    return model.path(scores)
+
+
+def secret_spans(text: str, model: Crf, memo: dict | None = None) -> list[tuple[int, int, int]]:
     """(line number, begin, end) of the literal characters of every secret in ``text``.
 
     A private key runs from the line after its BEGIN mark to its END mark, and its place is the
     line of the mark. The later parts of a literal that is joined over lines have no place of
-    their own; the line number is then that of the first part.
+    their own; the line number is then that of the first part. memo keeps
+    the scores of contexts for further texts under the same model.
     """
+    memo = {} if memo is None else memo
     out: list[tuple[int, int, int]] = []
     closed_at = -1
     for line in candidate_lines(text):
-        labels = model.viterbi(line.features)
+        labels = _labels(line, model, memo)
         for token, label in zip(line.tokens, labels, strict=True):
             begin = line.offset + token.begin
             if not label or begin < closed_at:
@@ -86,11 +102,11 @@ def find_secrets(chunks: DataFrame) -> DataFrame:
     shared = chunks.sparkSession.sparkContext.broadcast(secret_model())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model, memo = shared.value, {}
         for batch in batches:
             row, places, clean = [], [], []
             for n, text in enumerate(batch.column("content").to_pylist()):
-                spans = secret_spans(text, model) if text else []
+                spans = secret_spans(text, model, memo) if text else []
                 if spans:
                     redacted = masked(text, spans)
                     for span in spans:
