@@ -19,15 +19,6 @@ _HASH = re.compile(
     re.I,
 )
 _READER = re.compile(r"^(?:read|getenv|environ|env|get|next_token|lookup|fetch|load|resolve|process|vault|getOrDefault|os|System)$")
-#: A line without any of these holds no secret: names and schemes on the way to one (in lower case) ...
-_SIGNS = (
-    "pwd", "secret", "credential", "api_key", "api-key", "api.key", "apikey", "access_token", "auth_token", "private_token", "session_token", "refresh_token",
-    "accesstoken", "authtoken", "privatetoken", "-token", "_key", ".key", "signingkey", "encryptionkey", "saltkey", "privatekey", "masterkey", "accountkey",
-    "x-auth", "authorization", "basic ", "bearer ", "logged in", "login", " -u ", "still valid", "-----begin",
-)
-_PASS = re.compile(r"(?<![a-z])pass(?![a-z])|pass(?:w|phrase)|pass(?=[^a-z]|$)")
-#: ... or the shape of one: a digit right before a letter (not in hexadecimal constants), or a user in a URL.
-_MIXED = re.compile(r"(?<!0)\d[A-Za-z](?!\w{0,3}\()|//[^\s/:@]+:[^\s@]+@")
 _OPEN_END = re.compile(r"(?:[,(\[{=:+`>|]|>-|\|-|\"\"\"|''')\s*$")
 #: Characters over which a name on a line speaks for what follows it; ordinary lines are shorter.
 _REACH = 1_000
@@ -38,6 +29,8 @@ _LEX = re.compile(
     r"(?P<pem>-----(?:BEGIN|END) [A-Z0-9 ]+-----)|(?P<quoted>\"[^\s\"'`\\]+\"|'[^\s\"'`\\]+'|`[^\s\"'`\\]+`)|(?P<space>\s+)"
     r"|(?P<mark>[\"'`(){}\[\],;|<>])|(?P<run>(?:(?!-----)[^\s\"'`(){}\[\],;|<>])+|-----)"
 )
+#: The pieces that ``_LEX`` reads as one; lines with a private key's mark are told by its dashes.
+_PIECE = re.compile(r"\"[^\s\"'`\\]+\"|'[^\s\"'`\\]+'|`[^\s\"'`\\]+`|[^\s\"'`(){}\[\],;|<>]+")
 _URL = re.compile(r"(?:[A-Za-z][\w+.\-]*:)?[A-Za-z][\w+.\-]*://")
 _USER = re.compile(r"([^:@/?#]*):([^@/]*)@")
 _ASSIGN = re.compile(r"(-{0,2}[A-Za-z_][\w.\-]*)(:=|=|:)(?=.)(?!=+$)(?!//)")
@@ -54,6 +47,11 @@ _HEX = re.compile(r"^[0-9a-f]{7,}$")
 _WORD_NUMBER = re.compile(r"^[A-Za-z]+[!#$*._?+\-@][A-Za-z]+\d{3,4}$")
 _HOST = re.compile(r"^[\w-]+(?:\.[\w-]+)*\.(?:example|test|invalid|com|net|org|io|local|internal)$")
 _CLASSES = (("up", re.compile(r"[A-Z]")), ("low", re.compile(r"[a-z]")), ("dig", re.compile(r"\d")), ("sp", re.compile(r"[!#$%^&*?~]")))
+#: Shapes that no token has which is a secret by itself, without a telling name.
+_DULL = {"word", "number", "indexed", "host", "punct", "placeholder"}
+_LOWER = re.compile(r"[a-z_]+\Z")
+#: Classes of names and schemes on the way to a secret.
+_NAMED = {"strong", "weak", "basic", "bearer"}
 
 
 @dataclass(slots=True)
@@ -282,21 +280,33 @@ def _context(line: str) -> str:
     return "literal" if re.search(r"[\"'][A-Za-z0-9+/=]{30,}[\"']\s*[+,]?\s*$", line) else "open"
 
 
-def _signed(line: str) -> bool:
-    low = line.lower()
-    return any(sign in low for sign in _SIGNS) or bool(_PASS.search(low) or _MIXED.search(line))
+@lru_cache(maxsize=200_000)
+def _tells(piece: str) -> bool:
+    """Whether a piece of a line makes it worth labelling: by the features' own rules, a name or
+    scheme on the way to a secret, or a token with the shape of one."""
+    if "-----" in piece:
+        return True
+    if _LOWER.match(piece):  # one token, whose shape is dull
+        return _class.__wrapped__(piece) in _NAMED
+    return any(
+        t.kind in ("user", "pass") or shape.__wrapped__(t.text) not in _DULL or _class.__wrapped__(t.text) in _NAMED
+        for t in lex(piece) if t.kind not in ("mark", "op")
+    )
 
 
 def candidate_lines(text: str) -> list[Line]:
-    """The lines of ``text`` (split at LF) that may hold a secret: those with a sign of one and
-    those that follow a line which such a sign leaves open."""
+    """The lines of ``text`` (split at LF) that may hold a secret: those with a piece that tells of
+    one and those that follow a line which such a piece leaves open."""
+    telling = {p for p in set(_PIECE.findall(text)) if (_tells(p) if len(p) <= _KEPT else _tells.__wrapped__(p))}
+    if not telling:
+        return []
     out: list[Line] = []
     offset, carried = 0, False
     above, context = "", None  # the last line that is not blank
     for n, line in enumerate(text.split("\n")):
         if line and not line.isspace():
             before, context = context, None
-            if carried or _signed(line):
+            if carried or not telling.isdisjoint(_PIECE.findall(line)):
                 if before is None:  # a line that tells nothing passes on what it names, not that it is open
                     before = _context(above)
                     before = "closed" if before == "open" else before
