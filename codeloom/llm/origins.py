@@ -26,10 +26,10 @@ MINED_BOUND = 0.5
 MINED_REPOS = 2
 #: Characters from which equal texts in several repositories count as taken from elsewhere.
 SHARED_SIZE = 200
-#: Lines of leading comment that can be a header.
-HEADER_LINES = 14
 
 _COMMENT = re.compile(r"\s*(?://|#|/\*|\*|\"\"\"|'''|<!--)")
+_BLOCK = re.compile(r"\s*(/\*|\"\"\"|'''|<!--)")
+_CLOSES = {"/*": "*/", '"""': '"""', "'''": "'''", "<!--": "-->"}
 _IMPORT = re.compile(r"\s*(?:import|from|package|use|require)\b")
 _MARKS = re.compile(r"^\s*(?://+|#+|/?\*+!?|\"\"\"|'''|<!--|--)?\s*")
 _GENERATED = re.compile(
@@ -58,12 +58,32 @@ _PUNCTUATION = re.compile(r"[;,{}()=]")
 
 
 def header_of(text: str) -> list[str]:
-    """The comment lines, without marks, before the first line of code."""
+    """The comment lines, without marks, before the first line of code: line comments, and block
+    comments and docstrings up to their ends."""
     out = []
-    for line in text.split("\n")[:HEADER_LINES]:
-        if line.strip() and not _COMMENT.match(line):
-            break
+    closing, at = "", 0  # closing: the mark that ends an open block
+    while at <= len(text):
+        end = text.find("\n", at)
+        end = len(text) if end < 0 else end
+        line = text[at:end]
+        if closing:
+            begin = 0
+        elif line.strip():
+            if not _COMMENT.match(line):
+                break
+            opened = _BLOCK.match(line)
+            closing, begin = (_CLOSES[opened.group(1)], opened.end()) if opened else ("", 0)
+        else:
+            begin = 0
         out.append(_MARKS.sub("", line, count=1).rstrip(" \r*/->"))
+        if closing:
+            stop = line.find(closing, begin)
+            if stop >= 0:
+                rest = line[stop + len(closing) :].strip()
+                closing = ""
+                if rest and not _COMMENT.match(rest):
+                    break
+        at = end + 1
     return out
 
 

@@ -3,7 +3,7 @@ from datetime import datetime
 import pytest
 
 from codeloom.llm.attributes import glob_regex, parse_attributes
-from codeloom.llm.origins import chunk_evidence, file_origins, header_of, mined_patterns
+from codeloom.llm.origins import _GENERATED, chunk_evidence, file_origins, header_of, mined_patterns
 
 T1, T2 = datetime(2025, 1, 1), datetime(2025, 1, 2)
 SCHEMA = "id long, updated_at timestamp, file_path string, line_start int, content string, content_type string, origin string"
@@ -63,6 +63,23 @@ def test_markers(spark, line):
     assert file_origins(files(spark, [("r/a.py", f"#\n# {line}\nx = 1\n", "code")])).collect()[0]["origin"] == "generated"
 
 
+LICENCE = [f"line {k} of the licence that this file is given under" for k in range(40)]
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["".join(f"// {x}\n" for x in LICENCE) + "//\n// Code generated by x. DO NOT EDIT.\nx = 1\n", "/*\n" + "\n".join(LICENCE) + "\nCode generated by x. DO NOT EDIT.\n*/\nx = 1;\n",
+     '"""\nThe wire tables.\n\nGenerated by x from y.\n"""\nx = 1\n', "<!--\nplain words\n@generated\n-->\n<a/>\n", "/* one */\n\n/*\nCode generated by x.\n*/\ny\n"],
+)
+def test_headers_are_read_to_their_end(text):
+    assert any(_GENERATED.match(x) for x in header_of(text))
+
+
+def test_headers_end_where_code_begins():
+    assert header_of("/* a\nb */ x = 1;\n// c") == ["a", "b */ x = 1;"] and header_of('"""One."""\nx = 1\n"""\n@generated\n"""') == ['One."""']
+    assert header_of("x = 1\n// Code generated by x") == [] and header_of("/* never closed\n\nb") == ["never closed", "", "b"] and header_of("") == [""]
+
+
 def test_copies_of_vendored_files_and_old_rows(spark):
     lib = "// Part of the kelofa distribution, release 2.1.\n" + HAND * 3
     rows = [("r/deps/kelofa/x.js", lib, "code"), ("s/src/y.js", lib.replace("\n", "\r\n"), "code"), ("s/src/own.js", HAND + "// ours\n", "code"), ("t/vendor/z/z.js", HAND * 2, "code"), ("t/core/q.js", HAND * 2, "code")]
