@@ -132,20 +132,18 @@ def arity(fqn: Column) -> Column:
     return F.when(fqn.rlike(r"\([^()]*\)$"), F.when(F.trim(inner) == "", 0).otherwise(F.size(F.split(inner, ","))))
 
 
-def subtype_closure(resolved: DataFrame, roots: DataFrame, max_depth: int = 12) -> DataFrame:
+def subtype_closure(resolved: DataFrame, roots: DataFrame) -> DataFrame:
     """root, subtype: everything that implements or inherits from a root, directly or not.
 
     roots: root. Level by level; a level is joined and cut, and pairs that are known are dropped,
-    so circles end."""
+    so circles end; there is no bound on the depth."""
     from codeloom.operators.common import cut
 
     up = resolved.where(F.col("edge_type").isin("IMPLEMENTS", "INHERITS")).select(F.col("target_symbol_id").alias("base"), F.col("source_symbol_id").alias("sub")).distinct()
     up = cut(up)
     level = cut(roots.select("root").distinct().join(up, F.col("root") == F.col("base")).select("root", F.col("sub").alias("subtype")))
     known = level
-    for _ in range(max_depth):
-        if not level.limit(1).count():
-            break
+    while level.limit(1).count():
         level = cut(
             level.join(up, F.col("subtype") == F.col("base")).select("root", F.col("sub").alias("subtype")).distinct().join(known, ["root", "subtype"], "left_anti")
         )

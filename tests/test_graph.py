@@ -34,6 +34,13 @@ def test_dispatch_reaches_implementations_and_their_subtypes(g):
     assert ids(G.dispatch_edges(g[0], g[2]), "source_symbol_id", "target_symbol_id") == [(1, 9), (1, 15)]
 
 
+def test_subtypes_have_no_depth_limit(spark):
+    """A chain of 20 below a root, closed to a circle at its end."""
+    edges = [(k + 1, k, "INHERITS") for k in range(20)] + [(18, 20, "INHERITS")]
+    resolved = spark.createDataFrame(edges, "source_symbol_id long, target_symbol_id long, edge_type string")
+    assert ids(G.subtype_closure(resolved, spark.createDataFrame([(0,)], "root long")), "root", "subtype") == [(0, k) for k in range(1, 21)]
+
+
 def test_implementations_know_direct_from_indirect(g):
     assert ids(G.implementations(g[0], g[2]), "interface_id", "type_id", "direct") == [(6, 8, True), (6, 14, False)]
 
