@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,8 +16,8 @@ MAX_IMPACT_DEPTH = 4
 MAX_PATH_HOPS = 6
 
 
-def levels(links: DataFrame, seeds: DataFrame, max_depth: int, seen: DataFrame | None = None) -> DataFrame:
-    """node, depth: everything within ``max_depth`` steps along links (a -> b), at its least depth.
+def levels(links: DataFrame, seeds: DataFrame, max_depth: int | None, seen: DataFrame | None = None) -> DataFrame:
+    """node, depth: everything within ``max_depth`` steps (None: however far) along links (a -> b), at its least depth.
 
     links: a, b; seeds: node. Nodes of ``seen`` are never reported again; with ``seen`` left out a
     seed on a circle is reported at the length of the circle. All seeds walk together, so the work
@@ -25,7 +26,7 @@ def levels(links: DataFrame, seeds: DataFrame, max_depth: int, seen: DataFrame |
     front = cut(seeds.select("node").distinct())
     known = seen.select("node") if seen is not None else None
     out = None
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         step = front.join(links, F.col("node") == F.col("a")).select(F.col("b").alias("node")).distinct()
         if known is not None:
             step = step.join(known, "node", "left_anti")
@@ -185,7 +186,7 @@ def impact(
     if seed_filter == "product":
         seeds = seeds.where("not is_test")
     seeds = cut(seeds.select(F.col("id").alias("node")))
-    reached = levels(links[direction], seeds, 1_000 if fixpoint else min(depth, MAX_IMPACT_DEPTH), seen=seeds)
+    reached = levels(links[direction], seeds, None if fixpoint else min(depth, MAX_IMPACT_DEPTH), seen=seeds)
     found = seeds.withColumn("depth", F.lit(0)).unionByName(reached)
     fan = kept.groupBy(F.col("target_symbol_id").alias("t")).agg(F.count("*").alias("fan_in"))
     s = symbols.select("id", "kind", "is_test")
@@ -244,7 +245,7 @@ def communities(links: DataFrame, rounds: int = 10) -> DataFrame:
     return labels.select("node", F.col("label").alias("community"))
 
 
-def strong_components(links: DataFrame, max_rounds: int = 1_000) -> DataFrame:
+def strong_components(links: DataFrame) -> DataFrame:
     """node, component (its least node) of every strongly connected component of two nodes or more,
     or of one node that links to itself.
 
@@ -255,7 +256,7 @@ def strong_components(links: DataFrame, max_rounds: int = 1_000) -> DataFrame:
     loops = links.where("a = b").select(F.col("a").alias("node"))
     live = cut(links.where("a <> b"))
     found = None
-    for _ in range(max_rounds):
+    while True:
         while True:  # trim
             ends = live.select(F.col("b").alias("n")).distinct().join(live.select(F.col("a").alias("m")).distinct(), F.col("n") == F.col("m"), "left_semi")
             kept = cut(live.join(ends, F.col("a") == F.col("n"), "left_semi").join(ends, F.col("b") == F.col("n"), "left_semi"))
@@ -266,7 +267,7 @@ def strong_components(links: DataFrame, max_rounds: int = 1_000) -> DataFrame:
         if not after:
             break
         colour = cut(live.select(F.col("a").alias("node")).distinct().withColumn("colour", F.col("node")))
-        for _ in range(max_rounds):
+        while True:  # spread
             pushed = live.join(colour, F.col("a") == F.col("node")).groupBy("b").agg(F.max("colour").alias("best"))
             new = cut(colour.join(pushed, F.col("node") == F.col("b")).select("node", F.greatest("colour", "best").alias("colour"), (F.col("best") > F.col("colour")).alias("moved")))
             colour = new.drop("moved")
@@ -277,7 +278,7 @@ def strong_components(links: DataFrame, max_rounds: int = 1_000) -> DataFrame:
         )
         within = cut(tinted.where("ac = bc").select(F.col("b").alias("a"), F.col("a").alias("b")))
         seeds = cut(colour.where("node = colour").select("node"))
-        met = seeds.unionByName(levels(within, seeds, max_rounds, seen=seeds).select("node")).distinct()
+        met = seeds.unionByName(levels(within, seeds, None, seen=seeds).select("node")).distinct()
         part = cut(colour.join(met, "node", "left_semi").select("node", "colour"))
         found = part if found is None else found.unionByName(part)
         live = cut(live.join(part.select(F.col("node").alias("n")), F.col("a") == F.col("n"), "left_anti").join(part.select(F.col("node").alias("n")), F.col("b") == F.col("n"), "left_anti"))

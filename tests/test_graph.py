@@ -96,6 +96,14 @@ def test_impact_and_neighbourhood(spark, g):
     assert ids(T.neighbourhood(g[0], g[1], seeds, depth=1), "id", "distance") == [(1, 0), (2, 1), (7, 1), (12, 1)]
 
 
+def test_walks_to_the_end_have_no_bound(spark):
+    import inspect
+
+    links = spark.createDataFrame([(k, k + 1) for k in range(12)], "a long, b long")
+    assert T.levels(links, spark.createDataFrame([(0,)], "node long"), None).count() == 12
+    assert list(inspect.signature(T.strong_components).parameters) == ["links"]
+
+
 def test_components_cycles_and_communities_against_brute_force(spark):
     import random
 
