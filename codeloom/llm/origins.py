@@ -167,10 +167,8 @@ def mined_patterns(files: DataFrame) -> DataFrame:
     files that show the kind reaches MINED_BOUND in at least MINED_REPOS repositories.
     """
     at = files.select("repo", "made", "taken", F.explode(_globs(F.col("file_path"))).alias("glob"))
-    counts = at.groupBy("glob").agg(
-        F.count("*").alias("n"), F.count_if("made").alias("k_generated"), F.count_if("taken").alias("k_vendored"),
-        F.approx_count_distinct("repo").alias("repos"),
-    )
+    by_repo = at.groupBy("glob", "repo").agg(F.count("*").alias("n"), F.count_if("made").alias("k_generated"), F.count_if("taken").alias("k_vendored"))
+    counts = by_repo.groupBy("glob").agg(*[F.sum(c).alias(c) for c in ("n", "k_generated", "k_vendored")], F.count("repo").alias("repos"))
     kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"k_{k}").cast("double").alias("k")) for k in ("generated", "vendored")])
     each = counts.where(F.col("repos") >= MINED_REPOS).select("glob", "n", "repos", F.inline(kinds))
     z = 1.96

@@ -1,6 +1,7 @@
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from codeloom.llm.attributes import glob_regex, parse_attributes
 from codeloom.llm.origins import _GENERATED, chunk_evidence, file_origins, header_of, mined_patterns
@@ -94,5 +95,14 @@ def test_patterns_are_mined_over_repositories(spark):
     assert ("**/deps/**", "vendored") in got and not any("src" in g for g, _ in got) and not any(k == "generated" for _, k in got)
 
 
+def test_repositories_are_counted_exactly(spark):
+    pairs = spark.range(3000).selectExpr("id", "explode(array(concat('a', id), concat('b', id))) as repo")
+    twins = pairs.groupBy("id").agg(F.approx_count_distinct("repo").alias("n")).where("n < 2").collect()
+    assert twins
+    rows = [(f"{x}{twins[0]['id']}/deps/p{k}/f.js", f"{x}{twins[0]['id']}", False, True) for x in "ab" for k in range(20)]
+    got = mined_patterns(spark.createDataFrame(rows, "file_path string, repo string, made boolean, taken boolean")).collect()
+    assert ("**/deps/**", "vendored", 2) in {(r["glob"], r["kind"], r["repos"]) for r in got}
+
+
 def test_empty_table(spark):
     assert file_origins(files(spark, [("x", "y", "code")]).where("false")).count() == 0
