@@ -1,28 +1,35 @@
-"""Evaluation passages inside a corpus (problem 8): rare seeds, then Smith-Waterman alignment."""
+"""Evaluation passages inside a corpus (problem 8): rare seeds join, Smith-Waterman aligns."""
 
 from __future__ import annotations
 
 import html
-import math
 import re
 import unicodedata
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.operators.common import cut
+
 #: Words of a seed. 20 words with two of them changed keep at least MIN_SEEDS whole ones.
 SEED = 5
 MIN_WORDS = 20
-CHANGED_SHARE = 0.1
-MIN_SEEDS = (MIN_WORDS - SEED + 1) - SEED * int(MIN_WORDS * CHANGED_SHARE)
+#: One word in so many may be changed, left out or put in.
+PER_CHANGE = 10
+MIN_SEEDS = (MIN_WORDS - SEED + 1) - SEED * (MIN_WORDS // PER_CHANGE)
 #: A line that this many items share is an instruction, not part of a passage.
 BOILERPLATE_ITEMS = 4
-#: Words of items that one pass over the corpus carries; more items take more passes.
-BLOCK_WORDS = 1_000_000
+#: The filter of seeds that goes to the corpus: bits per seed, and its size at most (32 MB).
+FILTER_BITS, FILTER_LOG2 = 16, 28
+#: Pairs of equal seeds of one document and item that are looked at one by one; where there are
+#: more (texts of one word, say) every diagonal is aligned instead.
+MANY_HITS = 1_000_000
+#: Words whose hashes are kept.
+_KEPT = 500_000
 MATCH, CHANGE = 1, -1
 
 _INLINE = re.compile(r"</?(?:b|i|em|strong|code|span|u|a|mark|sub|sup|tt|small|font)\b[^<>]{0,200}>", re.I)
@@ -49,73 +56,83 @@ def words_of(text: str) -> list[str]:
     return _WORDS.findall(text.translate(_APOSTROPHES).lower())
 
 
-@dataclass
-class SeedIndex:
-    """Passages of a block of items as word codes, and where every seed of five words stands."""
-
-    ids: list
-    codes: list[np.ndarray]
-    vocabulary: dict[str, int]
-    seeds: np.ndarray
-    first: np.ndarray
-    places: np.ndarray  # (passage, position) by seed
+class _Hashes(dict):
+    def __missing__(self, word: str) -> int:
+        if len(self) >= _KEPT:
+            self.clear()
+        self[word] = value = xxhash.xxh3_64_intdigest(word)
+        return value
 
 
+_HASH = _Hashes()
 _MULTIPLIERS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(SEED)], dtype=np.uint64)
 
 
-def _grams(codes: np.ndarray) -> np.ndarray:
+def word_codes(text: str) -> np.ndarray:
+    words = words_of(text)
+    return np.fromiter(map(_HASH.__getitem__, words), np.uint64, len(words))
+
+
+def seeds_of(codes: np.ndarray) -> np.ndarray:
+    """A hash of every SEED neighbouring words."""
     n = len(codes) - SEED + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     out = np.zeros(n, np.uint64)
-    wide = codes.astype(np.uint64) + np.uint64(1)
     for k in range(SEED):
-        out += wide[k : k + n] * _MULTIPLIERS[k]
-    return out
-
-
-def build_index(passages: list[tuple[object, str]]) -> SeedIndex:
-    vocabulary: dict[str, int] = {}
-    ids, codes = [], []
-    for item, text in passages:
-        words = words_of(text)
-        if words:
-            ids.append(item)
-            codes.append(np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words], np.int64))
-    grams = [_grams(c) for c in codes]
-    flat = np.concatenate([*grams, np.zeros(0, np.uint64)])
-    places = np.array([(i, p) for i, g in enumerate(grams) for p in range(len(g))], np.int64).reshape(-1, 2)
-    order = np.argsort(flat, kind="stable")
-    seeds, first = np.unique(flat[order], return_index=True)
-    return SeedIndex(ids, codes, vocabulary, seeds, np.append(first, len(flat)), places[order])
-
-
-def _align(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Smith-Waterman: steps of the best local alignment as (position in a or -1, in b or -1)."""
-    n, m = len(a), len(b)
-    table = np.zeros((n + 1, m + 1), np.int32)
-    slope = -CHANGE * np.arange(m + 1, dtype=np.int32)
-    for i in range(1, n + 1):
-        above = table[i - 1]
-        best = np.maximum(above[1:] + CHANGE, above[:-1] + np.where(b == a[i - 1], MATCH, CHANGE))
-        row = np.maximum(np.concatenate(([0], best)), 0)
-        table[i] = np.maximum.accumulate(row + slope) - slope
-    i, j = np.unravel_index(int(table.argmax()), table.shape)
+        out += codes[k : k + n] * _MULTIPLIERS[k]
+    out ^= out >> np.uint64(29)
+    return out * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def needed_seeds(words: int) -> int:
+    """The seeds that every leak of a passage of so many words keeps whole."""
+    least = min(MIN_WORDS, words)
+    return max(1, (least - SEED + 1) - SEED * (least // PER_CHANGE))
+
+
+def _aligned(a: np.ndarray, b: np.ndarray, top: int, bottom: int, low: int, high: int) -> list[tuple[int, int]]:
+    """Smith-Waterman over a[top:bottom] and the diagonals low to high of ``b``: steps of the best
+    local alignment as (position in a or -1, in b or -1).
+
+    Only the directions are kept, a byte for each cell of the band."""
+    width = high - low + 1
+    begin = top + low
+    wide = np.zeros(bottom - top + width, np.uint64)
+    real = np.zeros(len(wide), bool)
+    first, last = max(0, begin), min(len(b), begin + len(wide))
+    if first < last:
+        wide[first - begin : last - begin] = b[first:last]
+        real[first - begin : last - begin] = True
+    slope = -CHANGE * np.arange(width, dtype=np.int32)
+    ways = np.zeros((bottom - top, width), np.int8)
+    above = np.zeros(width + 1, np.int32)
+    best, at = 0, (0, 0)
+    for i in range(bottom - top):
+        across = above[:-1] + np.where((wide[i : i + width] == a[top + i]) & real[i : i + width], MATCH, CHANGE)
+        down = above[1:] + CHANGE
+        row = np.maximum(np.maximum(across, down), 0)
+        row = np.maximum.accumulate(row + slope) - slope
+        ways[i] = np.where(row == 0, 0, np.where(row == across, 1, np.where(row == down, 2, 3)))
+        above[:-1] = row
+        peak = int(row.argmax())
+        if row[peak] > best:
+            best, at = int(row[peak]), (i, peak)
     steps = []
-    while i > 0 and j > 0 and table[i, j] > 0:
-        here = table[i, j]
-        if here == table[i - 1, j - 1] + (MATCH if a[i - 1] == b[j - 1] else CHANGE):
-            i, j = i - 1, j - 1
-            steps.append((i, j))
-        elif here == table[i - 1, j] + CHANGE:
+    i, k = at
+    while best and i >= 0 and 0 <= k < width and ways[i, k]:
+        way = ways[i, k]
+        if way == 1:
+            steps.append((top + i, begin + i + k))
             i -= 1
-            steps.append((i, -1))
+        elif way == 2:
+            steps.append((top + i, -1))
+            i, k = i - 1, k + 1
         else:
-            j -= 1
-            steps.append((-1, j))
+            steps.append((-1, begin + i + k))
+            k -= 1
     steps.reverse()
-    return _extended(steps, n, m)
+    return _extended(steps, len(a), len(b))
 
 
 def _extended(steps: list[tuple[int, int]], n: int, m: int) -> list[tuple[int, int]]:
@@ -132,124 +149,217 @@ def _extended(steps: list[tuple[int, int]], n: int, m: int) -> list[tuple[int, i
 
 def _stretch(a: np.ndarray, b: np.ndarray, steps: list[tuple[int, int]], least: int) -> tuple[int, int] | None:
     """(words, changed) of the longest stretch of at least ``least`` words of ``a``, whole at both
-    ends, in which at most one word in ten is changed, left out or put in."""
+    ends, in which at most one word in ten is changed, left out or put in.
+
+    With the value words - 10 x changes before every step, a stretch is good if the value does not
+    fall over it; the first good begin for an end stands among the falling minima of the values."""
+    if not steps:
+        return None
     word = np.array([x >= 0 for x, _ in steps], np.int64)
     changed = np.array([x < 0 or y < 0 or a[x] != b[y] for x, y in steps], np.int64)
     words, changes = np.concatenate(([0], word.cumsum())), np.concatenate(([0], changed.cumsum()))
-    length = words[None, :] - words[:, None]
-    edits = changes[None, :] - changes[:, None]
-    firm = changed == 0
-    good = np.append(firm, False)[:, None] & np.insert(firm, 0, False)[None, :] & (length >= least) & (edits <= np.floor(length * CHANGED_SHARE + 1e-9))
-    if not good.any():
+    value = words - PER_CHANGE * changes
+    begins = np.flatnonzero(changed == 0)
+    if not len(begins):
         return None
-    at = np.unravel_index(int(np.where(good, length * 1000 - edits, -1).argmax()), good.shape)
+    ends = begins + 1
+    falls = np.minimum.accumulate(value[begins])
+    low = begins[np.concatenate(([True], falls[1:] < falls[:-1]))]
+    first = np.searchsorted(-value[low], -value[ends], side="left")
+    ok = first < len(low)
+    begin, end = low[np.minimum(first, len(low) - 1)], ends
+    length, edits = words[end] - words[begin], changes[end] - changes[begin]
+    ok &= (begin < end) & (length >= least)
+    if not ok.any():
+        return None
+    at = int(np.where(ok, length * (len(steps) + 1) - edits, -1).argmax())
     return int(length[at]), int(edits[at])
 
 
-def find_leaks(index: SeedIndex, text: str) -> list[tuple[object, int, int]]:
-    """(item, words, changed) of every item of which ``text`` contains a stretch."""
-    get = index.vocabulary.get
-    codes = np.array([get(w, 0) for w in words_of(text)], np.int64)
-    grams = _grams(codes)
-    if not len(grams) or not len(index.seeds):
-        return []
-    at = np.searchsorted(index.seeds, grams)
-    at[at == len(index.seeds)] = 0
-    hit = np.flatnonzero(index.seeds[at] == grams)
-    if len(hit) < min(MIN_SEEDS, 2):
-        return []
-    low, high = index.first[at[hit]], index.first[at[hit] + 1]
+def _bands(spots: np.ndarray, places: np.ndarray, slack: int, reach: int) -> Iterator[tuple[int, int, int, int]]:
+    """(top, bottom, low, high): rows and diagonals in which equal seeds lie together.
+
+    The seeds of one leak differ by no more diagonals than words were put in or left out, and
+    stand no further apart than a stretch without a whole seed can be."""
+    diagonal = spots - places
+    order = np.argsort(diagonal, kind="stable")
+    for near in np.split(order, np.flatnonzero(np.diff(diagonal[order]) > slack) + 1):
+        near = near[np.argsort(spots[near], kind="stable")]
+        for part in np.split(near, np.flatnonzero(np.diff(spots[near]) > reach) + 1):
+            yield int(places[part].min()), int(places[part].max()), int(diagonal[part].min()), int(diagonal[part].max())
+
+
+def best_leak(passage: np.ndarray, codes: np.ndarray) -> tuple[int, int] | None:
+    """(words, changed) of the longest stretch of the passage in the document's codes, if any."""
+    n = len(passage)
+    least, need = min(MIN_WORDS, n), needed_seeds(n)
+    own, theirs = seeds_of(passage), seeds_of(codes)
+    if not len(own) or not len(theirs):
+        return None
+    order = np.argsort(own, kind="stable")
+    low, high = np.searchsorted(own[order], theirs, "left"), np.searchsorted(own[order], theirs, "right")
     span = high - low
-    where = np.repeat(low - np.concatenate(([0], span.cumsum()[:-1])), span) + np.arange(span.sum())
-    item, place = index.places[where].T
-    spot = np.repeat(hit, span)
-    found = []
-    for one in np.unique(item):
-        mine = item == one
-        passage = index.codes[one]
-        least = min(MIN_WORDS, len(passage))
-        need = max(1, (least - SEED + 1) - SEED * int(least * CHANGED_SHARE))
-        if len(np.unique(place[mine])) < need:
-            continue
-        spots = np.unique(spot[mine])
-        # seeds of one copy lie within its length; copies further apart are aligned one by one
-        groups = np.split(spots, np.flatnonzero(np.diff(spots) > 2 * len(passage)) + 1)
-        best = None
-        for group in groups:
-            if len(group) < need:
-                continue
-            begin = max(0, int(group[0]) - len(passage) - 2)
-            region = codes[begin : int(group[-1]) + SEED + len(passage) + 2].copy()
-            while True:
-                steps = _align(passage, region)
-                if sum(x >= 0 and y >= 0 and passage[x] == region[y] for x, y in steps) < need:
-                    break
-                got = _stretch(passage, region, steps, least)
-                if got is not None:
-                    best = max(best or (0, 0), got, key=lambda x: (x[0], -x[1]))
-                    break
-                region[[y for _, y in steps if y >= 0]] = -1  # aligned, but not a leak: look elsewhere
-        if best is not None:
-            found.append((index.ids[one], *best))
-    return found
-
-
-def passages_of(items: DataFrame) -> DataFrame:
-    """item, text: items without the lines that BOILERPLATE_ITEMS or more of them share."""
-    lines = items.where("text is not null").select("item", F.posexplode(F.split("text", r"\r?\n")).alias("no", "line"))
-    lines = lines.withColumn("bare", F.lower(F.trim("line")))
-    shared = (
-        lines.where("bare <> ''").groupBy("bare").agg(F.count_distinct("item").alias("n")).where(F.col("n") >= BOILERPLATE_ITEMS)
-    )
-    own = lines.join(shared.select("bare"), "bare", "left_anti")
-    return own.groupBy("item").agg(
-        F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("no", "line"))), lambda x: x["line"])).alias("text")
+    hit = np.flatnonzero(span)
+    if not len(hit):
+        return None
+    slack, reach = max(2, n // PER_CHANGE), max(MIN_WORDS, n // 2)
+    if span.sum() > MANY_HITS:
+        bands = iter([(0, n - 1, int(hit[0]) - n, int(hit[-1]))])
+    else:
+        span = span[hit]
+        where = np.repeat(low[hit] - np.concatenate(([0], span.cumsum()[:-1])), span) + np.arange(span.sum())
+        spots, places = np.repeat(hit, span), order[where]
+        if len(np.unique(places)) < need:
+            return None
+        bands = _bands(spots, places, slack, reach)
+    best = None
+    for top, bottom, left, right in bands:
+        top, bottom = max(0, top - reach), min(n, bottom + SEED + reach)
+        left, right = left - slack, right + slack
+        # wide bands are aligned in parts that overlap by all the diagonals one leak can need
+        for part in range(left, max(left + 1, right - 2 * slack + 1), 2 * slack):
+            got = _best_in(passage, codes, (top, bottom, part, min(right, part + 4 * slack)), least, need)
+            if got is not None:
+                best = max(best or (0, 0), got, key=lambda x: (x[0], -x[1]))
+    return best
+
+
+def _best_in(passage: np.ndarray, codes: np.ndarray, band: tuple[int, int, int, int], least: int, need: int) -> tuple[int, int] | None:
+    region = codes
+    while True:
+        steps = _aligned(passage, region, *band)
+        same = [y for x, y in steps if x >= 0 and y >= 0 and passage[x] == region[y]]
+        if len(same) < need + SEED - 1:
+            return None
+        got = _stretch(passage, region, steps, least)
+        if got is not None:
+            return got
+        region = region.copy()
+        region[same] = ~region[same]  # aligned, but not a leak: look elsewhere
+
+
+def build_index(passages: list[tuple[object, str]]) -> list[tuple[object, np.ndarray]]:
+    return [(item, codes) for item, codes in ((i, word_codes(t)) for i, t in passages) if len(codes) >= SEED]
+
+
+def find_leaks(index: list[tuple[object, np.ndarray]], text: str) -> list[tuple[object, int, int]]:
+    """(item, words, changed) of every item of which ``text`` contains a stretch; the operator's
+    check of one pair, without its join."""
+    codes = word_codes(text)
+    got = ((item, best_leak(passage, codes)) for item, passage in index)
+    return [(item, *leak) for item, leak in got if leak is not None]
+
+
+def passages_of(items: DataFrame, shared_by: int | None = BOILERPLATE_ITEMS) -> DataFrame:
+    """item, text: items without the lines that ``shared_by`` or more of them share (None: whole).
+
+    An item that has no line of its own keeps all its lines: a passage that several suites hold
+    is no instruction."""
+    rows = items.where("item is not null and text is not null").select("item", "text")
+    if shared_by is None:
+        return rows
+    lines = rows.select("item", F.posexplode(F.split("text", r"\r?\n")).alias("no", "line")).withColumn("bare", F.lower(F.trim("line")))
+    shared = lines.where("bare <> ''").groupBy("bare").agg(F.count_distinct("item").alias("n")).where(F.col("n") >= shared_by)
+    marked = lines.join(shared.select(F.col("bare").alias("b")), F.col("bare") == F.col("b"), "left")
+    by = marked.groupBy("item").agg(
+        F.array_sort(F.collect_list(F.struct("no", "line", F.col("b").isNotNull().alias("common")))).alias("all"),
+        F.bool_or(F.col("b").isNull() & (F.col("bare") != "")).alias("own"),
     )
+    kept = F.filter("all", lambda x: ~F.col("own") | ~x["common"])
+    return by.select("item", F.concat_ws("\n", F.transform(kept, lambda x: x["line"])).alias("text"))
+
+
+def _coded(key: str, keep):
+    """A function over batches of (key, text): key, words, codes and the kept seeds of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, words, coded, seeds = [], [], [], []
+            for n, text in enumerate(batch.column("text").to_pylist()):
+                codes = word_codes(text) if text else None
+                kept = keep(seeds_of(codes)) if codes is not None and len(codes) >= SEED else None
+                if kept is not None:
+                    row.append(n)
+                    words.append(len(codes))
+                    coded.append(codes.tobytes())
+                    seeds.append(kept.view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(key).take(pa.array(row, pa.int64())), pa.array(words, pa.int32()), pa.array(coded, pa.binary()), pa.array(seeds, pa.list_(pa.int64())),
+                ],
+                names=[key, "words", "codes", "seeds"],
+            )
+
+    return run
 
 
-def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
+def _slots(seeds: np.ndarray, log2: int) -> np.ndarray:
+    return seeds >> np.uint64(64 - log2)
+
+
+def _seed_filter(places: DataFrame) -> tuple[np.ndarray, int]:
+    """Bits of the slots that seeds fall into, and the logarithm of their number.
+
+    As large as the seeds ask for and never beyond 2**FILTER_LOG2 bits: a fuller filter lets more
+    seeds pass, and none is lost. The executors build it in pieces of 4 KB."""
+    log2 = min(FILTER_LOG2, max(15, int(places.count() * FILTER_BITS).bit_length()))
+    slot = F.shiftrightunsigned("seed", 64 - log2)
+    pieces = places.groupBy(F.shiftright(slot, 15).alias("piece")).agg(F.bitmap_construct_agg(slot.bitwiseAND(F.lit(32767))).alias("bits"))
+    bits = np.zeros(1 << (log2 - 3), np.uint8)
+    for r in pieces.collect():  # at most 2**(FILTER_LOG2 - 15) pieces
+        bits[r["piece"] * 4096 : (r["piece"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
+    return bits, log2
+
+
+def _align_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        row, got = [], []
+        for n, (passage, codes) in enumerate(zip(batch.column("passage").to_pylist(), batch.column("codes").to_pylist(), strict=True)):
+            leak = best_leak(np.frombuffer(passage, np.uint64), np.frombuffer(codes, np.uint64))
+            if leak is not None:
+                row.append(n)
+                got.append(leak)
+        take = pa.array(row, pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("document").take(take), batch.column("item").take(take), *[pa.array([g[k] for g in got], pa.int32()) for k in (0, 1)]],
+            names=["document", "item", "words", "changed"],
+        )
+
+
+def leaked_items(documents: DataFrame, items: DataFrame, shared_by: int | None = BOILERPLATE_ITEMS) -> DataFrame:
     """document, item, words, changed for every document with a stretch of an item's passage.
 
     documents: document (unique), text; items: item (unique), text. A stretch is MIN_WORDS or more
     consecutive words of the passage (all of a shorter one), the first and the last of them whole,
-    of which at most one in ten is changed, left out or put in. Null and empty texts give no rows. The items are the stated query set: they
-    are carried to the corpus in blocks of bounded size, one pass over the documents for each.
+    of which at most one in ten is changed, left out or put in. Null ids and texts, and texts of
+    fewer than SEED words, give no rows. shared_by: see ``passages_of``.
+
+    One pass over the corpus, whatever the number of items, keeps the documents with enough seeds
+    in a filter of bounded size. Of every two neighbouring seeds of a passage the rarer one in
+    the corpus is joined to them: 20 words hold three of these without a common word, so two
+    changes leave one whole (passages under 20 words join all of theirs). The pairs are aligned.
     """
-    passages = passages_of(items).persist()
-    total = passages.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
-    blocks = max(1, math.ceil(total / BLOCK_WORDS))
-    spark = documents.sparkSession
-    schema = f"document {documents.schema['document'].dataType.simpleString()}, item {items.schema['item'].dataType.simpleString()}, words int, changed int"
-    parts = []
-    for block in range(blocks):
-        mine = passages.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block)
-        shared = spark.sparkContext.broadcast([tuple(r) for r in mine.select("item", "text").toLocalIterator()])
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = build_index(shared.value)
-            item_type = pa.int64() if all(isinstance(x, int) for x in index.ids) else pa.string()
-            for batch in batches:
-                docs, texts = batch.column("document"), batch.column("text")
-                row, hits = [], []
-                for n in range(batch.num_rows):
-                    text = texts[n].as_py()
-                    if text:
-                        for hit in find_leaks(index, text):
-                            row.append(n)
-                            hits.append(hit)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        docs.take(pa.array(row, pa.int64())),
-                        pa.array([h[0] for h in hits], item_type),
-                        pa.array([h[1] for h in hits], pa.int32()),
-                        pa.array([h[2] for h in hits], pa.int32()),
-                    ],
-                    names=["document", "item", "words", "changed"],
-                )
-
-        parts.append(documents.select("document", "text").mapInArrow(run, schema))
-    passages.unpersist()
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    kind = documents.schema["document"].dataType.simpleString()
+    item_kind = items.schema["item"].dataType.simpleString()
+    columns = "words int, codes binary, seeds array<bigint>"
+    passages = cut(passages_of(items, shared_by).mapInArrow(_coded("item", lambda s: s), f"item {item_kind}, {columns}"))
+    places = passages.select("item", "words", F.posexplode("seeds").alias("place", "seed"))
+    bits, log2 = _seed_filter(places.select("seed").distinct())
+    sizes = [needed_seeds(r["words"]) for r in passages.select(F.least("words", F.lit(MIN_WORDS)).alias("words")).distinct().collect()]
+    shared, enough = documents.sparkSession.sparkContext.broadcast(bits), min(sizes, default=1)
+
+    def passing(seeds: np.ndarray) -> np.ndarray | None:
+        slot = _slots(seeds, log2)
+        known = (shared.value[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1
+        return np.unique(seeds[known.astype(bool)]) if int(known.sum()) >= enough else None
+
+    texts = documents.where("document is not null").select("document", "text")
+    near = cut(texts.mapInArrow(_coded("document", passing), f"document {kind}, {columns}"))
+    met = near.select("document", F.explode("seeds").alias("seed"))
+    rarity = met.groupBy("seed").agg(F.count("*").alias("documents"))
+    slot = F.when(F.col("words") < MIN_WORDS, F.col("place")).otherwise(F.floor(F.col("place") / 2))
+    rated = places.join(rarity.withColumnRenamed("seed", "r"), F.col("seed") == F.col("r"), "left")
+    probes = rated.groupBy("item", slot.alias("slot")).agg(F.min_by("seed", F.struct(F.coalesce("documents", F.lit(0)), "place")).alias("seed"))
+    pairs = met.join(probes.select("item", "seed").distinct(), "seed").select("document", "item").distinct()
+    both = pairs.join(near.select("document", "codes"), "document").join(passages.select("item", F.col("codes").alias("passage")), "item")
+    return both.mapInArrow(_align_pairs, f"document {kind}, item {item_kind}, words int, changed int")

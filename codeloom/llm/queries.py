@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm.docs import documented_functions
-from codeloom.llm.leaks import leaked_items
+from codeloom.llm.leaks import MIN_WORDS, leaked_items
 from codeloom.llm.levels import reading_levels
 from codeloom.llm.mixing import Mixture, mix
 from codeloom.llm.origins import file_origins
@@ -101,7 +101,7 @@ def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p8_leaks(spark, sf_dir).select("doc_id", "item_id").distinct()
+    return p8_leaks(spark, sf_dir).where(F.col("words") >= MIN_WORDS).select("doc_id", "item_id").distinct()
 
 
 def _mixture(spark: SparkSession, sf_dir: str) -> Mixture:

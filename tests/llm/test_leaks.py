@@ -68,9 +68,66 @@ def test_instructions_copies_nulls_and_blocks(spark, monkeypatch):
     texts = [" ".join(sentence(40)) for _ in range(6)]
     items = spark.createDataFrame([(k, f"{ask}\n\n{t}" if k % 2 else f"{t}\n{ask}", "clash") for k, t in enumerate(texts)] + [(98, None, ""), (99, "", "")], "item long, text string, document string")
     docs = spark.createDataFrame([(1, "x " + texts[2]), (2, "x " + texts[2]), (3, ask), (4, None), (5, ""), (6, texts[0] + " " + texts[1].upper()), (7, "nothing " * 5000)], "document long, text string")
+    assert {r["item"] for r in passages_of(items, None).collect()} == {*range(6), 99}
     assert {r["item"]: ask not in r["text"] for r in passages_of(items).where("text <> ''").collect()} == dict.fromkeys(range(6), True)
     want = [(1, 2), (2, 2), (6, 0), (6, 1)]
     assert sorted((r["document"], r["item"]) for r in leaked_items(docs, items).collect()) == want
-    monkeypatch.setattr(leaks, "BLOCK_WORDS", 90)  # several passes find the same
+    monkeypatch.setattr(leaks, "FILTER_LOG2", 15)  # a filter that lets more pass finds the same
+    monkeypatch.setattr(leaks, "MANY_HITS", 1)  # as does the way over every diagonal
     assert sorted((r["document"], r["item"]) for r in leaks.leaked_items(docs, items).collect()) == want
     assert leaked_items(docs.where("false"), items).count() == 0 and leaked_items(docs, items.where("false")).count() == 0
+
+
+def test_short_items_and_passages_that_several_suites_hold(spark):
+    shared, ask = " ".join(sentence(45)), "Name the part that the following words speak of, please."
+    rows = [(k, shared) for k in range(5)] + [(5, "five plain words stand here"), (6, "four words only here"), (7, " ".join(VOCABULARY[:12])), (8, "again " * 30)]
+    rows += [(k, f"{ask}\n{' '.join(sentence(30))}") for k in range(10, 15)]
+    items = spark.createDataFrame(rows, "item long, text string")
+    changed = VOCABULARY[:12]
+    changed[6] = "other"
+    docs = spark.createDataFrame([("a", shared.upper()), ("b", "so five plain words stand here"), ("c", "four words only here"), ("d", " ".join(changed)), ("e", ask), ("f", "and again " + "again " * 25)], "document string, text string")
+    got = sorted((r["document"], r["item"]) for r in leaked_items(docs, items).collect())
+    assert got == [*[("a", k) for k in range(5)], ("b", 5), ("d", 7), ("f", 8)]
+
+
+def test_long_items_stay_within_memory():
+    import tracemalloc
+
+    r = random.Random(3)
+    passage = [f"p{r.randint(0, 10**6)}" for _ in range(20_000)]
+    copy = [w if r.random() > 0.05 else "changed" for w in passage]
+    del copy[9_000:9_010]
+    tracemalloc.start()
+    got = find_leaks(build_index([(1, " ".join(passage))]), " ".join(["before"] * 500 + copy + ["after"] * 500))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got and got[0][1] > 19_000 and peak < 200e6
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_linear_stretch_equals_all_intervals(seed):
+    import numpy as np
+
+    from codeloom.llm.leaks import _stretch
+
+    r = random.Random(seed)
+    a = np.arange(120, dtype=np.uint64)
+    b = np.array([x if r.random() > 0.12 else 999 for x in range(120)], np.uint64)
+    steps = [(k, k) if r.random() > 0.04 else (k, -1) for k in range(120)]
+    bad = [y < 0 or a[x] != b[y] for x, y in steps]
+    best = None
+    for i in range(120):
+        for j in range(i + 20, 121):
+            edits = sum(bad[i:j])
+            if not bad[i] and not bad[j - 1] and edits * 10 <= j - i:
+                best = max(best or (0, 0), (j - i, -edits))
+    got = _stretch(a, b, steps, 20)
+    assert (got and (got[0], -got[1])) == best
+
+
+def test_one_word_texts_end():
+    assert best_of("nothing " * 3000, "nothing " * 2000)[1] == 2000
+
+
+def best_of(text, item):
+    return find_leaks(build_index([(1, item)]), text)[0]
