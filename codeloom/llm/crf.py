@@ -27,6 +27,8 @@ class Crf:
 
     def path(self, scores: Iterable[tuple[float, ...]]) -> list[int]:
         """The likeliest labels of a sequence of tokens' scores."""
+        if len(self.begin) == 2:
+            return self._path_of_two(scores)
         states = range(len(self.begin))
         into = [[row[y] for row in self.transitions] for y in states]
         best: list[float] = []
@@ -51,6 +53,29 @@ class Crf:
         return labels[::-1]
 
 
+    def _path_of_two(self, scores: Iterable[tuple[float, ...]]) -> list[int]:
+        """``path`` for two labels, without inner loops."""
+        (t00, t01), (t10, t11) = self.transitions
+        back = []
+        no = yes = None
+        for s0, s1 in scores:
+            if no is None:
+                no, yes = self.begin[0] + s0, self.begin[1] + s1
+                continue
+            from_no, from_yes = no + t01, yes + t11
+            stay, leave = no + t00, yes + t10
+            back.append((leave > stay, from_yes > from_no))
+            no, yes = (leave if leave > stay else stay) + s0, (from_yes if from_yes > from_no else from_no) + s1
+        if no is None:
+            return []
+        at = yes > no
+        out = [int(at)]
+        for step in reversed(back):
+            at = step[at]
+            out.append(int(at))
+        return out[::-1]
+
+
 def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
     top = x.max(axis)
     return top + np.log(np.exp(x - np.expand_dims(top, axis)).sum(axis))

@@ -59,13 +59,18 @@ def p3_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def p5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _secrets(spark: SparkSession, sf_dir: str, with_text: bool) -> DataFrame:
     chunks = load(spark, sf_dir, "code_chunks").where("id is not null").select(F.col("id").alias("chunk"), "updated_at", "content")
-    return keep_latest(find_secrets(chunks), chunks.select("chunk", "updated_at"), "chunk").withColumnRenamed("chunk", "chunk_id")
+    return keep_latest(find_secrets(chunks, with_text), chunks.select("chunk", "updated_at"), "chunk").withColumnRenamed("chunk", "chunk_id")
+
+
+def p5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _secrets(spark, sf_dir, True)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p5_secrets(spark, sf_dir).select("chunk_id", "line_no").distinct()
+    places = _secrets(spark, sf_dir, False).select("chunk_id", F.explode("places").alias("p"))
+    return places.select("chunk_id", F.col("p.line_no").alias("line_no")).distinct()
 
 
 def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

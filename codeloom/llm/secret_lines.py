@@ -1,9 +1,9 @@
-"""Lexical tokens of lines that may hold a secret, and their shape and context features."""
+"""Lexical tokens of lines, and their shape and context features."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -18,19 +18,29 @@ _HASH = re.compile(
     r"digest|checksum|(?<![a-z])sha\d*(?![a-z])|md5|hash|commit|revision|(?:trace|request)[._-]?id|uuid|(?:^|[._-])id$|(?-i:[a-z]Id$)|etag|icon|image|base64|fingerprint|nonce|integrity|pattern|regex",
     re.I,
 )
+#: Names of what is said about a secret.
+_TOLD = re.compile(r"[._-](?:label|prompt|hint|title|message|description|error|help)s?$|(?:Label|Prompt|Hint|Title|Message|Description|Error|Help)s?$", re.M)
 _READER = re.compile(r"^(?:read|getenv|environ|env|get|next_token|lookup|fetch|load|resolve|process|vault|getOrDefault|os|System)$")
 _OPEN_END = re.compile(r"(?:[,(\[{=:+`>|]|>-|\|-|\"\"\"|''')\s*$")
+_OPEN_LAST = frozenset(",([{=:+`>|-\"'")
+#: Words that make a quoted text prose.
+_GLUE = frozenset(
+    "a an the is are was be must not no of for to in on at by with from your you we it its this that and or if when please enter invalid missing wrong failed unknown expected required cannot can should does do has have empty "
+    "der die das ist nicht und fehlt le la les est pas et un une el los es y por con".split()
+)
 #: Characters over which a name on a line speaks for what follows it; ordinary lines are shorter.
 _REACH = 1_000
 #: Longer texts are not kept by the caches.
 _KEPT = 200
+_PIECES_KEPT = 400_000
 
+_QUOTED = r"\"(?:[^\"\\\n]|\\.)+\"|(?<!\w)'(?:[^'\\\n]|\\.)+'(?!\w)|'[^\s\"'`\\]+'|`[^\s\"'`\\]+`"
 _LEX = re.compile(
-    r"(?P<pem>-----(?:BEGIN|END) [A-Z0-9 ]+-----)|(?P<quoted>\"[^\s\"'`\\]+\"|'[^\s\"'`\\]+'|`[^\s\"'`\\]+`)|(?P<space>\s+)"
+    rf"(?P<pem>-----(?:BEGIN|END) [A-Z0-9 ]+-----)|(?P<quoted>{_QUOTED})"
     r"|(?P<mark>[\"'`(){}\[\],;|<>])|(?P<run>(?:(?!-----)[^\s\"'`(){}\[\],;|<>])+|-----)"
 )
-#: The pieces that ``_LEX`` reads as one; lines with a private key's mark are told by its dashes.
-_PIECE = re.compile(r"\"[^\s\"'`\\]+\"|'[^\s\"'`\\]+'|`[^\s\"'`\\]+`|[^\s\"'`(){}\[\],;|<>]+")
+#: The pieces that ``_LEX`` reads as one, without their names.
+_PIECES = re.compile(_LEX.pattern.replace("?P<pem>", "?:").replace("?P<quoted>", "?:").replace("?P<mark>", "?:").replace("?P<run>", "?:"))
 _URL = re.compile(r"(?:[A-Za-z][\w+.\-]*:)?[A-Za-z][\w+.\-]*://")
 _USER = re.compile(r"([^:@/?#]*):([^@/]*)@")
 _ASSIGN = re.compile(r"(-{0,2}[A-Za-z_][\w.\-]*)(:=|=|:)(?=.)(?!=+$)(?!//)")
@@ -44,27 +54,25 @@ _PLACEHOLDER = re.compile(
 _TAGGED = re.compile(r"^(?:AKIA|ASIA|gh[pousr]_|glpat-|xox[abeprs]-|[a-z]{2,4}_(?:live_|test_)?(?=\w*\d)|[a-z]{2}-(?=\w*\d\w*)(?=\w{16,}))[\w\-]{12,}$")
 _UUID = re.compile(r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$", re.I)
 _HEX = re.compile(r"^[0-9a-f]{7,}$")
-_WORD_NUMBER = re.compile(r"^[A-Za-z]+[!#$*._?+\-@][A-Za-z]+\d{3,4}$")
+_WORD_NUMBER = re.compile(r"^[A-Za-z]+(?:[!#$*?+@][A-Za-z]+\d{2,4}|[._\-][A-Za-z]+\d{3,4})$")
 _HOST = re.compile(r"^[\w-]+(?:\.[\w-]+)*\.(?:example|test|invalid|com|net|org|io|local|internal)$")
+_ESCAPED = re.compile(r"\\([\"'])")
 _CLASSES = (("up", re.compile(r"[A-Z]")), ("low", re.compile(r"[a-z]")), ("dig", re.compile(r"\d")), ("sp", re.compile(r"[!#$%^&*?~]")))
-#: Shapes that no token has which is a secret by itself, without a telling name.
-_DULL = {"word", "number", "indexed", "host", "punct", "placeholder"}
-_LOWER = re.compile(r"[a-z_]+\Z")
-#: Classes of names and schemes on the way to a secret.
-_NAMED = {"strong", "weak", "basic", "bearer"}
-
-
 @dataclass(slots=True)
 class Token:
     text: str
     begin: int
     kind: str  # name, op, value, user, host, word, mark, pem
     quote: str
+    inside: str = ""  # within a quoted text of several words: prose if it has words that only prose has, else plain
+    opens: bool = False  # the first token of such a text
 
 
 @lru_cache(maxsize=20_000)
 def shape(text: str) -> str:
-    """The coarse shape of a token's text."""
+    """The coarse shape of a token's text; a quote that is escaped in it is a quote."""
+    if "\\" in text:
+        text = _ESCAPED.sub(r"\1", text)
     if _PLACEHOLDER.search(text):
         return "placeholder"
     if _UUID.match(text):
@@ -87,7 +95,7 @@ def shape(text: str) -> str:
         return "dashed"
     if re.match(r"^\d[\d.,:_/x\-]*$", text):
         return "number"
-    if re.match(r"^[A-Za-z_$][A-Za-z_.$\-]*\d{1,3}$", text) and len(text) < 40 and not re.search(r"[a-z][A-Z][a-z]*[A-Z][A-Z]", text):
+    if re.match(r"^\$?[A-Za-z_][A-Za-z_.\-]*\d{1,3}$", text) and len(text) < 40 and not re.search(r"[a-z][A-Z][a-z]*[A-Z][A-Z]", text):
         return "indexed"
     kinds = {k for k, rule in _CLASSES if rule.search(text)}
     if "dig" in kinds and kinds & {"up", "low"}:
@@ -156,25 +164,35 @@ def _split(text: str, begin: int, quote: str, out: list[Token]) -> None:
 def lex(line: str) -> list[Token]:
     out: list[Token] = []
     for m in _LEX.finditer(line):
-        kind = m.lastgroup
-        if kind == "space":
-            continue
-        if kind == "quoted":
-            out.append(Token(m.group()[0], m.start(), "mark", ""))
-            _split(m.group()[1:-1], m.start() + 1, m.group()[0], out)
-            out.append(Token(m.group()[-1], m.end() - 1, "mark", ""))
-        elif kind == "run":
-            _split(m.group(), m.start(), "", out)
-        else:
-            out.append(Token(m.group(), m.start(), kind or "mark", ""))
+        _add_piece(m.group(), m.start(), m.lastgroup or "mark", out)
     return out
 
 
+def _add_piece(piece: str, begin: int, kind: str, out: list[Token]) -> None:
+    if kind == "run":
+        _split(piece, begin, "", out)
+    elif kind == "quoted":
+        mark, text = piece[0], piece[1:-1]
+        out.append(Token(mark, begin, "mark", ""))
+        if any(map(str.isspace, text)):
+            inner = lex(text)
+            prose = any(t.text.lower() in _GLUE for t in inner)
+            for n, t in enumerate(inner):
+                t.begin += begin + 1
+                t.inside, t.opens = t.inside or ("prose" if prose else "plain"), n == 0
+            out += inner
+        else:
+            _split(text, begin + 1, mark, out)
+        out.append(Token(mark, begin + len(piece) - 1, "mark", ""))
+    else:
+        out.append(Token(piece, begin, kind, ""))
+
+
 @lru_cache(maxsize=20_000)
 def _class(text: str) -> str:
     """What a word on the way to a value says about it."""
-    if STRONG.search(text):
-        return "strong"
+    if STRONG.search(text) and not _TOLD.search(text):
+        return "STRONG" if text.isupper() else "strong"
     if _HASH.search(text):
         return "hash"
     low = text.lower()
@@ -189,42 +207,53 @@ def _class(text: str) -> str:
     return "word" if text[:1].isalpha() else "none"
 
 
-def contexts(tokens: list[Token], before: str) -> Iterator[tuple]:
+def described(t: Token) -> tuple:
+    """All of a token that features look at, apart from its place."""
+    if t.kind == "mark" or t.kind == "op":
+        return t.text[:3], t.kind, t.opens
+    size = len(t.text)
+    if t.kind == "pem":
+        form = "pem_" + ("private" if "PRIVATE" in t.text else "other") + ("_end" if "END" in t.text[:9] else "")
+        here = _class(t.text)
+    elif size > _KEPT:
+        form, here = shape.__wrapped__(t.text), _class.__wrapped__(t.text)
+    else:
+        form, here = shape(t.text), _class(t.text)
+    length = "0" if size < 6 else "6" if size < 9 else "9" if size < 16 else "16" if size < 28 else "28" if size < 50 else "50"
+    return form, length, t.kind, bool(t.quote), here, t.inside, t.opens
+
+
+def contexts(described_tokens: list[tuple], before: str, begins: list[int] | None = None) -> Iterator[tuple]:
     """All that the features of each token depend on; ``before`` is the context that the line above
-    leaves open. What a name says of the line holds for ``_REACH`` characters."""
-    w1 = w2 = "none"
+    leaves open. What a name says of the line holds for ``_REACH`` characters (begins: where the
+    tokens begin; without it the line is taken to be shorter)."""
+    w1 = w2 = opener = "none"
     marks = ""
     strong = hashed = reader = weak = -1  # where the last of each holds to
     last_shape = "none"
     plus = False
     first = "first"
-    final = len(tokens) - 1
-    for n, t in enumerate(tokens):
-        text, kind = t.text, t.kind
-        if kind == "mark" or kind == "op":
-            yield text[:3], kind
-            marks = (marks + text[:3])[-3:]
-            plus = plus or text == "+"
+    final = len(described_tokens) - 1
+    for n, d in enumerate(described_tokens):
+        if d[-1]:
+            opener = f"{w1}{marks[-2:]}"
+        if len(d) == 3:
+            yield d[:2]
+            marks = (marks + d[0])[-3:]
+            plus = plus or d[0] == "+"
             continue
-        size = len(text)
-        if kind == "pem":
-            form = "pem_" + ("private" if "PRIVATE" in text else "other") + ("_end" if "END" in text[:9] else "")
-            here = _class(text)
-        elif size > _KEPT:
-            form, here = shape.__wrapped__(text), _class.__wrapped__(text)
-        else:
-            form, here = shape(text), _class(text)
-        length = "0" if size < 6 else "6" if size < 9 else "9" if size < 16 else "16" if size < 28 else "28" if size < 50 else "50"
-        at = t.begin
+        form, length, kind, quoted, here, inside, _ = d
+        at = begins[n] if begins is not None else 0
         near = "strong" if strong >= at else "hash" if hashed >= at else "no"
         plain = form in ("word", "dashed", "indexed")
+        follows = described_tokens[n + 1] if n < final else None
         yield (
-            form, length, kind, bool(t.quote), w1, w2, marks[-2:], near, reader >= at, before, first, last_shape, plus,
-            tokens[n + 1].text[:2] if n < final else "$", here if plain else form, weak >= at,
+            form, length, kind, quoted, w1, w2, marks[-2:], near, reader >= at, before, first, last_shape, plus,
+            "$" if follows is None else follows[0][:2] if len(follows) == 3 else "word", here if plain else form, weak >= at, inside, opener if inside else "",
         )
         w2, first = w1, "later"
         if (plain or form in ("host", "placeholder")) and kind in ("word", "name", "value", "user", "host"):
-            if here == "strong":
+            if here == "strong" or here == "STRONG":
                 strong = at + _REACH
             elif here == "hash":
                 hashed = at + _REACH
@@ -244,75 +273,97 @@ def spelled(context: tuple) -> list[str]:
     """The features of a token in its context."""
     if len(context) == 2:
         return [f"m={context[0]}", f"m|{context[1]}"]
-    kind, length, k, q, w1, w2, marks, near, reader, before, first, last_shape, plus, nxt, self, weak = context
-    return [
+    kind, length, k, q, w1, w2, marks, near, reader, before, first, last_shape, plus, nxt, self, weak, inside, opener = context
+    upper = w1 == "STRONG"
+    w1, w2, self = (("strong" if x == "STRONG" else x) for x in (w1, w2, self))
+    out = [
         "bias", f"s={kind}", f"s={kind}|{length}", f"k={k}", f"q={q}", f"w1={w1}", f"w1={w1}|s={kind}", f"w1={w1}|{marks}|s={kind}",
         f"w2={w2}|w1={w1}|s={kind}", f"near={near}|s={kind}", f"near={near}|reader={reader}|s={kind}", f"k={k}|s={kind}", f"k={k}|w1={w1}|s={kind}",
         f"pre={before}|{first}|s={kind}", f"pre={before}|{first}|q={q}", f"last={last_shape}|plus={plus}|s={kind}", f"next={nxt}|s={kind}",
         f"self={self}", f"weak={weak}|s={kind}", f"weak={weak}|w1={w1}|{marks}|s={kind}", f"k={k}|near={near}|s={kind}|{length}",
     ]
+    if inside:
+        out += [f"in={inside}", f"in={inside}|{opener}", f"in={inside}|{opener}|s={kind}", f"in={inside}|near={near}|s={kind}"]
+    if upper:
+        out += [f"up|{marks}|s={kind}|q={q}", f"up|{marks}|s={kind}|q={q}|{nxt}"]
+    return out
 
 
 @dataclass
 class Line:
-    """A line that may hold a secret."""
+    """A line with its tokens and what the lines above leave open."""
 
     number: int
     offset: int
     tokens: list[Token]
     before: str
 
+    @property
+    def contexts(self) -> Iterator[tuple]:
+        return contexts([described(t) for t in self.tokens], self.before, [t.begin for t in self.tokens])
+
     @property
     def features(self) -> list[list[str]]:
-        return [spelled(c) for c in contexts(self.tokens, self.before)]
+        return [spelled(c) for c in self.contexts]
+
 
+_NAMES = re.compile(r"[A-Za-z_][\w.\-]*")
+_LITERAL_END = re.compile(r"[\"'][A-Za-z0-9+/=]{30,}[\"']\s*[+,]?\s*$")
 
-def _context(line: str) -> str:
+
+@lru_cache(maxsize=50_000)
+def _tells(word: str) -> str:
+    return "strong" if STRONG.search(word) else "hash" if _HASH.search(word) else ""
+
+
+def left_open(line: str) -> str:
     """What a line leaves open for the next: the class of its last name, if it ends unfinished."""
-    if not _OPEN_END.search(line):
+    bare = line.rstrip()
+    if not bare or bare[-1] not in _OPEN_LAST or not _OPEN_END.search(bare, max(0, len(bare) - 3)):
         return "closed"
-    words = re.findall(r"[A-Za-z_][\w.\-]*", line)
-    for w in reversed(words):
-        if STRONG.search(w):
-            return "strong"
-        if _HASH.search(w):
-            return "hash"
-    return "literal" if re.search(r"[\"'][A-Za-z0-9+/=]{30,}[\"']\s*[+,]?\s*$", line) else "open"
-
-
-@lru_cache(maxsize=200_000)
-def _tells(piece: str) -> bool:
-    """Whether a piece of a line makes it worth labelling: by the features' own rules, a name or
-    scheme on the way to a secret, or a token with the shape of one."""
-    if "-----" in piece:
-        return True
-    if _LOWER.match(piece):  # one token, whose shape is dull
-        return _class.__wrapped__(piece) in _NAMED
-    return any(
-        t.kind in ("user", "pass") or shape.__wrapped__(t.text) not in _DULL or _class.__wrapped__(t.text) in _NAMED
-        for t in lex(piece) if t.kind not in ("mark", "op")
-    )
-
-
-def candidate_lines(text: str) -> list[Line]:
-    """The lines of ``text`` (split at LF) that may hold a secret: those with a piece that tells of
-    one and those that follow a line which such a piece leaves open."""
-    telling = {p for p in set(_PIECE.findall(text)) if (_tells(p) if len(p) <= _KEPT else _tells.__wrapped__(p))}
-    if not telling:
-        return []
-    out: list[Line] = []
-    offset, carried = 0, False
-    above, context = "", None  # the last line that is not blank
+    for word in reversed(_NAMES.findall(line)):
+        tells = _tells(word) if len(word) <= _KEPT else _tells.__wrapped__(word)
+        if tells:
+            return tells
+    return "literal" if _LITERAL_END.search(line) else "open"
+
+
+def all_lines(text: str) -> Iterator[tuple[int, int, str, str]]:
+    """(number, offset, line, what is left open above) of every line of ``text``, split at LF, that
+    is not blank."""
+    offset, before = 0, "closed"
     for n, line in enumerate(text.split("\n")):
         if line and not line.isspace():
-            before, context = context, None
-            if carried or not telling.isdisjoint(_PIECE.findall(line)):
-                if before is None:  # a line that tells nothing passes on what it names, not that it is open
-                    before = _context(above)
-                    before = "closed" if before == "open" else before
-                out.append(Line(n + 1, offset, lex(line), before))
-                context = _context(line)
-            carried = context in ("strong", "hash", "literal")
-            above = line
+            yield n + 1, offset, line, before
+            before = left_open(line)
         offset += len(line) + 1
-    return out
+
+
+def read_lines(text: str) -> Iterable[Line]:
+    return (Line(n, offset, lex(line), before) for n, offset, line, before in all_lines(text))
+
+
+class Forms(dict):
+    """Pieces of lines to a number for what the features see of them; pieces that look the same to
+    every feature share one. Emptied when it has grown to ``_PIECES_KEPT`` pieces."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.seen: list[list[tuple]] = []
+        self.known: dict[tuple, int] = {}
+
+    def __missing__(self, piece: str) -> int:
+        looks = tuple(described(t) for t in lex(piece))
+        number = self.known.get(looks)
+        if number is None:
+            number = self.known[looks] = len(self.seen)
+            self.seen.append(list(looks))
+        if len(piece) <= _KEPT and len(self) < _PIECES_KEPT:
+            self[piece] = number
+        return number
+
+    def of(self, line: str) -> tuple[int, ...]:
+        return tuple(map(self.__getitem__, _PIECES.findall(line)))
+
+    def tokens(self, numbers: tuple[int, ...]) -> list[tuple]:
+        return [d for k in numbers for d in self.seen[k]]

@@ -36,6 +36,9 @@ POSITIVE = [
     "The shared {W} login is svc-{W} / {S} until the rotation.", "The {W} login is admin / {S} for now.", "Log in as svc-{W} with `{S}`; the login changes weekly.",
     "Set `{N}={S}` before you start the {W}.", "{N}=$(printf '%s' '{S}')", "{X}", '{N} = "{X}"', 'String {N} = "{X}\\n{L}{L}\\n{E}";', 'const {N} = `\n{X}', '    "{N}": "{S}", // keep', "password: {S}  # {W}",
     '  "{N}": "{S}",\n  "{W}{n}": 712,', '  "headers": {{"X-Auth": "{S}"}},\n  "{W}{n}": 64,', '  "{N}": "{S}",\n  "{W}_{W}": "{W}",',
+    '{W}Client("{O}", "{D}");', '{W}Client("{O}", "{D}")', "For the {W} box use root, password {D}, and tell nobody.", 'connect(user="svc", password="{D}")',
+    '{N} = "{M}"', "{N} = '{M}'", '{N}: "{M}"', "{N}: '{M}'", '  "{N}": "{M}",', 'const {N} = "{M}";', 'String {N} = "{M}";', '{N} := "{M}"', 'connect(user="{W}", password="{M}")', '{NU}={Y}', 'export {NU}={Y}', 'ENV {NU}={Y}',
+    '{N} = "{Q}"', "{N} = '{Q}'", '{N}: "{Q}"', '  "{N}": "{Q}",', 'const {N} = "{Q}";',
 ]
 
 NEGATIVE = [
@@ -56,6 +59,10 @@ NEGATIVE = [
     '  "{N}": "{P}",\n  "{W}{n}": 345,', '  "{N}": "{P}",\n  "{W}_{W}": "{W}",',
     "def get_{W}_{W}_{n}(self):", "def set_{A_}_{W}_{n}(self, value):", "    return self.get_{W}_{W}_{n}() + {n}", "func get_{A_}_{W}_{n}(s string) {{", "# autogenerated file - do not modify by hand\ndef get_{A_}_{W}_{n}(self):",
     "{{name: get_{W}_{W}_{n}, size: {n}}}", "var {W}_{W}_{W}_{n} = run_{W}_{A_}_{n}({K})", "The {A_}-{W} {W} reads {W}-{W}-{A_} first.", "import {K} from '{W}-{W}-{A_}';",
+    'raise ValueError("the {N} is missing")', 'log.warn("{N} of the {W} is not set")', '{N}: "the {W} is required"', '  "{N}": "Enter the {W} of your {W}",', 'throw new Error("invalid {N} for {W}");', '{N} = "must be set by the {W}"',
+    'parser.add_argument("--{N}", help="the {W} of the {W}")', '{N}_label = "{W} {W}"', '{N}_prompt: "{W} {W}"', 'print("{W} {W} password {W}")', '{N} = input("{W} {W}: ")', '{N} = prompt("{W} {N}")', 'describe("{W} {N} {W}", () => {{',
+    '{N}["{W}"] = {W}.get("{W}", {n})', '{W}.put("{W}", {N}.getOrDefault("{W}", {n}));', '{N}.put("{W}", {n})', '{N}["{W}"] = {K}',
+    '{K} = "{W} {W} {A_}"', '"{W}": "{W} {A_} {W}",', "-- {N} {W} {W}", '{W}_opts={W}', 'export {K}={W}', 'MODE={W}', 'ENV {V_}={W}', 'assert {N} != "{W} {W}"',
 ]
 
 
@@ -102,6 +109,24 @@ def _secret(rng: random.Random) -> str:
     return _text(rng, _ALNUM, 9, 42)
 
 
+def _sparse(rng: random.Random) -> str:
+    """Letters with one or two digits or marks among them."""
+    out = list(_text(rng, string.ascii_letters, *rng.choice([(9, 14), (28, 36)])))
+    for _ in range(rng.randint(1, 2)):
+        out[rng.randrange(1, len(out))] = rng.choice("0123456789+-")
+    return "".join(out)
+
+
+def _phrase(rng: random.Random) -> str:
+    """Two to four words, at times with a digit or two at the end."""
+    return " ".join(rng.choice(_WORDS + _ADJECTIVES) for _ in range(rng.randint(2, 4))) + rng.choice(["", "", str(rng.randint(1, 99))])
+
+
+def _escaped(rng: random.Random) -> str:
+    """A value with a quote that is escaped in it."""
+    return _text(rng, _ALNUM, 3, 7) + "\\" + rng.choice("\"'") + _text(rng, _ALNUM, 4, 8)
+
+
 def _fill(template: str, rng: random.Random) -> tuple[str, list[tuple[int, int]]]:
     out, spans, at = "", [], 0
     pem = rng.choice(["RSA ", "EC ", "OPENSSH ", ""])
@@ -117,12 +142,13 @@ def _fill(template: str, rng: random.Random) -> tuple[str, list[tuple[int, int]]
                 "B": lambda: b64encode(b"svc:" + _text(rng, rng.choice([_ALNUM, string.ascii_letters]), 12, 16).encode()).decode(), "X": lambda: f"-----BEGIN {pem}PRIVATE KEY-----", "E": lambda: f"-----END {pem}PRIVATE KEY-----",
                 "P": lambda: rng.choice(_PLACEHOLDERS), "H": lambda: _text(rng, "0123456789abcdef", *rng.choice([(40, 40), (64, 64), (32, 32)])), "h": lambda: _text(rng, "0123456789abcdef", 8, 8),
                 "U": lambda: "-".join(_text(rng, "0123456789abcdef", k, k) for k in (8, 4, 4, 4, 12)), "R": lambda: f"{rng.choice(_WORDS)}-{rng.choice(_ADJECTIVES)}-reader",
-                "O": lambda: f"{rng.choice(_WORDS)}-{rng.randint(0, 19)}.{rng.choice(['example', 'test', 'invalid', 'internal.example'])}", "N": lambda: rng.choice(_NAMES), "J": lambda: rng.choice(_HASHY),
+                "O": lambda: f"{rng.choice(_WORDS)}-{rng.randint(0, 19)}.{rng.choice(['example', 'test', 'invalid', 'internal.example'])}", "N": lambda: rng.choice(_NAMES), "NU": lambda: rng.choice(_NAMES).replace(".", "_").upper(),
+                "D": lambda: _sparse(rng), "M": lambda: _phrase(rng), "Q": lambda: _escaped(rng), "Y": lambda: rng.choice(_WORDS) + rng.choice(["", rng.choice(_ADJECTIVES)]), "J": lambda: rng.choice(_HASHY),
                 "W": lambda: rng.choice(_WORDS), "A_": lambda: rng.choice(_ADJECTIVES), "C": lambda: rng.choice(_WORDS).capitalize(), "V": lambda: _text(rng, string.ascii_lowercase, 7, 7), "V_": lambda: rng.choice(_WORDS).upper() + rng.choice(_ADJECTIVES).upper(),
                 "K": lambda: rng.choice([rng.choice(_ADJECTIVES) + rng.choice(_WORDS).capitalize() + rng.choice(_WORDS).capitalize(), f"{rng.choice(_WORDS)}_{rng.choice(_WORDS)}", rng.choice(_WORDS)]),
                 "n": lambda: str(rng.randint(0, 40)), "d": lambda: str(rng.randint(1, 9)),
             }[key]()
-            secret = key in ("S", "T", "A", "B", "X", "E") or (key == "L" and "BEGIN PUBLIC" not in template and "base64" not in template and '"{L}{L}"' not in template)
+            secret = key in ("S", "T", "A", "B", "X", "E", "D", "M", "Q", "Y") or (key == "L" and "BEGIN PUBLIC" not in template and "base64" not in template and '"{L}{L}"' not in template)
             if secret:
                 spans.append((len(out), len(out) + len(value)))
             out += value
@@ -131,14 +157,14 @@ def _fill(template: str, rng: random.Random) -> tuple[str, list[tuple[int, int]]
     return out, spans
 
 
-def labelled_texts() -> list[tuple[str, list[tuple[int, int]]]]:
+def labelled_texts(positive: list[str] = POSITIVE, negative: list[str] = NEGATIVE) -> list[tuple[str, list[tuple[int, int]]]]:
     """(text, spans of secret characters); neighbouring lines come in one text."""
     rng = random.Random(SEED)
     out = []
     for _ in range(REPEATS):
-        for template in POSITIVE:
+        for template in positive:
             out.append(_fill(template, rng))
-        for template in NEGATIVE:
+        for template in negative:
             text, _spans = _fill(template, rng)
             out.append((text, []))
     return out

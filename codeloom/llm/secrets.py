@@ -10,21 +10,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from codeloom.llm.crf import Crf, train
-from codeloom.llm.secret_lines import Line, candidate_lines, contexts, spelled
+from codeloom.llm.secret_lines import _REACH, Forms, all_lines, contexts, described, lex, read_lines, spelled
 from codeloom.llm.secret_training import labelled_texts
 
 _PEM_END = re.compile(r"-----END [A-Z0-9 ]+-----")
 _CONTINUES = re.compile(r"[+\\]\s*$")
-#: Contexts of tokens whose scores are kept; beyond, they are worked out anew.
-_MEMO = 100_000
+#: Contexts of tokens, and lines as the features see them, whose results are kept; beyond, they are
+#: worked out anew.
+_MEMO = 200_000
 
 
 @lru_cache(maxsize=1)
 def secret_model() -> Crf:
     """The model fitted on the labelled lines; the same in every process that fits it."""
+    return fit(labelled_texts())
+
+
+def fit(texts: list[tuple[str, list[tuple[int, int]]]]) -> Crf:
+    """A model of (text, spans of secret characters)."""
     sequences, labels = [], []
-    for text, spans in labelled_texts():
-        for line in candidate_lines(text):
+    for text, spans in texts:
+        for line in read_lines(text):
             if not line.tokens:
                 continue
             sequences.append(line.features)
@@ -37,33 +43,59 @@ def secret_model() -> Crf:
     return train(sequences, labels)
 
 
-def _labels(line: Line, model: Crf, memo: dict) -> list[int]:
-    scores = []
-    for context in contexts(line.tokens, line.before):
-        score = memo.get(context)
-        if score is None:
-            score = model.score(spelled(context))
-            if len(memo) < _MEMO:
-                memo[context] = score
-        scores.append(score)
-    return model.path(scores)
-
-
-def secret_spans(text: str, model: Crf, memo: dict | None = None) -> list[tuple[int, int, int]]:
+class Labeller:
+    """The model with what it has worked out so far: lines that look the same to all features have
+    the same labels, so most lines are only looked up. Every line is labelled, whatever it holds."""
+
+    def __init__(self, model: Crf) -> None:
+        self.model, self.forms = model, Forms()
+        self.scores: dict[tuple, tuple[float, ...]] = {}
+        self.lines: dict[tuple, list[int] | None] = {}
+
+    def _path(self, tokens: list[tuple], before: str, begins: list[int] | None) -> list[int]:
+        out = []
+        for context in contexts(tokens, before, begins):
+            score = self.scores.get(context)
+            if score is None:
+                score = self.model.score(spelled(context))
+                if len(self.scores) < _MEMO:
+                    self.scores[context] = score
+            out.append(score)
+        return self.model.path(out)
+
+    def labels(self, line: str, before: str) -> list[int] | None:
+        """A label for each token of the line; None if none is a secret's."""
+        if len(line) >= _REACH:
+            tokens = lex(line)
+            got = self._path([described(t) for t in tokens], before, [t.begin for t in tokens])
+            return got if any(got) else None
+        numbers = self.forms.of(line)
+        key = (before, numbers)
+        if key in self.lines:
+            return self.lines[key]
+        got = self._path(self.forms.tokens(numbers), before, None)
+        result = got if any(got) else None
+        if len(self.lines) < _MEMO:
+            self.lines[key] = result
+        return result
+
+
+def secret_spans(text: str, model: Crf | Labeller) -> list[tuple[int, int, int]]:
     """(line number, begin, end) of the literal characters of every secret in ``text``.
 
     A private key runs from the line after its BEGIN mark to its END mark, and its place is the
     line of the mark. The later parts of a literal that is joined over lines have no place of
-    their own; the line number is then that of the first part. memo keeps
-    the scores of contexts for further texts under the same model.
+    their own; the line number is then that of the first part.
     """
-    memo = {} if memo is None else memo
+    labeller = model if isinstance(model, Labeller) else Labeller(model)
     out: list[tuple[int, int, int]] = []
     closed_at = -1
-    for line in candidate_lines(text):
-        labels = _labels(line, model, memo)
-        for token, label in zip(line.tokens, labels, strict=True):
-            begin = line.offset + token.begin
+    for line_no, offset, line, before in all_lines(text):
+        labels = labeller.labels(line, before)
+        if labels is None:
+            continue
+        for token, label in zip(lex(line), labels, strict=True):
+            begin = offset + token.begin
             if not label or begin < closed_at:
                 continue
             if token.kind == "pem":
@@ -71,10 +103,10 @@ def secret_spans(text: str, model: Crf, memo: dict | None = None) -> list[tuple[
                     continue
                 end = _PEM_END.search(text, begin)
                 stop = end.start() if end else len(text)
-                out.append((line.number, begin + len(token.text), stop))
+                out.append((line_no, begin + len(token.text), stop))
                 closed_at = end.end() if end else len(text)
                 continue
-            number = line.number
+            number = line_no
             if out and out[-1][0] < number and _CONTINUES.search(text[out[-1][2] : begin].split("\n")[0].strip("\"'` ")) and text.count("\n", out[-1][2], begin) == 1:
                 number = out[-1][0]
             out.append((number, begin, begin + len(token.text)))
@@ -92,39 +124,33 @@ def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def find_secrets(chunks: DataFrame) -> DataFrame:
-    """chunk, updated_at, line_no, begin, end, redacted for every secret of every row.
+def find_secrets(chunks: DataFrame, with_text: bool = True) -> DataFrame:
+    """chunk, updated_at, places, redacted: a row for every row that holds a secret.
 
-    chunks: chunk, updated_at, content. line_no counts from 1 within the content, split at LF;
-    begin and end are offsets of the literal characters; redacted is the whole content with all
-    its secrets masked. Null and empty contents give no rows.
+    chunks: chunk, updated_at, content. places are line_no (from 1 within the content, split at
+    LF), begin and end (offsets of the literal characters); redacted is the whole content with all
+    its secrets masked (null without ``with_text``). Null and empty contents give no rows.
     """
     shared = chunks.sparkSession.sparkContext.broadcast(secret_model())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, memo = shared.value, {}
+        labeller = Labeller(shared.value)
+        place = pa.struct([("line_no", pa.int32()), ("begin", pa.int32()), ("end", pa.int32())])
         for batch in batches:
             row, places, clean = [], [], []
             for n, text in enumerate(batch.column("content").to_pylist()):
-                spans = secret_spans(text, model, memo) if text else []
+                spans = secret_spans(text, labeller) if text else []
                 if spans:
-                    redacted = masked(text, spans)
-                    for span in spans:
-                        row.append(n)
-                        places.append(span)
-                        clean.append(redacted)
+                    row.append(n)
+                    places.append([dict(zip(("line_no", "begin", "end"), s, strict=True)) for s in spans])
+                    clean.append(masked(text, spans) if with_text else None)
             take = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("chunk").take(take),
-                    batch.column("updated_at").take(take),
-                    *[pa.array([p[k] for p in places], pa.int32()) for k in range(3)],
-                    pa.array(clean, pa.string()),
-                ],
-                names=["chunk", "updated_at", "line_no", "begin", "end", "redacted"],
+                [batch.column("chunk").take(take), batch.column("updated_at").take(take), pa.array(places, pa.list_(place)), pa.array(clean, pa.string())],
+                names=["chunk", "updated_at", "places", "redacted"],
             )
 
     kinds = {f.name: f.dataType.simpleString() for f in chunks.schema}
     return chunks.select("chunk", "updated_at", "content").mapInArrow(
-        run, f"chunk {kinds['chunk']}, updated_at {kinds['updated_at']}, line_no int, begin int, end int, redacted string"
+        run, f"chunk {kinds['chunk']}, updated_at {kinds['updated_at']}, places array<struct<line_no:int,begin:int,end:int>>, redacted string"
     )
