@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,7 +16,12 @@ from codeloom.operators.common import keep_latest
 KINDS = ("function", "method", "constructor")
 
 _PYTHON = r"""
+source    <- unit? (leap / later / skip)*
+leap      <- ~"(?:(?![ \t]*(?:#|@|async\b|def\b)|[^\n]*(?:\"\"\"|'''))[^\n]*(?:\n|\Z))+"
+skip      <- ~"[^\n\"'#]*" (triple / ~"[^\n]*(?:\n|\Z)")
+triple    <- ~"\"\"\"(?:[^\"\\]|\\.|\"(?!\"\"))*\"\"\"" / ~"'''(?:[^'\\]|\\.|'(?!''))*'''"
 unit      <- lead* decl doc?
+later     <- lead* decl doc?
 lead      <- blank / line / marker
 blank     <- ~"[ \t]*\r?\n"
 line      <- ~"[ \t]*#[^\n]*(?:\n|\Z)"
@@ -27,54 +33,92 @@ doc       <- (blank / line)* ~"[ \t]*" string
 string    <- ~"[rRuU]?\"\"\"(?:[^\"\\]|\\.|\"(?!\"\"))*\"\"\"" / ~"[rRuU]?'''(?:[^'\\]|\\.|'(?!''))*'''" / ~"[rRuU]?\"(?:[^\"\\\n]|\\.)*\"" / ~"[rRuU]?'(?:[^'\\\n]|\\.)*'"
 """
 
+#: What the languages with braces share: the first unit may be cut off, later ones are read with
+#: their parameters up to the body, as calls look like them.
+_BRACES = r"""
+source    <- unit? (leap / later / block / skip)*
+leap      <- ~"(?:(?![ \t]*(?:/\*|//|@|#\[)|[^\n(]*=>)[^\n(]*(?:\n|\Z))+"
+skip      <- ~"[^\n]*(?:\n|\Z)"
+unit      <- lead* decl
+later     <- lead* strict
+"""
 _SLASH_LEADS = r"""
 lead      <- blank / block / line / marker
 blank     <- ~"[ \t]*\r?\n"
 block     <- ~"[ \t]*/\*.*?\*/[ \t]*(?:\r?\n)?"
 line      <- ~"[ \t]*//[^\n]*(?:\n|\Z)"
-marker    <- ~"[ \t]*@(?!interface\b)[\w.$]+[ \t]*" args? ~"[ \t]*(?:\r?\n)?"
+marker    <- ~"[ \t]*@(?!interface\b)[\w.$]+[ \t]*" args? ~"[ \t]*(?:\r?\n)?" / ~"[ \t]*#\[[^\n]*\][ \t]*(?:\r?\n)?"
 args      <- '(' (args / quoted / ~"[^()\"']+")* ')'
 quoted    <- ~"\"(?:[^\"\\\n]|\\.)*\"" / ~"'(?:[^'\\\n]|\\.)*'"
 """
 
 _JAVA = (
-    r"""
-unit      <- lead* decl
-decl      <- ~"[ \t]*" ~"(?:(?:public|protected|private|static|final|abstract|synchronized|native|default|strictfp)\s+)*" !other ~"(?:<[^<>]*>\s*)?" (name &open / type ~"\s+" name &open)
-other     <- ~"(?:class|interface|enum|record|return|new|if|for|while|switch|throw|else|import|package|var)\b"
-type      <- ~"[\w.$]+(?:\s*<[^()]*?>)?(?:\s*\[\s*\])*(?=\s+[\w$]+\s*\()"
-name      <- ~"[^\W\d][\w$]*"
+    _BRACES
+    + r"""
+decl      <- ~"[ \t]*" modifiers !other ~"(?:<[^<>]*>\s*)?" (name &open / type ~"[\s*&]+" name &open)
+strict    <- ~"[ \t]*" modifiers !other ~"(?:<[^<>]*>\s*)?" (type ~"[\s*&]+" name ~"\s*" args ends / name args ~"\s*(?:throws\s[^{;=()]*)?\{")
+ends      <- ~"\s*(?:(?:throws\s|where\s|const\b|noexcept\b|override\b)[^{;=()]*)*[{;]"
+modifiers <- ~"(?:(?:public|protected|private|internal|static|final|abstract|synchronized|native|default|strictfp|virtual|override|sealed|async|extern|inline|constexpr|explicit|unsafe|const|unsigned)\s+)*"
+other     <- ~"(?:class|interface|enum|record|struct|namespace|using|return|new|if|for|while|switch|throw|else|import|package|var|catch|delete|case|do|try)\b"
+type      <- ~"[\w.$:]+(?:\s*<[^()]*?>)?(?:\s*\[\s*\])*(?=[\s*&]+[\w$:~]+\s*\()"
+name      <- ~"[^\W\d][\w$]*(?:::~?\w+)*"
 open      <- ~"\s*\("
 """
     + _SLASH_LEADS
 )
 
 _SCRIPT = (
-    r"""
-unit      <- lead* decl
-decl      <- ~"[ \t]*" ~"(?:(?:export|default|declare|public|protected|private|static|readonly|abstract|override|async)\s+)*" (function / value / method)
+    _BRACES
+    + r"""
+decl      <- ~"[ \t]*" modifiers (function / value / method)
+strict    <- ~"[ \t]*" modifiers (function / value / method_all)
+modifiers <- ~"(?:(?:export|default|declare|public|protected|private|static|readonly|abstract|override|async)\s+)*"
 function  <- ~"function\s*\*?\s*" name ~"\s*[<(]"
 value     <- ~"(?:const|let|var)\s+" name ~"\s*(?::[^=\n]*)?=\s*(?:async\s*)?(?:function\b|\(|[\w$]+\s*=>)"
 method    <- !other ~"(?:(?:get|set)\s+)?\*?\s*" name ~"\s*(?:<[^()\n]*>)?\("
-other     <- ~"(?:class|interface|enum|type|namespace|return|new|if|for|while|switch|throw|else|import|await|do|case|typeof)\b"
+method_all <- !other ~"(?:(?:get|set)\s+)?\*?\s*" name ~"\s*(?:<[^()\n]*>)?" args ~"\s*(?::[^{}=;\n]*)?\{"
+other     <- ~"(?:class|interface|enum|type|namespace|return|new|if|for|while|switch|throw|else|import|await|do|case|typeof|catch|with|super)\b"
 name      <- ~"#?[^\W\d][\w$]*"
 """
     + _SLASH_LEADS
 )
 
-_GO = (
-    r"""
+
+def _keyed(before: str, after: str) -> str:
+    """A grammar of a language whose declarations have a keyword."""
+    return _BRACES + f"""
+decl      <- ~"[ \\t]*{before}" name ~"{after}"
+strict    <- decl
+name      <- ~"[^\\W\\d]\\w*[!?]?"
+""" + _SLASH_LEADS
+
+
+_RUBY = r"""
+source    <- unit? (leap / later / skip)*
+leap      <- ~"(?:(?![ \t]*(?:#|def\b|private\b|public\b|protected\b))[^\n]*(?:\n|\Z))+"
+skip      <- ~"[^\n]*(?:\n|\Z)"
 unit      <- lead* decl
-decl      <- ~"[ \t]*func\s*(?:\([^()]*\)\s*)?" name ~"\s*[\[(]"
-name      <- ~"[^\W\d]\w*"
+later     <- lead* decl
+lead      <- blank / line
+blank     <- ~"[ \t]*\r?\n"
+line      <- ~"[ \t]*#[^\n]*(?:\n|\Z)"
+decl      <- ~"[ \t]*(?:(?:private|public|protected)[ \t]+)?def[ \t]+(?:self\.)?" name
+name      <- ~"[^\W\d]\w*[!?=]?"
 """
-    + _SLASH_LEADS
-)
 
-GRAMMARS = {
-    "python": Grammar(_PYTHON), "java": Grammar(_JAVA), "javascript": Grammar(_SCRIPT), "typescript": Grammar(_SCRIPT), "go": Grammar(_GO),
+_TEXTS = {
+    "python": _PYTHON, "java": _JAVA, "csharp": _JAVA, "cpp": _JAVA, "c": _JAVA, "javascript": _SCRIPT, "typescript": _SCRIPT, "ruby": _RUBY,
+    "go": _keyed(r"func\s*(?:\([^()]*\)\s*)?", r"\s*[\[(]"),
+    "kotlin": _keyed(r"(?:(?:public|private|protected|internal|open|override|suspend|inline|abstract|final|operator|infix|tailrec)\s+)*fun\s+(?:<[^>\n]*>\s*)?(?:[\w<>?.]+\.)?", r"\s*\("),
+    "rust": _keyed(r"(?:pub(?:\([^)]*\))?\s+)?(?:(?:const|async|unsafe|default|extern)\s+)*fn\s+", r"\s*[<(]"),
+    "swift": _keyed(r"(?:(?:public|private|internal|fileprivate|open|static|class|override|mutating|final)\s+)*func\s+", r"\s*[<(]"),
+    "scala": _keyed(r"(?:(?:private|protected|override|final|implicit|inline|abstract)(?:\[\w+\])?\s+)*def\s+", r"\s*[\[(:=]"),
+    "php": _keyed(r"(?:(?:public|private|protected|static|final|abstract)\s+)*function\s+&?\s*", r"\s*\("),
+}
+EXTENSIONS = {
+    "py": "python", "java": "java", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "go": "go", "golang": "go", "kt": "kotlin", "kts": "kotlin",
+    "rs": "rust", "swift": "swift", "scala": "scala", "php": "php", "rb": "ruby", "cs": "csharp", "c#": "csharp", "cpp": "cpp", "c++": "cpp", "cc": "cpp", "cxx": "cpp", "hpp": "cpp", "h": "c", "c": "c",
 }
-EXTENSIONS = {"py": "python", "java": "java", "js": "javascript", "mjs": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "go": "go"}
 
 #: Documentation that says nothing, in lower case and without marks.
 PLACEHOLDERS = frozenset(
@@ -163,31 +207,57 @@ def is_informative(lines: list[str], name: str, owner: str = "") -> bool:
     return any(w not in own and w.removesuffix("s") not in own for w in {x.lower() for line in said for x in re.findall(r"[^\W_]+", _CAMEL.sub(" ", line))})
 
 
-def parse_unit(text: str, language: str) -> tuple[str, int, list[str], int, int] | None:
-    """(name, offset of the declaration, bare documentation, its begin and end offsets) of the
-    function that ``text`` declares first, or None if it declares none first."""
-    grammar = GRAMMARS.get(language)
-    tree = grammar.parse(text) if grammar else None
-    decl = tree.find("decl") if tree else None
+@dataclass(frozen=True)
+class Unit:
+    """A function as its grammar's action emits it: the documentation is bare, offsets are the text's."""
+
+    name: str
+    declared: int
+    lines: tuple[str, ...]
+    doc_begin: int
+    doc_end: int
+    begin: int
+
+
+def _emit(text: str, node: Node) -> Unit | None:
+    """The action of ``unit`` and ``later``: the declaration's name with the comments that lead to it
+    and the docstring that follows."""
+    decl = node.find("decl", "strict")
     name = decl.find("name") if decl else None
-    if tree is None or decl is None or name is None:
+    if decl is None or name is None:
         return None
-    spans: list[Node] = [n for lead in tree.parts("lead") for n in lead.children if n.rule in ("line", "block")]
-    inner = tree.parts("doc")
-    text_node = inner[0].find("string") if inner else None
-    if text_node is not None:
-        spans.append(text_node)
-    lines: list[str] = []
-    for node in spans:
-        lines += bare_documentation(re.sub(r"^[rRuU](?=[\"'])", "", text[node.begin : node.end].strip()).strip("\"'") if node is text_node else text[node.begin : node.end])
+    spans = [n for lead in node.parts("lead") for n in lead.children if n.rule in ("line", "block")]
+    lines = [x for n in spans for x in bare_documentation(text[n.begin : n.end])]
+    inner = node.parts("doc")
+    string = inner[0].find("string") if inner else None
+    if string is not None:
+        spans.append(string)
+        lines += bare_documentation(re.sub(r"^[rRuU](?=[\"'])", "", text[string.begin : string.end].strip()).strip("\"'"))
     begin = spans[0].begin if spans else decl.begin
-    end = max((n.end for n in spans), default=decl.begin)
-    return text[name.begin : name.end], decl.begin, lines, begin, end
+    return Unit(text[name.begin : name.end], decl.begin, tuple(lines), begin, max((n.end for n in spans), default=decl.begin), node.begin)
 
 
-_UNIT_SCHEMA = (
-    "chunk long, updated_at timestamp, fqn string, file_path string, decl_line int, name string, documentation string, informative boolean, doc_begin int, doc_end int, code string"
-)
+GRAMMARS = {language: Grammar(text, {"unit": _emit, "later": _emit}) for language, text in _TEXTS.items()}
+
+
+def parse_units(text: str, language: str) -> list[Unit]:
+    """Every function that ``text`` declares, in order."""
+    grammar = GRAMMARS.get(language)
+    tree = grammar.parse(text) if grammar and text else None
+    return [n.value for n in tree.children if n.value is not None] if tree else []
+
+
+def parse_unit(text: str, language: str) -> tuple[str, int, list[str], int, int] | None:
+    """(name, offset of the declaration, bare documentation, its begin and end offsets) of the
+    function that ``text`` begins with, or None if it begins with something else."""
+    units = parse_units(text, language)
+    if not units or units[0].begin > 0:
+        return None
+    u = units[0]
+    return u.name, u.declared, list(u.lines), u.doc_begin, u.doc_end
+
+
+_UNIT_SCHEMA = "chunk long, updated_at timestamp, key string, own boolean, name string, documentation string, informative boolean, doc_begin int, doc_end int, code string"
 
 
 def _language(language: str | None, path: str | None) -> str:
@@ -197,31 +267,41 @@ def _language(language: str | None, path: str | None) -> str:
     return EXTENSIONS.get((path or "").rpartition(".")[2].lower(), "")
 
 
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        at, cols = [], ([], [], [], [], [], [], [])
-        paths, langs, fqns = (batch.column(c).to_pylist() for c in ("file_path", "language", "fqn"))
-        starts, texts = batch.column("line_start").to_pylist(), batch.column("content").to_pylist()
-        for n, text in enumerate(texts):
-            unit = parse_unit(text, _language(langs[n], paths[n])) if text else None
-            if unit is None:
-                if fqns[n] is None:
-                    continue
-                unit = ("", 0, [], 0, 0)  # a chunk of a symbol whose documentation may stand in the docstring
-            name, decl, lines, begin, end = unit
-            at.append(n)
-            row = ((starts[n] or 1) + text.count("\n", 0, decl) if text else None, name, "\n".join(lines), is_informative(lines, name, _owner(fqns[n])), begin, end, text)
-            for c, v in zip(cols, row, strict=True):
-                c.append(v)
-        take = pa.array(at, pa.int64())
-        kinds = (pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.int32(), pa.int32(), pa.string())
-        yield pa.RecordBatch.from_arrays(
-            [
-                *[batch.column(c).take(take) for c in ("chunk", "updated_at", "fqn", "file_path")],
-                *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)],
-            ],
-            names=["chunk", "updated_at", "fqn", "file_path", "decl_line", "name", "documentation", "informative", "doc_begin", "doc_end", "code"],
-        )
+def _line_key(path: str | None, line: int | None, name: str | None) -> str:
+    return f"l{path}\0{line}\0{name}"
+
+
+def _units(with_code: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.string(), pa.bool_(), pa.string(), pa.string(), pa.bool_(), pa.int32(), pa.int32(), pa.string())
+        for batch in batches:
+            at, rows = [], []
+            paths, langs, fqns = (batch.column(c).to_pylist() for c in ("file_path", "language", "fqn"))
+            starts, texts = batch.column("line_start").to_pylist(), batch.column("content").to_pylist()
+            for n, text in enumerate(texts):
+                text = text or ""
+                units = parse_units(text, _language(langs[n], paths[n]))
+                first = units[0] if units and units[0].begin == 0 else None
+                if fqns[n] is not None and first is None:
+                    # a chunk of a symbol whose documentation may stand in the docstring
+                    at.append(n)
+                    rows.append((f"f{fqns[n]}", True, "", "", False, 0, 0, text if with_code else None))
+                ends = [u.begin for u in units[1:]] + [len(text)]
+                for u, end in zip(units, ends):
+                    own = u is first
+                    line = (starts[n] or 1) + text.count("\n", 0, u.declared)
+                    key = f"f{fqns[n]}" if own and fqns[n] is not None else _line_key(paths[n], line, u.name)
+                    at.append(n)
+                    code = (text if own else text[u.begin : end]) if with_code else None
+                    rows.append((key, own, u.name, "\n".join(u.lines), is_informative(list(u.lines), u.name, _owner(fqns[n])), u.doc_begin, u.doc_end, code))
+            take = pa.array(at, pa.int64())
+            cols = list(zip(*rows, strict=True)) if rows else [[] for _ in kinds]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("chunk").take(take), batch.column("updated_at").take(take), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]],
+                names=["chunk", "updated_at", "key", "own", "name", "documentation", "informative", "doc_begin", "doc_end", "code"],
+            )
+
+    return run
 
 
 def _owner(fqn: str | None) -> str:
@@ -247,19 +327,25 @@ def _symbol_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def documented_functions(symbols: DataFrame, chunks: DataFrame) -> DataFrame:
-    """symbol, chunk, kind, documentation, doc_begin, doc_end, code for every documented function.
+def documented_functions(symbols: DataFrame, chunks: DataFrame, with_code: bool = True) -> DataFrame:
+    """symbol, chunk, kind, name, own, documentation, doc_begin, doc_end, code for every documented function.
+
+    Every function that a chunk declares is taken. A chunk is a symbol's own if it has its fqn, or,
+    where its fqn is null, if the declaration that it begins with stands on the symbol's line under
+    its name; a function further inside is met by file, line and name as well, and symbol is null
+    where no symbol stands there. documentation is what the code says where that is informative,
+    else what the symbol states; functions without either are left out. doc_begin and doc_end are
+    offsets in the chunk's content (equal where the documentation stands in the symbol only). code
+    (null unless ``with_code``) is the whole chunk for its own function, else the text from the
+    function to the next. Of ids that come again the newest row holds. Null contents, names and
+    docstrings say nothing.
 
-    A chunk is a symbol's own if it has its fqn, or, where its fqn is null, if it lies in the same
-    file and the declaration that it begins with stands on the symbol's line under its name.
-    documentation is what the chunk says where that is informative, else what the symbol states;
-    symbols without either are left out. doc_begin and doc_end are offsets in the chunk's content
-    (equal where the documentation stands in the symbol only). Of ids that come again the newest
-    row holds. Null contents, names and docstrings say nothing.
+    Every chunk is parsed once, and chunks and symbols meet in one join: a chunk's function has
+    one key, its name or its place, and a symbol has both.
     """
     cols = ["id", "updated_at", "fqn", "file_path", "line_start", "language", "content"]
     code = chunks.where("content_type = 'code' and id is not null").select(*cols).withColumnRenamed("id", "chunk")
-    units = code.select("chunk", F.col("updated_at").cast("timestamp").alias("updated_at"), *cols[2:]).mapInArrow(_units, _UNIT_SCHEMA)
+    units = code.select("chunk", F.col("updated_at").cast("timestamp").alias("updated_at"), *cols[2:]).mapInArrow(_units(with_code), _UNIT_SCHEMA)
     own = symbols.where(F.col("kind").isin(*KINDS) & F.col("id").isNotNull()).select(
         F.col("id").alias("symbol"), F.col("updated_at").cast("timestamp").alias("updated_at"), F.col("fqn").alias("sfqn"), "kind",
         F.col("file_path").alias("sfile"), F.col("line_start").alias("sline"), F.col("name").alias("sname"), "docstring",
@@ -267,10 +353,9 @@ def documented_functions(symbols: DataFrame, chunks: DataFrame) -> DataFrame:
     named = own.mapInArrow(_symbol_docs, _SYMBOL_SCHEMA)
     units = keep_latest(units, chunks.select(F.col("id").alias("chunk"), F.col("updated_at").cast("timestamp").alias("updated_at")), "chunk")
     named = keep_latest(named, symbols.select(F.col("id").alias("symbol"), F.col("updated_at").cast("timestamp").alias("updated_at")), "symbol")
-    by_name = units.where("fqn is not null").join(named, F.col("fqn") == F.col("sfqn"))
-    by_line = units.where("fqn is null").join(
-        named, (F.col("file_path") == F.col("sfile")) & (F.col("decl_line") == F.col("sline")) & (F.col("name") == F.col("sname"))
-    )
-    both = by_name.unionByName(by_line).where("informative or stated_informative")
+    place = F.concat(F.lit("l"), "sfile", F.lit("\0"), F.col("sline").cast("string"), F.lit("\0"), "sname")
+    keys = F.array_compact(F.array(F.concat(F.lit("f"), "sfqn"), place))
+    keyed = named.select("symbol", "kind", "stated", "stated_informative", F.explode(keys).alias("k"))
+    both = units.join(keyed, F.col("key") == F.col("k"), "left").where("informative or (own and stated_informative)").where("symbol is not null or key like 'l%'")
     said = F.when(F.col("informative"), F.col("documentation")).otherwise(F.col("stated"))
-    return both.select("symbol", "chunk", "kind", said.alias("documentation"), "doc_begin", "doc_end", "code")
+    return both.select("symbol", "chunk", "kind", "name", "own", said.alias("documentation"), "doc_begin", "doc_end", "code")

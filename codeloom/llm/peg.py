@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from typing import Any
 
 _TOKEN = re.compile(
     r"""\s*(?:(?P<define>\w+)\s*<-|(?P<regex>~"(?:[^"\\]|\\.)*")|(?P<literal>'(?:[^'\\]|\\.)*')|(?P<name>\w+)|(?P<op>[/()*+?&!]))"""
@@ -13,12 +14,13 @@ _TOKEN = re.compile(
 
 @dataclass(frozen=True)
 class Node:
-    """A rule that matched text[begin:end]."""
+    """A rule that matched text[begin:end]; value is what the rule's action made of it."""
 
     rule: str
     begin: int
     end: int
     children: tuple[Node, ...] = field(default=())
+    value: Any = None
 
     def find(self, *rules: str) -> Node | None:
         """The first node of one of the rules, in reading order."""
@@ -36,6 +38,8 @@ class Node:
 
 
 #: A matcher gives (end, nodes) or None; the memo holds every rule's result by position.
+#: An action is called with the text and the node of its rule when the rule has matched.
+Action = Callable[[str, Node], Any]
 Matcher = Callable[[str, int, dict], "tuple[int, tuple[Node, ...]] | None"]
 
 
@@ -47,7 +51,8 @@ class Grammar:
     Every rule is tried at most once per position, so parsing takes time linear in the text.
     """
 
-    def __init__(self, text: str) -> None:
+    def __init__(self, text: str, actions: dict[str, Action] | None = None) -> None:
+        self._actions = actions or {}
         self._tokens = [m for m in _TOKEN.finditer(text.strip())]
         self._at = 0
         self._rules: dict[str, Matcher] = {}
@@ -163,15 +168,21 @@ class Grammar:
         name = self._take("name")
         return lambda text, pos, memo: self._rules[name](text, pos, memo)
 
-    @staticmethod
-    def _memoised(name: str, inner: Matcher) -> Matcher:
+    def _memoised(self, name: str, inner: Matcher) -> Matcher:
+        action = self._actions.get(name)
+
         def match(text: str, pos: int, memo: dict):
             key = (name, pos)
             if key in memo:
                 return memo[key]
             memo[key] = None  # left recursion fails instead of looping
             got = inner(text, pos, memo)
-            memo[key] = result = None if got is None else (got[0], (Node(name, pos, got[0], got[1]),))
+            if got is None:
+                return None
+            node = Node(name, pos, got[0], got[1])
+            if action is not None:
+                node = Node(name, pos, got[0], got[1], action(text, node))
+            memo[key] = result = (got[0], (node,))
             return result
 
         return match

@@ -38,13 +38,17 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return file_origins(load(spark, sf_dir, "code_chunks")).where("origin is not null").select("file_path").distinct()
 
 
-def p2_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = documented_functions(load(spark, sf_dir, "symbols"), load(spark, sf_dir, "code_chunks"))
+def _documented(spark: SparkSession, sf_dir: str, with_code: bool) -> DataFrame:
+    pairs = documented_functions(load(spark, sf_dir, "symbols"), load(spark, sf_dir, "code_chunks"), with_code)
     return pairs.withColumnsRenamed({"symbol": "symbol_id", "chunk": "chunk_id"})
 
 
+def p2_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documented(spark, sf_dir, True)
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p2_pairs(spark, sf_dir).select("symbol_id", "chunk_id").distinct()
+    return _documented(spark, sf_dir, False).where("own and symbol_id is not null").select("symbol_id", "chunk_id").distinct()
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@ from datetime import datetime
 
 import pytest
 
-from codeloom.llm.docs import bare_documentation, documented_functions, is_informative, parse_unit
+from codeloom.llm.docs import bare_documentation, documented_functions, is_informative, parse_unit, parse_units
 from codeloom.llm.peg import Grammar
 
 
@@ -39,6 +39,30 @@ def test_units_of_every_language(language):
     assert parse_unit("class X {}\n", language) is None and parse_unit("", language) is None
 
 
+FILES = {
+    "python": ('"""Tool."""\nimport os\nX = """\ndef not_one():\n    pass\n"""\n\n# Adds two numbers.\ndef add(a, b):\n    return a + b\n\nclass K:\n    def get(self):\n        """Gets the row."""\n        def inner():\n            return foo(1)\n',
+               [("add", ["Adds two numbers."]), ("get", ["Gets the row."]), ("inner", [])]),
+    "java": ("class A {\n  private int size = of(3);\n  /** Reads the rows. */\n  public int read(String x) throws E {\n    if (x == null) {\n      return call(x);\n    }\n    call(x);\n  }\n  // Makes it.\n  A(int n) {\n  }\n  int last();\n}\n",
+             [("read", ["Reads the rows."]), ("A", ["Makes it."]), ("last", [])]),
+    "typescript": ("export class A {\n  /** Opens the store. */\n  async open(path: string): Promise<void> {\n    if (path) {\n      describe('x', () => {\n        run(path);\n      });\n    }\n  }\n}\n// Doubles a value.\nexport const twice = x => x * 2;\n",
+                   [("open", ["Opens the store."]), ("twice", ["Doubles a value."])]),
+    "go": ("package x\n\n// Walk visits every node.\nfunc (s *S) Walk() {\n  go func() { }()\n}\n", [("Walk", ["Walk visits every node."])]),
+    "kotlin": ("class A {\n  /** Reads the rows. */\n  override fun read(x: Int): Int = x\n}\n", [("read", ["Reads the rows."])]),
+    "rust": ("use x;\n/// Reads the rows.\n#[inline]\npub fn read(x: u8) -> u8 { x }\n", [("read", ["Reads the rows."])]),
+    "php": ("<?php\n/** Reads the rows. */\npublic static function read($x) {\n}\n", [("read", ["Reads the rows."])]),
+    "c": ("#include <x.h>\n/* Reads the rows. */\nstatic int *read(const char *x) {\n  return f(x);\n}\n", [("read", ["Reads the rows."])]),
+    "ruby": ("class A\n  # Reads the rows.\n  def read!(x)\n  end\nend\n", [("read!", ["Reads the rows."])]),
+}
+
+
+@pytest.mark.parametrize("language", list(FILES))
+def test_every_function_of_a_file(language):
+    text, want = FILES[language]
+    got = parse_units(text, language)
+    assert [(u.name, list(u.lines)) for u in got] == want
+    assert all(text[u.declared :].lstrip().split("(")[0].split()[0] for u in got)
+
+
 @pytest.mark.parametrize(
     "text", ["", "   ", "---", "TODO", "todo: document", "(non-Javadoc)", "{@inheritDoc}", "@return", ":param value:\n:return:", "See above.", "n/a", "...", "/** Auto-generated method stub */",
              "Build index.", "The build index method.", "buildIndex()", "/** noinspection */", "# noqa: E501", "SPDX-License-Identifier: x", "x = build(y)"],
@@ -76,7 +100,11 @@ def test_pairs_come_from_both_places_and_newest_rows(spark):
     s, c = spark.createDataFrame(symbols, SYMBOLS), spark.createDataFrame(chunks, CHUNKS)
     got = sorted((r["symbol"], r["chunk"], r["documentation"]) for r in documented_functions(s, c).collect())
     assert got == [(1, 10, "Finds the row."), (2, 11, "Gives the rows."), (5, 14, "Keeps the row.")]
-    assert documented_functions(s.where("false"), c).count() == 0 and documented_functions(s, c.where("false")).count() == 0
+    inner = spark.createDataFrame([(20, "a.py::C", "a.py", 30, "python", 'class C:\n    x = 1\n    def k(self):\n        """Keeps more rows."""\n    def z(self):\n        """Of no symbol."""\n', "code", T1, 0)], CHUNKS)
+    at = s.unionByName(spark.createDataFrame([(8, "a.py::C.k", "k", "method", "a.py", 32, None, T1, None)], SYMBOLS))
+    found = {(r["symbol"], r["name"], r["own"], r["documentation"], r["code"].split("(")[0].strip()) for r in documented_functions(at, inner).collect()}
+    assert found == {(8, "k", False, "Keeps more rows.", "def k"), (None, "z", False, "Of no symbol.", "def z")}
+    assert documented_functions(s.where("false"), c).where("symbol is not null").count() == 0 and documented_functions(s, c.where("false")).count() == 0
 
 
 def test_very_long_texts_parse_in_linear_time():
