@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeloom.llm.attributes import glob_regex, parse_attributes
-from codeloom.llm.origins import _GENERATED, chunk_evidence, file_origins, header_of, mined_patterns
+from codeloom.llm.origins import _GENERATED, chunk_evidence, file_origins, header_of, header_signs, mined_patterns
 
 T1, T2 = datetime(2025, 1, 1), datetime(2025, 1, 2)
 SCHEMA = "id long, updated_at timestamp, file_path string, line_start int, content string, content_type string, origin string"
@@ -106,3 +106,16 @@ def test_repositories_are_counted_exactly(spark):
 
 def test_empty_table(spark):
     assert file_origins(files(spark, [("x", "y", "code")]).where("false")).count() == 0
+
+
+def test_headers_are_mined_where_no_phrase_names_a_project(spark):
+    """A plain copyright line in usual vendored places becomes a pattern for files elsewhere."""
+    jane = lambda k: f"// Copyright (c) 2019 Jane Doe\nexport const part{chr(97 + k)} = read({k} + 1);\n"
+    rows = [(f"r{k % 6}/third_party/jane/f{k}.js", jane(k), "code") for k in range(24)] + [("z/src/kept.js", jane(25), "code"), ("z/src/own.js", HAND, "code")]
+    got = {r["file_path"]: (r["origin"], r["reason"]) for r in file_origins(files(spark, rows)).collect()}
+    assert got["z/src/kept.js"] == ("vendored", "header pattern") and got["z/src/own.js"] == (None, None)
+    assert {v for k, v in got.items() if "third_party" in k} == {("vendored", "path pattern")}
+
+
+def test_header_signs_leave_names_open():
+    assert header_signs(["Copyright (c) 2019 Jane Doe", "x", "", "generated by tool-x 1.2 from a.idl"]) == ["copyright c * jane doe", "generated by * * from *"]
