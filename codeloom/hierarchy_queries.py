@@ -10,13 +10,13 @@ from codeloom.operators.hierarchy import Forest, build_forest
 from codeloom.sources.tables import load
 
 
-def symbol_forest(spark: SparkSession, sf_dir: str) -> Forest:
-    rows = latest_rows(load(spark, sf_dir, "symbols"), "id", ["parent_symbol_id", "name"])
-    return build_forest(rows, "id", "parent_symbol_id", "name")
+def symbol_forest(spark: SparkSession, sf_dir: str, paths: bool = True) -> Forest:
+    rows = latest_rows(load(spark, sf_dir, "symbols"), "id", ["parent_symbol_id", "name"] if paths else ["parent_symbol_id"])
+    return build_forest(rows, "id", "parent_symbol_id", "name" if paths else "id", paths)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = symbol_forest(spark, sf_dir).nodes.where("parent_id is not null")
+    nodes = symbol_forest(spark, sf_dir, paths=False).nodes.where("parent_id is not null")
     return nodes.select(F.col("id").alias("symbol_id"), "root_id", "depth")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A key with at least this share of all rows is heavy. At most 1 / HEAVY_SHARE keys can be,
@@ -18,16 +18,25 @@ HEAVY_ROWS = 20_000
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and forget its lineage.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that is
-    unset (tests on one machine) a temporary folder is used. Lost executors do not lose it.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that is unset
+    and the session runs on one machine a temporary folder is used. Lost executors do not lose it.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="codeloom-checkpoint-")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors see; an error where a cluster names none."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if folder:
+        return folder
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("spark.checkpoint.dir is unset: name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="codeloom-checkpoint-")
+
+
 def latest_rows(df: DataFrame, key: str, columns: Sequence[str], version: str = "updated_at") -> DataFrame:
     """One row per non-null ``key``: that with the greatest ``version`` (null versions are oldest).
 
@@ -75,13 +84,19 @@ def lookup_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str
     """Join ``left`` to ``right``, unique on ``right_key``, without a task per heavy key.
 
     Rows of ``left`` under one of the ``heavy`` keys (see ``heavy_keys``; a bounded list) meet
-    their few partner rows by broadcast where they lie; all others by a shuffled join.
+    their few partner rows by broadcast where they lie; all others by a shuffled join. Rows without
+    a key, which may be most, meet nothing and are never shuffled.
     """
     on = lambda a, b: a[left_key] == b[right_key]
-    if not heavy:
-        return left.join(right, on(left, right), how)
-    is_heavy = left[left_key].isin(heavy)
-    light = left.where(~F.coalesce(is_heavy, F.lit(False)))
-    dense = left.where(is_heavy)
-    few = F.broadcast(right.where(right[right_key].isin(heavy)))
-    return light.join(right, on(light, right), how).unionByName(dense.join(few, on(dense, few), how))
+    keyed = left.where(left[left_key].isNotNull())
+    is_heavy = keyed[left_key].isin(heavy) if heavy else None
+    light = keyed.where(~is_heavy) if heavy else keyed
+    out = light.join(right, on(light, right), how)
+    if heavy:
+        dense = keyed.where(is_heavy)
+        few = F.broadcast(right.where(right[right_key].isin(heavy)))
+        out = out.unionByName(dense.join(few, on(dense, few), how))
+    if how == "left":
+        missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema]
+        out = out.unionByName(left.where(left[left_key].isNull()).select("*", *missing))
+    return out

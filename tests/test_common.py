@@ -1,6 +1,7 @@
+import pytest
 from pyspark.sql import functions as F
 
-from codeloom.operators.common import keep_latest, latest_rows, lookup_join
+from codeloom.operators.common import keep_latest, latest_rows, lookup_join, shared_folder
 
 
 def test_latest_rows_take_the_newest_and_drop_null_keys(spark):
@@ -23,6 +24,29 @@ def test_lookup_join_gives_the_same_with_and_without_heavy_keys(spark):
         assert sorted(map(str, lookup_join(left, right, "k", "r", [1], how).collect())) == plain
 
 
+def test_rows_without_a_key_are_not_shuffled(spark):
+    left = spark.range(1000).selectExpr("case when id % 10 = 0 then id end as k", "id as v")
+    right = spark.range(0, 1000, 10).selectExpr("id as r", "id + 1 as w")
+    got = lookup_join(left, right, "k", "r", [], "left")
+    assert got.count() == 1000 and got.where("w is not null").count() == 100 and got.where("k is null and w is null").count() == 900
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan
+
+
+def test_checkpoints_need_a_shared_folder_on_a_cluster(spark):
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(RuntimeError):
+        shared_folder(Session())
+
+
 def test_extra_columns_with_clashing_names(spark):
     df = spark.createDataFrame([(1, "a", 1, 5, 6)], "id int, v string, updated_at int, _k int, _held int")
     assert latest_rows(df, "id", ["v", "_k"]).select("v", F.col("_k")).collect()[0]["_k"] == 5

@@ -21,6 +21,9 @@ def brute(parents):
 def resolved(spark, parents):
     rows = [(k, p, f"n{k}", "extra") for k, p in parents.items()]
     forest = build_forest(spark.createDataFrame(rows, SCHEMA), "id", "parent", "name")
+    lean = build_forest(spark.createDataFrame(rows, SCHEMA), "id", "parent", "name", paths=False).nodes
+    assert "path" not in lean.columns
+    assert {(r["id"], r["root_id"], r["depth"]) for r in lean.collect()} == {(r["id"], r["root_id"], r["depth"]) for r in forest.nodes.collect()}
     return forest, {r["id"]: (r["root_id"], r["depth"]) for r in forest.nodes.collect()}
 
 
