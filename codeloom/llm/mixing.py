@@ -11,7 +11,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.operators.common import cut
@@ -21,8 +21,12 @@ TOKENIZER = os.environ.get("CODELOOM_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.t
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Labelled documents that the membership classifier is fitted on, at most, per source.
 MAX_LABELLED = 400
-ROUNDS = 40
+#: Words of those documents that it knows, at most: those that most of them hold.
+MAX_VOCABULARY = 200_000
+#: Share of all tokens below which a round's changes count as none.
 TOLERANCE = 1e-4
+#: More rounds than any mixture takes; reaching it is an error, not a result.
+MAX_ROUNDS = 1_000
 #: Buckets of document hashes by which the fractions of rates are rounded.
 BUCKETS = 4096
 
@@ -56,24 +60,40 @@ class Membership:
         return (p / p.sum()).tolist()
 
 
+def text_words(text: str) -> list[str]:
+    return sorted(set(_WORDS.findall(text.lower())))
+
+
 def fit_membership(sources: list[str], rows: list[tuple[str, str]]) -> Membership:
-    vocabulary: dict[str, int] = {}
-    entries: list[tuple[int, int]] = []
-    per = np.zeros(len(sources))
+    """The classifier of labelled texts at hand."""
+    per: dict[str, int] = {}
+    held: dict[tuple[str, str], int] = {}
     for source, text in rows:
-        y = sources.index(source)
-        per[y] += 1
-        entries += [(vocabulary.setdefault(w, len(vocabulary)), y) for w in sorted(set(_WORDS.findall(text.lower())))]
+        per[source] = per.get(source, 0) + 1
+        for w in text_words(text):
+            held[w, source] = held.get((w, source), 0) + 1
+    return membership_of(sources, per, [(w, s, n) for (w, s), n in held.items()])
+
+
+def membership_of(sources: list[str], per_source: dict[str, int], held: list[tuple[str, str, int]]) -> Membership:
+    """The classifier of (word, source, texts that hold the word)."""
+    vocabulary = {w: k for k, w in enumerate(sorted({w for w, _, _ in held}))}
+    per = np.array([float(per_source.get(s, 0)) for s in sources])
     counts = np.zeros((max(1, len(vocabulary)), len(sources)))
-    if entries:
-        at = np.array(entries)
-        np.add.at(counts, (at[:, 0], at[:, 1]), 1)
+    for w, s, n in held:
+        counts[vocabulary[w], sources.index(s)] = n
     smooth = (counts + 0.5) / (per + 1)
     # a source without a single labelled document can't be told from the others: no document is its
     prior = np.where(per > 0, np.log(np.maximum(per, 1) / max(1.0, per.sum())), -1e9)
     return Membership(sources, vocabulary, np.log(smooth), prior)
 
 
+def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words = [text_words(t) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(words, pa.list_(pa.string()))], names=["label", "words"])
+
+
 def memberships(documents: DataFrame, sources: list[str], tokenizer: str = TOKENIZER) -> DataFrame:
     """document, tokens, label, membership array<double> (by position in ``sources``).
 
@@ -83,15 +103,21 @@ def memberships(documents: DataFrame, sources: list[str], tokenizer: str = TOKEN
     """
     clean = F.lower(F.trim("source"))
     named = documents.select("document", "text", F.when(clean.isin(sources), clean).alias("label"))
-    ranked = named.where("label is not null and text is not null").withColumn("h", F.xxhash64("document"))
+    ranked = named.where("label is not null and text is not null").withColumn("h", F.xxhash64("document", F.lit(7)))
     sizes = {r["label"]: r["n"] for r in ranked.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    # about MAX_LABELLED of each source, by hash
+    # the MAX_LABELLED smallest hashes of each source; twice the share that they should be is looked at
     share = F.lit(0.0)
     for s, n in sizes.items():
-        share = F.when(F.col("label") == s, F.lit(min(1.0, MAX_LABELLED / n))).otherwise(share)
-    sample = ranked.where(F.pmod("h", F.lit(1_000_003)) < share * 1_000_003).select("label", "text").limit(2 * MAX_LABELLED * max(1, len(sources)))
-    rows = sorted((r["label"], r["text"]) for r in sample.collect())
-    shared = documents.sparkSession.sparkContext.broadcast(fit_membership(sources, rows))
+        share = F.when(F.col("label") == s, F.lit(min(1.0, 2 * MAX_LABELLED / n))).otherwise(share)
+    few = ranked.where(F.pmod("h", F.lit(1_000_003)) < share * 1_000_003)
+    place = F.row_number().over(Window.partitionBy("label").orderBy(F.pmod("h", F.lit(1_000_003)), "document"))
+    sample = few.withColumn("place", place).where(F.col("place") <= MAX_LABELLED).select("label", "text")
+    words = cut(sample.mapInArrow(_word_rows, "label string, words array<string>"))
+    per = {r["label"]: r["n"] for r in words.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    held = words.select("label", F.explode("words").alias("word")).groupBy("word", "label").agg(F.count("*").alias("n"))
+    known = held.groupBy("word").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "word").limit(MAX_VOCABULARY)
+    rows = [tuple(r) for r in held.join(known, "word", "left_semi").select("word", "label", "n").collect()]
+    shared = documents.sparkSession.sparkContext.broadcast(membership_of(sources, per, rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -112,10 +138,12 @@ def memberships(documents: DataFrame, sources: list[str], tokenizer: str = TOKEN
 
 @dataclass
 class Mixture:
-    """documents: document, source, tokens, rate, copies; report: shares by source."""
+    """documents: document, source, tokens, rate, copies; report: shares by source; rounds: of the
+    fit, until nothing moved any more."""
 
     documents: DataFrame
     report: DataFrame
+    rounds: int = 0
 
 
 def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER) -> Mixture:
@@ -154,19 +182,25 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER) ->
         dot = sum((a * F.lit(float(v)) for a, v in zip(at, z, strict=True)), F.lit(0.0))
         return F.greatest(F.lit(0.0), F.least(dot, cap))
 
-    for _ in range(ROUNDS):
+    most = np.array(caps) * 1.5  # a capped source would grow for ever: it stays a little above its cap
+    rounds = 0
+    while total > 0:
+        rounds += 1
+        if rounds > MAX_ROUNDS:
+            raise RuntimeError("the rates of the mixture did not settle")
         drawn = rate(z) * F.col("tokens")
         got = state.agg(*[F.sum(drawn * a).alias(f"a{k}") for k, a in enumerate(at)]).first()
         expected = np.array([float(got[f"a{k}"] or 0) for k in range(n)])
-        free = (available > 0) & (expected < np.array(caps) * available * (1 - 1e-9))
+        free = (available > 0) & (z < most) & (expected < np.array(caps) * available * (1 - 1e-9))
         missing = total - expected.sum()
         lift += missing / max(1, int(free.sum()))
         goal = np.maximum(weight * total + lift, 0)
         step = np.divide(goal - expected, available, out=np.zeros(n), where=available > 0)
-        if total == 0 or (abs(missing) < TOLERANCE * total and np.abs(step[free] * available[free]).max(initial=0) < TOLERANCE * total):
+        moved = np.clip(z + step, 0, most) - z
+        settled = np.abs(moved * available).max(initial=0) < TOLERANCE * total
+        if settled and (abs(missing) < TOLERANCE * total or not free.any()):
             break
-        # a capped source would grow for ever: it stays a little above its cap
-        z = np.clip(z + step, 0, np.array(caps) * 1.5)
+        z = z + moved
 
     best = F.array_position("membership", F.array_max("membership")).cast("int") - 1
     names = F.array(*[F.lit(s) for s in sources])
@@ -199,4 +233,4 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER) ->
         F.col("s").alias("source"), "weight", "max_repeats", F.coalesce("available", F.lit(0)).alias("available"), F.coalesce("tokens", F.lit(0)).alias("tokens"),
         share.alias("share"), (F.abs(share - F.col("weight")) < 0.005).alias("reached"),
     )
-    return Mixture(whole.where("copies > 0"), report)
+    return Mixture(whole.where("copies > 0"), report, rounds)

@@ -15,6 +15,7 @@ def corpus(spark):
 def test_shares_follow_weights_within_caps(spark):
     targets = spark.createDataFrame([("readme", 0.3, 1), ("issue", 0.5, 2), ("guide", 0.2, 4), ("absent", 0.1, 3), (None, 0.2, 1), ("guide2", None, 1)], TARGETS)
     made = mix(corpus(spark), targets)
+    assert 0 < made.rounds < 30
     report = {r["source"]: r for r in made.report.collect()}
     assert set(report) == {"readme", "issue", "guide", "absent"} and report["absent"]["tokens"] == 0
     total = sum(r["tokens"] for r in report.values())
@@ -44,3 +45,10 @@ def test_empty_tables(spark):
     targets = spark.createDataFrame([("readme", 1.0, 1)], TARGETS)
     assert mix(corpus(spark).where("false"), targets).documents.count() == 0
     assert mix(corpus(spark), targets.where("false")).documents.count() == 0
+
+
+def test_capped_sources_do_not_keep_the_fit_going(spark):
+    """All sources but one are at their caps, and all are: both settle."""
+    for weights in ((0.9, 0.1), (0.5, 0.5)):
+        targets = spark.createDataFrame([("readme", weights[0], 1), ("guide", weights[1], 1)], TARGETS)
+        assert mix(corpus(spark), targets).rounds < 100
