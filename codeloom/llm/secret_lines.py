@@ -68,6 +68,21 @@ class Token:
     opens: bool = False  # the first token of such a text
 
 
+_IDENTIFIER = re.compile(r"[A-Za-z_]+\Z")
+_LETTERS = re.compile(r"[A-Za-z+/=]{9,}\Z")
+_TURN = re.compile(r"[a-z][A-Z]")
+_RUN_OF_CAPITALS = re.compile(r"[A-Z]{2}|[A-Z]$")
+
+
+def _scrambled(text: str) -> bool:
+    """Whether letters change case as no name does."""
+    if not _LETTERS.match(text) or text.islower():
+        return False
+    upper = sum(map(str.isupper, text))
+    mixed = 0.15 * len(text) <= upper <= 0.8 * len(text) and _TURN.search(text)
+    return bool(mixed and (upper >= 0.3 * len(text) or _RUN_OF_CAPITALS.search(text)))
+
+
 @lru_cache(maxsize=20_000)
 def shape(text: str) -> str:
     """The coarse shape of a token's text; a quote that is escaped in it is a quote."""
@@ -75,6 +90,8 @@ def shape(text: str) -> str:
         text = _ESCAPED.sub(r"\1", text)
     if _PLACEHOLDER.search(text):
         return "placeholder"
+    if _IDENTIFIER.match(text) and not text.startswith(("AKIA", "ASIA", "gh")):  # what the rules below come to for letters
+        return "letters" if _scrambled(text) else "word"
     if _UUID.match(text):
         return "uuid"
     if _HEX.match(text) and any(c.isdigit() for c in text):
@@ -104,11 +121,8 @@ def shape(text: str) -> str:
         return ("leet" if "up" not in kinds else "mixed") + ("+" if special else "") + ("" if switches > 2 else "-few")
     if "sp" in kinds and kinds & {"up", "low"} and len(text) > 5:
         return "special"
-    if re.match(r"^[A-Za-z+/=]{9,}$", text):
-        upper = sum(map(str.isupper, text))
-        mixed = 0.15 * len(text) <= upper <= 0.8 * len(text) and re.search(r"[a-z][A-Z]", text)
-        if mixed and (upper >= 0.3 * len(text) or re.search(r"[A-Z]{2}|[A-Z]$", text)):
-            return "letters"
+    if _scrambled(text):
+        return "letters"
     if not kinds:
         return "punct"
     return "word"
@@ -353,7 +367,10 @@ class Forms(dict):
         self.known: dict[tuple, int] = {}
 
     def __missing__(self, piece: str) -> int:
-        looks = tuple(described(t) for t in lex(piece))
+        if _IDENTIFIER.match(piece) and len(piece) <= _KEPT and not piece.startswith("_"):  # one token
+            looks: tuple = (described(Token(piece, 0, "word", "")),)
+        else:
+            looks = tuple(described(t) for t in lex(piece))
         number = self.known.get(looks)
         if number is None:
             number = self.known[looks] = len(self.seen)

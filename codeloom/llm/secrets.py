@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
 from codeloom.llm.crf import Crf, train
@@ -80,6 +81,18 @@ class Labeller:
         return result
 
 
+#: The labeller of this process, by the model's broadcast: tasks of one process share what is kept.
+_OWN: dict[int, Labeller] = {}
+
+
+def _own_labeller(shared: Broadcast) -> Labeller:
+    key = id(shared.value)  # a process reads a broadcast once, and the labeller keeps it
+    if key not in _OWN:
+        _OWN.clear()
+        _OWN[key] = Labeller(shared.value)
+    return _OWN[key]
+
+
 def secret_spans(text: str, model: Crf | Labeller) -> list[tuple[int, int, int]]:
     """(line number, begin, end) of the literal characters of every secret in ``text``.
 
@@ -134,7 +147,7 @@ def find_secrets(chunks: DataFrame, with_text: bool = True) -> DataFrame:
     shared = chunks.sparkSession.sparkContext.broadcast(secret_model())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = Labeller(shared.value)
+        labeller = _own_labeller(shared)
         place = pa.struct([("line_no", pa.int32()), ("begin", pa.int32()), ("end", pa.int32())])
         for batch in batches:
             row, places, clean = [], [], []
