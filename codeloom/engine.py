@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions import paths as P
@@ -21,10 +21,11 @@ from codeloom.operators import rank as K
 from codeloom.operators import resolve as S
 from codeloom.operators import traverse as T
 from codeloom.operators import vector as V
+from codeloom.operators.common import cut, keep_latest, latest_rows
 from codeloom.plans.pattern.execute import execute
 from codeloom.pattern_queries import pattern_graph
 from codeloom.sources.sinks import append_audit
-from codeloom.views import Corpus
+from codeloom.views import CHUNK_COLUMNS, Corpus
 
 #: Words that tell what a question is about.
 DOCS_WORDS = frozenset("readme documentation docs guide tutorial changelog install installation how-to".split())
@@ -105,57 +106,61 @@ class Engine:
         self.audit("search", query, payload.get("total", 0), begin)
         return payload
 
-    def scoped(self, scope: str, language: str | None, include_tests: bool) -> DataFrame:
-        rows = self.corpus.chunks
+    def scoped(self, scope: str, language: str | None, include_tests: bool) -> Column:
+        """The condition on a chunk that a search's scope makes."""
+        test = F.lit(True)
         if scope in ("code", "config", "docs"):
-            rows = rows.where(F.col("content_type") == scope)
+            test = F.col("content_type") == scope
         elif scope == "code_focused":
-            rows = rows.where("content_type <> 'docs'")
+            test = F.col("content_type") != "docs"
         if language:
-            rows = rows.where(F.col("language") == language)
-        return rows if include_tests else rows.where("not coalesce(is_test, false)")
+            test = test & (F.col("language") == language)
+        return test if include_tests else test & ~F.coalesce("is_test", F.lit(False))
 
-    def exhaustive(self, chunks: DataFrame, query: str, matching: str, ignore_case: bool) -> dict[str, Any]:
+    def exhaustive(self, scope: Column, query: str, matching: str, ignore_case: bool) -> dict[str, Any]:
         """Every matching line; totals count occurrences for literals and lines otherwise."""
+        rows, versions = self.corpus.rows.where(scope), self.corpus.versions
         if matching == "literal":
-            rows = L.scan_literal(chunks, query.strip().strip('"'), ignore_case)
+            rows = L.scan_literal(rows, query.strip().strip('"'), versions, ignore_case)
             total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         elif matching in ("all_tokens", "any_token"):
             needles = [a or b for a, b in re.findall(r'"([^"]+)"|(\S+)', query)]
-            rows = L.scan_tokens(chunks, needles, matching == "all_tokens")
+            rows = L.scan_tokens(rows, needles, matching == "all_tokens", versions)
             total = rows.count()
         elif matching == "regex":
             try:
                 re.compile(query)
             except re.error as x:
                 return {"outcome": "invalid_regex", "error": str(x), "results": None, "total": 0}
-            rows = L.scan_regex(chunks, query)
+            rows = L.scan_regex(rows, query, versions)
             total = rows.count()
         else:
             return {"outcome": "invalid_argument", "error": f"unknown matching {matching}", "results": None, "total": 0}
         return {"outcome": "resolved" if total else "no_match", "results": rows, "total": int(total)}
 
-    def enumerate(self, chunks: DataFrame, query: str) -> dict[str, Any]:
-        low = query.lower()
+    def enumerate(self, scope: Column, query: str) -> dict[str, Any]:
+        low, chunks, versions = query.lower(), self.corpus.rows.where(scope), self.corpus.versions
         kinds = next((v for k, v in KIND_WORDS.items() if k in low), None)
         glob = next((v for k, v in RESOURCE_WORDS.items() if k in low), None)
         if kinds:
-            rows = L.enumerate_kinds(chunks, kinds)
+            rows = L.enumerate_kinds(chunks, kinds, versions)
         elif glob:
-            rows = chunks.where(F.lower("file_path").like(glob)).select("id", "fqn", "file_path", "line_start")
+            rows = keep_latest(chunks.where(F.lower("file_path").like(glob)).select("id", "updated_at", "fqn", "file_path", "line_start"), versions, "id")
         else:
-            rows = L.enumerate_named(chunks, query.strip())
+            rows = L.enumerate_named(chunks, query.strip(), versions)
         unparsed = self.corpus.table("files").where("parse_failed").count()
         total = rows.count()
         return {"outcome": "resolved" if total else "no_match", "results": rows, "total": total, "excluded_files": unparsed}
 
-    def ranked(self, chunks: DataFrame, query: str, limit: int, strict: bool, allow_weak: bool, query_vector: DataFrame | None) -> dict[str, Any]:
+    def ranked(self, scope: Column, query: str, limit: int, strict: bool, allow_weak: bool, query_vector: DataFrame | None) -> dict[str, Any]:
+        index = self.corpus.lexical
         intents = Intents.of(query)
         pool_size = max(2 * limit, POOL)
-        terms = X.decompose(query)
-        lexical = L.top(L.bm25(chunks, query), pool_size)
+        terms, phrases = X.decompose(query), index.phrases(query)
+        lexical = L.top(index.bm25(phrases, scope), pool_size)
         dense = self.dense(query_vector, pool_size) if query_vector is not None and not intents.literal else lexical.select("id", "score").where("false")
-        fused = K.fuse(lexical, dense, K.ALPHA_SYMBOL if intents.identifier else K.ALPHA_TEXT)
+        fused = cut(K.fuse(lexical, dense, K.ALPHA_SYMBOL if intents.identifier else K.ALPHA_TEXT))
+        chunks = cut(self.corpus.chunks_of(fused))  # of the pool only
         pool = fused.join(chunks, "id")
         if intents.identifier:
             pool = K.match_boost(pool, X.split_identifier(intents.identifier) and re.split(r"[.:#]+", intents.identifier)[-1], intents.identifier)
@@ -175,10 +180,10 @@ class Engine:
             best = best.where("band <> 'low' or is_definition")
         page = best.orderBy(F.round("score", 9).desc(), "id").limit(limit).withColumn("r", R.redact(F.col("content")))
         results = page.select("id", "fqn", "file_path", "line_start", "line_end", "score", "file_matches", "confidence", "band", F.col("r.redacted").alias("content"), F.col("r.count").alias("redacted"))
-        counts = {r["is_test"]: r["n"] for r in L.match_counts(chunks, query).collect()}
+        counts = {r["is_test"]: r["n"] for r in index.match_counts(phrases, scope).collect()}
         total = sum(counts.values())
         if not total and not fused.limit(1).count():
-            return self.rescue(chunks, query, limit)
+            return self.rescue(scope, query, limit)
         coverage = best.agg(F.max(K.overlap(terms, F.coalesce("subwords", F.array().cast("array<string>"))))).first()[0] or 0.0
         if not allow_weak and not intents.literal and K.insufficient(fused, len(X.collapse(terms)), coverage):
             return {"outcome": "no_match", "reason": "insufficient_signal", "results": results.where("false"), "alternatives": results, "total": total}
@@ -188,8 +193,9 @@ class Engine:
             "arms": {"lexical": True, "dense": query_vector is not None},
         }
 
-    def rescue(self, chunks: DataFrame, query: str, limit: int) -> dict[str, Any]:
+    def rescue(self, scope: Column, query: str, limit: int) -> dict[str, Any]:
         """Relaxed steps where the ranked search finds nothing: any token in any case, then no match."""
+        rows = self.corpus.rows.where(scope)
         for step, needles in (("relaxed", X.query_tokens(query)), ("literal", [query.strip()])):
             needles = [n for n in needles if len(n) > 2]
             if not needles:
@@ -197,12 +203,11 @@ class Engine:
             test = F.lit(False)
             for n in needles:
                 test = test | F.lower("content").contains(n.lower())
-            found = chunks.where(test)
+            found = keep_latest(rows.where(test).select("id", "updated_at", "fqn", "file_path", "line_start"), self.corpus.versions, "id")
             total = found.count()
             if total:
-                rows = found.orderBy("id").limit(limit)
-                return {"outcome": "resolved", "rescued_by": step, "results": rows.select("id", "fqn", "file_path", "line_start"), "total": total, "band": "low"}
-        return {"outcome": "no_match", "results": chunks.where("false").select("id", "fqn", "file_path", "line_start"), "total": 0}
+                return {"outcome": "resolved", "rescued_by": step, "results": found.orderBy("id").limit(limit), "total": total, "band": "low"}
+        return {"outcome": "no_match", "results": rows.where("false").select("id", "fqn", "file_path", "line_start"), "total": 0}
 
     def dense(self, query_vector: DataFrame, k: int) -> DataFrame:
         rows = self.corpus.table("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.lit(None).cast("string").alias("group"))
@@ -231,7 +236,7 @@ class Engine:
         error, sid = self._one(symbol)
         if error:
             return error
-        return {"outcome": "resolved", "symbol": self.corpus.symbols.where(F.col("id") == sid), "chunk": self.corpus.chunks.join(self.corpus.symbols.where(F.col("id") == sid).select("fqn"), "fqn", "left_semi")}
+        return {"outcome": "resolved", "symbol": self.corpus.symbols.where(F.col("id") == sid), "chunk": latest_rows(self.corpus.rows.join(F.broadcast(self.corpus.symbols.where(F.col("id") == sid).select("fqn")), "fqn", "left_semi"), "id", CHUNK_COLUMNS)}
 
     def neighbors(self, symbol: str, direction: str = "both", max_depth: int = 1, transitive: bool = False, limit: int = 50, offset: int = 0) -> dict[str, Any]:
         error, sid = self._one(symbol)
@@ -313,8 +318,9 @@ class Engine:
     def neighbourhood(self, question: str, depth: int = 2, edge_types: Sequence[str] = ("CALLS", "INHERITS"), direction: str = "both") -> dict[str, Any]:
         """The graph around the three chunks that answer the question best."""
         c = self.corpus
-        hits = L.top(L.bm25(c.chunks.where("is_definition"), question), 3)
-        seeds = hits.join(c.chunks_with("fqn"), "id").join(c.symbols_with("fqn").select(F.col("id").alias("node"), F.col("fqn").alias("f")), F.col("fqn") == F.col("f")).select("node")
+        pool = L.top(c.lexical.bm25(c.lexical.phrases(question)), POOL)
+        hits = L.top(pool.join(c.chunks_of(pool, "is_definition", "fqn"), "id").where("is_definition"), 3)
+        seeds = hits.join(c.symbols_with("fqn").select(F.col("id").alias("node"), F.col("fqn").alias("f")), F.col("fqn") == F.col("f")).select("node")
         if not seeds.limit(1).count():
             return {"outcome": "no_seed"}
         return {"outcome": "resolved", "nodes": T.neighbourhood(c.symbols_with("kind"), c.edges, seeds, depth, edge_types, direction)}

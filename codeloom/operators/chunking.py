@@ -73,14 +73,15 @@ def coalesced(chunks: DataFrame, max_chars: int) -> DataFrame:
     return pieces.groupBy("file_path", "_run", "_piece").agg(F.min("line_start").alias("line_start"), F.max("line_end").alias("line_end"), F.count("*").alias("n")).select("file_path", "line_start", "line_end", "n")
 
 
-def import_lines(lines: DataFrame) -> DataFrame:
-    """file_path, line_no, module of import statements. lines: file_path, language, line_no, line."""
+def import_lines(lines: DataFrame, *carried: str) -> DataFrame:
+    """file_path, line_no, module of import statements. lines: file_path, language, line_no, line and
+    what is carried along."""
     found = F.lit(None).cast("string")
     for language, pattern in IMPORTS.items():
         groups = 2 if language == "python" else 1
         hit = F.coalesce(*[F.nullif(F.regexp_extract("line", pattern, g + 1), F.lit("")) for g in range(groups)])
         found = F.when(F.col("language") == language, hit).otherwise(found)
-    return lines.select("file_path", "line_no", found.alias("module")).where("module is not null")
+    return lines.select(*carried, "file_path", "line_no", found.alias("module")).where("module is not null")
 
 
 def rationale(lines: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -94,10 +95,10 @@ def rationale(lines: DataFrame, symbols: DataFrame) -> DataFrame:
     return marks.join(near.select(F.col("file_path").alias("f"), F.col("line").alias("l"), F.col("span_id").alias("symbol_id")), (F.col("file_path") == F.col("f")) & (F.col("line_no") == F.col("l")), "left").drop("f", "l")
 
 
-def source_slice(chunks: DataFrame) -> DataFrame:
+def source_slice(chunks: DataFrame, *carried: str) -> DataFrame:
     """id, slice: the content's own lines line_start..line_end, counted from its first line."""
     n = F.greatest(F.col("line_end") - F.col("line_start") + 1, F.lit(1))
-    return chunks.select("id", F.array_join(F.slice(F.split("content", "\n"), 1, n), "\n").alias("slice"))
+    return chunks.select("id", *carried, F.array_join(F.slice(F.split("content", "\n"), 1, n), "\n").alias("slice"))
 
 
 def lock_excerpts(texts: DataFrame) -> DataFrame:
@@ -107,11 +108,11 @@ def lock_excerpts(texts: DataFrame) -> DataFrame:
     return texts.where(name.isin(*LOCKFILES)).select("file_path", F.substring("text", 1, LOCK_EXCERPT).alias("excerpt"))
 
 
-def embed_text(chunks: DataFrame) -> DataFrame:
+def embed_text(chunks: DataFrame, *carried: str) -> DataFrame:
     """id, text: module and name on one line, then the content, which wins within the budget."""
     module = F.regexp_replace(F.regexp_replace("path_rel", r"\.[^./]+$", ""), "/", ".")
     chain = F.regexp_replace(F.coalesce("fqn_rel", F.lit("")), r"^.*::", "")
     head = F.trim(F.concat_ws(" ", module, chain))
     body = F.substring(F.coalesce("content", F.lit("")), 1, EMBED_BUDGET)
     room = F.lit(EMBED_BUDGET) - F.char_length(body) - 1
-    return chunks.select("id", F.when(room > 0, F.concat(F.substr(head, F.lit(1), room), F.lit("\n"), body)).otherwise(body).alias("text"))
+    return chunks.select("id", *carried, F.when(room > 0, F.concat(F.substr(head, F.lit(1), room), F.lit("\n"), body)).otherwise(body).alias("text"))

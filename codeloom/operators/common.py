@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 from collections.abc import Sequence
 
@@ -37,6 +38,35 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="codeloom-checkpoint-")
 
 
+_WORK: dict[str, str] = {}
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A folder of this application below the shared one."""
+    app = spark.sparkContext.applicationId
+    if app not in _WORK:
+        _WORK[app] = f"{shared_folder(spark).rstrip('/')}/codeloom-{app}"
+    return _WORK[app]
+
+
+def table_state(spark: SparkSession, path: str) -> str:
+    """A digest of the files of a table: their names, sizes and times of change."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = []
+    if system.exists(root):
+        walk = system.listFiles(root, True)
+        while walk.hasNext():
+            f = walk.next()
+            found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return hashlib.sha256(repr(sorted(found)).encode()).hexdigest()[:24]
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root))
+
+
 def latest_rows(df: DataFrame, key: str, columns: Sequence[str], version: str = "updated_at") -> DataFrame:
     """One row per non-null ``key``: that with the greatest ``version`` (null versions are oldest).
 

@@ -1,4 +1,4 @@
-"""Full text: corpus statistics, BM25 over weighted fields, exhaustive scans, enumeration."""
+"""Full text: corpus statistics, exhaustive scans, enumeration; ranked search is in ``postings``."""
 
 from __future__ import annotations
 
@@ -6,15 +6,12 @@ import math
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as X
+from codeloom.operators.common import keep_latest
 
-#: Weights of the fields; the last one is indexed without a weight of its own.
-FIELD_WEIGHTS = {"content": 1.0, "subwords": 0.6, "fqn_rel": 0.5, "path_rel": 0.2, "declared_rules": 0.4, "content_type": 1.0}
-K1, B = 1.2, 0.75
-LEAST_IDF = 1e-6
 IDF_FLOOR = 0.8
 
 
@@ -30,59 +27,6 @@ def corpus_stats(chunks: DataFrame) -> DataFrame:
     return both.groupBy("section", "key", "language").agg(F.count("*").alias("doc_count"))
 
 
-def _fields(chunks: DataFrame) -> dict[str, Column]:
-    """The words of every field that the table has."""
-    out = {}
-    for name in FIELD_WEIGHTS:
-        if name in chunks.columns:
-            column = F.concat_ws(" ", name) if name == "subwords" else F.coalesce(name, F.lit(""))
-            out[name] = X.words(column)
-    return out
-
-
-def _is(term: str):
-    return lambda x: x == term
-
-
-def field_frequencies(chunks: DataFrame, terms: Sequence[str]) -> DataFrame:
-    """id, size, f0, f1, ...: words over all fields, and the weighted frequency of every term.
-
-    One narrow pass; nothing is exploded or shuffled."""
-    fields = _fields(chunks)
-    size = sum((F.size(w) for w in fields.values()), F.lit(0))
-    rows = chunks.select("id", *[w.alias(f"_{n}") for n, w in fields.items()], size.alias("size"))
-    weighted = []
-    for k, term in enumerate(terms):
-        f = sum((F.size(F.filter(f"_{n}", _is(term))) * F.lit(FIELD_WEIGHTS[n]) for n in fields), F.lit(0.0))
-        weighted.append(f.alias(f"f{k}"))
-    return rows.select("id", "size", *weighted)
-
-
-def bm25(chunks: DataFrame, query: str) -> DataFrame:
-    """id, score of every chunk that holds a word of the query; the greater, the better.
-
-    A word that stands twice in the query counts twice, as a phrase of its own. The numbers of
-    chunks, of words and of holders per term come from one aggregation; they are as many as the
-    query has words."""
-    terms = X.query_tokens(query)
-    split = [w for t in terms for w in re.findall(X.FULL_TEXT, t)]
-    if not split:
-        return chunks.select("id", F.lit(0.0).alias("score")).where("false")
-    unique = list(dict.fromkeys(split))
-    rows = field_frequencies(chunks, unique)
-    facts = rows.agg(F.count("*").alias("n"), F.avg("size").alias("avg"), *[F.count_if(F.col(f"f{k}") > 0).alias(f"n{k}") for k in range(len(unique))]).first()
-    total, average = facts["n"] or 0, facts["avg"] or 1.0
-    score = F.lit(0.0)
-    for k, term in enumerate(unique):
-        holders = facts[f"n{k}"]
-        idf = F.log(F.lit((total - holders + 0.5) / (holders + 0.5)))
-        weight = F.when(idf > 0, idf).otherwise(LEAST_IDF)
-        f = F.col(f"f{k}")
-        score = score + split.count(term) * weight * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("size") / F.lit(float(average))))
-    holds = F.greatest(*[F.col(f"f{k}") for k in range(len(unique))], F.lit(0.0)) > 0
-    return rows.where(holds).select("id", score.alias("score"))
-
-
 def top(scored: DataFrame, k: int) -> DataFrame:
     """The k best, ties by id."""
     return scored.orderBy(F.round("score", 9).desc(), "id").limit(k)
@@ -103,51 +47,56 @@ def informative_terms(stats: DataFrame, total: int, query: str) -> list[str]:
     return out
 
 
-def match_counts(chunks: DataFrame, query: str) -> DataFrame:
-    """is_test, n: chunks that hold a word of the query, tests apart."""
-    terms = list(dict.fromkeys(w for t in X.query_tokens(query) for w in re.findall(X.FULL_TEXT, t)))
-    rows = field_frequencies(chunks, terms).where(" or ".join(f"f{k} > 0" for k in range(len(terms))) or "false")
-    return rows.join(chunks.select("id", F.coalesce("is_test", F.lit(False)).alias("is_test")), "id").groupBy("is_test").agg(F.count("*").alias("n"))
+def lines(rows: DataFrame) -> DataFrame:
+    """id, updated_at, line_no, line of every line of every row."""
+    split = rows.where("content is not null").select("id", "updated_at", "line_start", F.posexplode(F.split("content", "\n")).alias("at", "line"))
+    return split.select("id", "updated_at", (F.coalesce("line_start", F.lit(1)) + F.col("at")).alias("line_no"), F.regexp_replace("line", "\r$", "").alias("line"))
+
 
+def _held(found: DataFrame, versions: DataFrame) -> DataFrame:
+    """What was found in holding rows; texts have been searched where they lie, and only findings
+    meet the versions."""
+    return keep_latest(found, versions, "id")
 
-def lines(chunks: DataFrame) -> DataFrame:
-    """id, file_path, line_no, line of every line of every chunk."""
-    split = chunks.where("content is not null").select("id", "file_path", "line_start", F.posexplode(F.split("content", "\n")).alias("at", "line"))
-    return split.select("id", "file_path", (F.coalesce("line_start", F.lit(1)) + F.col("at")).alias("line_no"), F.regexp_replace("line", "\r$", "").alias("line"))
 
+def scan_literal(rows: DataFrame, needle: str, versions: DataFrame, ignore_case: bool = False) -> DataFrame:
+    """id, line_no, n: lines that hold the needle and how often.
 
-def scan_literal(chunks: DataFrame, needle: str, ignore_case: bool = False) -> DataFrame:
-    """id, line_no, n: lines that hold the needle and how often. Chunks without it are dropped before
-    they are split."""
+    rows: id, updated_at, line_start, content; versions: id, updated_at of all rows of the table. Texts
+    without the needle are dropped at the scan, before they are split."""
     probe = needle.lower() if ignore_case else needle
     fold = (lambda c: F.lower(c)) if ignore_case else (lambda c: c)
-    kept = chunks.where(fold(F.col("content")).contains(probe)) if needle else chunks.where("false")
+    kept = rows.where(fold(F.col("content")).contains(probe)) if needle else rows.where("false")
     found = lines(kept).withColumn("n", X.occurrences(fold(F.col("line")), probe))
-    return found.where("n > 0").select("id", "line_no", "n")
+    return _held(found.where("n > 0").select("id", "updated_at", "line_no", "n"), versions)
 
 
-def scan_tokens(chunks: DataFrame, needles: Sequence[str], every: bool) -> DataFrame:
-    """id, line_no of lines that hold every, or any, of the needles."""
+def scan_tokens(rows: DataFrame, needles: Sequence[str], every: bool, versions: DataFrame) -> DataFrame:
+    """id, line_no of lines that hold every, or any, of the needles; rows and versions as above."""
     holds = [F.col("line").contains(n) for n in needles]
     test = F.lit(every)
-    for h in holds:
+    near = F.lit(every)
+    for n, h in zip(needles, holds, strict=True):
         test = (test & h) if every else (test | h)
-    near = F.lit(False)
-    for n in needles:
-        near = near | F.col("content").contains(n)
-    return lines(chunks.where(near)).where(test).select("id", "line_no")
+        inside = F.col("content").contains(n)
+        near = (near & inside) if every else (near | inside)
+    return _held(lines(rows.where(near)).where(test).select("id", "updated_at", "line_no"), versions)
+
 
+def scan_regex(rows: DataFrame, pattern: str, versions: DataFrame) -> DataFrame:
+    """id, line_no, n: lines with a match and how many. The pattern is checked by the caller.
 
-def scan_regex(chunks: DataFrame, pattern: str) -> DataFrame:
-    """id, line_no, n: lines with a match and how many. The pattern is checked by the caller."""
-    return lines(chunks).where(F.col("line").rlike(pattern)).select("id", "line_no", F.regexp_count("line", F.lit(pattern)).alias("n"))
+    A text is split only if the pattern finds something in it, with ^ and $ at every line; a pattern
+    that looks at a text's own ends or switches modes is looked for in every line."""
+    whole = rows if re.search(r"\\[AzZG]|\(\?[a-zA-Z-]*[sm-]", pattern) else rows.where(F.col("content").rlike(f"(?m)(?:{pattern})"))
+    return _held(lines(whole).where(F.col("line").rlike(pattern)).select("id", "updated_at", "line_no", F.regexp_count("line", F.lit(pattern)).alias("n")), versions)
 
 
-def enumerate_kinds(chunks: DataFrame, node_types: Sequence[str]) -> DataFrame:
+def enumerate_kinds(rows: DataFrame, node_types: Sequence[str], versions: DataFrame) -> DataFrame:
     """Definition chunks of the node types, all of them, with the exact count as their number of rows."""
-    return chunks.where(F.col("is_definition") & F.col("chunk_node_type").isin(*node_types)).select("id", "fqn", "file_path", "line_start")
+    return _held(rows.where(F.col("is_definition") & F.col("chunk_node_type").isin(*node_types)).select("id", "updated_at", "fqn", "file_path", "line_start"), versions)
 
 
-def enumerate_named(chunks: DataFrame, target: str) -> DataFrame:
+def enumerate_named(rows: DataFrame, target: str, versions: DataFrame) -> DataFrame:
     """Chunks whose name ends with the target, in any letter case."""
-    return chunks.where(F.lower("fqn").endswith(target.lower())).select("id", "fqn", "file_path", "line_start")
+    return _held(rows.where(F.lower("fqn").endswith(target.lower())).select("id", "updated_at", "fqn", "file_path", "line_start"), versions)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codeloom.operators import chunking as C
 from codeloom.operators import ops as O
+from codeloom.operators.common import keep_latest, latest_rows
 from codeloom.views import SQL_VIEWS, Corpus
 
 _W = "WITH RECURSIVE " + SQL_VIEWS
@@ -45,15 +46,36 @@ def _refreshed(c: Corpus) -> DataFrame:
 
 
 def _lines(c: Corpus) -> DataFrame:
-    from codeloom.operators.lexical import lines
+    """id, updated_at, file_path, language, line_no, line of code, repeats too."""
+    rows = c.rows.where("content_type = 'code'")
+    split = rows.select("id", "updated_at", "file_path", "language", "line_start", F.posexplode(F.split("content", "\n")).alias("at", "line"))
+    return split.select("id", "updated_at", "file_path", "language", (F.coalesce("line_start", F.lit(1)) + F.col("at")).alias("line_no"), F.regexp_replace("line", "\r$", "").alias("line"))
 
-    rows = c.chunks_with("file_path", "line_start", "content", "language", "content_type").where("content_type = 'code'")
-    return lines(rows).join(rows.select("id", "language"), "id")
+
+def _held(c: Corpus, found: DataFrame) -> DataFrame:
+    return keep_latest(found, c.versions, "id")
+
+
+def _imports(c: Corpus) -> DataFrame:
+    return _held(c, C.import_lines(_lines(c), "id", "updated_at")).drop("id")
+
+
+def _rationale(c: Corpus) -> DataFrame:
+    marked = _held(c, _lines(c).where(F.col("line").rlike(C.RATIONALE)).select("id", "updated_at", "file_path", "line_no", "line"))
+    return C.rationale(marked, c.symbols_with("file_path", "line_start", "line_end"))
+
+
+def _embed_sizes(c: Corpus) -> DataFrame:
+    return _held(c, C.embed_text(c.rows, "updated_at").select("id", "updated_at", F.char_length("text").alias("size"), F.md5("text").alias("digest")))
+
+
+def _slices(c: Corpus) -> DataFrame:
+    return _held(c, C.source_slice(c.rows, "updated_at").select("id", "updated_at", F.md5("slice").alias("digest")))
 
 
 def _small_chunks(c: Corpus) -> DataFrame:
-    rows = c.chunks_with("file_path", "line_start", "line_end", "content")
-    return rows.where("line_start is not null and line_end is not null").select("file_path", "line_start", "line_end", F.char_length("content").alias("size"))
+    rows = latest_rows(c.rows.withColumn("size", F.char_length("content")), "id", ["file_path", "line_start", "line_end", "size"])
+    return rows.where("line_start is not null and line_end is not null").select("file_path", "line_start", "line_end", "size")
 
 
 def _digest(c: Corpus) -> DataFrame:
@@ -107,10 +129,10 @@ QUERIES = {
     "s10_heading_chunks": _query(lambda c: C.heading_chunks(_texts(c))),
     "s11_line_blocks": _query(lambda c: C.line_blocks(_texts(c), 20)),
     "s9_coalesced": _query(lambda c: C.coalesced(_small_chunks(c), 750)),
-    "s15_imports": _query(lambda c: C.import_lines(_lines(c))),
-    "s16_rationale": _query(lambda c: C.rationale(_lines(c), c.symbols_with("file_path", "line_start", "line_end"))),
-    "s32_slice": _query(lambda c: C.source_slice(c.chunks_with("content", "line_start", "line_end")).select("id", F.md5("slice").alias("digest"))),
-    "s19_embed_text": _query(lambda c: C.embed_text(c.chunks_with("path_rel", "fqn_rel", "content")).select("id", F.char_length("text").alias("size"))),
+    "s15_imports": _query(_imports),
+    "s16_rationale": _query(_rationale),
+    "s32_slice": _query(_slices),
+    "s19_embed_text": _query(_embed_sizes),
     "m7_stats": _query(lambda c: c.chunks_with("language", "content_type").groupBy("language", "content_type").agg(F.count("*").alias("chunks"))),
     "j4_nation_trade": _query(_nation_trade),
     "j10_region_tree": _query(_hierarchy),
@@ -165,6 +187,16 @@ SELECT doc_id AS item, CAST(i AS INTEGER) AS line_start, CAST(least(i + 19, n) A
 ), q AS (SELECT *, sum(gap) OVER (PARTITION BY file_path ORDER BY line_start, line_end ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM r
 ), p AS (SELECT *, (sum(size) OVER (PARTITION BY file_path, run ORDER BY line_start, line_end ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1) // 750 AS piece FROM q)
 SELECT file_path, min(line_start) AS line_start, max(line_end) AS line_end, count(*) AS n FROM p GROUP BY file_path, run, piece""",
+    "s16_rationale": _W + r"""
+, ln AS (SELECT DISTINCT id, file_path, coalesce(line_start, 1) + i - 1 AS line_no, rtrim(l[i], chr(13)) AS line FROM (SELECT id, file_path, line_start, string_split(content, chr(10)) AS l FROM chk WHERE content IS NOT NULL AND content_type = 'code') x, unnest(range(1, len(l) + 1)) AS u(i)
+), mk AS (SELECT file_path, line_no, lower(regexp_extract(line, '(?i)(?:#|//|/?\*|--)\s*(note|why|hack|todo|fixme|adr)\b[:\s-]*(.*)$', 1)) AS kind, trim(regexp_extract(line, '(?i)(?:#|//|/?\*|--)\s*(note|why|hack|todo|fixme|adr)\b[:\s-]*(.*)$', 2)) AS text FROM ln
+), hit AS (SELECT * FROM mk WHERE kind <> ''
+), sp AS (SELECT h.file_path, h.line_no, s.id, row_number() OVER (PARTITION BY h.file_path, h.line_no ORDER BY s.line_end - s.line_start, s.id) AS rn FROM (SELECT DISTINCT file_path, line_no FROM hit) h JOIN sym s ON s.file_path = h.file_path AND h.line_no BETWEEN s.line_start AND s.line_end)
+SELECT h.file_path, h.line_no, h.kind, h.text, sp.id AS symbol_id FROM hit h LEFT JOIN sp ON sp.file_path = h.file_path AND sp.line_no = h.line_no AND sp.rn = 1""",
+    "s19_embed_text": _W + r"""
+, p AS (SELECT id, substring(coalesce(content, ''), 1, 2000) AS body, trim(concat_ws(' ', replace(regexp_replace(path_rel, '\.[^./]+$', ''), '/', '.'), regexp_replace(coalesce(fqn_rel, ''), '^.*::', ''))) AS head FROM chk
+), x AS (SELECT id, CASE WHEN 2000 - length(body) - 1 > 0 THEN substring(head, 1, 2000 - length(body) - 1) || chr(10) || body ELSE body END AS text FROM p)
+SELECT id, CAST(length(text) AS INTEGER) AS size, md5(text) AS digest FROM x""",
     "s15_imports": _W + r"""
 , ln AS (SELECT file_path, language, coalesce(line_start, 1) + i - 1 AS line_no, rtrim(l[i], chr(13)) AS line FROM (SELECT file_path, language, line_start, string_split(content, chr(10)) AS l FROM chk WHERE content IS NOT NULL AND content_type = 'code') x, unnest(range(1, len(l) + 1)) AS u(i)
 ), m AS (SELECT file_path, line_no, CASE WHEN language = 'python' THEN coalesce(nullif(regexp_extract(line, '^\s*(?:from\s+([\w.]+)\s+import|import\s+([\w.]+))', 1), ''), nullif(regexp_extract(line, '^\s*(?:from\s+([\w.]+)\s+import|import\s+([\w.]+))', 2), ''))

@@ -13,7 +13,7 @@ from codeloom.operators import rank as K
 from codeloom.operators import resolve as S
 from codeloom.operators import traverse as T
 from codeloom.operators import vector as V
-from codeloom.text_queries import _BM, SEARCH_TEXT
+from codeloom.text_queries import _BM, search_scores
 from codeloom.text_queries import ORACLES as _TEXT_SQL
 from codeloom.views import SQL_VIEWS, Corpus
 
@@ -42,7 +42,7 @@ def _doc_links(c: Corpus) -> DataFrame:
 
 
 def _lexical(c: Corpus) -> DataFrame:
-    return L.top(L.bm25(c.chunks, SEARCH_TEXT), POOL)
+    return L.top(search_scores(c), POOL)
 
 
 def _dense(c: Corpus) -> DataFrame:
@@ -56,7 +56,7 @@ def _fused(c: Corpus) -> DataFrame:
 
 def _pool(c: Corpus) -> DataFrame:
     """Every chunk that the text search finds, with what the ranking stages look at."""
-    scored = L.bm25(c.chunks, SEARCH_TEXT)
+    scored = search_scores(c)
     more = c.chunks_with("fqn", "file_path", "line_start", "content", "content_type", "is_definition", "is_test", "subwords")
     return scored.join(more, "id")
 
@@ -66,12 +66,12 @@ def _reranked(c: Corpus) -> DataFrame:
 
 
 def _cohere(c: Corpus) -> DataFrame:
-    rows = L.bm25(c.chunks, SEARCH_TEXT).withColumn("score", F.round("score", 6)).join(c.chunks_with("file_path", "line_start"), "id")
+    rows = search_scores(c).withColumn("score", F.round("score", 6)).join(c.chunks_with("file_path", "line_start"), "id")
     return K.cohere(rows).select("id", "file_path", F.round("score", 6).alias("score"), "file_matches")
 
 
 def _normalised(c: Corpus) -> DataFrame:
-    return K.normalise_scores(L.bm25(c.chunks, SEARCH_TEXT)).select("id", F.round("score", 5).alias("score"))
+    return K.normalise_scores(search_scores(c)).select("id", F.round("score", 5).alias("score"))
 
 
 def _confidence(c: Corpus) -> DataFrame:
@@ -117,7 +117,8 @@ def _abstain(c: Corpus) -> DataFrame:
 
 
 def _trim(c: Corpus) -> DataFrame:
-    rows = _lexical(c).join(c.chunks_with("content"), "id")
+    pool = _lexical(c)
+    rows = pool.join(c.chunks_of(pool, "content"), "id")
     return K.budget_trim(rows, X.estimated_tokens(F.col("content")), [F.round("score", 9).desc(), F.col("id")], 1200).select("id")
 
 

@@ -9,10 +9,13 @@ from codeloom.functions import paths as P
 from codeloom.functions import redact as R
 from codeloom.functions import text as X
 from codeloom.operators import lexical as L
+from codeloom.operators.common import keep_latest
 from codeloom.views import SQL_VIEWS, Corpus
 
 _W = "WITH RECURSIVE " + SQL_VIEWS
 SEARCH_TEXT = "rebuild index token cache"
+PREFIX_TEXT = "rebuildingQuotas of auditing"
+INFORMATIVE_TEXT = "the rebuildIndexes of an audit zzz quota"
 
 
 def _file_classes(c: Corpus) -> DataFrame:
@@ -37,25 +40,43 @@ def _tokens(c: Corpus) -> DataFrame:
                     X.occurrences(F.col("text"), "the").alias("the"))
 
 
+def search_scores(c: Corpus) -> DataFrame:
+    return c.lexical.bm25(X.full_text_words(SEARCH_TEXT))
+
+
 def _bm25(c: Corpus) -> DataFrame:
-    return L.bm25(c.chunks, SEARCH_TEXT).select("id", F.round("score", 6).alias("score"))
+    return search_scores(c).select("id", F.round("score", 6).alias("score"))
+
+
+def _phrases(c: Corpus) -> DataFrame:
+    """Words and sub-words of a query; those that no chunk has as a sub-word stand as prefixes."""
+    index = c.lexical
+    return index.bm25(index.phrases(PREFIX_TEXT)).select("id", F.round("score", 6).alias("score"))
+
+
+def _postings(c: Corpus) -> DataFrame:
+    return c.lexical.postings.where(F.col("term").isin(*X.full_text_words(SEARCH_TEXT))).select("term", "id", F.round("f", 6).alias("f"), "size")
+
+
+def _settle(c: Corpus, found: DataFrame) -> DataFrame:
+    return keep_latest(found, c.versions, "id")
 
 
 def _informative(c: Corpus) -> DataFrame:
-    stats = L.corpus_stats(c.chunks_with("language", "subwords"))
-    total = c.table("code_chunks").agg(F.count_distinct("id")).first()[0]
-    terms = L.informative_terms(stats, total, "the rebuildIndexes of an audit zzz quota")
+    index = c.lexical
+    terms = L.informative_terms(index.stats, index.chunks, INFORMATIVE_TEXT)
     return c.spark.createDataFrame([(t,) for t in terms], "term string")
 
 
 def _redacted(c: Corpus) -> DataFrame:
     r = R.redact(F.col("content"))
-    return c.chunks_with("content").select("id", r.alias("r")).where("r.count > 0").select("id", F.col("r.count").alias("n"), F.md5("r.redacted").alias("digest"))
+    found = c.rows.select("id", "updated_at", r.alias("r")).where("r.count > 0").select("id", "updated_at", F.col("r.count").alias("n"), F.md5("r.redacted").alias("digest"))
+    return _settle(c, found)
 
 
 def _redaction_counts(c: Corpus) -> DataFrame:
-    counted = c.chunks_with("content").select("id", *R.redaction_counts(F.col("content")))
-    return counted.agg(*[F.sum(n).alias(n) for n in ("jwt", "aws_key", "github_token", "slack_token", "connection_string", "private_key")])
+    counted = _settle(c, c.rows.select("id", "updated_at", *R.redaction_counts(F.col("content"))))
+    return counted.agg(*[F.sum(n).alias(n) for n in R.PATTERNS])
 
 
 def _query(run):
@@ -67,16 +88,18 @@ QUERIES = {
     "e25_names": _query(_names),
     "e24_tokens": _query(_tokens),
     "s23_corpus_stats": _query(lambda c: L.corpus_stats(c.chunks_with("language", "subwords"))),
+    "j1_postings": _query(_postings),
     "h3_bm25": _query(_bm25),
-    "h3_bm25_top": _query(lambda c: L.top(L.bm25(c.chunks, SEARCH_TEXT), 50).select("id", F.round("score", 6).alias("score"))),
-    "h4_match_counts": _query(lambda c: L.match_counts(c.chunks, "quota audit")),
+    "h3_prefix_terms": _query(_phrases),
+    "h3_bm25_top": _query(lambda c: L.top(search_scores(c), 50).select("id", F.round("score", 6).alias("score"))),
+    "h4_match_counts": _query(lambda c: c.lexical.match_counts(["quota", "audit"])),
     "h7_informative_terms": _query(_informative),
-    "x1_literal": _query(lambda c: L.scan_literal(c.chunks_with("file_path", "line_start", "content"), "index")),
-    "x2_all_tokens": _query(lambda c: L.scan_tokens(c.chunks_with("file_path", "line_start", "content"), ["index", "token", "the"], True)),
-    "x2_any_token": _query(lambda c: L.scan_tokens(c.chunks_with("file_path", "line_start", "content"), ["heartbeat", "quota audit"], False)),
-    "x3_regex": _query(lambda c: L.scan_regex(c.chunks_with("file_path", "line_start", "content"), "[a-z]+_(?:index|token)\\(")),
-    "x5_enumerate": _query(lambda c: L.enumerate_kinds(c.chunks_with("is_definition", "chunk_node_type", "fqn", "file_path", "line_start"), ["class"])),
-    "x5_enumerate_named": _query(lambda c: L.enumerate_named(c.chunks_with("fqn", "file_path", "line_start"), "INDEX")),
+    "x1_literal": _query(lambda c: L.scan_literal(c.rows, "index", c.versions)),
+    "x2_all_tokens": _query(lambda c: L.scan_tokens(c.rows, ["index", "token", "the"], True, c.versions)),
+    "x2_any_token": _query(lambda c: L.scan_tokens(c.rows, ["heartbeat", "quota audit"], False, c.versions)),
+    "x3_regex": _query(lambda c: L.scan_regex(c.rows, "[a-z]+_(?:index|token)\\(", c.versions)),
+    "x5_enumerate": _query(lambda c: L.enumerate_kinds(c.rows, ["class"], c.versions)),
+    "x5_enumerate_named": _query(lambda c: L.enumerate_named(c.rows, "INDEX", c.versions)),
     "e37_redacted": _query(_redacted),
     "e37_redaction_counts": _query(_redaction_counts),
 }
@@ -106,6 +129,30 @@ _SIDE = (
 _AXIS = f"CASE WHEN ext IN {_l(P.DOCS_EXTENSIONS)} THEN 'docs' WHEN ext IN {_l(P.CONFIG_EXTENSIONS)} OR starts_with(lower(base), '.env') OR lower(base) = 'environment' THEN 'config' ELSE 'code' END"
 _FIELDS = """concat_ws(' ')"""
 
+def _quoted(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
+
+#: The match expression of PREFIX_TEXT: its words, then its sub-words, those that no chunk has as prefixes.
+_PHRASE_SQL = """
+, tok AS (
+  SELECT id, regexp_extract_all(lower(coalesce(content, '')), '[a-z0-9]+') AS c1, regexp_extract_all(lower(coalesce(array_to_string(subwords, ' '), '')), '[a-z0-9]+') AS c2,
+    regexp_extract_all(lower(coalesce(fqn_rel, '')), '[a-z0-9]+') AS c3, regexp_extract_all(lower(coalesce(path_rel, '')), '[a-z0-9]+') AS c4,
+    regexp_extract_all(lower(coalesce(declared_rules, '')), '[a-z0-9]+') AS c5, regexp_extract_all(lower(coalesce(content_type, '')), '[a-z0-9]+') AS c6 FROM chk
+), sz AS (SELECT *, len(c1) + len(c2) + len(c3) + len(c4) + len(c5) + len(c6) AS d FROM tok
+), kn AS (SELECT DISTINCT lower(trim(w)) AS w FROM (SELECT unnest(subwords) AS w FROM chk) WHERE w IS NOT NULL AND trim(w) <> ''
+), q(t, pre) AS (
+  SELECT t, false FROM (VALUES ('rebuildingquotas'), ('of'), ('auditing')) v(t)
+  UNION ALL SELECT CASE WHEN t IN (SELECT w FROM kn) OR length(t) < 3 THEN t ELSE substring(t, 1, 3) END, NOT (t IN (SELECT w FROM kn) OR length(t) < 3) FROM (VALUES ('rebuilding'), ('quotas'), ('of'), ('auditing')) v(t)
+), u AS (SELECT t, pre, count(*) AS m FROM q GROUP BY 1, 2
+), f AS (
+  SELECT id, t, pre, m, d, len(list_filter(c1, lambda x: CASE WHEN pre THEN starts_with(x, t) ELSE x = t END)) * 1.0 + len(list_filter(c2, lambda x: CASE WHEN pre THEN starts_with(x, t) ELSE x = t END)) * 0.6
+    + len(list_filter(c3, lambda x: CASE WHEN pre THEN starts_with(x, t) ELSE x = t END)) * 0.5 + len(list_filter(c4, lambda x: CASE WHEN pre THEN starts_with(x, t) ELSE x = t END)) * 0.2
+    + len(list_filter(c5, lambda x: CASE WHEN pre THEN starts_with(x, t) ELSE x = t END)) * 0.4 + len(list_filter(c6, lambda x: CASE WHEN pre THEN starts_with(x, t) ELSE x = t END)) * 1.0 AS f FROM sz, u
+), st AS (SELECT t, pre, count(*) FILTER (WHERE f > 0) AS n FROM f GROUP BY 1, 2
+), g AS (SELECT count(*) AS total, avg(d) AS a FROM sz)
+SELECT id, round(sum(CASE WHEN f > 0 THEN m * CASE WHEN ln((total - n + 0.5) / (n + 0.5)) > 0 THEN ln((total - n + 0.5) / (n + 0.5)) ELSE 1e-6 END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * d / a)) ELSE 0 END), 6) AS score
+FROM f JOIN st USING (t, pre), g GROUP BY 1 HAVING max(f) > 0"""
 _BM = _W + """
 , tok AS (
   SELECT id, regexp_extract_all(lower(coalesce(content, '')), '[a-z0-9]+') AS c1, regexp_extract_all(lower(coalesce(array_to_string(subwords, ' '), '')), '[a-z0-9]+') AS c2,
@@ -157,6 +204,15 @@ SELECT 'token' AS section, key, language, count(*) AS doc_count FROM (SELECT lan
 UNION ALL SELECT 'prefix', key, language, count(*) FROM (SELECT language, unnest(list_distinct(list_transform(list_filter(w, lambda x: length(x) >= 3), lambda x: substring(x, 1, 3)))) AS key FROM t) GROUP BY ALL""",
     "h3_bm25": _BM + " SELECT id, round(score, 6) AS score FROM sc",
     "h3_bm25_top": _BM + " SELECT id, round(score, 6) AS score FROM sc ORDER BY round(score, 9) DESC, id LIMIT 50",
+    "j1_postings": _BM + " SELECT t AS term, id, round(f, 6) AS f, d AS size FROM f WHERE f > 0",
+    "h3_prefix_terms": _W + _PHRASE_SQL,
+    "h7_informative_terms": _W + """
+, sw AS (SELECT id, list_distinct(list_filter(list_transform(subwords, lambda x: lower(trim(x))), lambda x: x IS NOT NULL AND x <> '')) AS w FROM chk
+), st AS (SELECT key, count(*) AS d FROM (SELECT unnest(w) AS key FROM sw) GROUP BY 1
+), pf AS (SELECT key, sum(1) AS d FROM (SELECT id, unnest(list_distinct(list_transform(list_filter(w, lambda x: length(x) >= 3), lambda x: substring(x, 1, 3)))) AS key FROM sw) GROUP BY 1
+), q(t) AS (VALUES ('rebuild'), ('indexes'), ('audit'), ('zzz'), ('quota')
+), d AS (SELECT t, coalesce(st.d, pf.d, 0) AS n FROM q LEFT JOIN st ON st.key = t LEFT JOIN pf ON pf.key = substring(t, 1, 3))
+SELECT t AS term FROM d WHERE n > 0 AND (ln((SELECT count(*) FROM chk) / n) >= 0.8 OR n <= 2)""",
     "h4_match_counts": _W + """
 , tok AS (SELECT id, is_test, regexp_extract_all(lower(concat_ws(' ', content, array_to_string(subwords, ' '), fqn_rel, path_rel, declared_rules, content_type)), '[a-z0-9]+') AS w FROM chk)
 SELECT coalesce(is_test, false) AS is_test, count(*) AS n FROM tok WHERE list_contains(w, 'quota') OR list_contains(w, 'audit') GROUP BY 1""",
@@ -166,9 +222,5 @@ SELECT coalesce(is_test, false) AS is_test, count(*) AS n FROM tok WHERE list_co
     "x3_regex": _LINES + r" SELECT id, line_no, CAST(len(regexp_extract_all(line, '[a-z]+_(?:index|token)\(')) AS INTEGER) AS n FROM ln WHERE regexp_matches(line, '[a-z]+_(?:index|token)\(')",
     "x5_enumerate": _W + "SELECT id, fqn, file_path, line_start FROM chk WHERE is_definition AND chunk_node_type = 'class'",
     "x5_enumerate_named": _W + "SELECT id, fqn, file_path, line_start FROM chk WHERE ends_with(lower(fqn), 'index')",
-    "e37_redaction_counts": _W + r"""
-SELECT CAST(sum(len(regexp_extract_all(content, 'eyJ[a-zA-Z0-9_-]{10,}\.[a-zA-Z0-9_-]{10,}\.[a-zA-Z0-9_-]+'))) AS BIGINT) AS jwt, CAST(sum(len(regexp_extract_all(content, '(?i)AKIA[0-9A-Z]{16}'))) AS BIGINT) AS aws_key,
-  CAST(sum(len(regexp_extract_all(content, '(?i)ghp_[a-zA-Z0-9]{36}'))) AS BIGINT) AS github_token, CAST(sum(len(regexp_extract_all(content, 'xox[baprs]-[a-zA-Z0-9\-]{10,}'))) AS BIGINT) AS slack_token,
-  CAST(sum(len(regexp_extract_all(content, '(?i)(?:postgres(?:ql)?|mysql|mongodb|redis)://[^@\s]+:[^@\s]+@'))) AS BIGINT) AS connection_string,
-  CAST(sum(len(regexp_extract_all(content, '-----BEGIN\s+(?:RSA\s+)?PRIVATE\s+KEY-----'))) AS BIGINT) AS private_key FROM chk""",
+    "e37_redaction_counts": _W + " SELECT " + ", ".join(f"CAST(sum(len(regexp_extract_all(content, '{_quoted(p)}'))) AS BIGINT) AS {name}" for name, p in R.PATTERNS.items()) + " FROM chk",
 }

@@ -14,7 +14,9 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.operators.common import latest_rows
+from codeloom.operators.common import latest_rows, path_exists, table_state, work_folder
+from codeloom.operators.lexical import corpus_stats
+from codeloom.operators.postings import LexicalIndex
 from codeloom.sources.tables import load
 
 SYMBOL_COLUMNS = (
@@ -90,6 +92,30 @@ class Corpus:
     def chunks_with(self, *columns: str) -> DataFrame:
         return latest_rows(self.table("code_chunks"), "id", ["id", *[c for c in columns if c != "id"]])
 
+    @cached_property
+    def rows(self) -> DataFrame:
+        """The chunks as they are written, repeats too: what reads texts works on these where they
+        lie and drops what it found in old rows by ``versions``."""
+        return self.table("code_chunks").where("id is not null")
+
+    @cached_property
+    def versions(self) -> DataFrame:
+        return self.rows.select("id", "updated_at")
+
+    def chunks_of(self, ids: DataFrame, *columns: str) -> DataFrame:
+        """The holding rows of a pool of ids (id; bounded by the top-k that made it)."""
+        near = self.table("code_chunks").join(F.broadcast(ids.select("id").distinct()), "id", "left_semi")
+        return latest_rows(near, "id", ["id", *[c for c in columns or CHUNK_COLUMNS if c != "id"]])
+
+    @cached_property
+    def lexical(self) -> LexicalIndex:
+        """The inverted index of this state of the table; written when first asked for."""
+        table = f"{self.sf_dir}/code_chunks.parquet"
+        path = f"{work_folder(self.spark)}/lexical-{table_state(self.spark, table)}"
+        if not path_exists(self.spark, f"{path}/facts/_SUCCESS"):
+            LexicalIndex.write(self.table("code_chunks"), corpus_stats(self.chunks_with("language", "subwords")), path)
+        return LexicalIndex.read(self.spark, path)
+
     @cached_property
     def modules(self) -> DataFrame:
         """source_path, target_path, resolved, target_raw of imports between files."""
