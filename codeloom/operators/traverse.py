@@ -22,7 +22,7 @@ def levels(links: DataFrame, seeds: DataFrame, max_depth: int | None, seen: Data
     links: a, b; seeds: node. Nodes of ``seen`` are never reported again; with ``seen`` left out a
     seed on a circle is reported at the length of the circle. All seeds walk together, so the work
     per level is one join whatever their number. A circle ends as its nodes are known."""
-    links = links.select("a", "b").distinct()
+    links = cut(links.select("a", "b").distinct())
     front = cut(seeds.select("node").distinct())
     known = seen.select("node") if seen is not None else None
     out = None
@@ -289,8 +289,8 @@ def strong_components(links: DataFrame) -> DataFrame:
     return alone.join(least, "colour").select("node", "component")
 
 
-def module_cycles(modules: DataFrame, max_length: int = 4) -> DataFrame:
-    """members, length of simple import circles of up to ``max_length`` files.
+def module_cycles(modules: DataFrame, max_length: int | None = None) -> DataFrame:
+    """members, length of simple import circles, of up to ``max_length`` files where that is given.
 
     Only links inside strong components are walked, and a walk only passes files greater than the
     one it began at, so each circle is met once, from its least file."""
@@ -303,8 +303,10 @@ def module_cycles(modules: DataFrame, max_length: int = 4) -> DataFrame:
     inner = cut(inner)
     walk = inner.where("a < b").select(F.col("a").alias("first"), F.col("b").alias("last"), F.array("a", "b").alias("members"))
     out = inner.where("a = b").select(F.array("a").alias("members"))
-    for _ in range(2, max_length + 1):
+    for _ in count(2) if max_length is None else range(2, max_length + 1):
         walk = cut(walk)
+        if not walk.limit(1).count():
+            break
         closed = walk.join(inner, (F.col("last") == F.col("a")) & (F.col("first") == F.col("b")), "left_semi")
         out = out.unionByName(closed.select("members"))
         walk = walk.join(inner, F.col("last") == F.col("a")).where("b > first and not array_contains(members, b)").select("first", F.col("b").alias("last"), F.concat("members", F.array("b")).alias("members"))

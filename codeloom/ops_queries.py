@@ -105,6 +105,11 @@ def _hierarchy(c: Corpus) -> DataFrame:
     return build_forest(r.unionByName(n).unionByName(k), "id", "parent", "name").positions().select("id", "root_id", "depth")
 
 
+def _index(c: Corpus) -> DataFrame:
+    """The full index: every relation of the corpus rebuilt for this state of its tables."""
+    return c.spark.createDataFrame(sorted(c.build().items()), "relation string, row_count long")
+
+
 def _query(run):
     return lambda spark, sf_dir: run(Corpus(spark, sf_dir))
 
@@ -129,6 +134,7 @@ QUERIES = {
     "s10_heading_chunks": _query(lambda c: C.heading_chunks(_texts(c))),
     "s11_line_blocks": _query(lambda c: C.line_blocks(_texts(c), 20)),
     "s9_coalesced": _query(lambda c: C.coalesced(_small_chunks(c), 750)),
+    "s21_index": _query(_index),
     "s15_imports": _query(_imports),
     "s16_rationale": _query(_rationale),
     "s32_slice": _query(_slices),
@@ -187,6 +193,12 @@ SELECT doc_id AS item, CAST(i AS INTEGER) AS line_start, CAST(least(i + 19, n) A
 ), q AS (SELECT *, sum(gap) OVER (PARTITION BY file_path ORDER BY line_start, line_end ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM r
 ), p AS (SELECT *, (sum(size) OVER (PARTITION BY file_path, run ORDER BY line_start, line_end ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1) // 750 AS piece FROM q)
 SELECT file_path, min(line_start) AS line_start, max(line_end) AS line_end, count(*) AS n FROM p GROUP BY file_path, run, piece""",
+    "s21_index": _W + """
+, w AS (SELECT DISTINCT id, unnest(regexp_extract_all(lower(concat_ws(' ', content, array_to_string(subwords, ' '), fqn_rel, path_rel, declared_rules, content_type)), '[a-z0-9]+')) AS t FROM chk
+), t AS (SELECT coalesce(language, 'unknown') AS language, list_distinct(list_filter(list_transform(subwords, lambda x: lower(trim(x))), lambda x: x IS NOT NULL AND x <> '')) AS w FROM chk
+), st AS (SELECT DISTINCT 'token' AS s, language, unnest(w) AS k FROM t UNION ALL SELECT DISTINCT 'prefix', language, unnest(list_transform(list_filter(w, lambda x: length(x) >= 3), lambda x: substring(x, 1, 3))) FROM t)
+SELECT 'symbols' AS relation, count(*) AS row_count FROM sym UNION ALL SELECT 'edges', count(*) FROM edg UNION ALL SELECT 'resolved_edges', count(*) FROM res UNION ALL SELECT 'chunks', count(*) FROM chk
+UNION ALL SELECT 'postings', count(*) FROM w UNION ALL SELECT 'subword_stats', count(*) FROM st""",
     "s16_rationale": _W + r"""
 , ln AS (SELECT DISTINCT id, file_path, coalesce(line_start, 1) + i - 1 AS line_no, rtrim(l[i], chr(13)) AS line FROM (SELECT id, file_path, line_start, string_split(content, chr(10)) AS l FROM chk WHERE content IS NOT NULL AND content_type = 'code') x, unnest(range(1, len(l) + 1)) AS u(i)
 ), mk AS (SELECT file_path, line_no, lower(regexp_extract(line, '(?i)(?:#|//|/?\*|--)\s*(note|why|hack|todo|fixme|adr)\b[:\s-]*(.*)$', 1)) AS kind, trim(regexp_extract(line, '(?i)(?:#|//|/?\*|--)\s*(note|why|hack|todo|fixme|adr)\b[:\s-]*(.*)$', 2)) AS text FROM ln

@@ -64,7 +64,7 @@ def execute(text: str, graph: PatternGraph, limit: int = DEFAULT_ROWS, cursor: s
     except Exception as x:
         if late.is_set():
             return {**base, "outcome": "timeout", "error": "the query took too long", "error_kind": "timeout", "position": None}
-        return {**base, "outcome": "invalid_argument", "error": type(x).__name__, "error_kind": "execution", "position": None}
+        return {**base, "outcome": "failed", "error": type(x).__name__, "error_kind": "execution", "position": None}
     finally:
         timer.cancel()
         sc.setLocalProperty("spark.jobGroup.id", None)

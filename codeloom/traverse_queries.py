@@ -167,7 +167,7 @@ UNION SELECT 'container', parent_symbol_id, 'CONTAINS' FROM sym WHERE id = {_ROO
 SELECT w.root, w.node AS id, m.depth, min(w.lead) AS path FROM w JOIN m ON m.root = w.root AND m.node = w.node AND m.depth = w.depth GROUP BY 1, 2, 3""",
     "g18_import_cycles": _W + _MODULES + """
 , l AS MATERIALIZED (SELECT DISTINCT source_path AS a, target_path AS b FROM mods WHERE resolved AND target_path IS NOT NULL
-), w(f, last, p) AS (SELECT a, b, [a, b] FROM l WHERE a < b UNION ALL SELECT w.f, l.b, list_append(w.p, l.b) FROM w JOIN l ON l.a = w.last WHERE l.b > w.f AND NOT list_contains(w.p, l.b) AND len(w.p) < 4)
+), w(f, last, p) AS (SELECT a, b, [a, b] FROM l WHERE a < b UNION ALL SELECT w.f, l.b, list_append(w.p, l.b) FROM w JOIN l ON l.a = w.last WHERE l.b > w.f AND NOT list_contains(w.p, l.b))
 SELECT array_to_string(p, ' > ') AS members, CAST(len(p) AS INTEGER) AS length FROM w WHERE EXISTS (SELECT 1 FROM l WHERE l.a = w.last AND l.b = w.f)
 UNION ALL SELECT a, 1 FROM l WHERE a = b""",
     "g14_changed_tests": _W + _IMPACT + _BOUNDED + " SELECT s.id, d.distance FROM d JOIN sym s ON s.id = d.node WHERE s.is_test",

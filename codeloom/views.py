@@ -8,6 +8,7 @@ modules   file to file: one row per pair of files that an IMPORTS edge joins
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -65,25 +66,34 @@ class Corpus:
     def table(self, name: str) -> DataFrame:
         return load(self.spark, self.sf_dir, name)
 
+    def settled(self, name: str, table: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A clean relation of this state of its table: settled once, then read column by column.
+
+        What newest rows cost - an aggregation over all rows - is paid when a table has changed, not
+        by every question."""
+        path = f"{work_folder(self.spark)}/{name}-{table_state(self.spark, f'{self.sf_dir}/{table}.parquet')}"
+        if not path_exists(self.spark, f"{path}/_SUCCESS"):
+            build().write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path)
+
     def symbols_with(self, *columns: str) -> DataFrame:
-        """Only the named columns, so that only they are read and shuffled."""
-        return clean_symbols(self.table("symbols"), ["id", *[c for c in columns if c != "id"]])
+        """Only the named columns, so that only they are read."""
+        return self.symbols.select("id", *[c for c in columns if c != "id"])
 
     @cached_property
     def symbols(self) -> DataFrame:
-        return clean_symbols(self.table("symbols"))
+        return self.settled("symbols", "symbols", lambda: clean_symbols(self.table("symbols")))
 
     @cached_property
     def edges(self) -> DataFrame:
         """Without the ranges of targets, which no operator reads."""
-        return clean_edges(self.table("edges"), [c for c in EDGE_COLUMNS if c != "target_range"])
+        return self.settled("edges", "edges", lambda: clean_edges(self.table("edges"), [c for c in EDGE_COLUMNS if c != "target_range"]))
 
     @cached_property
     def resolved_edges(self) -> DataFrame:
-        """Those that lead to a symbol, with what the graph operators look at. Edges without a target
-        are dropped before anything is shuffled: they never state the same as one with a target."""
+        """Those that lead to a symbol, with what the graph operators look at."""
         lean = ["id", "source_symbol_id", "target_symbol_id", "edge_type", "source_range", "resolution_tier", "resolved"]
-        return clean_edges(self.table("edges").where("target_symbol_id is not null"), lean).where("resolved")
+        return self.edges.where("resolved and target_symbol_id is not null").select(*lean)
 
     @cached_property
     def chunks(self) -> DataFrame:
@@ -116,6 +126,10 @@ class Corpus:
             LexicalIndex.write(self.table("code_chunks"), corpus_stats(self.chunks_with("language", "subwords")), path)
         return LexicalIndex.read(self.spark, path)
 
+    def build(self) -> dict[str, int]:
+        """Settles every relation and writes the index; their numbers of rows."""
+        return {"symbols": self.symbols.count(), "edges": self.edges.count(), "resolved_edges": self.resolved_edges.count(), "chunks": self.lexical.chunks, "postings": self.lexical.postings.count(), "subword_stats": self.lexical.stats.count()}
+
     @cached_property
     def modules(self) -> DataFrame:
         """source_path, target_path, resolved, target_raw of imports between files."""

@@ -1,5 +1,5 @@
 import pytest
-from graph_fixture import graph
+from shop_graph import shop
 from pyspark.sql import functions as F
 
 from codeloom.operators import graph as G
@@ -9,7 +9,7 @@ from codeloom.views import clean_edges
 
 @pytest.fixture(scope="module")
 def g(spark):
-    symbols, edges = graph(spark)
+    symbols, edges = shop(spark)
     edges = clean_edges(edges).cache()
     return symbols.cache(), edges, edges.where("resolved and target_symbol_id is not null").cache()
 
@@ -19,19 +19,19 @@ def ids(df, *columns):
 
 
 def test_edges_are_one_per_statement(g):
-    assert sorted(r["id"] for r in g[1].collect()) == [1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12]
+    assert sorted(r["id"] for r in g[1].collect()) == list(range(1, 14))
 
 
 def test_degrees_and_importance(g):
     symbols, _, resolved = g
     calls = {r["symbol_id"]: (r["in_count"], r["out_count"]) for r in G.degrees(resolved).where("edge_type = 'CALLS'").collect()}
-    assert calls[2] == (3, 1) and calls[1] == (1, 2)
+    assert calls[140] == (3, 1) and calls[103] == (0, 2)
     weight = {r["id"]: r["importance"] for r in G.importance(symbols, resolved).collect()}
-    assert weight[2] == pytest.approx(3**0.5, abs=1e-6) and weight[12] == 0.0
+    assert weight[140] == pytest.approx(3**0.5, abs=1e-6) and weight[160] == 0.0
 
 
 def test_dispatch_reaches_implementations_and_their_subtypes(g):
-    assert ids(G.dispatch_edges(g[0], g[2]), "source_symbol_id", "target_symbol_id") == [(1, 9), (1, 15)]
+    assert ids(G.dispatch_edges(g[0], g[2]), "source_symbol_id", "target_symbol_id") == [(102, 121), (102, 131)]
 
 
 def test_subtypes_have_no_depth_limit(spark):
@@ -42,58 +42,57 @@ def test_subtypes_have_no_depth_limit(spark):
 
 
 def test_implementations_know_direct_from_indirect(g):
-    assert ids(G.implementations(g[0], g[2]), "interface_id", "type_id", "direct") == [(6, 8, True), (6, 14, False)]
+    assert ids(G.implementations(g[0], g[2]), "interface_id", "type_id", "direct") == [(110, 120, True), (110, 130, False)]
 
 
 def test_tests_edges_validation_and_entry_points(g):
-    assert ids(G.tests_edges(g[0], g[2]), "source_symbol_id", "target_symbol_id") == [(12, 1)]
+    assert ids(G.tests_edges(g[0], g[2]), "source_symbol_id", "target_symbol_id") == [(160, 102), (160, 141)]
     dropped = {r["id"]: r["dropped_by"] for r in G.validated_edges(g[0], g[1]).collect()}
-    assert dropped[11] == 1 and 10 not in dropped and 2 not in dropped
+    assert dropped[10] == 1 and 9 not in dropped and 2 not in dropped
     reasons = {r["id"]: r["reason"] for r in G.entry_points(g[0], g[2]).collect()}
-    assert reasons[12] == "test" and reasons[9] == "override" and reasons[1] == "exported" and 3 not in reasons
+    assert reasons[160] == "test" and reasons[121] == "override" and reasons[141] == "exported" and 150 not in reasons
 
 
 def test_dead_code_with_evidence(g):
-    rows = {r["fqn"].split("::")[1]: r["confidence"] for r in G.dead_code(g[0], g[1]).collect()}
-    assert rows["dead"] == "high" and rows["alpha"] == "medium" and "beta" not in rows and "test_alpha" not in rows
+    rows = {r["id"]: r["confidence"] for r in G.dead_code(g[0], g[1]).collect()}
+    assert rows[150] == "high" and rows[102] == "medium" and not {111, 140, 141, 160} & set(rows)
 
 
 def test_overloads_outline_and_search(g):
-    assert [r["name"] for r in G.outline(g[0], "r/a.py").collect()] == ["alpha", "beta", "dead", "Alpha", "run"]
-    assert ids(G.symbol_search(g[0], g[2], text="ALP", exclude_entry_points=True), "id") == [(1,)]
+    assert [r["name"] for r in G.outline(g[0], "shop/basket.ts").collect()] == ["Basket", "addLine", "sum"]
+    assert ids(G.symbol_search(g[0], g[2], text="OUCH", exclude_entry_points=True), "id") == [(170,), (171,)]
 
 
 def test_callers_report_a_root_on_a_circle(g):
-    seeds = g[0].where("id = 2").select(F.col("id").alias("node"))
-    assert ids(T.callers(g[1], seeds), "node", "depth") == [(1, 1), (2, 1), (5, 1), (12, 2)]
+    seeds = g[0].where("id = 140").select(F.col("id").alias("node"))
+    assert ids(T.callers(g[1], seeds), "node", "depth") == [(103, 1), (140, 1), (141, 1), (160, 2)]
 
 
 def test_callees_keep_unresolved_leaves(g):
-    seeds = g[0].where("id in (3)").select(F.col("id").alias("node"))
-    assert ids(T.callees(g[1], seeds), "callee", "depth") == [("u:", 1), ("u:loader.orphan", 1)]
+    seeds = g[0].where("id = 150").select(F.col("id").alias("node"))
+    assert ids(T.callees(g[1], seeds), "callee", "depth") == [("u:", 1), ("u:smtp.push", 1)]
 
 
 def test_subtypes_with_paths_and_ancestors(g):
-    roots = g[0].where("id = 6").select(F.col("id").alias("root"))
-    assert ids(T.subtypes(g[0], g[1], roots), "id", "depth", "path") == [(8, 1, "r/impl.py::Impl"), (14, 2, "r/impl.py::Impl>r/sub.py::Sub")]
-    below = g[0].where("id = 14").select(F.col("id").alias("root"))
-    assert ids(T.ancestors(g[0], g[1], below), "id", "depth") == [(8, 1)]
+    roots = g[0].where("id = 110").select(F.col("id").alias("root"))
+    assert ids(T.subtypes(g[0], g[1], roots), "id", "depth", "path") == [(120, 1, "shop/depot.ts::Depot"), (130, 2, "shop/depot.ts::Depot>shop/kiosk.ts::Kiosk")]
+    below = g[0].where("id = 130").select(F.col("id").alias("root"))
+    assert ids(T.ancestors(g[0], g[1], below), "id", "depth") == [(120, 1)]
 
 
 def test_shortest_path_walks_containment(g):
-    hops = T.shortest_path(g[0], g[2], 4, 2).orderBy("hop").collect()
-    assert [(h["from_id"], h["to_id"], h["relation"]) for h in hops] == [(4, 5, "CONTAINS"), (5, 2, "CALLS")]
-    assert T.shortest_path(g[0], g[2], 4, 4).count() == 0
-    assert T.shortest_path(g[0], g[2], 2, 12).count() == 0
-    assert T.shortest_path(g[0], g[2], 2, 12, undirected=True).count() == 2
+    hops = T.shortest_path(g[0], g[2], 101, 141).orderBy("hop").collect()
+    assert [(h["from_id"], h["to_id"], h["relation"]) for h in hops] == [(101, 103, "CONTAINS"), (103, 141, "CALLS")]
+    assert T.shortest_path(g[0], g[2], 101, 101).count() == 0 and T.shortest_path(g[0], g[2], 140, 160).count() == 0
+    assert T.shortest_path(g[0], g[2], 140, 160, undirected=True).count() == 2
 
 
 def test_impact_and_neighbourhood(spark, g):
-    changed = spark.createDataFrame([("r/inherit.py",)], "file_path string")
+    changed = spark.createDataFrame([("shop/voucher.ts",)], "file_path string")
     rows = {r["id"]: (r["distance"], r["risk"]) for r in T.impact(g[0], g[2], changed).collect()}
-    assert rows == {10: (0, "high"), 11: (0, "high")}
-    seeds = spark.createDataFrame([(1,)], "node long")
-    assert ids(T.neighbourhood(g[0], g[1], seeds, depth=1), "id", "distance") == [(1, 0), (2, 1), (7, 1), (12, 1)]
+    assert rows == {170: (0, "high"), 171: (0, "high")}
+    seeds = spark.createDataFrame([(141,)], "node long")
+    assert ids(T.neighbourhood(g[0], g[1], seeds, depth=1), "id", "distance") == [(103, 1), (140, 1), (141, 0), (160, 1)]
 
 
 def test_walks_to_the_end_have_no_bound(spark):
@@ -101,6 +100,8 @@ def test_walks_to_the_end_have_no_bound(spark):
 
     links = spark.createDataFrame([(k, k + 1) for k in range(12)], "a long, b long")
     assert T.levels(links, spark.createDataFrame([(0,)], "node long"), None).count() == 12
+    ring = spark.createDataFrame([(f"f{k}", f"f{(k + 1) % 6}", True) for k in range(6)] + [("f2", "f1", True)], "source_path string, target_path string, resolved boolean")
+    assert ids(T.module_cycles(ring), "length") == [(2,), (6,)] and ids(T.module_cycles(ring, 4), "length") == [(2,)]
     assert list(inspect.signature(T.strong_components).parameters) == ["links"]
 
 
