@@ -208,6 +208,16 @@ def token_savings(results: DataFrame, files: DataFrame) -> DataFrame:
     return got.crossJoin(full).select("returned", "full", (F.col("full") - F.col("returned")).alias("saved"))  # one row each
 
 
+def related_score(package: Column, sharing: Column, proximity: Column, cosine: Column) -> Column:
+    """Relatedness of two pieces of code from shared packages and types, nearness in calls, and vectors.
+
+    Vectors that agree where nothing in the structure does are halved."""
+    semantic = 0.2 * package + 0.2 * sharing + 0.6 * proximity
+    structure = 0.3 * package + 0.3 * sharing + 0.4 * proximity
+    final = 0.8 * semantic + 0.2 * cosine
+    return F.when((structure < 0.15) & (cosine > 0.7), final * 0.5).otherwise(final)
+
+
 def scope(query: str) -> str:
     """docs, code or code_focused: where a question is to be looked for."""
     words = set(X.query_tokens(query))
