@@ -17,11 +17,13 @@ from codeloom.functions import text as X
 from codeloom.operators import graph as G
 from codeloom.operators import lexical as L
 from codeloom.operators import ops as O
+from codeloom.operators import passes as PS
 from codeloom.operators import rank as K
 from codeloom.operators import resolve as S
 from codeloom.operators import traverse as T
 from codeloom.operators import vector as V
 from codeloom.operators.common import cut, keep_latest, latest_rows
+from codeloom.operators.postings import LexicalIndex
 from codeloom.plans.pattern.execute import execute
 from codeloom.pattern_queries import pattern_graph
 from codeloom.sources.sinks import append_audit
@@ -38,10 +40,10 @@ POOL = 40
 #: Questions by form, first match first: what is asked, and what it is about.
 ROUTES = (
     ("literal", re.compile(r'^\s*"([^"]+)"\s*$')),
-    ("callers", re.compile(r"(?i)\bwho calls\s+([\w.:]+)|\bcallers of\s+([\w.:]+)|\bwhere is\s+([\w.:]+)\s+(?:called|used)")),
+    ("callers", re.compile(r"(?i)\b(?:who|what)\s+(?:calls|invokes|uses)\s+([\w.:]+)|\b(?:callers|usages|uses) of\s+([\w.:]+)|\bwhere is\s+([\w.:]+)\s+(?:called|used|invoked)")),
     ("callees", re.compile(r"(?i)\bwhat does\s+([\w.:]+)\s+call|\bcallees of\s+([\w.:]+)")),
     ("implementations", re.compile(r"(?i)\b(?:implementations|implementers|subclasses) of\s+([\w.:]+)|\bwho implements\s+([\w.:]+)")),
-    ("definition", re.compile(r"(?i)\bwhere is\s+([\w.:]+)\s+(?:defined|declared)|\bdefinition of\s+([\w.:]+)|\bdefine\s+([\w.:]+)")),
+    ("definition", re.compile(r"(?i)^\s*([A-Za-z_]\w*(?:(?:\.|::)\w+)+|[a-z]+(?:[A-Z]\w*)+|\w+_\w+)\s*$|\bwhere is\s+([\w.:]+)\s+(?:defined|declared)|\bdefinition of\s+([\w.:]+)|\bdefine\s+([\w.:]+)")),
 )
 
 
@@ -158,32 +160,66 @@ class Engine:
         pool_size = max(2 * limit, POOL)
         terms, phrases = X.decompose(query), index.phrases(query)
         lexical = L.top(index.bm25(phrases, scope), pool_size)
-        dense = self.dense(query_vector, pool_size) if query_vector is not None and not intents.literal else lexical.select("id", "score").where("false")
-        fused = cut(K.fuse(lexical, dense, K.ALPHA_SYMBOL if intents.identifier else K.ALPHA_TEXT))
+        dense = cut(self.dense(query_vector, pool_size)) if query_vector is not None and not intents.literal else lexical.select("id", "score").where("false")
+        informative = L.informative_terms(index.stats, index.chunks, query)
+        concepts = [w for w in terms if len(w) >= 3 and w not in X.STOP_WORDS]
+        best_cosine = float(dense.agg(F.max("score")).first()[0] or 0.0) if query_vector is not None else 0.0
+        known = len(index.known(concepts)) / max(1, len(concepts))
+        counts = {r["is_test"]: r["n"] for r in index.match_counts(phrases, scope).collect()}
+        total = sum(counts.values())
+        plain = not (intents.literal or intents.identifier or allow_weak)
+        accepted, floor = PS.quality_gate(len(informative), len(concepts), known, total, best_cosine, intents.authorization) if plain else (True, 0.0)
+        if not accepted:
+            return {**self.rescue(scope, query, limit, index), "reason": "quality_gate"}
+        fused = cut(K.fuse(lexical, dense.where(F.col("score") >= floor), K.ALPHA_SYMBOL if intents.identifier else K.ALPHA_TEXT))
+        definitions = self.corpus.definitions.where(scope)
+        if intents.identifier:
+            leaf = re.split(r"[.:#]+", intents.identifier)[-1]
+            fused = PS.stem_rescue(fused, definitions, leaf)
+            if definitions.where(X.leaf(F.col("fqn")) == leaf).limit(2).count() > 1:
+                fused = PS.definition_pass(fused, definitions, [leaf])
+        else:
+            for name in PS.embedded_names(self.corpus.symbols, query):
+                fused = PS.stem_rescue(PS.definition_pass(fused, definitions, [name]), definitions, name)
+            fused = PS.concept_pass(fused, definitions, PS.concept_terms(index.stats, index.chunks, query))
+            fused = PS.constant_pass(PS.endpoint_pass(fused, definitions, query), definitions, query)
+        fused = cut(L.top(fused, 2 * pool_size))
+        if not fused.limit(1).count():
+            return self.rescue(scope, query, limit, index)
+        if PS.below_floor(fused) and plain:
+            return {**self.rescue(scope, query, limit, index), "reason": "ranked_floor"}
         chunks = cut(self.corpus.chunks_of(fused))  # of the pool only
         pool = fused.join(chunks, "id")
+        if plain and informative and not PS.saturated(pool, informative):
+            return {**self.rescue(scope, query, limit, index), "reason": "saturation"}
         if intents.identifier:
-            pool = K.match_boost(pool, X.split_identifier(intents.identifier) and re.split(r"[.:#]+", intents.identifier)[-1], intents.identifier)
+            pool = K.match_boost(pool, leaf, intents.identifier)
         else:
             pool = K.add_pass(pool, F.coalesce(F.lower("declared_rules"), F.lit("")).rlike("|".join(map(re.escape, terms)) or "$^"), 1.5)
             if intents.docs:
                 pool = K.lift_pass(pool, F.col("content_type") == "docs", 0.3)
             if intents.config:
-                pool = K.add_pass(pool, F.col("content_type") == "config", 0.75)
+                primary = F.when(P.config_tier(F.col("file_path")) == "primary", 1.3).otherwise(1.0) * F.when(F.lower("file_path").contains("schema"), 1.3).otherwise(1.0)
+                pool = pool.withColumn("score", F.when(F.col("content_type") == "config", F.col("score") + 0.75 * K.pool_max(pool) * primary).otherwise(F.col("score")))
             if intents.authorization:
                 pool = K.add_pass(pool, F.col("is_definition") & F.lower(F.coalesce("content", F.lit(""))).rlike("secured|preauthorize|permission|validate"), 1.5)
-        pool = K.rerank(pool, terms, intents.identifier, intents.docs, intents.config, intents.behaviour, self.session_weights())
+            pool = PS.path_boost(pool, [w for w in concepts])
+        exact = F.lower(X.leaf(F.coalesce("fqn", F.lit("")))) == query.strip().lower()
+        pool = PS.weighting(pool, config_scent="config" if intents.config else "neutral", exact=exact)
+        owner = re.split(r"[.:#]+", intents.identifier)[-2] if intents.identifier and len(re.split(r"[.:#]+", intents.identifier)) > 1 else None
+        pool = K.rerank(pool, terms, intents.identifier, intents.docs, intents.config, intents.behaviour, self.session_weights(), owner)
         best = K.cohere(pool).join(chunks.drop("file_path"), "id")
         best = best.withColumn("confidence", K.confidence(terms, F.coalesce("subwords", F.array().cast("array<string>")), F.lit(0.0), F.coalesce("is_definition", F.lit(False)), F.lower(X.leaf(F.coalesce("fqn", F.lit("")))) == query.strip().lower()))
         best = best.withColumn("band", K.band(F.col("confidence")))
-        if strict:
-            best = best.where("band <> 'low' or is_definition")
+        if strict:  # weak answers that define nothing and cover less than half of the concepts are no answer
+            covered = K.overlap(terms, F.coalesce("subwords", F.array().cast("array<string>")))
+            sure = best.where((F.col("band") != "low") | F.col("is_definition") | (covered >= 0.5))
+            if not sure.limit(1).count():
+                few = best.orderBy(F.round("score", 9).desc(), "id").limit(3).select("id", "fqn", "file_path", "line_start", "score")
+                return {"outcome": "no_match", "reason": "strict", "results": few.where("false"), "alternatives": few, "total": total}
+            best = sure
         page = best.orderBy(F.round("score", 9).desc(), "id").limit(limit).withColumn("r", R.redact(F.col("content")))
         results = page.select("id", "fqn", "file_path", "line_start", "line_end", "score", "file_matches", "confidence", "band", F.col("r.redacted").alias("content"), F.col("r.count").alias("redacted"))
-        counts = {r["is_test"]: r["n"] for r in index.match_counts(phrases, scope).collect()}
-        total = sum(counts.values())
-        if not total and not fused.limit(1).count():
-            return self.rescue(scope, query, limit)
         coverage = best.agg(F.max(K.overlap(terms, F.coalesce("subwords", F.array().cast("array<string>"))))).first()[0] or 0.0
         if not allow_weak and not intents.literal and K.insufficient(fused, len(X.collapse(terms)), coverage):
             return {"outcome": "no_match", "reason": "insufficient_signal", "results": results.where("false"), "alternatives": results, "total": total}
@@ -193,29 +229,35 @@ class Engine:
             "arms": {"lexical": True, "dense": query_vector is not None},
         }
 
-    def rescue(self, scope: Column, query: str, limit: int) -> dict[str, Any]:
-        """Relaxed steps where the ranked search finds nothing: any token in any case, then no match."""
+    def rescue(self, scope: Column, query: str, limit: int, index: LexicalIndex) -> dict[str, Any]:
+        """Relaxed steps where the ranked search has no answer: any known word by the index, then the text
+        itself in any case with scores that fall with the rank, then no match."""
+        words = X.query_tokens(query)
+        known = index.known([w for t in words for w in X.split_identifier(t)])
+        scored = index.bm25([w for w in dict.fromkeys(X.full_text_words(query)) if w not in X.STOP_WORDS], scope)
+        best = scored.agg(F.max("score"), F.count("*")).first()
+        if PS.rescue_allowed(len(known), float(best[0] or 0.0)):
+            pool = L.top(scored, limit)
+            rows = pool.join(self.corpus.chunks_of(pool, "fqn", "file_path", "line_start"), "id")
+            return {"outcome": "resolved", "rescued_by": "relaxed", "results": rows, "total": int(best[1]), "band": "low"}
+        needle = query.strip().lower()
         rows = self.corpus.rows.where(scope)
-        for step, needles in (("relaxed", X.query_tokens(query)), ("literal", [query.strip()])):
-            needles = [n for n in needles if len(n) > 2]
-            if not needles:
-                continue
-            test = F.lit(False)
-            for n in needles:
-                test = test | F.lower("content").contains(n.lower())
-            found = keep_latest(rows.where(test).select("id", "updated_at", "fqn", "file_path", "line_start"), self.corpus.versions, "id")
-            total = found.count()
-            if total:
-                return {"outcome": "resolved", "rescued_by": step, "results": found.orderBy("id").limit(limit), "total": total, "band": "low"}
-        return {"outcome": "no_match", "results": rows.where("false").select("id", "fqn", "file_path", "line_start"), "total": 0}
+        found = keep_latest(rows.where(F.lower("content").contains(needle)).select("id", "updated_at", "fqn", "file_path", "line_start"), self.corpus.versions, "id")
+        total = found.count() if len(needle) > 2 else 0
+        if not total:
+            return {"outcome": "no_match", "results": rows.where("false").select("id", "fqn", "file_path", "line_start"), "total": 0}
+        page = K.ranked(found.withColumn("score", F.lit(1.0)).orderBy("id").limit(limit))
+        results = page.select("id", "fqn", "file_path", "line_start", (1.0 / (1 + F.col("rank"))).alias("score"))
+        return {"outcome": "resolved", "rescued_by": "literal", "results": results, "total": total, "band": "low"}
 
     def dense(self, query_vector: DataFrame, k: int) -> DataFrame:
         rows = self.corpus.table("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.lit(None).cast("string").alias("group"))
         return V.top_cosine(query_vector.withColumn("group", F.lit(None).cast("string")), rows, k, floor=0.25).select("id", "score")
 
     def session_weights(self) -> DataFrame:
-        sessions = self.corpus.table("sessions")
-        return O.session_weights(sessions, F.current_timestamp())
+        """Weights by stored path: session events name files as their tools saw them, by any suffix."""
+        weights = O.session_weights(self.corpus.table("sessions"), F.current_timestamp())
+        return O.suffix_weights(self.corpus.table("files").select("file_path").distinct(), weights)
 
     # names
 

@@ -130,11 +130,12 @@ def envelope_band(scored: DataFrame) -> DataFrame:
 
 def rerank(
     scored: DataFrame, terms: Sequence[str], identifier: str | None = None, docs_intent: bool = False, config_intent: bool = False, behaviour_intent: bool = False,
-    weights: DataFrame | None = None,
+    weights: DataFrame | None = None, owner: str | None = None,
 ) -> DataFrame:
     """score times the factors that each candidate's kind, place and text earn; never negative.
 
-    scored: id, score, fqn, file_path, content, content_type, is_definition, is_test. weights:
+    owner: the type in a qualified name that is asked for; its members gain. Uses are only weighed
+    down for questions of three concepts or fewer. scored: id, score, fqn, file_path, content, content_type, is_definition, is_test. weights:
     file_path, weight of the session, joined where given. Factors are strictly positive, so nothing
     is dropped."""
     path, content = F.col("file_path"), F.lower(F.coalesce("content", F.lit("")))
@@ -147,7 +148,10 @@ def rerank(
         matches = matches | F.lower(F.coalesce("fqn", F.lit(""))).contains(t)
     low = F.concat(F.lit("/"), F.lower(path))
     f = F.when(is_def & names_leaf, FACTORS["identifier"]).when(is_def & matches, FACTORS["definition"]).otherwise(1.0)
-    present = [r["leaf"] for r in scored.where(is_def & names_leaf).select(leaf.alias("leaf")).distinct().collect()] if named else []  # at most the query's terms
+    if owner:
+        own = F.regexp_extract(F.regexp_replace(F.regexp_replace(F.coalesce("fqn", F.lit("")), r"^.*::", ""), r"\(.*$", ""), r"([^.]+)\.[^.]+$", 1)
+        f = f * F.when(is_def & (F.lower(own) == owner.lower()), FACTORS["owner"]).otherwise(1.0)
+    present = [r["leaf"] for r in scored.where(is_def & names_leaf).select(leaf.alias("leaf")).distinct().collect()] if 0 < len(named) <= 3 else []  # at most the query's terms
     uses = F.lit(False)
     for n in present:
         uses = uses | content.contains(n)

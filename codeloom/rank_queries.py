@@ -19,6 +19,7 @@ from codeloom.views import SQL_VIEWS, Corpus
 
 _W = "WITH RECURSIVE " + SQL_VIEWS
 POOL = 40
+OWNER = "GrammarIndex"
 
 
 def _vectors(c: Corpus) -> DataFrame:
@@ -65,6 +66,11 @@ def _reranked(c: Corpus) -> DataFrame:
     return K.rerank(_pool(c), ["rebuild", "index", "token", "cache"], docs_intent=True, config_intent=True).select("id", F.round("score", 6).alias("score"))
 
 
+def _owned(c: Corpus) -> DataFrame:
+    """Two concepts, so that uses are weighed down, and members of one type, which gain."""
+    return K.rerank(_pool(c), ["index", "token"], owner=OWNER).select("id", F.round("score", 6).alias("score"))
+
+
 def _cohere(c: Corpus) -> DataFrame:
     rows = search_scores(c).withColumn("score", F.round("score", 6)).join(c.chunks_with("file_path", "line_start"), "id")
     return K.cohere(rows).select("id", "file_path", F.round("score", 6).alias("score"), "file_matches")
@@ -143,6 +149,7 @@ QUERIES = {
     "h28_confidence": _query(_confidence),
     "h15_h17_passes": _query(_passes),
     "h30_rerank": _query(_reranked),
+    "h30_owner_and_uses": _query(_owned),
     "h30_session_rank": _query(_session_rank),
     "h24_abstain": _query(_abstain),
     "a18_budget_trim": _query(_trim),
@@ -168,6 +175,33 @@ _NORMAL = """
 , m AS (SELECT count(*) AS n, avg(score) AS mean, stddev_pop(score) AS sd FROM {src})"""
 _POOL_SQL = ", pool AS (SELECT sc.id, sc.score, k.fqn, k.file_path, k.line_start, k.content, k.content_type, k.is_definition, k.is_test FROM sc JOIN chk k ON k.id = sc.id)"
 
+def _rerank_sql(terms: list[str], owner: str | None, intents: bool) -> str:
+    """The factors for some concepts; uses are only weighed down for three of them or fewer."""
+    words = ", ".join(f"('{t}')" for t in terms)
+    text = _BM + _POOL_SQL + f", qq(t) AS (VALUES {words}), fc AS (" + _TEXT_SQL["s3_s8_file_classes"] + r"""
+), lf AS (SELECT p.*, coalesce(is_definition, false) AS d, lower(regexp_extract(regexp_replace(coalesce(fqn, ''), '\(.*$', ''), '([^.:]*)$', 1)) AS leaf, lower(coalesce(p.content, '')) AS low, '/' || lower(p.file_path) AS lp FROM pool p
+), pr AS (SELECT DISTINCT leaf FROM lf WHERE d AND leaf IN (SELECT t FROM q)
+), rr AS (SELECT lf.*, fc.role, fc.non_canonical, fc.doc_tier, fc.config_tier, EXISTS (SELECT 1 FROM pr WHERE contains(lf.low, pr.leaf)) AS uses, EXISTS (SELECT 1 FROM q WHERE contains(lower(coalesce(lf.fqn, '')), q.t)) AS named
+  FROM lf JOIN fc ON fc.file_path = lf.file_path)
+SELECT id, round(score * CASE WHEN d AND leaf IN (SELECT t FROM q) THEN 1.5 WHEN d AND named THEN 1.2 ELSE 1 END * CASE WHEN NOT d AND uses THEN 0.85 ELSE 1 END
+  * CASE WHEN content_type = 'docs' THEN 1.2 * CASE doc_tier WHEN 'project' THEN 1.35 WHEN 'third_party' THEN 0.35 WHEN 'generated' THEN 0.6 ELSE 1 END ELSE 1 END
+  * CASE WHEN content_type = 'config' THEN CASE WHEN config_tier = 'primary' THEN 1.35 WHEN config_tier IN ('test','sample','generated') THEN 0.7 ELSE 1 END ELSE 1 END
+  * CASE WHEN list_has_any(string_split(lower(file_path), '/'), ['rebuild', 'index', 'token', 'cache']) THEN 1.15 ELSE 1 END * CASE WHEN coalesce(is_test, false) THEN 0.5 ELSE 1 END * CASE WHEN non_canonical THEN 0.25 ELSE 1 END
+  * CASE WHEN role IN ('model','dto','assembler','exception') AND NOT d THEN 0.6 ELSE 1 END * CASE WHEN role = 'infra' THEN 0.35 ELSE 1 END
+  * CASE WHEN regexp_matches(lp, '\.min\.(js|css)$') OR contains(lp, '/dist/') THEN 0.2 ELSE 1 END * CASE WHEN regexp_matches(lp, '/(node_modules|vendor|bower_components)/') THEN 0.5 ELSE 1 END
+  * CASE WHEN ends_with(lp, '.d.ts') THEN 0.7 ELSE 1 END, 6) AS score FROM rr"""
+    text = text.replace("FROM q WHERE contains(lower(coalesce(lf.fqn", "FROM qq AS q WHERE contains(lower(coalesce(lf.fqn").replace("leaf IN (SELECT t FROM q)", "leaf IN (SELECT t FROM qq)")
+    text = text.replace("['rebuild', 'index', 'token', 'cache'])", "[" + ", ".join(f"'{t}'" for t in terms) + "])")
+    if len(terms) > 3:
+        text = text.replace("WHEN NOT d AND uses THEN 0.85", "WHEN false THEN 0.85")
+    if owner:
+        own = r"lower(regexp_extract(regexp_replace(regexp_replace(coalesce(fqn, ''), '^.*::', ''), '\(.*$', ''), '([^.]+)\.[^.]+$', 1))"
+        text = text.replace("SELECT id, round(score * ", f"SELECT id, round(score * CASE WHEN d AND {own} = '{owner.lower()}' THEN 1.5 ELSE 1 END * ")
+    if not intents:
+        text = text.replace("WHEN content_type = 'docs' THEN 1.2", "WHEN false THEN 1.2").replace("WHEN content_type = 'config' THEN CASE", "WHEN false THEN CASE")
+    return text
+
+
 ORACLES = {
     "h5_vector_top": _COS + """
 SELECT query_id, id, score FROM (SELECT q.id AS query_id, c.id, greatest(0, least(1, round(list_dot_product(q.e, c.e) / (q.l * c.l), 6))) AS score,
@@ -215,18 +249,19 @@ SELECT id, CASE WHEN n = 0 THEN 'no_match' WHEN n > 1 THEN 'ambiguous' ELSE tr E
 ), b AS (SELECT id, d, x, 0.5 * ov + 0.5 * 0.3 + CASE WHEN d THEN 0.1 ELSE 0 END AS sc FROM o
 ), f AS (SELECT id, round(least(1, greatest(0, CASE WHEN x THEN greatest(sc, CASE WHEN d THEN 0.85 ELSE 0.75 END) ELSE sc END)), 6) AS confidence FROM b)
 SELECT id, confidence, CASE WHEN confidence >= 0.7 THEN 'high' WHEN confidence >= 0.4 THEN 'medium' ELSE 'low' END AS band FROM f""",
-    "h30_rerank": _BM + _POOL_SQL + ", fc AS (" + _TEXT_SQL["s3_s8_file_classes"] + r"""
-), lf AS (SELECT p.*, coalesce(is_definition, false) AS d, lower(regexp_extract(regexp_replace(coalesce(fqn, ''), '\(.*$', ''), '([^.:]*)$', 1)) AS leaf, lower(coalesce(p.content, '')) AS low, '/' || lower(p.file_path) AS lp FROM pool p
-), pr AS (SELECT DISTINCT leaf FROM lf WHERE d AND leaf IN (SELECT t FROM q)
-), rr AS (SELECT lf.*, fc.role, fc.non_canonical, fc.doc_tier, fc.config_tier, EXISTS (SELECT 1 FROM pr WHERE contains(lf.low, pr.leaf)) AS uses, EXISTS (SELECT 1 FROM q WHERE contains(lower(coalesce(lf.fqn, '')), q.t)) AS named
-  FROM lf JOIN fc ON fc.file_path = lf.file_path)
-SELECT id, round(score * CASE WHEN d AND leaf IN (SELECT t FROM q) THEN 1.5 WHEN d AND named THEN 1.2 ELSE 1 END * CASE WHEN NOT d AND uses THEN 0.85 ELSE 1 END
-  * CASE WHEN content_type = 'docs' THEN 1.2 * CASE doc_tier WHEN 'project' THEN 1.35 WHEN 'third_party' THEN 0.35 WHEN 'generated' THEN 0.6 ELSE 1 END ELSE 1 END
-  * CASE WHEN content_type = 'config' THEN CASE WHEN config_tier = 'primary' THEN 1.35 WHEN config_tier IN ('test','sample','generated') THEN 0.7 ELSE 1 END ELSE 1 END
-  * CASE WHEN list_has_any(string_split(lower(file_path), '/'), ['rebuild', 'index', 'token', 'cache']) THEN 1.15 ELSE 1 END * CASE WHEN coalesce(is_test, false) THEN 0.5 ELSE 1 END * CASE WHEN non_canonical THEN 0.25 ELSE 1 END
-  * CASE WHEN role IN ('model','dto','assembler','exception') AND NOT d THEN 0.6 ELSE 1 END * CASE WHEN role = 'infra' THEN 0.35 ELSE 1 END
-  * CASE WHEN regexp_matches(lp, '\.min\.(js|css)$') OR contains(lp, '/dist/') THEN 0.2 ELSE 1 END * CASE WHEN regexp_matches(lp, '/(node_modules|vendor|bower_components)/') THEN 0.5 ELSE 1 END
-  * CASE WHEN ends_with(lp, '.d.ts') THEN 0.7 ELSE 1 END, 6) AS score FROM rr""",
+    "h30_rerank": _rerank_sql(["rebuild", "index", "token", "cache"], None, True),
+    "h30_owner_and_uses": _rerank_sql(["index", "token"], OWNER, False),
+    "h24_abstain": _BM + """
+, t AS (SELECT round(score, 9) AS s, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS r FROM sc
+), five AS (SELECT s, r FROM t WHERE r <= 5)
+SELECT (SELECT max(s) FROM five) / (SELECT s FROM five ORDER BY s LIMIT 1 OFFSET 2) <= 1.05 AND 4 >= 3 AND 0.25 <= 0.5 AS abstain""",
+    "h30_session_rank": _BM + _POOL_SQL + ", fc AS (" + _TEXT_SQL["s3_s8_file_classes"] + r"""
+), sw AS (SELECT file_path, max(coalesce(weight_score, CASE event_type WHEN 'WRITE' THEN 1.0 WHEN 'READ' THEN 0.7 ELSE 0.0 END) * exp(-0.1 * (epoch_us(TIMESTAMP '2026-01-01 00:00:00') - epoch_us(event_time)) / 3600000000.0)) AS w FROM sessions
+  WHERE file_path IS NOT NULL AND event_time IS NOT NULL AND event_time <= TIMESTAMP '2026-01-01 00:00:00' AND (ttl_expires_at IS NULL OR ttl_expires_at > TIMESTAMP '2026-01-01 00:00:00') GROUP BY 1)
+SELECT p.id, round(p.score * CASE WHEN coalesce(p.is_definition, false) THEN 1.2 ELSE 1 END * CASE WHEN coalesce(p.is_test, false) THEN 0.5 ELSE 1 END * CASE WHEN fc.non_canonical THEN 0.25 ELSE 1 END
+  * CASE WHEN fc.role IN ('model','dto','assembler','exception') AND NOT coalesce(p.is_definition, false) THEN 0.6 ELSE 1 END * CASE WHEN fc.role = 'infra' THEN 0.35 ELSE 1 END
+  * CASE WHEN regexp_matches('/' || lower(p.file_path), '\.min\.(js|css)$') OR contains('/' || lower(p.file_path), '/dist/') THEN 0.2 ELSE 1 END * CASE WHEN regexp_matches('/' || lower(p.file_path), '/(node_modules|vendor|bower_components)/') THEN 0.5 ELSE 1 END
+  * CASE WHEN ends_with(lower(p.file_path), '.d.ts') THEN 0.7 ELSE 1 END * coalesce(sw.w, 1), 6) AS score FROM pool p JOIN fc ON fc.file_path = p.file_path LEFT JOIN sw ON sw.file_path = p.file_path""",
     "a18_budget_trim": _BM + """
 , t AS (SELECT id, round(score, 9) AS s FROM sc ORDER BY round(score, 9) DESC, id LIMIT 40
 ), r AS (SELECT t.id, sum(length(k.content) // 4) OVER (ORDER BY t.s DESC, t.id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM t JOIN chk k ON k.id = t.id)

@@ -15,7 +15,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.operators.common import latest_rows, path_exists, table_state, work_folder
+from codeloom.operators.common import keep_latest, latest_rows, path_exists, table_state, work_folder
 from codeloom.operators.lexical import corpus_stats
 from codeloom.operators.postings import LexicalIndex
 from codeloom.sources.tables import load
@@ -30,6 +30,10 @@ CHUNK_COLUMNS = (
 ).split()
 
 
+#: What the ranking passes look for in the text of a definition.
+DEFINITION_MARKS = ("static final", "const ", "GetMapping", "PostMapping", "PutMapping", "PatchMapping", "DeleteMapping")
+
+
 def clean_symbols(raw: DataFrame, columns: list[str] | None = None) -> DataFrame:
     rows = latest_rows(raw, "id", columns or SYMBOL_COLUMNS)
     for flag in ("is_test", "is_entry_point"):
@@ -117,6 +121,15 @@ class Corpus:
         near = self.table("code_chunks").join(F.broadcast(ids.select("id").distinct()), "id", "left_semi")
         return latest_rows(near, "id", ["id", *[c for c in columns or CHUNK_COLUMNS if c != "id"]])
 
+    @cached_property
+    def definitions(self) -> DataFrame:
+        """Definition chunks without their texts; content holds only the marks that the ranking passes
+        look for."""
+        marks = [F.when(F.col("content").contains(m), m) for m in DEFINITION_MARKS]
+        slim = ["id", "updated_at", "fqn", "file_path", "chunk_type", "chunk_node_type", "content_type", "declared_rules", "is_definition", "is_test", "subwords", "language"]
+        rows = self.rows.where("is_definition").select(*slim, F.concat_ws(" ", *marks).alias("content"))
+        return self.settled("definitions", "code_chunks", lambda: keep_latest(rows, self.versions, "id"))
+
     @cached_property
     def lexical(self) -> LexicalIndex:
         """The inverted index of this state of the table; written when first asked for."""
