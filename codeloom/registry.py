@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom import detail_queries, graph_queries, hierarchy_queries, ops_queries, pass_queries, pattern_queries, rank_queries, stream_queries, text_queries, traverse_queries
+from codeloom import cascade_queries, detail_queries, graph_queries, hierarchy_queries, ops_queries, pass_queries, pattern_queries, rank_queries, stream_queries, text_queries, traverse_queries
 
-_MODULES = (hierarchy_queries, graph_queries, traverse_queries, pattern_queries, text_queries, rank_queries, pass_queries, ops_queries, stream_queries, detail_queries)
+_MODULES = (hierarchy_queries, graph_queries, traverse_queries, pattern_queries, text_queries, rank_queries, pass_queries, cascade_queries, ops_queries, stream_queries, detail_queries)
 
 
 def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

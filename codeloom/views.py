@@ -99,6 +99,13 @@ class Corpus:
         lean = ["id", "source_symbol_id", "target_symbol_id", "edge_type", "source_range", "resolution_tier", "resolved"]
         return self.edges.where("resolved and target_symbol_id is not null").select(*lean)
 
+    @cached_property
+    def adjacency(self) -> DataFrame:
+        """a, b, edge_type of resolved edges between different symbols, laid out by source: the snapshot
+        that walks read. A new state of the edges has a snapshot of its own."""
+        links = self.resolved_edges.where("source_symbol_id <> target_symbol_id").select(F.col("source_symbol_id").alias("a"), F.col("target_symbol_id").alias("b"), "edge_type").distinct()
+        return self.settled("adjacency", "edges", lambda: links.repartitionByRange("a", "b").sortWithinPartitions("a", "b"))
+
     @cached_property
     def chunks(self) -> DataFrame:
         return latest_rows(self.table("code_chunks"), "id", CHUNK_COLUMNS)
