@@ -9,6 +9,7 @@ from codeloom.operators import cascade as R
 from codeloom.operators import chunking as C
 from codeloom.operators.common import keep_latest
 from codeloom.operators.graph import arity
+from codeloom.ops_queries import ORACLES as _OPS_SQL
 from codeloom.ops_queries import _lines
 from codeloom.views import SQL_VIEWS, Corpus
 
@@ -101,6 +102,22 @@ SELECT rx.id, CASE WHEN ft.n > 1 THEN 'ambiguous' WHEN ft.n = 1 THEN ft.tier WHE
   CASE WHEN ft.n > 1 THEN NULL WHEN ft.n = 1 THEN ft.id WHEN NOT (rx.rc AND rx.owner IS NOT NULL) AND al.n = 1 THEN al.id WHEN rx.ty AND al.tn = 1 THEN al.tid END AS target,
   CAST(CASE WHEN ft.n IS NOT NULL THEN ft.n WHEN NOT (rx.rc AND rx.owner IS NOT NULL) AND al.n = 1 THEN 1 WHEN rx.ty AND al.tn = 1 THEN 1 ELSE coalesce(al.n, 0) END AS BIGINT) AS n
 FROM rx LEFT JOIN ft ON ft.rid = rx.id LEFT JOIN al ON al.rid = rx.id""",
+    "s17_import_cascade": "WITH im AS (" + _OPS_SQL["s15_imports"] + f"""
+), """ + SQL_VIEWS + r"""
+, i AS (SELECT DISTINCT file_path AS src, module AS raw, string_split(file_path, '/')[1] AS repo, regexp_matches(file_path, '\.(ts|tsx|js|jsx|mjs)$') AS script FROM im
+), fl AS (SELECT DISTINCT file_path AS f, string_split(file_path, '/')[1] AS repo FROM code_chunks WHERE file_path IS NOT NULL
+), bs AS (SELECT *, CASE WHEN starts_with(raw, '.') THEN array_to_string(list_append(list_filter(string_split(regexp_replace(src, '/?[^/]*$', ''), '/'), lambda x, k: k <= len(string_split(regexp_replace(src, '/?[^/]*$', ''), '/')) - length(regexp_extract(raw, '^(?:\./)*((?:\.\./)*)', 1)) // 3), regexp_replace(raw, '^(\.\.?/)+', '')), '/')
+    WHEN starts_with(raw, '@app/') THEN repo || '/src/' || substring(raw, 6) END AS base FROM i WHERE script
+), en(k, e) AS (VALUES (0, ''), (1, '.ts'), (2, '.tsx'), (3, '.d.ts'), (4, '.js'), (5, '.jsx'), (6, '/index.ts'), (7, '/index.tsx'), (8, '/index.d.ts'), (9, '/index.js'), (10, '/index.jsx')
+), sp AS (SELECT src, raw, first(f ORDER BY k) AS t FROM bs, en JOIN fl ON fl.f = bs.base || en.e AND fl.repo = bs.repo WHERE base IS NOT NULL GROUP BY 1, 2
+), py AS (SELECT f, repo, string_split(regexp_replace(regexp_replace(f, '\.py$', ''), '/__init__$', ''), '/') AS p FROM fl WHERE ends_with(f, '.py')
+), md AS (SELECT repo, array_to_string(p[n:], '.') AS key, min(f) AS t FROM py, unnest(range(1, len(p) + 1)) AS u(n) GROUP BY 1, 2
+), cv AS (SELECT string_split(file_path, '/')[1] AS repo, conventional_fqn AS key, min(file_path) AS t FROM sym WHERE conventional_fqn IS NOT NULL AND file_path IS NOT NULL GROUP BY 1, 2
+), tp AS (SELECT string_split(file_path, '/')[1] AS repo, name AS key, min(file_path) AS t FROM sym WHERE kind IN ('class', 'interface', 'enum', 'type_alias') AND file_path IS NOT NULL GROUP BY 1, 2 HAVING min(file_path) = max(file_path))
+SELECT i.src AS source_path, i.raw, CASE WHEN i.script THEN sp.t ELSE coalesce(cv.t, m0.t, m1.t, tp.t) END AS target_path,
+  CASE WHEN i.script THEN CASE WHEN sp.t IS NOT NULL THEN 'path' ELSE 'external' END WHEN cv.t IS NOT NULL THEN 'conventional' WHEN coalesce(m0.t, m1.t) IS NOT NULL THEN 'module' WHEN tp.t IS NOT NULL THEN 'type' ELSE 'external' END AS how
+FROM i LEFT JOIN sp ON sp.src = i.src AND sp.raw = i.raw LEFT JOIN cv ON cv.repo = i.repo AND cv.key = i.raw LEFT JOIN md m0 ON m0.repo = i.repo AND m0.key = i.raw
+LEFT JOIN md m1 ON contains(i.raw, '.') AND m1.repo = i.repo AND m1.key = regexp_replace(i.raw, '\.[^.]*$', '') LEFT JOIN tp ON tp.repo = i.repo AND tp.key = regexp_extract(i.raw, '([^.]*)$', 1)""",
     "s33_refined_edges": _W + """
 SELECT e.id, CASE WHEN e.edge_type = 'INHERITS' AND s.kind = 'class' AND t.kind = 'interface' THEN 'IMPLEMENTS' WHEN e.edge_type = 'CALL_REFERENCE' AND coalesce(t.kind, '') NOT IN ('function', 'method', 'constructor') THEN 'USAGE' ELSE e.edge_type END AS edge_type,
   CASE WHEN e.resolution_tier = 'exact' AND e.properties['via'] IN ('import', 'type_infer') THEN e.properties['via'] ELSE e.resolution_tier END AS resolution_tier
