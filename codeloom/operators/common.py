@@ -67,6 +67,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root))
 
 
+def is_file(spark: SparkSession, path: str) -> bool:
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    return bool(system.exists(root) and system.getFileStatus(root).isFile())
+
+
 def latest_rows(df: DataFrame, key: str, columns: Sequence[str], version: str = "updated_at") -> DataFrame:
     """One row per non-null ``key``: that with the greatest ``version`` (null versions are oldest).
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,6 @@ EXCLUDED = (
 )
 MAX_BYTES = 1_000_000
 IGNORE_FILES = (".gitignore",)
-MAX_DEPTH = 16
 
 
 @dataclass(frozen=True)
@@ -89,27 +89,55 @@ def is_ignored(path: str, rules: list[IgnoreRule]) -> bool:
     return False
 
 
-def ignore_files(spark: SparkSession, root: str) -> list[tuple[str, str]]:
-    """(folder, text) of the ignore files below ``root``, parents first. Spark's readers pass over
-    hidden files, so these are found by name, one glob per depth."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    top = jvm.org.apache.hadoop.fs.Path(root)
-    fs = top.getFileSystem(conf)
+def ignore_files(spark: SparkSession, root: str) -> DataFrame:
+    """folder, text of the ignore files below ``root``, at any depth.
+
+    Spark's readers pass over hidden files, so these are listed by name; their texts are read on the
+    executors."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
     prefix = fs.makeQualified(top).toUri().getPath().rstrip("/")
-    out = []
-    for depth in range(MAX_DEPTH):
-        for name in IGNORE_FILES:
-            found = fs.globStatus(jvm.org.apache.hadoop.fs.Path("/".join([root, *["*"] * depth, name])))
-            for status in found or []:
-                stream = fs.open(status.getPath())
-                try:
-                    text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-                finally:
-                    stream.close()
-                where = status.getPath().toUri().getPath()[len(prefix) :].strip("/")
-                out.append((where.rpartition("/")[0], text))
-    return sorted(out, key=lambda f: (f[0].count("/") + bool(f[0]), f[0]))
+    found, walk = [], fs.listFiles(top, True)
+    while walk.hasNext():
+        path = walk.next().getPath()
+        if path.getName() in IGNORE_FILES:
+            found.append((path.toUri().getPath()[len(prefix) :].strip("/").rpartition("/")[0], re.sub(r"^file:/+", "file:///", path.toString())))
+    listed = spark.createDataFrame(found, "folder string, uri string")
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs as arrow_fs
+
+        for batch in batches:
+            texts = []
+            for uri in batch["uri"]:
+                system, path = arrow_fs.FileSystem.from_uri(uri)
+                with system.open_input_stream(path) as file:
+                    texts.append(file.read().decode("utf-8", "replace"))
+            yield pd.DataFrame({"folder": batch["folder"], "text": texts})
+
+    return listed.mapInPandas(read, "folder string, text string")
+
+
+def ignored_paths(paths: DataFrame, ignores: DataFrame) -> DataFrame:
+    """file_path of the paths that the ignore files (folder, text) leave out.
+
+    A path only meets the files of the folders above it, by a join on the folder."""
+    parts = F.split("file_path", "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+    met = paths.select("file_path", F.posexplode(above).alias("depth", "at")).join(ignores, F.col("at") == F.col("folder"))
+    by = met.groupBy("file_path").agg(F.array_sort(F.collect_list(F.struct("depth", "folder", "text"))).alias("files"))
+
+    @F.pandas_udf("boolean")
+    def ignored(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for names, files in batches:
+            yield pd.Series([is_ignored(n, [r for f in fs for r in _rules(f["folder"], f["text"])]) for n, fs in zip(names, files, strict=True)])
+
+    return by.where(ignored("file_path", "files")).select("file_path")
+
+
+@lru_cache(maxsize=10_000)
+def _rules(folder: str, text: str) -> tuple[IgnoreRule, ...]:
+    return tuple(parse_ignore(folder, text))
 
 
 def discover(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES, extra_extensions: tuple[str, ...] = ()) -> DataFrame:
@@ -117,27 +145,19 @@ def discover(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES, extra_e
 
     Paths are relative to ``root``. Excluded folders, ignored files, files above the size cap and
     unknown types are left out; contents that are not UTF-8 are decoded with replacements. Listing
-    and reading are Spark's; the ignore rules, a few lines per folder, are broadcast."""
+    and reading are Spark's; a path meets the ignore rules of the folders above it in a join."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root.rstrip("/")
     path = F.regexp_replace(F.regexp_replace("path", r"^file:/+", "/"), "^" + re.escape(re.sub(r"^file:/+", "/", base)) + "/", "")
     files = raw.withColumn("file_path", path)
     hidden = F.arrays_overlap(P.parts(F.col("file_path")), F.array(*[F.lit(x) for x in EXCLUDED]))
     files = files.where(~hidden & (F.col("length") <= max_bytes))
-    rules = [r for folder, text in ignore_files(spark, base) for r in parse_ignore(folder, text)]
-    shared = spark.sparkContext.broadcast(rules)
-
-    @F.pandas_udf("boolean")
-    def ignored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for names in batches:
-            yield names.map(lambda n: is_ignored(n, shared.value))
-
     known = P.language(F.col("file_path")).isNotNull() | (P.content_axis(F.col("file_path")) != "code")
     if extra_extensions:
         known = known | P.suffix(F.col("file_path")).isin(*extra_extensions)
     kept = files.where(known)
-    if rules:
-        kept = kept.where(~ignored("file_path"))
+    out = ignored_paths(kept.select("file_path"), ignore_files(spark, base))
+    kept = kept.join(out, "file_path", "left_anti")
     return kept.select(
         "file_path", F.decode("content", "UTF-8").alias("content"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("checksum"),
         P.language(F.col("file_path")).alias("language"), P.content_axis(F.col("file_path")).alias("content_type"),

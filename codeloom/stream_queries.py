@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom.operators.common import is_file
 from codeloom.streaming import refresh as R
 from codeloom.views import Corpus
 
@@ -12,9 +13,7 @@ from codeloom.views import Corpus
 def _stream(c: Corpus, table: str) -> DataFrame:
     path = f"{c.sf_dir}/{table}.parquet"
     reader = c.spark.readStream.schema(c.table(table).schema)
-    import os
-
-    if os.path.isfile(path):  # a file stream watches folders: of this one, only the table's file
+    if is_file(c.spark, path):  # a file stream watches folders: of this one, only the table's file
         return reader.option("pathGlobFilter", f"{table}.parquet").parquet(c.sf_dir)
     return reader.parquet(path)
 
@@ -35,11 +34,20 @@ def _weights(c: Corpus) -> DataFrame:
 
 
 def _refresh(c: Corpus) -> DataFrame:
-    """The files relation after its own rows have come as changes."""
-    out = R.shared_folder(c.spark, "refresh")
-    changes = _stream(c, "files").select("file_path", "checksum", "size", (F.col("size") > 20_000).alias("deleted"))
-    R.incremental_upsert(changes, f"{out}/table", f"{out}/log").awaitTermination()
-    return R.read_current(c.spark, f"{out}/table").select("file_path", "checksum", "size")
+    """The files relation after its rows have come as changes in several batches: every file first with
+    another checksum, then as it is, the large ones at last deleted, each with its time."""
+    out = R.stream_folder(c.spark, "refresh")
+    files = c.table("files").where("file_path is not null")
+    rows = files.select("file_path", F.lit("0").alias("checksum"), "size", F.lit(1).alias("changed_at"), F.lit(False).alias("deleted"))
+    rows = rows.unionByName(files.select("file_path", "checksum", "size", F.lit(2).alias("changed_at"), F.lit(False).alias("deleted")))
+    rows = rows.unionByName(files.where("size > 20000").select("file_path", "checksum", "size", F.lit(3).alias("changed_at"), F.lit(True).alias("deleted")))
+    third = F.pmod(F.xxhash64("file_path", "changed_at"), F.lit(3))
+    for k in range(3):  # three appends, so that the stream runs over several batches and changes of a file meet in one or more
+        part = rows.where("changed_at = 1" if k == 0 else (F.col("changed_at") > 1) & ((third == 0) if k == 1 else (third > 0) | (F.col("changed_at") == 3)))
+        part.write.mode("append").parquet(f"{out}/changes")
+        stream = R.file_stream(c.spark, f"{out}/changes", rows.schema, files_per_batch=1_000)
+        R.incremental_upsert(stream, f"{out}/table", f"{out}/log").awaitTermination()
+    return R.read_current(c.spark, f"{out}/table", "file_path string, checksum string, size long").select("file_path", "checksum", "size")
 
 
 def _query(run):
@@ -68,5 +76,5 @@ SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*
 WITH s AS (SELECT file_path, event_time, coalesce(weight_score, CASE event_type WHEN 'WRITE' THEN 1.0 WHEN 'READ' THEN 0.7 ELSE 0.0 END) AS w, max(event_time) OVER (PARTITION BY file_path) AS last
   FROM sessions WHERE file_path IS NOT NULL AND event_time IS NOT NULL)
 SELECT file_path, round(max(w * exp(-0.1 * (epoch_us(last) - epoch_us(event_time)) / 3600000000.0)), 6) AS weight FROM s GROUP BY 1""",
-    "st_refreshed_files": "SELECT file_path, checksum, size FROM files WHERE NOT coalesce(size > 20000, false)",
+    "st_refreshed_files": "SELECT file_path, checksum, size FROM files WHERE file_path IS NOT NULL AND NOT coalesce(size > 20000, false)",
 }

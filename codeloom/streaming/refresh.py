@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import math
-import os
+import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -12,18 +13,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from codeloom.operators.common import shared_folder
 from codeloom.operators.ops import DECAY, DEFAULT_WEIGHTS
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A folder that all executors see: below the cluster's checkpoint folder, where one is named.
+#: Buckets of files by path: a batch rewrites those that it touches.
+BUCKETS = 64
 
-    Only without one, in tests on one machine, it is a temporary one."""
-    import tempfile
-    import uuid
 
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="codeloom-stream-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def stream_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for a stream below the one that all executors see."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def file_stream(spark: SparkSession, path: str, schema: Any, files_per_batch: int = 64) -> DataFrame:
@@ -31,26 +31,49 @@ def file_stream(spark: SparkSession, path: str, schema: Any, files_per_batch: in
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def incremental_upsert(changes: DataFrame, table_path: str, checkpoint: str, on_batch: Callable[[DataFrame, int], None] | None = None, interval: str | None = None) -> StreamingQuery:
-    """Replaces rows of changed files in a generation-numbered table, batch by batch.
+def newest_changes(batch: DataFrame, order: str = "changed_at") -> DataFrame:
+    """Of several changes of a file within a batch the rows of the newest; without the column all of a
+    file's rows are one change. A deletion and contents of one time are contents."""
+    if order not in batch.columns:
+        return batch
+    last = batch.groupBy(F.col("file_path").alias("_f")).agg(F.max(order).alias("_t"))
+    return batch.join(last, F.col("file_path").eqNullSafe(F.col("_f")) & F.col(order).eqNullSafe(F.col("_t"))).drop("_f", "_t")
 
-    changes: file_path, deleted and the columns of the relation. Each batch writes the next
-    generation beside the last and then names it in CURRENT, so readers never see half of it and
-    a batch that runs twice writes the same generation twice. ``interval`` debounces; without one
-    the stream takes what is there and ends."""
+
+def incremental_upsert(
+    changes: DataFrame, table_path: str, checkpoint: str, on_batch: Callable[[DataFrame, int], None] | None = None, interval: str | None = None, order: str = "changed_at", buckets: int = BUCKETS,
+) -> StreamingQuery:
+    """Replaces rows of changed files in a table of generations, batch by batch.
+
+    changes: file_path, deleted, ``order`` (when the change was made; may be left out) and the columns
+    of the relation. Rows lie in buckets of their path. A batch writes the buckets that it touches
+    anew and then a manifest that names the generation of every bucket: a file of its own under
+    the batch's number that is renamed into place, so readers see one state or the next. A batch
+    that runs again finds its manifest and does nothing. ``interval`` debounces; without one the
+    stream takes what is there and ends. Rows without a path are left out."""
 
     def apply(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        columns = [c for c in batch.columns if c != "deleted"]
-        last = current_generation(spark, table_path)
-        touched = batch.select("file_path").distinct()
-        new = batch.where("not coalesce(deleted, false)").select(*columns)
-        if last is not None and last != epoch:
-            new = spark.read.parquet(f"{table_path}/generation={last}").select(*columns).join(touched, "file_path", "left_anti").unionByName(new)
-        elif last == epoch and epoch:
-            new = spark.read.parquet(f"{table_path}/generation={epoch - 1}").select(*columns).join(touched, "file_path", "left_anti").unionByName(new)
-        new.write.mode("overwrite").parquet(f"{table_path}/generation={epoch}")
-        spark.createDataFrame([(epoch,)], "generation int").coalesce(1).write.mode("overwrite").parquet(f"{table_path}/CURRENT")
+        if epoch in manifests(spark, table_path):
+            return
+        columns = [c for c in batch.columns if c not in ("deleted", order)]
+        bucket = F.pmod(F.xxhash64("file_path"), F.lit(buckets)).cast("int")
+        change = newest_changes(batch.where("file_path is not null"), order).withColumn("bucket", bucket).persist()
+        try:
+            touched = sorted(r["bucket"] for r in change.select("bucket").distinct().collect())  # at most the buckets
+            state = current_state(spark, table_path)
+            new = change.where("not coalesce(deleted, false)").select(*columns, "bucket")
+            old = _rows_of(spark, table_path, {b: g for b, g in state.items() if b in set(touched)})
+            if old is not None:
+                kept = old.withColumn("bucket", bucket).join(change.select("file_path").distinct(), "file_path", "left_anti")
+                new = kept.select(*columns, "bucket").unionByName(new)
+            if touched:
+                new.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{table_path}/generation={epoch}")
+            written = {r["bucket"] for r in new.select("bucket").distinct().collect()} if touched else set()
+            after = {b: g for b, g in state.items() if b not in set(touched)} | {b: epoch for b in written}
+            _write_manifest(spark, table_path, epoch, after)
+        finally:
+            change.unpersist()
         if on_batch:
             on_batch(batch, epoch)
 
@@ -58,15 +81,65 @@ def incremental_upsert(changes: DataFrame, table_path: str, checkpoint: str, on_
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
 
-def current_generation(spark: SparkSession, table_path: str) -> int | None:
+def _folder(spark: SparkSession, path: str) -> tuple[Any, Any]:
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return root.getFileSystem(spark._jsc.hadoopConfiguration()), root
+
+
+def manifests(spark: SparkSession, table_path: str) -> list[int]:
+    """The numbers of the states that the table has had; none if there is no table."""
+    system, root = _folder(spark, f"{table_path}/manifests")
+    if not system.exists(root):
+        return []
+    return sorted(int(f.getPath().getName()) for f in system.listStatus(root) if f.getPath().getName().isdigit())
+
+
+def _write_manifest(spark: SparkSession, table_path: str, epoch: int, state: dict[int, int]) -> None:
+    system, root = _folder(spark, f"{table_path}/manifests")
+    system.mkdirs(root)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    draft = path(root, f".{epoch}-{uuid.uuid4().hex}")
+    out = system.create(draft, True)
+    try:
+        out.write(bytearray(json.dumps(state).encode()))
+    finally:
+        out.close()
+    if not system.rename(draft, path(root, str(epoch))):
+        raise OSError(f"the manifest {epoch} of {table_path} could not be put in place")
+
+
+def current_state(spark: SparkSession, table_path: str) -> dict[int, int]:
+    """bucket to generation of the newest manifest; errors other than a missing table are raised."""
+    known = manifests(spark, table_path)
+    if not known:
+        return {}
+    system, file = _folder(spark, f"{table_path}/manifests/{known[-1]}")
+    stream = system.open(file)
     try:
-        return spark.read.parquet(f"{table_path}/CURRENT").first()[0]
-    except Exception:
-        return None
+        text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+    return {int(b): g for b, g in json.loads(text).items()}
 
 
-def read_current(spark: SparkSession, table_path: str) -> DataFrame:
-    return spark.read.parquet(f"{table_path}/generation={current_generation(spark, table_path)}")
+def current_generation(spark: SparkSession, table_path: str) -> int | None:
+    known = manifests(spark, table_path)
+    return known[-1] if known else None
+
+
+def _rows_of(spark: SparkSession, table_path: str, state: dict[int, int]) -> DataFrame | None:
+    paths = [f"{table_path}/generation={g}/bucket={b}" for b, g in sorted(state.items())]
+    return spark.read.parquet(*paths) if paths else None
+
+
+def read_current(spark: SparkSession, table_path: str, schema: Any = None) -> DataFrame:
+    """The rows of the newest state; an empty table needs its schema."""
+    rows = _rows_of(spark, table_path, current_state(spark, table_path))
+    if rows is not None:
+        return rows
+    if schema is None:
+        raise FileNotFoundError(f"{table_path} has no rows")
+    return spark.createDataFrame([], schema)
 
 
 def session_weight_stream(sessions: DataFrame, ttl: str = "24 hours") -> DataFrame:
@@ -122,7 +195,7 @@ def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     Append mode writes files to a shared folder; the last windows stay in the state, as they may
     still grow."""
     spark = stream.sparkSession
-    out = shared_folder(spark, name)
+    out = stream_folder(spark, name)
     if mode == "append":
         query = stream.writeStream.format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/log").outputMode("append").trigger(availableNow=True).start()
         query.awaitTermination()
@@ -134,12 +207,3 @@ def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     query = stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{out}/log").outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.parquet(f"{out}/data").drop("batch")
-
-
-def table_schema(spark: SparkSession, path: str):
-    return spark.read.parquet(path).schema
-
-
-def single_file(path: str) -> str:
-    """A glob that a file stream accepts for one Parquet table, be it a file or a folder."""
-    return path if os.path.isdir(path) or "://" in path else os.path.dirname(path)

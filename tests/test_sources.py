@@ -22,6 +22,15 @@ def test_discovery_reads_a_tree(spark, tmp_path):
     assert got == {"a.py": ("python", "code", 6), "b/c.md": ("markdown", "docs", 4)}
 
 
+def test_ignore_files_are_read_at_any_depth(spark, tmp_path):
+    deep = tmp_path.joinpath(*"abcdefghijklmnopqrstuv")
+    deep.mkdir(parents=True)
+    (deep / ".gitignore").write_text("z.py\n")
+    (deep / "z.py").write_text("x = 1\n")
+    (deep / "y.py").write_text("x = 1\n")
+    assert [r["file_path"][-4:] for r in discover(spark, str(tmp_path)).collect()] == ["y.py"]
+
+
 SOURCE = '''
 import os.path as p
 from .util import helper, Base
