@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from codeloom.functions import paths as P
 from codeloom.functions import redact as R
 from codeloom.functions import text as X
+from codeloom.operators import cascade as CS
 from codeloom.operators import graph as G
 from codeloom.operators import lexical as L
 from codeloom.operators import ops as O
@@ -22,10 +23,11 @@ from codeloom.operators import rank as K
 from codeloom.operators import resolve as S
 from codeloom.operators import traverse as T
 from codeloom.operators import vector as V
-from codeloom.operators.common import cut, keep_latest, latest_rows
+from codeloom.operators.common import cut, keep_latest, latest_rows, table_state
 from codeloom.operators.postings import LexicalIndex
 from codeloom.plans.pattern.execute import execute
 from codeloom.pattern_queries import pattern_graph
+from codeloom.sources import git as checkout
 from codeloom.sources.sinks import append_audit
 from codeloom.views import CHUNK_COLUMNS, Corpus
 
@@ -84,6 +86,8 @@ class Engine:
 
     def __post_init__(self) -> None:
         self.corpus = Corpus(self.spark, self.sf_dir)
+        self.states: dict[str, str] = {}
+        self.refresh()
 
     # search
 
@@ -98,7 +102,7 @@ class Engine:
         begin = time.monotonic()
         if not query.strip():
             return {"outcome": "invalid_argument", "error": "empty query", "results": None, "total": 0}
-        chunks = self.scoped(content or K.scope(query), language, include_tests)
+        chunks = self.scoped(content or K.scope(query), language or (self.language(query) if mode == "ranked" else None), include_tests)
         if mode == "exhaustive":
             payload = self.exhaustive(chunks, query, matching, ignore_case)
         elif mode == "enumerate":
@@ -293,17 +297,19 @@ class Engine:
         return out
 
     def implementations(self, symbol: str) -> dict[str, Any]:
+        """Types below a type, or what stands for a member in the types below its own."""
         error, sid = self._one(symbol)
         if error:
             return error
         c = self.corpus
         row = c.symbols.where(F.col("id") == sid).first()
-        owner = row["parent_symbol_id"] if row["kind"] in ("method", "constructor") and row["parent_symbol_id"] is not None else sid
-        found = T.subtypes(c.symbols_with("fqn"), c.edges, self.spark.createDataFrame([(owner,)], "root long"))
-        if owner != sid:  # the member of each subtype, or else that of its nearest ancestor
-            members = c.symbols.where((F.col("name") == row["name"]) & F.col("parent_symbol_id").isNotNull()).select(F.col("parent_symbol_id").alias("p"), F.col("id").alias("member"))
-            found = found.join(members, F.col("id") == F.col("p"), "left").drop("p")
-        return {"outcome": "resolved" if found.limit(1).count() else "no_match", "implementations": found, "hint": "no static implementation: look for framework wiring"}
+        hint = "no static implementation: look for framework wiring"
+        if row["kind"] in ("method", "function", "constructor") and row["parent_symbol_id"] is not None:
+            found = CS.member_implementations(c.symbols_with("fqn", "name", "kind", "parent_symbol_id"), c.resolved_edges, self.spark.createDataFrame([(sid,)], "id long"))
+            real = found.where("implementation_id is not null")
+            return {"outcome": "resolved" if real.limit(1).count() else "no_match", "implementations": found, "hint": hint}
+        found = T.subtypes(c.symbols_with("fqn"), c.edges, self.spark.createDataFrame([(sid,)], "root long"))
+        return {"outcome": "resolved" if found.limit(1).count() else "no_match", "implementations": found, "hint": hint}
 
     # graph
 
@@ -394,33 +400,77 @@ class Engine:
             out["files"] = walk(c.modules, paths, 1 if fixpoint else depth)
         return out
 
-    def changes(self, changed_paths: Sequence[str], scope: str = "impact", **options: Any) -> dict[str, Any]:
-        """What a change touches: its files, what it reaches, or the tests to run."""
-        payload = self.impact(changed_paths, **options)
+    def changes(self, changed_paths: Sequence[str] = (), scope: str = "impact", root: str | None = None, base: str | None = None, head: str | None = None, **options: Any) -> dict[str, Any]:
+        """What a change touches: its files, what it reaches, or the tests to run. The change is a list of
+        paths, or the difference of two revisions of a checkout at ``root``."""
+        paths = list(changed_paths)
+        if base is not None:
+            try:
+                paths += checkout.changed_paths(root or ".", base, head)
+            except ValueError as x:
+                return {"outcome": "invalid_argument", "error": str(x)}
+        if not paths:
+            return {"outcome": "no_changes"}
+        payload = {**self.impact(paths, **options), "changed": paths}
         if scope == "files":
-            return {k: payload[k] for k in ("outcome", "files") if k in payload}
+            return {k: payload[k] for k in ("outcome", "files", "changed") if k in payload}
         return {"outcome": payload["outcome"], "tests": payload["tests"]} if scope == "tests" else payload
 
+    def refresh(self) -> list[str]:
+        """The tables that have changed since they were last looked at; their relations are settled anew
+        when they are next asked for."""
+        state = {t: table_state(self.spark, f"{self.sf_dir}/{t}.parquet") for t in ("symbols", "edges", "code_chunks", "files")}
+        changed = sorted(t for t, s in state.items() if self.states.get(t) != s)
+        if changed:
+            self.corpus, self.states = Corpus(self.spark, self.sf_dir), state
+        return changed
+
+    def language(self, query: str) -> str | None:
+        """The one language that a question speaks of: that of the symbol it names, else the only one
+        whose chunks know any of its concepts."""
+        name = query.strip()
+        if " " not in name:
+            rows = self.corpus.symbols.where((F.col("name") == name) | (F.col("fqn") == name)).select("language").distinct().limit(2).collect()
+            if len(rows) == 1 and rows[0]["language"]:
+                return rows[0]["language"]
+        words = [w for w in X.decompose(query) if len(w) >= 3 and w not in X.STOP_WORDS]
+        if not words:
+            return None
+        rows = self.corpus.lexical.stats.where((F.col("section") == "token") & F.col("key").isin(*words)).select("language").distinct().collect()
+        return rows[0]["language"] if len(rows) == 1 and rows[0]["language"] != "unknown" else None
+
     def pattern(self, query: str, limit: int = 100, cursor: str | None = None, timeout_ms: int = 5_000) -> dict[str, Any]:
         return execute(query, pattern_graph(self.corpus), limit, cursor, timeout_ms, self.generation)
 
-    def related(self, file_path: str, line: int, limit: int = 5) -> dict[str, Any]:
-        """Chunks related to the one at a line: nearest vectors of other files, blended with packages."""
+    def related(self, file_path: str, line: int, limit: int = 5, drop_boilerplate: bool = False) -> dict[str, Any]:
+        """Chunks related to the one at a line: nearest vectors, weighed with packages, parameter types and
+        calls; boilerplate is weighed down unless asked about."""
         c = self.corpus
         spans = c.chunks_with("file_path", "line_start", "line_end").where(F.col("file_path") == file_path).withColumnRenamed("id", "span_id")
         point = self.spark.createDataFrame([(file_path, line)], "file_path string, line int")
         anchor = G.smallest_enclosing(point, spans, []).first()
         if anchor is None:
             return {"outcome": "not_found"}
+        me = anchor["span_id"]
         vectors = c.table("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
         paths = c.chunks_with("file_path").select("id", F.col("file_path").alias("group"))
         rows = vectors.join(paths, "id", "left")
-        near = V.top_cosine(rows.where(F.col("id") == anchor["span_id"]).select(F.col("id").alias("query_id"), "vector", "group"), rows, max(limit + 1, limit + 50)).select("id", "score")
-        blended = near.join(paths, "id").withColumn("package", P.package_overlap(F.lit(file_path), F.col("group")))
-        semantic = 0.2 * F.col("package")
-        final = 0.8 * semantic + 0.2 * F.col("score")
-        false_positive = (0.3 * F.col("package") < 0.15) & (F.col("score") > 0.7)
-        ranked = blended.select("id", F.col("group").alias("file_path"), F.when(false_positive, final * 0.5).otherwise(final).alias("score"))
+        asked = rows.where(F.col("id") == me).select(F.col("id").alias("query_id"), "vector", "group")
+        near = cut(V.top_cosine(asked, rows, max(limit + 1, limit + 50)).select("id", "score"))  # of other files
+        if not near.limit(1).count():
+            near = cut(V.top_cosine(asked.withColumn("group", F.lit(None).cast("string")), rows.withColumn("group", F.lit(None).cast("string")), limit + 1).where(F.col("id") != me).select("id", "score"))
+        pool = near.join(c.chunks_of(near, "file_path", "fqn"), "id")
+        mine = c.chunks_of(self.spark.createDataFrame([(me,)], "id long"), "fqn").first()
+        symbols = c.symbols_with("fqn").select(F.col("id").alias("node"), F.col("fqn").alias("f"))
+        seed = symbols.where(F.col("f") == (mine["fqn"] if mine else None)).select("node")
+        links = c.resolved_edges.where("edge_type = 'CALLS'").select(F.col("source_symbol_id").alias("a"), F.col("target_symbol_id").alias("b"))
+        calls = T.levels(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), seed, 3, seen=seed).groupBy("node").agg(F.min("depth").alias("depth"))
+        known = pool.join(symbols, F.col("fqn") == F.col("f"), "left").join(calls, "node", "left")
+        sharing = PS.type_sharing(PS.parameter_types(F.lit(mine["fqn"] if mine else None).cast("string")), PS.parameter_types(F.col("fqn")))
+        score = K.related_score(P.package_overlap(F.lit(file_path), F.col("file_path")), sharing, F.coalesce(1 / F.col("depth"), F.lit(0.0)), F.col("score"))
+        rated = known.select("id", "file_path", score.alias("score")).groupBy("id", "file_path").agg(F.max("score").alias("score"))
+        role = self.spark.createDataFrame([(file_path,)], "file_path string").select(P.file_role(F.col("file_path"))).first()[0]
+        ranked = PS.suppressed(rated, role, drop_boilerplate)
         return {"outcome": "resolved", "related": ranked.orderBy(F.desc("score"), "id").limit(limit)}
 
     # operations

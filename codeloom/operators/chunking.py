@@ -73,6 +73,45 @@ def coalesced(chunks: DataFrame, max_chars: int) -> DataFrame:
     return pieces.groupBy("file_path", "_run", "_piece").agg(F.min("line_start").alias("line_start"), F.max("line_end").alias("line_end"), F.count("*").alias("n")).select("file_path", "line_start", "line_end", "n")
 
 
+def anchored(pieces: DataFrame, max_chars: int = 750) -> DataFrame:
+    """file_path, line_start, line_end, anchor, n: definitions with the small pieces that they take in, and
+    the runs of what is left.
+
+    pieces: id, file_path, line_start, line_end, size, is_definition. A piece that is no definition goes
+    to the smallest definition around its first line while that, in order of lines, holds ``max_chars``;
+    what finds no room, or stands outside of all, is joined with its neighbours. Rows without lines
+    are left out."""
+    rows = pieces.where("file_path is not null and line_start is not null and line_end is not null")
+    anchors = rows.where("is_definition")
+    leaves = rows.where("not coalesce(is_definition, false)")
+    spans = anchors.select("file_path", "line_start", "line_end", F.col("id").alias("span_id"))
+    near = smallest_enclosing(leaves.select("file_path", F.col("line_start").alias("line"), "id"), spans, ["id"])
+    held = leaves.join(near.select(F.col("id").alias("lid"), F.col("span_id").alias("anchor")), F.col("id") == F.col("lid"), "left").drop("lid")
+    held = held.join(anchors.select(F.col("id").alias("aid"), F.col("size").alias("asize")), F.col("anchor") == F.col("aid"), "left")
+    run = F.sum("size").over(Window.partitionBy("anchor").orderBy("line_start", "id").rowsBetween(Window.unboundedPreceding, 0))
+    inside = held.where("anchor is not null").withColumn("fits", F.col("asize") + run <= max_chars)
+    taken = inside.where("fits").groupBy("anchor").agg(F.count("*").alias("n"), F.max("line_end").alias("leaf_end"), F.min("line_start").alias("leaf_start"))
+    whole = anchors.join(taken, F.col("id") == F.col("anchor"), "left").select(
+        "file_path", F.least("line_start", "leaf_start").alias("line_start"), F.greatest("line_end", "leaf_end").alias("line_end"), F.col("id").alias("anchor"), (1 + F.coalesce("n", F.lit(0))).alias("n")
+    )
+    columns = ["file_path", "line_start", "line_end", "size"]
+    orphans = coalesced(held.where("anchor is null").select(*columns).unionByName(inside.where("not fits").select(*columns)), max_chars)
+    return whole.unionByName(orphans.select("file_path", "line_start", "line_end", F.lit(None).cast("long").alias("anchor"), "n"))
+
+
+def paragraphs(texts: DataFrame, max_lines: int = MAX_LINES) -> DataFrame:
+    """item, line_start, line_end: a text of at most ``max_lines`` lines whole, a longer one by blocks
+    between blank lines, of at most as many lines. Windows run within one text."""
+    n = F.size(F.split("text", "\n"))
+    short = texts.where("text is not null").where(n <= max_lines).select("item", F.lit(1).alias("line_start"), n.alias("line_end"))
+    lines = text_lines(texts.where(n > max_lines)).where(F.col("line").rlike(r"\S"))
+    w = Window.partitionBy("item").orderBy("no")
+    runs = lines.withColumn("run", F.sum(F.when(F.col("no") > F.lag("no").over(w) + 1, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    begin = F.min("no").over(Window.partitionBy("item", "run"))
+    block = runs.withColumn("block", F.floor((F.col("no") - begin) / max_lines))
+    return short.unionByName(block.groupBy("item", "run", "block").agg(F.min("no").alias("line_start"), F.max("no").alias("line_end")).select("item", "line_start", "line_end"))
+
+
 def import_lines(lines: DataFrame, *carried: str) -> DataFrame:
     """file_path, line_no, module of import statements. lines: file_path, language, line_no, line and
     what is carried along."""

@@ -40,9 +40,8 @@ def _freshness(c: Corpus) -> DataFrame:
 
 def _refreshed(c: Corpus) -> DataFrame:
     rows = c.chunks_with("file_path", "line_start")
-    new = rows.where("line_start = 1")
     changes = _freshness(c)
-    return O.refreshed(rows, new.join(changes.where("status = 'modified'"), "file_path", "left_semi").select(*rows.columns), changes)
+    return O.refreshed(rows, rows.join(changes.where("status = 'modified'"), "file_path", "left_semi").select(*rows.columns), changes)
 
 
 def _lines(c: Corpus) -> DataFrame:
@@ -78,6 +77,11 @@ def _small_chunks(c: Corpus) -> DataFrame:
     return rows.where("line_start is not null and line_end is not null").select("file_path", "line_start", "line_end", "size")
 
 
+def _anchored(c: Corpus) -> DataFrame:
+    rows = latest_rows(c.rows.withColumn("size", F.char_length("content")), "id", ["file_path", "line_start", "line_end", "size", "is_definition"])
+    return C.anchored(rows)
+
+
 def _digest(c: Corpus) -> DataFrame:
     counts = {t: c.table(t).count() for t in ("symbols", "edges", "code_chunks", "files")}
     return c.spark.createDataFrame([(O.generation_digest("corpus", counts, ("1",)),)], "digest string")
@@ -134,6 +138,8 @@ QUERIES = {
     "s10_heading_chunks": _query(lambda c: C.heading_chunks(_texts(c))),
     "s11_line_blocks": _query(lambda c: C.line_blocks(_texts(c), 20)),
     "s9_coalesced": _query(lambda c: C.coalesced(_small_chunks(c), 750)),
+    "s9_anchored": _query(_anchored),
+    "s11_paragraphs": _query(lambda c: C.paragraphs(_texts(c), 20)),
     "s21_index": _query(_index),
     "s15_imports": _query(_imports),
     "s16_rationale": _query(_rationale),
@@ -170,7 +176,7 @@ SELECT event_type AS query_type, max(n) AS n, max(CASE WHEN i = least(n * 50 //
     "m4_freshness": _W + _FRESH + " SELECT file_path, status FROM fr WHERE status IS NOT NULL",
     "s22_refreshed": _W + _FRESH + """
 SELECT id, file_path, line_start FROM chk WHERE file_path NOT IN (SELECT file_path FROM fr WHERE status IS NOT NULL)
-UNION ALL SELECT id, file_path, line_start FROM chk WHERE line_start = 1 AND file_path IN (SELECT file_path FROM fr WHERE status = 'modified')""",
+UNION ALL SELECT id, file_path, line_start FROM chk WHERE file_path IN (SELECT file_path FROM fr WHERE status = 'modified')""",
     "g32_coverage": _W + _COV + " SELECT * FROM cov",
     "g32_scope_coverage": _W + _COV + """
 SELECT string_split(file_path, '/')[1] AS scope, count(*) AS files, CASE WHEN count(*) FILTER (WHERE status = 'missing') > 0 THEN 'missing' WHEN count(*) FILTER (WHERE status = 'parse_failed') > 0 THEN 'parse_failed' ELSE 'ok' END AS worst FROM cov GROUP BY 1""",
@@ -187,6 +193,25 @@ WITH l AS (SELECT doc_id AS item, i AS no, rtrim(x[i], chr(13)) AS line FROM (SE
 SELECT item, CAST(min(no) AS INTEGER) AS line_start, CAST(max(no) AS INTEGER) AS line_end, first(CASE WHEN head THEN trim(regexp_replace(line, '^[#=]+', '')) END ORDER BY no) AS heading FROM b GROUP BY item, section, block""",
     "s11_line_blocks": """
 SELECT doc_id AS item, CAST(i AS INTEGER) AS line_start, CAST(least(i + 19, n) AS INTEGER) AS line_end FROM (SELECT doc_id, len(string_split(text, chr(10))) AS n FROM documents WHERE text IS NOT NULL) t, unnest(range(1, n + 1, 20)) AS u(i)""",
+    "s9_anchored": _W + """
+, pc AS (SELECT id, file_path, line_start, line_end, length(content) AS size, coalesce(is_definition, false) AS d FROM chk WHERE file_path IS NOT NULL AND line_start IS NOT NULL AND line_end IS NOT NULL
+), en AS (SELECT l.id, a.id AS anchor, a.size AS asize, row_number() OVER (PARTITION BY l.id ORDER BY a.line_end - a.line_start, a.id) AS rn FROM pc l JOIN pc a ON a.d AND NOT l.d AND a.file_path = l.file_path AND l.line_start BETWEEN a.line_start AND a.line_end
+), hd AS (SELECT l.*, en.anchor, en.asize, sum(l.size) OVER (PARTITION BY en.anchor ORDER BY l.line_start, l.id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM pc l LEFT JOIN en ON en.id = l.id AND en.rn = 1 WHERE NOT l.d
+), tk AS (SELECT anchor, count(*) AS n, max(line_end) AS le, min(line_start) AS ls FROM hd WHERE anchor IS NOT NULL AND asize + run <= 750 GROUP BY 1
+), o AS (SELECT file_path, line_start, line_end, size FROM hd WHERE anchor IS NULL OR NOT coalesce(asize + run <= 750, true)
+), g AS (SELECT *, CASE WHEN line_start > lag(line_end) OVER (PARTITION BY file_path ORDER BY line_start, line_end) + 2 THEN 1 ELSE 0 END AS gap FROM o
+), r AS (SELECT *, sum(gap) OVER (PARTITION BY file_path ORDER BY line_start, line_end ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS rn FROM g
+), t AS (SELECT *, (sum(size) OVER (PARTITION BY file_path, rn ORDER BY line_start, line_end ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1) // 750 AS piece FROM r)
+SELECT p.file_path, least(p.line_start, tk.ls) AS line_start, greatest(p.line_end, tk.le) AS line_end, p.id AS anchor, 1 + coalesce(tk.n, 0) AS n FROM pc p LEFT JOIN tk ON tk.anchor = p.id WHERE p.d
+UNION ALL SELECT file_path, min(line_start), max(line_end), NULL, count(*) FROM t GROUP BY file_path, rn, piece""",
+    "s11_paragraphs": """
+WITH d AS (SELECT doc_id AS item, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL
+), x AS (SELECT item, i AS no FROM d, unnest(range(1, len(l) + 1)) AS u(i) WHERE len(l) > 20 AND regexp_matches(l[i], '\S')
+), y AS (SELECT *, CASE WHEN no > lag(no) OVER (PARTITION BY item ORDER BY no) + 1 THEN 1 ELSE 0 END AS f FROM x
+), z AS (SELECT *, sum(f) OVER (PARTITION BY item ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS r FROM y
+), b AS (SELECT *, (no - min(no) OVER (PARTITION BY item, r)) // 20 AS k FROM z)
+SELECT item, 1 AS line_start, CAST(len(l) AS INTEGER) AS line_end FROM d WHERE len(l) <= 20
+UNION ALL SELECT item, CAST(min(no) AS INTEGER), CAST(max(no) AS INTEGER) FROM b GROUP BY item, r, k""",
     "s9_coalesced": _W + """
 , c AS (SELECT file_path, line_start, line_end, length(content) AS size FROM chk WHERE line_start IS NOT NULL AND line_end IS NOT NULL
 ), r AS (SELECT *, CASE WHEN line_start > lag(line_end) OVER w + 2 THEN 1 ELSE 0 END AS gap FROM c WINDOW w AS (PARTITION BY file_path ORDER BY line_start, line_end)

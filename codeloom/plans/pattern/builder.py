@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from collections.abc import Sequence
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -158,12 +159,17 @@ class Builder:
 
     def match(self, path: S.Path, optional: bool) -> None:
         nodes, edges = path.nodes, path.edges
-        if self.frame.df is not None and nodes[0].variable not in self.frame.scope and any(n.variable in self.frame.scope for n in nodes if n.variable):
-            # begin at a node that is bound: the mirrored path means the same
-            if nodes[-1].variable in self.frame.scope:
-                flip = {"out": "in", "in": "out", "both": "both"}
-                nodes = nodes[::-1]
-                edges = tuple(S.EdgePattern(e.variable, e.types, e.properties, flip[e.direction], e.hops) for e in edges[::-1])
+        bound = [k for k, n in enumerate(nodes) if n.variable and n.variable in self.frame.scope]
+        if self.frame.df is not None and bound and bound[0] > 0:
+            # begin at a node that is bound: the part before it, mirrored, and the part after it mean the same
+            at = bound[0]
+            flip = {"out": "in", "in": "out", "both": "both"}
+            before = tuple(S.EdgePattern(e.variable, e.types, e.properties, flip[e.direction], e.hops) for e in edges[:at][::-1])
+            self.follow(nodes[: at + 1][::-1], before, optional)
+            nodes, edges = nodes[at:], edges[at:]
+        self.follow(nodes, edges, optional)
+
+    def follow(self, nodes: Sequence[S.NodePattern], edges: Sequence[S.EdgePattern], optional: bool) -> None:
         here = self.start(nodes[0], optional)
         for edge, node in zip(edges, nodes[1:], strict=True):
             here = self.hop(here, edge, node, optional)

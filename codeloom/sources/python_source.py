@@ -6,7 +6,7 @@ import ast
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SYMBOLS = "fqn string, name string, kind string, file_path string, line_start int, line_end int, docstring string, declared_rules string, parent_fqn string, visibility string, content string"
@@ -119,12 +119,17 @@ def _rows(which: int, schema: str):
     return run
 
 
+def symbol_id(fqn: Column) -> Column:
+    """A hash of the full name that is never negative: the pattern graph numbers its own nodes below zero."""
+    return F.shiftrightunsigned(F.xxhash64(fqn), 1)
+
+
 def python_symbols(files: DataFrame) -> DataFrame:
     """Symbols of Python files (file_path, content); files that do not parse give none. Ids are hashes
     of the full names, so partitions need not agree on numbers."""
     rows = files.where("file_path like '%.py'").select("file_path", "content").mapInArrow(_rows(0, SYMBOLS), SYMBOLS)
     conventional = F.concat(F.regexp_replace(F.regexp_replace("file_path", r"(?:/__init__)?\.py$", ""), "/", "."), F.lit("."), F.substring_index("fqn", "::", -1))
-    return rows.select(F.xxhash64("fqn").alias("id"), "*", conventional.alias("conventional_fqn"), F.when(F.col("parent_fqn").isNotNull(), F.xxhash64("parent_fqn")).alias("parent_symbol_id"))
+    return rows.select(symbol_id(F.col("fqn")).alias("id"), "*", conventional.alias("conventional_fqn"), F.when(F.col("parent_fqn").isNotNull(), symbol_id(F.col("parent_fqn"))).alias("parent_symbol_id"))
 
 
 def python_references(files: DataFrame) -> DataFrame:
@@ -137,10 +142,10 @@ def index_python(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     from codeloom.operators.resolve import resolve_references
 
     symbols = python_symbols(files)
-    refs = python_references(files).withColumn("id", F.xxhash64("source_fqn", "target_raw", "edge_type", "line", "column"))
+    refs = python_references(files).withColumn("id", F.shiftrightunsigned(F.xxhash64("source_fqn", "target_raw", "edge_type", "line", "column"), 1))
     found = resolve_references(symbols.select("id", "fqn", "name", "conventional_fqn", "file_path"), refs.select("id", F.col("target_raw").alias("raw"), "file_path"))
     edges = refs.join(found.select(F.col("id").alias("rid"), "tier", "target"), F.col("id") == F.col("rid")).select(
-        "id", F.xxhash64("source_fqn").alias("source_symbol_id"), F.col("target").alias("target_symbol_id"), "edge_type", F.array("line", "column").alias("source_range"),
+        "id", symbol_id(F.col("source_fqn")).alias("source_symbol_id"), F.col("target").alias("target_symbol_id"), "edge_type", F.array("line", "column").alias("source_range"),
         F.lit(None).cast("array<int>").alias("target_range"), F.when(F.col("target").isNotNull(), F.col("tier")).otherwise(F.lit("ambiguous")).alias("resolution_tier"),
         F.col("target").isNotNull().alias("resolved"), "target_raw", F.create_map().cast("map<string,string>").alias("properties"),
     )

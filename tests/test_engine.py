@@ -49,3 +49,13 @@ def test_reports(engine):
     assert engine.pattern("MATCH (f:Function) RETURN count(*) AS n", timeout_ms=30_000)["rows"][0]["n"] > 0
     assert engine.ask("who calls no_such_name_anywhere")["outcome"] == "not_found"
     assert engine.neighbourhood("index token")["outcome"] in ("resolved", "no_seed")
+
+
+def test_related_changes_language_and_refresh(engine, tmp_path):
+    row = engine.corpus.chunks_with("file_path", "line_start").orderBy("id").first()
+    found = engine.related(row["file_path"], row["line_start"])
+    assert found["outcome"] == "resolved" and found["related"].count() <= 5
+    assert engine.related("no/such/file", 1)["outcome"] == "not_found"
+    assert engine.changes()["outcome"] == "no_changes" and engine.changes(root=str(tmp_path), base="HEAD")["outcome"] == "invalid_argument"
+    assert engine.refresh() == [] and engine.language("zzz qqq") is None
+    assert route("what calls buildIndex") == ("callers", "buildIndex") and route("usages of a.b") == ("callers", "a.b") and route("who invokes go_on") == ("callers", "go_on") and route("buildIndex") == ("definition", "buildIndex")

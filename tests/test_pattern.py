@@ -92,6 +92,13 @@ def test_patterns_side_by_side_and_optional_ones(graph):
     assert answers(graph, "MATCH (c:Class) OPTIONAL MATCH (c)-[:INHERITS]->(b) RETURN c.name, b.name") == [("Basket", None), ("Depot", None), ("GiftVoucher", "Voucher"), ("Kiosk", "Depot"), ("Voucher", None)]
 
 
+def test_a_path_starts_at_its_bound_node(graph):
+    text = "MATCH (m:Method {name: 'addLine'}) MATCH (u)-[:CALLS]->(m)-[:CALLS]->(t) RETURN u.name, m.name, t.name"
+    assert answers(graph, text) == [("checkBasket", "addLine", "take")]
+    plan = build(text, graph)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Cartesian" not in plan and "Join Cross" not in plan
+
+
 def test_exists_as_filter_and_value(graph):
     assert answers(graph, "MATCH (f:Function) WHERE NOT EXISTS { (s)-[:CALLS]->(f) } RETURN f.name") == [("checkBasket",), ("notify",)]
     assert answers(graph, "MATCH (f:Function) WHERE EXISTS { (f)<-[:CALLS]-(s) WHERE s.is_test = 1 } RETURN f.name") == [("taxOn",)]

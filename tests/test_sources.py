@@ -1,3 +1,5 @@
+import pytest
+
 from codeloom.sources import sinks
 from codeloom.sources.files import discover, is_ignored, parse_ignore
 from codeloom.sources.python_source import index_python, parse
@@ -31,6 +33,31 @@ def test_ignore_files_are_read_at_any_depth(spark, tmp_path):
     assert [r["file_path"][-4:] for r in discover(spark, str(tmp_path)).collect()] == ["y.py"]
 
 
+def test_changes_and_sessions_from_a_checkout(spark, tmp_path):
+    import subprocess
+    from datetime import datetime
+
+    from codeloom.sources import git
+
+    run = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=t", "-c", "user.email=t@example.test", *a], check=True, capture_output=True)
+    run("init", "-q")
+    (tmp_path / "a b.py").write_text("1")
+    (tmp_path / "c.py").write_text("1\n2\n3\n")
+    run("add", "-A")
+    run("commit", "-qm", "one")
+    (tmp_path / "a b.py").write_text("2")
+    run("commit", "-qam", "two")
+    assert git.changed_paths(str(tmp_path), "HEAD~1", "HEAD") == ["a b.py"] and git.changed_paths(str(tmp_path), "HEAD") == []
+    run("mv", "c.py", "d.py")
+    (tmp_path / "e.py").write_text("1")
+    assert git.touched_paths(str(tmp_path)) == ["d.py", "e.py"]
+    rows = git.work_tree_sessions(spark, str(tmp_path), "s1", datetime(2025, 1, 1)).collect()
+    assert [(r["file_path"], r["event_type"]) for r in rows] == [("d.py", "WRITE"), ("e.py", "WRITE")]
+    for bad in ("no-such-ref", "--output=x"):
+        with pytest.raises(ValueError):
+            git.changed_paths(str(tmp_path), bad)
+
+
 SOURCE = '''
 import os.path as p
 from .util import helper, Base
