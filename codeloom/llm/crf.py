@@ -83,27 +83,34 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
 
 def train(sequences: list[list[list[str]]], labels: list[list[int]], states: int = 2, rounds: int = 200, l2: float = 1e-4, rate: float = 0.3) -> Crf:
     """Weights of greatest likelihood (with an L2 penalty) by full-batch Adam; deterministic."""
-    order = sorted(range(len(sequences)), key=lambda i: -len(sequences[i]))
-    sequences, labels = [sequences[i] for i in order], [labels[i] for i in order]
     index: dict[str, int] = {}
     flat: list[int] = []
     seen: dict[tuple[str, ...], int] = {}
-    rows = np.array([seen.setdefault(tuple(features), len(seen)) for sequence in sequences for features in sequence])
+    # sequences that look the same are one with a weight
+    alike: dict[tuple[tuple[int, ...], tuple[int, ...]], int] = {}
+    for sequence, gold_labels in zip(sequences, labels, strict=True):
+        key = (tuple(seen.setdefault(tuple(features), len(seen)) for features in sequence), tuple(gold_labels))
+        alike[key] = alike.get(key, 0) + 1
+    unique = sorted(alike, key=lambda k: -len(k[0]))
+    weight = np.array([float(alike[k]) for k in unique])
+    labels = [list(k[1]) for k in unique]
+    rows = np.array([r for k in unique for r in k[0]])
     for features in seen:
         flat += [index.setdefault(f, len(index)) for f in features]
     sizes = [len(features) for features in seen]
     ids, counts = np.array(flat), np.array(sizes)
     starts = np.concatenate(([0], counts.cumsum()[:-1]))
-    n, longest = len(sequences), max(map(len, sequences))
-    lengths = np.array([len(s) for s in sequences])
+    lengths = np.array([len(k[0]) for k in unique])
+    n, longest, total_weight = len(unique), int(lengths.max()), weight.sum()
     going = [int((lengths > t).sum()) for t in range(longest)]  # the longest come first
     where = np.full((n, longest), -1)
     where[np.arange(longest)[None, :] < lengths[:, None]] = np.arange(len(rows))
     mask = where >= 0
+    log_weight = np.log(weight)
     gold = np.zeros((n, longest, states))
     for i, y in enumerate(labels):
         gold[i, np.arange(len(y)), y] = 1
-    gold_pairs = np.einsum("nta,ntb->ab", gold[:, :-1] * mask[:, 1:, None], gold[:, 1:])
+    gold_pairs = np.einsum("n,nta,ntb->ab", weight, gold[:, :-1] * mask[:, 1:, None], gold[:, 1:])
     params = [np.zeros((len(index), states)), np.zeros((states, states)), np.zeros(states)]
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in params]
     for k in range(1, rounds + 1):
@@ -124,16 +131,16 @@ def train(sequences: list[list[list[str]]], labels: list[list[int]], states: int
         pairs = np.zeros((states, states))
         for t in range(longest - 1):
             m = going[t + 1]
-            pairs += np.exp(forward[:m, t, :, None] + trans + (scores[:m, t + 1] + backward[:m, t + 1])[:, None, :] - total[:m, None, None]).sum(0)
-        surplus = (marginal - gold)[mask]
+            pairs += np.exp(forward[:m, t, :, None] + trans + (scores[:m, t + 1] + backward[:m, t + 1])[:, None, :] - total[:m, None, None] + log_weight[:m, None, None]).sum(0)
+        surplus = ((marginal - gold) * weight[:, None, None])[mask]
         by_row = [np.bincount(rows, surplus[:, y], len(seen)) for y in range(states)]
         grads = [
             np.stack([np.bincount(ids, np.repeat(by_row[y], counts), len(index)) for y in range(states)], 1),
             pairs - gold_pairs,
-            (marginal[:, 0] - gold[:, 0]).sum(0),
+            ((marginal[:, 0] - gold[:, 0]) * weight[:, None]).sum(0),
         ]
         for p, g, moment in zip(params, grads, moments, strict=True):
-            g = g / n + l2 * p
+            g = g / total_weight + l2 * p
             moment[0] = 0.9 * moment[0] + 0.1 * g
             moment[1] = 0.99 * moment[1] + 0.01 * g * g
             p -= rate * (moment[0] / (1 - 0.9**k)) / (np.sqrt(moment[1] / (1 - 0.99**k)) + 1e-8)
