@@ -224,6 +224,7 @@ SELECT file_path, min(line_start) AS line_start, max(line_end) AS line_end, coun
 ), st AS (SELECT DISTINCT 'token' AS s, language, unnest(w) AS k FROM t UNION ALL SELECT DISTINCT 'prefix', language, unnest(list_transform(list_filter(w, lambda x: length(x) >= 3), lambda x: substring(x, 1, 3))) FROM t)
 SELECT 'symbols' AS relation, count(*) AS row_count FROM sym UNION ALL SELECT 'edges', count(*) FROM edg UNION ALL SELECT 'resolved_edges', count(*) FROM res UNION ALL SELECT 'chunks', count(*) FROM chk
 UNION ALL SELECT 'postings', count(*) FROM w UNION ALL SELECT 'subword_stats', count(*) FROM st""",
+    "s25_digest": "SELECT substr(sha256('corpus|code_chunks=' || (SELECT count(*) FROM code_chunks) || '|edges=' || (SELECT count(*) FROM edges) || '|files=' || (SELECT count(*) FROM files) || '|symbols=' || (SELECT count(*) FROM symbols) || '|1'), 1, 32) AS digest",
     "s16_rationale": _W + r"""
 , ln AS (SELECT DISTINCT id, file_path, coalesce(line_start, 1) + i - 1 AS line_no, rtrim(l[i], chr(13)) AS line FROM (SELECT id, file_path, line_start, string_split(content, chr(10)) AS l FROM chk WHERE content IS NOT NULL AND content_type = 'code') x, unnest(range(1, len(l) + 1)) AS u(i)
 ), mk AS (SELECT file_path, line_no, lower(regexp_extract(line, '(?i)(?:#|//|/?\*|--)\s*(note|why|hack|todo|fixme|adr)\b[:\s-]*(.*)$', 1)) AS kind, trim(regexp_extract(line, '(?i)(?:#|//|/?\*|--)\s*(note|why|hack|todo|fixme|adr)\b[:\s-]*(.*)$', 2)) AS text FROM ln

@@ -134,6 +134,14 @@ _ROLE = "CASE WHEN fc.role IN ('model', 'dto', 'assembler', 'exception')"
 
 ORACLES = {
     "e36_bounded": _BM + " SELECT id, round(score / (1 + score), 6) AS score FROM sc",
+    "h8_quality_gate": _W + """
+, sw AS (SELECT id, list_distinct(list_filter(list_transform(subwords, lambda x: lower(trim(x))), lambda x: x IS NOT NULL AND x <> '')) AS w FROM chk
+), st AS (SELECT key, count(*) AS d FROM (SELECT unnest(w) AS key FROM sw) GROUP BY 1
+), pf AS (SELECT key, count(*) AS d FROM (SELECT id, unnest(list_distinct(list_transform(list_filter(w, lambda x: length(x) >= 3), lambda x: substring(x, 1, 3)))) AS key FROM sw) GROUP BY 1
+), q(text, t) AS (VALUES ('rebuild index zzzqqq', 'rebuild'), ('rebuild index zzzqqq', 'index'), ('rebuild index zzzqqq', 'zzzqqq'), ('zzzqqq wqrble', 'zzzqqq'), ('zzzqqq wqrble', 'wqrble'), ('quota', 'quota')
+), d AS (SELECT text, t, coalesce(st.d, pf.d, 0) AS n, st.d IS NOT NULL AS known FROM q LEFT JOIN st ON st.key = t LEFT JOIN pf ON pf.key = substring(t, 1, 3)
+), g AS (SELECT text, CAST(count(*) FILTER (WHERE n > 0 AND (ln((SELECT count(*) FROM chk) / n) >= 0.8 OR n <= 2)) AS INTEGER) AS informative, count(*) AS concepts, count(*) FILTER (WHERE known) / count(*) AS coverage, bool_or(n > 0) AS hits FROM d GROUP BY 1)
+SELECT text, informative, informative >= 1 AND (concepts < 2 OR (informative >= 2 AND coverage >= 0.5)) AND hits AS accepted FROM g""",
     "h12_stem_rescue": _BM + _TOP + f"""
 , ad AS (SELECT k.id, CASE WHEN starts_with('init', {_STEM.format(p='k.file_path')}) THEN 1.5 WHEN starts_with({_STEM.format(p='k.file_path')}, 'init') THEN 1.0 END * (SELECT top FROM mx) AS a FROM chk k
   WHERE coalesce(k.is_definition, false) AND {_LEAF} = '__init__' AND (starts_with('init', {_STEM.format(p='k.file_path')}) OR starts_with({_STEM.format(p='k.file_path')}, 'init')))""" + _INJECT,

@@ -63,6 +63,7 @@ _USE = "('CALLS','USAGE','CALL_REFERENCE','REFERENCES','IMPLEMENTS','INHERITS')"
 _E = "(SELECT * FROM edg WHERE target_symbol_id IS NOT NULL)"
 
 ORACLES = {
+    "c24_whole_node": _W + """SELECT '{"id":' || id || ',"label":"Constructor","name":"' || name || '","kind":"constructor","fqn":"' || fqn || '","file_path":"' || file_path || '"' || coalesce(',"line_start":' || line_start, '') || coalesce(',"line_end":' || line_end, '') || '}' AS node FROM sym WHERE kind = 'constructor'""",
     "c1_match_where": _W + "SELECT id, name FROM sym WHERE kind = 'function' AND starts_with(name, 'r') AND regexp_full_match(name, '.*[aeiou]d.*') AND NOT line_start > 40",
     "c2_labels_properties": _W + "SELECT id, CASE kind WHEN 'class' THEN 'Class' ELSE 'Interface' END AS label FROM sym WHERE kind IN ('class','interface') AND visibility = 'public'",
     "c3_hop_count": _W + f"SELECT b.id, count(*) AS calls, count(DISTINCT a.file_path) AS files FROM {_E} e JOIN sym a ON a.id = e.source_symbol_id JOIN sym b ON b.id = e.target_symbol_id WHERE e.edge_type = 'CALLS' AND a.kind = 'function' AND b.kind = 'function' GROUP BY 1",

@@ -271,6 +271,11 @@ SELECT id FROM r WHERE run <= 1200""",
 ), st AS (SELECT id, CASE WHEN fqn = 'buildIndex' OR name = 'buildIndex' OR lower(leaf) = 'buildindex' THEN 1 WHEN ends_with(lower(fqn), 'buildindex') THEN 2 WHEN contains(lower(fqn), 'buildindex') THEN 3
   WHEN list_has_any(p, ['build', 'index']) THEN 4 WHEN levenshtein(lower(name), 'buildindex') <= 2 THEN 5 END AS k FROM w)
 SELECT id, CASE k WHEN 1 THEN 'exact' WHEN 2 THEN 'suffix' WHEN 3 THEN 'substring' WHEN 4 THEN 'subword' ELSE 'edits' END AS stage FROM st WHERE k = (SELECT min(k) FROM st)""",
+    "r2_resolve": _W + r"""
+, k AS (SELECT *, CASE WHEN fqn = 'record_span' THEN 1 WHEN conventional_fqn = 'record_span' THEN 2 WHEN name = 'record_span' THEN 3 END AS st FROM sym
+)
+SELECT id, fqn, array_to_string(list_filter([CASE WHEN NOT coalesce(regexp_matches(declared_rules, '(?i)deprecated'), false) THEN 'current' END, CASE WHEN NOT is_test THEN 'production' END], lambda x: x IS NOT NULL), ',') AS evidence
+FROM k WHERE st = (SELECT min(st) FROM k)""",
     "r5_unique_leafs": _W + "SELECT name, count(*) AS n, CASE WHEN count(*) = 1 THEN min(id) END AS id FROM sym GROUP BY 1",
     "g3_overloads": _W + "SELECT parent_symbol_id, name, count(*) AS n, min(id) AS first, max(id) AS last FROM sym WHERE parent_symbol_id IS NOT NULL AND kind IN ('function','method','constructor') GROUP BY 1, 2 HAVING count(*) > 1",
     "v4_related": _W + """
