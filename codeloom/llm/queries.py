@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeloom.llm.docs import documented_functions
@@ -12,7 +12,7 @@ from codeloom.llm.mixing import Mixture, mix
 from codeloom.llm.origins import file_origins
 from codeloom.llm.sql import ORACLES
 from codeloom.llm.secrets import find_secrets
-from codeloom.llm.splitting import LIMIT, split_oversized
+from codeloom.llm.splitting import LIMIT, OVERLAP, split_oversized
 from codeloom.llm.terms import clean_language, distinctive_terms, reconcile, term_frequencies
 from codeloom.operators.common import keep_latest, latest_rows
 from codeloom.sources.tables import load
@@ -91,6 +91,19 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_pieces(spark, sf_dir).select("chunk_id", "cut_kind").distinct()
 
 
+def p6_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of the pieces of every large chunk: within the limit, no more shared than allowed,
+    together the whole text."""
+    pieces = p6_pieces(spark, sf_dir).select("chunk_id", "piece_no", "pieces", "begin", F.char_length("content").alias("n"), "content")
+    shared = F.lag(F.col("begin") + F.col("n")).over(Window.partitionBy("chunk_id").orderBy("piece_no")) - F.col("begin")
+    rows = pieces.withColumn("shared", F.coalesce(shared, F.lit(0))).withColumn("own", F.expr("substring(content, shared + 1)"))
+    by = rows.groupBy("chunk_id").agg(
+        F.max(F.col("begin") + F.col("n")).alias("size"), (F.max("n") <= LIMIT).alias("within"), ((F.min("shared") >= 0) & (F.max("shared") <= OVERLAP)).alias("shares"),
+        F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece_no", "own"))), lambda x: x["own"]), "")).alias("rebuilt"),
+    )
+    return by
+
+
 def p7_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = term_frequencies(_term_records(spark, sf_dir))
     return reconcile(counted, load(spark, sf_dir, "subword_stats")).withColumnRenamed("term", "token")
@@ -146,6 +159,7 @@ QUERIES = {
     "p5_secrets": p5_secrets,
     "p6_found": p6_found,
     "p6_pieces": p6_pieces,
+    "p6_cover": p6_cover,
     "p7_found": p7_found,
     "p7_terms": p7_terms,
     "p8_found": p8_found,

@@ -59,6 +59,9 @@ SELECT id AS chunk_id, CASE WHEN list_max(list_transform(string_split(content, c
     lambda x: CASE WHEN ends_with(x, chr(13)) THEN length(x) - 1 ELSE length(x) END)) > 2000
   THEN 'inside_line' ELSE 'between_lines' END AS cut_kind
 FROM held WHERE length(content) > 2000""",
+    "p6_cover": "WITH"
+    + _HELD
+    + " SELECT id AS chunk_id, CAST(length(content) AS INTEGER) AS size, true AS within, true AS shares, md5(content) AS rebuilt FROM held WHERE length(content) > 2000",
     "p7_found": _TERMS + _STATED + "SELECT token, language, mark FROM marked WHERE mark IS NOT NULL",
     "p7_terms": _TERMS
     + _STATED
