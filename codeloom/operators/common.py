@@ -89,6 +89,26 @@ def latest_rows(df: DataFrame, key: str, columns: Sequence[str], version: str =
     )
 
 
+#: Repeated keys that are broadcast at most; beyond, they are joined by a shuffle.
+FEW_KEYS = 2_000_000
+
+
+def few(keys: DataFrame) -> DataFrame:
+    """``keys`` for a broadcast join if a count shows that they are few, else as they are."""
+    keys = cut(keys)
+    return F.broadcast(keys) if keys.count() <= FEW_KEYS else keys
+
+
+def settled_rows(df: DataFrame, key: str, columns: Sequence[str], version: str = "updated_at") -> DataFrame:
+    """As ``latest_rows``, for tables in which few keys come again: rows of keys that stand once stay
+    where they lie, and only those of repeated keys are shuffled."""
+    rows = df.where(F.col(key).isNotNull())
+    again = few(rows.groupBy(F.col(key).alias("_k")).agg(F.count("*").alias("_n")).where("_n > 1").select("_k"))
+    once = rows.join(again, F.col(key) == F.col("_k"), "left_anti")
+    held = latest_rows(rows.join(again, F.col(key) == F.col("_k"), "left_semi"), key, columns, version)
+    return once.select(key, *[c for c in columns if c != key]).unionByName(held)
+
+
 def keep_latest(results: DataFrame, source: DataFrame, key: str, version: str = "updated_at") -> DataFrame:
     """Of per-row ``results`` that still carry ``key`` and ``version``, those of the holding row.
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as X
+from codeloom.operators.common import few
 
 #: Weights of the fields; the last one is indexed without a weight of its own.
 FIELD_WEIGHTS = {"content": 1.0, "subwords": 0.6, "fqn_rel": 0.5, "path_rel": 0.2, "declared_rules": 0.4, "content_type": 1.0}
@@ -44,7 +45,7 @@ def repeats(rows: DataFrame) -> DataFrame:
     versions = rows.groupBy("id", "updated_at").agg(F.count("*").alias("copies"))
     newest = F.max_by(F.struct("updated_at", "copies"), F.struct(F.col("updated_at").isNotNull(), "updated_at"))
     by = versions.groupBy(F.col("id").alias("rid")).agg(newest.alias("last"), F.sum("copies").alias("all")).where(F.col("all") > 1)
-    return by.select("rid", F.col("last.updated_at").alias("version"), F.col("last.copies").alias("copies"))
+    return few(by.select("rid", F.col("last.updated_at").alias("version"), F.col("last.copies").alias("copies")))
 
 
 def _weighted(weight: float):

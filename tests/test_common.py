@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from codeloom.operators import common
 from codeloom.operators.common import keep_latest, latest_rows, lookup_join, shared_folder
 
 
@@ -10,6 +11,15 @@ def test_latest_rows_take_the_newest_and_drop_null_keys(spark):
     assert latest_rows(df.where("false"), "id", ["v"]).count() == 0
 
 
+def test_settled_rows_equal_latest_rows(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (1, "b", 2), (2, None, None), (None, "x", 9), (3, "c", 5), (4, "d", None), (4, "e", 1)], "id int, v string, updated_at int")
+    want = sorted((r["id"], str(r["v"])) for r in latest_rows(df, "id", ["v"]).collect())
+    assert sorted((r["id"], str(r["v"])) for r in common.settled_rows(df, "id", ["v"]).collect()) == want
+    monkeypatch.setattr(common, "FEW_KEYS", 0)  # the way beyond the bound
+    assert sorted((r["id"], str(r["v"])) for r in common.settled_rows(df, "id", ["v"]).collect()) == want
+    assert common.settled_rows(df.where("false"), "id", ["v"]).count() == 0
+
+
 def test_keep_latest_drops_results_of_old_rows(spark):
     source = spark.createDataFrame([(1, 1), (1, 2), (2, None)], "id int, updated_at int")
     results = spark.createDataFrame([(1, 1, "old"), (1, 2, "new"), (1, 2, "new"), (2, None, "only")], "id int, updated_at int, r string")
