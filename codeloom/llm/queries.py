@@ -14,14 +14,14 @@ from codeloom.llm.sql import ORACLES
 from codeloom.llm.secrets import find_secrets
 from codeloom.llm.splitting import LIMIT, OVERLAP, split_oversized
 from codeloom.llm.terms import clean_language, distinctive_terms, reconcile, term_frequencies
-from codeloom.operators.common import keep_latest, latest_rows
+from codeloom.operators.common import keep_latest, settled_rows
 from codeloom.sources.tables import load
 
 __all__ = ["ORACLES", "QUERIES"]
 
 
 def _term_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = latest_rows(load(spark, sf_dir, "code_chunks"), "id", ["language", "subwords"])
+    rows = settled_rows(load(spark, sf_dir, "code_chunks"), "id", ["language", "subwords"])
     return rows.select(F.col("id").alias("record"), clean_language(F.col("language")).alias("language"), F.col("subwords").alias("terms"))
 
 
