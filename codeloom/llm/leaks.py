@@ -10,10 +10,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.operators.common import cut
+from codeloom.operators.common import cut, few
 
 #: Words of a seed. 20 words with two of them changed keep at least MIN_SEEDS whole ones.
 SEED = 5
@@ -91,6 +91,12 @@ def needed_seeds(words: int) -> int:
     return max(1, (least - SEED + 1) - SEED * (least // PER_CHANGE))
 
 
+def _needed(words: Column) -> Column:
+    """``needed_seeds`` as an expression."""
+    least = F.least(words, F.lit(MIN_WORDS))
+    return F.greatest(F.lit(1), least - SEED + 1 - SEED * F.floor(least / PER_CHANGE))
+
+
 def _aligned(a: np.ndarray, b: np.ndarray, top: int, bottom: int, low: int, high: int) -> list[tuple[int, int]]:
     """Smith-Waterman over a[top:bottom] and the diagonals low to high of ``b``: steps of the best
     local alignment as (position in a or -1, in b or -1).
@@ -337,7 +343,8 @@ def leaked_items(documents: DataFrame, items: DataFrame, shared_by: int | None =
     One pass over the corpus, whatever the number of items, keeps the documents with enough seeds
     in a filter of bounded size. Of every two neighbouring seeds of a passage the rarer one in
     the corpus is joined to them: 20 words hold three of these without a common word, so two
-    changes leave one whole (passages under 20 words join all of theirs). The pairs are aligned.
+    changes leave one whole (passages under 20 words join all of theirs). Pairs that share as many
+    seeds as a leak keeps are aligned.
     """
     kind = documents.schema["document"].dataType.simpleString()
     item_kind = items.schema["item"].dataType.simpleString()
@@ -361,5 +368,10 @@ def leaked_items(documents: DataFrame, items: DataFrame, shared_by: int | None =
     rated = places.join(rarity.withColumnRenamed("seed", "r"), F.col("seed") == F.col("r"), "left")
     probes = rated.groupBy("item", slot.alias("slot")).agg(F.min_by("seed", F.struct(F.coalesce("documents", F.lit(0)), "place")).alias("seed"))
     pairs = met.join(probes.select("item", "seed").distinct(), "seed").select("document", "item").distinct()
-    both = pairs.join(near.select("document", "codes"), "document").join(passages.select("item", F.col("codes").alias("passage")), "item")
+    # a pair needs as many seeds as any leak keeps; a seed may stand several times in a passage
+    often = places.groupBy("item", "seed").agg(F.count("*").alias("c")).groupBy("item").agg(F.max("c").alias("often"))
+    facts = passages.join(often, "item").select("item", "often", F.col("seeds").alias("own"), _needed(F.col("words")).alias("need"))
+    close = pairs.join(near.select("document", "seeds"), "document").join(facts, "item").where(F.size(F.array_intersect("own", "seeds")) * F.col("often") >= F.col("need"))
+    close = few(close.select("document", "item"))
+    both = near.select("document", "codes").join(close, "document").join(passages.select("item", F.col("codes").alias("passage")), "item")
     return both.mapInArrow(_align_pairs, f"document {kind}, item {item_kind}, words int, changed int")
