@@ -204,7 +204,7 @@ SELECT doc_id AS item, CAST(i AS INTEGER) AS line_start, CAST(least(i + 19, n) A
 ), t AS (SELECT *, (sum(size) OVER (PARTITION BY file_path, rn ORDER BY line_start, line_end ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1) // 750 AS piece FROM r)
 SELECT p.file_path, least(p.line_start, tk.ls) AS line_start, greatest(p.line_end, tk.le) AS line_end, p.id AS anchor, 1 + coalesce(tk.n, 0) AS n FROM pc p LEFT JOIN tk ON tk.anchor = p.id WHERE p.d
 UNION ALL SELECT file_path, min(line_start), max(line_end), NULL, count(*) FROM t GROUP BY file_path, rn, piece""",
-    "s11_paragraphs": """
+    "s11_paragraphs": r"""
 WITH d AS (SELECT doc_id AS item, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL
 ), x AS (SELECT item, i AS no FROM d, unnest(range(1, len(l) + 1)) AS u(i) WHERE len(l) > 20 AND regexp_matches(l[i], '\S')
 ), y AS (SELECT *, CASE WHEN no > lag(no) OVER (PARTITION BY item ORDER BY no) + 1 THEN 1 ELSE 0 END AS f FROM x
