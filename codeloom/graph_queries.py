@@ -45,6 +45,9 @@ QUERIES = {
     "g25_entry_points": _query(_entry),
     "g26_canonical_names": _query(lambda c: G.canonical_names(c.symbols_with("fqn", "canonical_fqn", "conventional_fqn"))),
     "g29_dead_code": _query(_dead),
+    "g28_connected": _query(
+        lambda c: G.symbol_search(c.symbols, c.resolved_edges, qualified_pattern=".*(Index|Cache)[A-Za-z]*", edge_types=("CALLS",), connected=10, exclude_entry_points=False).select("id", "degree", F.array_join("connected", " ").alias("connected"))
+    ),
     "g28_symbol_search": _query(lambda c: G.symbol_search(c.symbols, c.resolved_edges, text="index", kinds=("function", "method"), min_degree=1, max_degree=40)),
     "g31_outline": _query(lambda c: G.outline(c.symbols, "pending-index-difisu/src/core/tracing.py")),
     "g15_hotspots": _query(lambda c: G.hotspots(c.symbols_with("fqn", "importance", "is_test"), c.resolved_edges, 25)),
@@ -134,6 +137,14 @@ SELECT s.id, s.fqn, s.kind, CASE WHEN coalesce(low_confidence, 0) > 0 THEN 'low'
   coalesce(low_confidence, 0) AS low_confidence, coalesce(test_usage, 0) AS test_usage, coalesce(w.n, 0) AS unresolved
 FROM sym s LEFT JOIN sym p ON p.id = s.parent_symbol_id LEFT JOIN inc ON inc.t = s.id LEFT JOIN words w ON w.word = s.name
 WHERE s.kind IN ('function','method','constructor') AND NOT s.is_test AND NOT s.is_entry_point AND coalesce(p.kind, '') <> 'interface' AND coalesce(proven, 0) = 0""",
+    "g28_connected": _W + """
+, sel AS (SELECT id FROM sym WHERE regexp_full_match(fqn, '.*(Index|Cache)[A-Za-z]*')
+), u AS (SELECT source_symbol_id AS a, target_symbol_id AS b FROM res WHERE edge_type = 'CALLS'
+), dg AS (SELECT m, count(*) AS d FROM (SELECT a AS m FROM u UNION ALL SELECT b FROM u) GROUP BY 1
+), e AS (SELECT me, other, count(*) AS n FROM (SELECT a AS me, b AS other FROM u WHERE a <> b UNION ALL SELECT b, a FROM u WHERE a <> b) WHERE me IN (SELECT id FROM sel) GROUP BY 1, 2
+), r AS (SELECT *, row_number() OVER (PARTITION BY me ORDER BY n DESC, other) AS k FROM e
+), c AS (SELECT r.me, array_to_string(list(s.fqn ORDER BY r.n DESC, r.other), ' ') AS connected FROM r JOIN sym s ON s.id = r.other WHERE r.k <= 10 GROUP BY 1)
+SELECT sel.id, coalesce(dg.d, 0) AS degree, c.connected FROM sel LEFT JOIN dg ON dg.m = sel.id LEFT JOIN c ON c.me = sel.id""",
     "g28_symbol_search": _W + f"""
 , d AS (SELECT id, count(*) AS degree FROM (SELECT source_symbol_id AS id FROM res WHERE edge_type IN {_USE} UNION ALL SELECT target_symbol_id FROM res WHERE edge_type IN {_USE}) GROUP BY 1)
 SELECT s.id, s.fqn, s.kind, coalesce(d.degree, 0) AS degree, s.importance FROM sym s LEFT JOIN d ON d.id = s.id

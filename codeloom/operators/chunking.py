@@ -140,11 +140,11 @@ def source_slice(chunks: DataFrame, *carried: str) -> DataFrame:
     return chunks.select("id", *carried, F.array_join(F.slice(F.split("content", "\n"), 1, n), "\n").alias("slice"))
 
 
-def lock_excerpts(texts: DataFrame) -> DataFrame:
+def lock_excerpts(texts: DataFrame, *carried: str) -> DataFrame:
     """file_path, excerpt: the bounded first part of lock files, which are indexed by an excerpt only
     (file_path, text)."""
     name = F.lower(F.element_at(F.split("file_path", "/"), -1))
-    return texts.where(name.isin(*LOCKFILES)).select("file_path", F.substring("text", 1, LOCK_EXCERPT).alias("excerpt"))
+    return texts.where(name.isin(*LOCKFILES)).select(*carried, "file_path", F.substring("text", 1, LOCK_EXCERPT).alias("excerpt"))
 
 
 def embed_text(chunks: DataFrame, *carried: str) -> DataFrame:

@@ -266,30 +266,43 @@ def dead_code(symbols: DataFrame, edges: DataFrame, kinds: Sequence[str] = CALLA
 
 def symbol_search(
     symbols: DataFrame, resolved: DataFrame, text: str | None = None, name_pattern: str | None = None, kinds: Sequence[str] | None = None,
-    path_glob: str | None = None, min_degree: int | None = None, max_degree: int | None = None, exclude_entry_points: bool = True,
+    path_glob: str | None = None, min_degree: int | None = None, max_degree: int | None = None, exclude_entry_points: bool = True, qualified_pattern: str | None = None,
+    edge_types: Sequence[str] = USE_TYPES, connected: int = 0,
 ) -> DataFrame:
     """id, fqn, kind, degree, importance of symbols that meet every given condition.
 
-    text is a substring of name, fqn or docstring in any case; name_pattern a full match; the
-    degree counts the six types of use, and its bounds hold before any paging."""
+    text is a substring of name, fqn or docstring in any case; name_pattern and qualified_pattern are
+    full matches of name and fqn; the degree counts uses of the edge types, and its bounds hold
+    before any paging. connected adds the names of so many neighbours, the most used first."""
     out = symbols
     if text:
         needle = text.lower()
         out = out.where(F.lower("name").contains(needle) | F.lower("fqn").contains(needle) | F.lower(F.coalesce("docstring", F.lit(""))).contains(needle))
     if name_pattern:
         out = out.where(F.col("name").rlike(rf"\A(?:{name_pattern})\z"))
+    if qualified_pattern:
+        out = out.where(F.col("fqn").rlike(rf"\A(?:{qualified_pattern})\z"))
     if kinds:
         out = out.where(F.col("kind").isin(*kinds))
     if path_glob:
         out = out.where(F.col("file_path").rlike("^" + "".join(".*" if c == "*" else "." if c == "?" else c if c.isalnum() or c in "_/-" else "\\" + c for c in path_glob) + "$"))
     if exclude_entry_points:
         out = out.where("not is_entry_point")
-    found = out.join(total_degrees(resolved, USE_TYPES), F.col("id") == F.col("symbol_id"), "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    found = out.join(total_degrees(resolved, edge_types), F.col("id") == F.col("symbol_id"), "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
     if min_degree is not None:
         found = found.where(F.col("degree") >= min_degree)
     if max_degree is not None:
         found = found.where(F.col("degree") <= max_degree)
-    return found.select("id", "fqn", "kind", "degree", "importance")
+    shown = found.select("id", "fqn", "kind", "degree", "importance")
+    if not connected:
+        return shown
+    uses = resolved.where(F.col("edge_type").isin(*edge_types)).where("source_symbol_id <> target_symbol_id")
+    ends = uses.select(F.col("source_symbol_id").alias("me"), F.col("target_symbol_id").alias("other")).unionByName(uses.select(F.col("target_symbol_id").alias("me"), F.col("source_symbol_id").alias("other")))
+    counted = ends.join(shown.select(F.col("id").alias("s")), F.col("me") == F.col("s"), "left_semi").groupBy("me", "other").agg(F.count("*").alias("n"))
+    first = top_per_group(counted, ["me"], [F.desc("n"), F.col("other")], connected)
+    names = first.join(symbols.select(F.col("id").alias("o"), F.col("fqn").alias("ofqn")), F.col("other") == F.col("o"))
+    by = names.groupBy("me").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "other", "ofqn"))), lambda x: x["ofqn"]).alias("connected"))
+    return shown.join(by, F.col("id") == F.col("me"), "left").drop("me")
 
 
 def outline(symbols: DataFrame, path: str, kinds: Sequence[str] | None = None) -> DataFrame:

@@ -134,6 +134,8 @@ QUERIES = {
     "g32_coverage": _query(lambda c: O.coverage(c.table("files"), c.chunks_with("file_path"), c.symbols_with("file_path"))),
     "g32_scope_coverage": _query(lambda c: O.scope_coverage(O.coverage(c.table("files"), c.chunks_with("file_path"), c.symbols_with("file_path")))),
     "s25_digest": _query(_digest),
+    "s27_unusable": _query(lambda c: O.unusable(c.symbols_with("file_path", "line_start", "line_end"), c.symbols_with("file_path", "line_end").where("file_path is not null").groupBy("file_path").agg(F.max("line_end").alias("lines")))),
+    "s12_lock_excerpts": _query(lambda c: C.lock_excerpts(c.table("documents").select(F.concat_ws("/", F.coalesce("repo", F.lit("r")), F.when(F.col("doc_id") % 3 == 0, "yarn.lock").otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".md")))).alias("file_path"), "text", "doc_id"), "doc_id").select("doc_id", F.md5("excerpt").alias("digest"))),
     "s27_merged_ranges": _query(lambda c: O.merged_ranges(c.symbols_with("file_path", "line_start", "line_end"))),
     "s10_heading_chunks": _query(lambda c: C.heading_chunks(_texts(c))),
     "s11_line_blocks": _query(lambda c: C.line_blocks(_texts(c), 20)),
@@ -180,6 +182,12 @@ UNION ALL SELECT id, file_path, line_start FROM chk WHERE file_path IN (SELECT f
     "g32_coverage": _W + _COV + " SELECT * FROM cov",
     "g32_scope_coverage": _W + _COV + """
 SELECT string_split(file_path, '/')[1] AS scope, count(*) AS files, CASE WHEN count(*) FILTER (WHERE status = 'missing') > 0 THEN 'missing' WHEN count(*) FILTER (WHERE status = 'parse_failed') > 0 THEN 'parse_failed' ELSE 'ok' END AS worst FROM cov GROUP BY 1""",
+    "s27_unusable": _W + """
+, n AS (SELECT file_path, max(line_end) AS lines FROM sym WHERE file_path IS NOT NULL GROUP BY 1
+), l AS (SELECT DISTINCT file_path, i FROM sym, unnest(range(line_start, line_end + 1)) AS u(i) WHERE file_path IS NOT NULL AND line_start IS NOT NULL AND line_end >= line_start
+), c AS (SELECT file_path, count(*) AS covered FROM l GROUP BY 1)
+SELECT n.file_path, coalesce(c.covered, 0) AS covered, coalesce(c.covered, 0) >= 0.8 * n.lines AS unusable FROM n LEFT JOIN c ON c.file_path = n.file_path""",
+    "s12_lock_excerpts": "SELECT doc_id, md5(substring(text, 1, 2000)) AS digest FROM documents WHERE doc_id % 3 = 0",
     "s27_merged_ranges": _W + """
 , r AS (SELECT file_path, line_start, line_end, max(line_end) OVER (PARTITION BY file_path ORDER BY line_start, line_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM sym WHERE file_path IS NOT NULL AND line_start IS NOT NULL AND line_end >= line_start
 ), g AS (SELECT *, sum(CASE WHEN reach IS NULL OR line_start > reach + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY file_path ORDER BY line_start, line_end ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS isl FROM r)

@@ -142,6 +142,7 @@ def _query(run):
 QUERIES = {
     "h5_vector_top": _query(_top),
     "s26_doc_links": _query(_doc_links),
+    "s26_mentions": _query(lambda c: S.mentions(c.table("documents").select(F.col("doc_id").alias("document"), "text"), c.symbols_with("name"))),
     "s20_normalised": _query(lambda c: _vectors(c).select("id", F.round(V.norm(V.normalised(F.col("vector"))), 6).alias("length"), F.round(F.element_at(V.normalised(F.col("vector")), 1), 6).alias("first"))),
     "h11_fusion": _query(_fused),
     "a10_normalised_scores": _query(_normalised),
@@ -157,6 +158,7 @@ QUERIES = {
     "s18_references": _query(_references),
     "r1_candidates": _query(lambda c: S.candidates(c.symbols_with("fqn", "name"), "buildIndex")),
     "r2_resolve": _query(lambda c: S.resolve(c.symbols, "record_span")[1]),
+    "r4_candidate_ranking": _query(lambda c: S.ranked_candidates(c.symbols.where("name = '__init__'"), "GrammarIndex.__init__(Node)", c.symbols)),
     "r5_unique_leafs": _query(lambda c: S.unique_leafs(c.symbols_with("name"))),
     "g3_overloads": _query(lambda c: S.overloads(c.symbols_with("name", "kind", "parent_symbol_id"))),
     "v4_related": _query(_related),
@@ -211,6 +213,10 @@ SELECT query_id, id, score FROM (SELECT q.id AS query_id, c.id, greatest(0, leas
 SELECT doc_id, code_id, score FROM (SELECT q.id AS doc_id, c.id AS code_id, round(list_dot_product(q.e, c.e) / (q.l * c.l), 6) AS score,
   row_number() OVER (PARTITION BY q.id ORDER BY round(list_dot_product(q.e, c.e) / (q.l * c.l), 6) DESC, c.id) AS rn
   FROM n q JOIN n c ON c.label <> 0 WHERE q.label = 0 AND round(list_dot_product(q.e, c.e) / (q.l * c.l), 6) >= 0.35) WHERE rn <= 3""",
+    "s26_mentions": _W + r"""
+, m AS (SELECT DISTINCT doc_id AS document, unnest(list_concat(list_transform(regexp_extract_all(text, '`([A-Za-z_][A-Za-z0-9_.]*)(\(\))?`', 1), lambda x: regexp_extract(x, '([^.]*)$', 1)), regexp_extract_all(text, '\b[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)+\b|\b[a-z][a-z0-9]+(?:[A-Z][a-z0-9]+)+\b'))) AS name FROM documents
+), u AS (SELECT name, min(id) AS id FROM sym GROUP BY 1 HAVING count(*) = 1)
+SELECT DISTINCT document, u.id AS symbol_id FROM m JOIN u USING (name)""",
     "s20_normalised": _COS + " SELECT id, CASE WHEN l > 0 THEN 1.0 ELSE 0.0 END AS length, round(e[1] / l, 6) AS first FROM n",
     "a10_normalised_scores": _BM + _NORMAL.format(src="sc") + " SELECT id, round(least(1, greatest(0, ((score - mean) / sd + 3) / 6)), 5) AS score FROM sc, m",
     "a9_file_coherence": _BM + """
@@ -276,6 +282,10 @@ SELECT id, CASE k WHEN 1 THEN 'exact' WHEN 2 THEN 'suffix' WHEN 3 THEN 'substrin
 )
 SELECT id, fqn, array_to_string(list_filter([CASE WHEN NOT coalesce(regexp_matches(declared_rules, '(?i)deprecated'), false) THEN 'current' END, CASE WHEN NOT is_test THEN 'production' END], lambda x: x IS NOT NULL), ',') AS evidence
 FROM k WHERE st = (SELECT min(st) FROM k)""",
+    "r4_candidate_ranking": _W + r"""
+, k AS (SELECT s.*, EXISTS (SELECT 1 FROM sym o WHERE o.id = s.parent_symbol_id AND o.name = 'GrammarIndex') AS i, regexp_extract(fqn, '\(([^()]*)\)$', 1) AS ps, regexp_matches(fqn, '\([^()]*\)$') AS has FROM sym s WHERE name = '__init__')
+SELECT id, fqn, array_to_string(list_filter([CASE WHEN i THEN 'parent' END, CASE WHEN ps = 'Node' THEN 'types' END, CASE WHEN has AND trim(ps) <> '' AND NOT contains(ps, ',') THEN 'signature' END,
+  CASE WHEN NOT coalesce(regexp_matches(declared_rules, '(?i)deprecated'), false) THEN 'current' END, CASE WHEN NOT is_test THEN 'production' END], lambda x: x IS NOT NULL), ',') AS evidence FROM k""",
     "r5_unique_leafs": _W + "SELECT name, count(*) AS n, CASE WHEN count(*) = 1 THEN min(id) END AS id FROM sym GROUP BY 1",
     "g3_overloads": _W + "SELECT parent_symbol_id, name, count(*) AS n, min(id) AS first, max(id) AS last FROM sym WHERE parent_symbol_id IS NOT NULL AND kind IN ('function','method','constructor') GROUP BY 1, 2 HAVING count(*) > 1",
     "v4_related": _W + """

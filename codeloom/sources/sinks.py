@@ -20,21 +20,11 @@ def write_relation(df: DataFrame, path: str, buckets: Sequence[str] = (), files:
     out.write.mode("overwrite").parquet(path)
 
 
-def write_co_located(df: DataFrame, table: str, key: str, buckets: int) -> None:
-    """A bucketed table: joins on ``key`` between such tables need no shuffle."""
-    df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(table)
-
-
 def append_audit(spark: SparkSession, path: str, entries: Sequence[tuple]) -> None:
     """Appends audit entries; earlier ones are never touched."""
     spark.createDataFrame(list(entries), AUDIT).write.mode("append").parquet(path)
 
 
-def append_sessions(spark: SparkSession, path: str, events: DataFrame, ttl_hours: int = 24) -> None:
-    """Appends READ and WRITE events with the time at which they expire."""
-    events.withColumn("ttl_expires_at", F.expr(f"event_time + interval {ttl_hours} hours")).write.mode("append").parquet(path)
-
-
 def as_json(df: DataFrame) -> DataFrame:
     """One JSON text per row, without null fields."""
     return df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("json"))
