@@ -15,6 +15,7 @@ from codeloom.functions import paths as P
 from codeloom.functions import redact as R
 from codeloom.functions import text as X
 from codeloom.operators import cascade as CS
+from codeloom.operators import chunking as C
 from codeloom.operators import graph as G
 from codeloom.operators import lexical as L
 from codeloom.operators import ops as O
@@ -371,7 +372,7 @@ class Engine:
         seeds = hits.join(c.symbols_with("fqn").select(F.col("id").alias("node"), F.col("fqn").alias("f")), F.col("fqn") == F.col("f")).select("node")
         if not seeds.limit(1).count():
             return {"outcome": "no_seed"}
-        return {"outcome": "resolved", "nodes": T.neighbourhood(c.symbols_with("kind"), c.edges, seeds, depth, edge_types, direction)}
+        return {"outcome": "resolved", "nodes": T.neighbourhood(c.symbols_with("kind"), c.edges, seeds, depth, edge_types, direction, fan_out=50, most=200)}
 
     def path(self, source: str, target: str, undirected: bool = False, max_hops: int = 6, edge_types: Sequence[str] = ("CALLS", "INHERITS")) -> dict[str, Any]:
         ends = []
@@ -385,15 +386,29 @@ class Engine:
         hops = T.shortest_path(self.corpus.symbols_with("parent_symbol_id"), self.corpus.resolved_edges, ends[0], ends[1], edge_types, undirected, max(1, min(max_hops, T.MAX_PATH_HOPS)))
         return {"outcome": "resolved" if hops.limit(1).count() else "no_path", "hops": hops.orderBy("hop")}
 
-    def explain(self, symbol: str, relations: Sequence[str] = ("CALLS", "INHERITS")) -> dict[str, Any]:
+    def explain(self, symbol: str, relations: Sequence[str] = ("CALLS", "INHERITS"), depth: int = 1) -> dict[str, Any]:
+        """What stands around a symbol to a depth of four at most, the notes in its lines and the documents
+        that name it."""
         error, sid = self._one(symbol)
-        return error or {"outcome": "resolved", "around": T.explain(self.corpus.symbols_with("parent_symbol_id"), self.corpus.edges, sid, relations)}
+        if error:
+            return error
+        c = self.corpus
+        row = c.symbols.where(F.col("id") == sid).first()
+        rows = c.rows.where((F.col("file_path") == row["file_path"]) & (F.col("content_type") == "code"))  # one file's texts
+        split = rows.select("id", "updated_at", "file_path", "line_start", F.posexplode(F.split("content", "\n")).alias("at", "line"))
+        marked = split.where(F.col("line").rlike(C.RATIONALE)).select("id", "updated_at", "file_path", (F.coalesce("line_start", F.lit(1)) + F.col("at")).alias("line_no"), "line")
+        notes = C.rationale(keep_latest(marked, c.versions, "id"), c.symbols.where(F.col("file_path") == row["file_path"])).where(F.col("symbol_id") == sid)
+        documents = c.table("documents").select(F.col("doc_id").alias("document"), "text")
+        named = S.mentions(documents, c.symbols_with("name")).where(F.col("symbol_id") == sid)
+        return {"outcome": "resolved", "around": T.ego_graph(c.symbols_with("parent_symbol_id"), c.edges, sid, depth, relations), "rationale": notes, "documents": named}
 
     def impact(self, changed_paths: Sequence[str], depth: int = 3, direction: str = "inbound", fixpoint: bool = False, include_imports: bool = True, seed_filter: str = "all", edge_types: Sequence[str] = ("CALLS", "INHERITS")) -> dict[str, Any]:
         c = self.corpus
         changed = self.spark.createDataFrame([(p,) for p in changed_paths], "file_path string")
         reached = T.impact(c.symbols_with("file_path", "kind", "is_test"), c.resolved_edges, changed, depth, edge_types, direction, fixpoint, seed_filter)
-        out: dict[str, Any] = {"outcome": "resolved" if reached.limit(1).count() else "not_indexed", "impacted": reached, "risks": reached.groupBy("risk").agg(F.count("*").alias("n")), "tests": reached.where("is_test")}
+        reached = cut(reached)
+        parents = T.impact_parents(c.symbols, c.resolved_edges, reached, edge_types, direction)
+        out: dict[str, Any] = {"outcome": "resolved" if reached.limit(1).count() else "not_indexed", "parents": parents, "impacted": reached, "risks": reached.groupBy("risk").agg(F.count("*").alias("n")), "tests": reached.where("is_test")}
         if include_imports:
             paths = changed.withColumnRenamed("file_path", "node")
             walk = T.importers if direction != "outbound" else T.imports

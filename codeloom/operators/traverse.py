@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.operators.common import cut
-from codeloom.operators.graph import CONFIDENCE_RANK, TYPE_KINDS, confidence, confidence_rank
+from codeloom.operators.graph import CONFIDENCE_RANK, TYPE_KINDS, confidence, confidence_rank, top_per_group
 
 MAX_CALL_DEPTH = 5
 MAX_IMPACT_DEPTH = 4
@@ -196,21 +196,65 @@ def impact(
     return rows.select("id", F.col("depth").alias("distance"), risk.alias("risk"), "is_test")
 
 
-def neighbourhood(symbols: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int = 2, types: Sequence[str] = ("CALLS", "INHERITS"), direction: str = "both") -> DataFrame:
+def impact_parents(symbols: DataFrame, resolved: DataFrame, reached: DataFrame, types: Sequence[str] = ("CALLS", "INHERITS"), direction: str = "inbound") -> DataFrame:
+    """id, parent_id of what a change reaches: the node that it was reached from, of several the least.
+
+    reached: id, distance as ``impact`` gives them; the symbols of the changed files have no parent."""
+    kept = resolved.where(F.col("edge_type").isin(*types))
+    into = kept.select(F.col("target_symbol_id").alias("a"), F.col("source_symbol_id").alias("b"))
+    links = {"inbound": into, "outbound": into.select(F.col("b").alias("a"), F.col("a").alias("b"))}
+    links["both"] = into.unionByName(links["outbound"])
+    near = reached.select(F.col("id").alias("pid"), F.col("distance").alias("pd"))
+    met = reached.where("distance > 0").join(links[direction].distinct(), F.col("id") == F.col("b")).join(near, (F.col("a") == F.col("pid")) & (F.col("pd") == F.col("distance") - 1))
+    return met.groupBy("id").agg(F.min("pid").alias("parent_id"))
+
+
+def neighbourhood(
+    symbols: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int = 2, types: Sequence[str] = ("CALLS", "INHERITS"), direction: str = "both", fan_out: int | None = None, most: int | None = None,
+) -> DataFrame:
     """id, distance, external: the nodes around the seeds (node), with the number of unresolved
-    targets that each names collapsed into a count."""
+    targets that each names collapsed into a count.
+
+    fan_out: neighbours of a node that are followed, least ids first; most: nodes that are reported,
+    nearest first (both are features of a shown graph; None: all)."""
     kept = edges.where("resolved and target_symbol_id is not null").where(F.col("edge_type").isin(*types))
     out = kept.select(F.col("source_symbol_id").alias("a"), F.col("target_symbol_id").alias("b"))
     both = {"out": out, "in": out.select(F.col("b").alias("a"), F.col("a").alias("b"))}
-    links = both["out"].unionByName(both["in"]) if direction == "both" else both[direction]
+    links = (both["out"].unionByName(both["in"]) if direction == "both" else both[direction]).distinct()
+    if fan_out is not None:
+        links = top_per_group(links, ["a"], [F.col("b")], fan_out)
     seeds = cut(seeds.select("node").distinct())
     near = seeds.withColumn("depth", F.lit(0)).unionByName(levels(links, seeds, min(depth, MAX_IMPACT_DEPTH), seen=seeds))
     ext = edges.where("not resolved").where(F.col("edge_type").isin(*types)).groupBy(F.col("source_symbol_id").alias("x")).agg(F.count("*").alias("external"))
     known = symbols.select(F.col("id").alias("k"))
-    return (
+    out = (
         near.join(known, F.col("node") == F.col("k"), "left_semi").join(ext, F.col("node") == F.col("x"), "left")
         .select(F.col("node").alias("id"), F.col("depth").alias("distance"), F.coalesce("external", F.lit(0)).alias("external"))
     )
+    return out if most is None else out.orderBy("distance", "id").limit(most)
+
+
+def ego_graph(symbols: DataFrame, edges: DataFrame, symbol_id: int, depth: int = 2, types: Sequence[str] = ("CALLS", "INHERITS")) -> DataFrame:
+    """level, node_id, section, other_id, relation: what stands around a symbol and, level by level,
+    around what was met, up to MAX_IMPACT_DEPTH. A node is looked at once, at its least level."""
+    res = edges.where("resolved and target_symbol_id is not null").where(F.col("edge_type").isin(*types)).where("source_symbol_id <> target_symbol_id")
+    inside = symbols.where("parent_symbol_id is not null and parent_symbol_id <> id")
+    parts = [
+        res.select(F.col("target_symbol_id").alias("a"), F.lit("incoming").alias("section"), F.col("source_symbol_id").alias("b"), F.col("edge_type").alias("relation")),
+        res.select(F.col("source_symbol_id").alias("a"), F.lit("outgoing").alias("section"), F.col("target_symbol_id").alias("b"), F.col("edge_type").alias("relation")),
+        inside.select(F.col("parent_symbol_id").alias("a"), F.lit("members").alias("section"), F.col("id").alias("b"), F.lit("CONTAINS").alias("relation")),
+        inside.select(F.col("id").alias("a"), F.lit("container").alias("section"), F.col("parent_symbol_id").alias("b"), F.lit("CONTAINS").alias("relation")),
+    ]
+    links = parts[0]
+    for part in parts[1:]:
+        links = links.unionByName(part)
+    links = cut(links.distinct())
+    seed = cut(symbols.sparkSession.range(1).select(F.lit(symbol_id).cast("long").alias("node")))
+    depth = max(1, min(depth, MAX_IMPACT_DEPTH))
+    met = seed.withColumn("depth", F.lit(0))
+    if depth > 1:
+        met = met.unionByName(levels(links, seed, depth - 1, seen=seed))
+    return met.join(links, F.col("node") == F.col("a")).select((F.col("depth") + 1).alias("level"), F.col("node").alias("node_id"), "section", F.col("b").alias("other_id"), "relation")
 
 
 def explain(symbols: DataFrame, edges: DataFrame, symbol_id: int, types: Sequence[str] = ("CALLS", "INHERITS")) -> DataFrame:

@@ -56,6 +56,15 @@ def _explain(c: Corpus) -> DataFrame:
     return T.explain(c.symbols_with("parent_symbol_id"), c.edges, int(root) if root is not None else -1)
 
 
+def _ego(c: Corpus) -> DataFrame:
+    root = _root(c).first()["node"]
+    return T.ego_graph(c.symbols_with("parent_symbol_id"), c.edges, int(root) if root is not None else -1)
+
+
+def _parents(c: Corpus) -> DataFrame:
+    return T.impact_parents(c.symbols, c.resolved_edges, _impact(c))
+
+
 def _calls(c: Corpus) -> DataFrame:
     return c.resolved_edges.where(F.col("edge_type").isin("CALLS", "INHERITS")).select(F.col("source_symbol_id").alias("a"), F.col("target_symbol_id").alias("b"))
 
@@ -88,6 +97,9 @@ QUERIES = {
     "g9_distance": _query(_distance),
     "g10_neighbourhood": _query(lambda c: T.neighbourhood(c.symbols_with("kind"), c.edges, _root(c))),
     "g12_explain": _query(_explain),
+    "g12_ego_graph": _query(_ego),
+    "g10_bounded": _query(lambda c: T.neighbourhood(c.symbols_with("kind"), c.edges, _root(c), fan_out=5, most=200)),
+    "g13_parents": _query(_parents),
     "g13_impact": _query(_impact),
     "g13_impact_closure": _query(lambda c: _impact(c, fixpoint=True)),
     "g14_changed_tests": _query(_changes),
@@ -153,6 +165,21 @@ SELECT DISTINCT 'incoming' AS section, source_symbol_id AS other_id, edge_type A
 UNION SELECT 'outgoing', target_symbol_id, edge_type FROM res WHERE edge_type IN ('CALLS','INHERITS') AND source_symbol_id = {_ROOT}
 UNION SELECT 'members', id, 'CONTAINS' FROM sym WHERE parent_symbol_id = {_ROOT}
 UNION SELECT 'container', parent_symbol_id, 'CONTAINS' FROM sym WHERE id = {_ROOT} AND parent_symbol_id IS NOT NULL""",
+    "g12_ego_graph": _W + f"""
+, l AS (SELECT target_symbol_id AS a, 'incoming' AS section, source_symbol_id AS b, edge_type AS relation FROM res WHERE edge_type IN ('CALLS','INHERITS') AND source_symbol_id <> target_symbol_id
+  UNION SELECT source_symbol_id, 'outgoing', target_symbol_id, edge_type FROM res WHERE edge_type IN ('CALLS','INHERITS') AND source_symbol_id <> target_symbol_id
+  UNION SELECT parent_symbol_id, 'members', id, 'CONTAINS' FROM sym WHERE parent_symbol_id <> id UNION SELECT id, 'container', parent_symbol_id, 'CONTAINS' FROM sym WHERE parent_symbol_id <> id
+), n AS (SELECT {_ROOT} AS node, 0 AS depth UNION SELECT b, 1 FROM l WHERE a = {_ROOT} AND b <> {_ROOT})
+SELECT n.depth + 1 AS level, n.node AS node_id, l.section, l.b AS other_id, l.relation FROM n JOIN l ON l.a = n.node""",
+    "g10_bounded": _W + f"""
+, l0 AS (SELECT source_symbol_id AS a, target_symbol_id AS b FROM res WHERE edge_type IN ('CALLS','INHERITS') UNION SELECT target_symbol_id, source_symbol_id FROM res WHERE edge_type IN ('CALLS','INHERITS')
+), l AS (SELECT a, b FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY b) AS k FROM l0) WHERE k <= 5
+), w(node, depth) AS (SELECT id, 0 FROM {_ROOT} UNION SELECT l.b, w.depth + 1 FROM w JOIN l ON l.a = w.node WHERE w.depth < 2
+), x AS (SELECT source_symbol_id AS s, count(*) AS n FROM edg WHERE NOT resolved AND edge_type IN ('CALLS','INHERITS') GROUP BY 1)
+SELECT s.id, min(w.depth) AS distance, coalesce(any_value(x.n), 0) AS external FROM w JOIN sym s ON s.id = w.node LEFT JOIN x ON x.s = s.id GROUP BY s.id ORDER BY distance, s.id LIMIT 200""",
+    "g13_parents": _W + _IMPACT + _BOUNDED + """
+, r AS (SELECT s.id, d.distance FROM d JOIN sym s ON s.id = d.node)
+SELECT r.id, min(p.id) AS parent_id FROM r JOIN up ON up.b = r.id JOIN r p ON p.id = up.a AND p.distance = r.distance - 1 WHERE r.distance > 0 GROUP BY r.id""",
     "g13_impact": _W + _IMPACT + _BOUNDED + _RISK,
     # the closure: no shortest distance in these graphs is longer than the bound, which only ends the walk
     "g13_impact_closure": _W + _IMPACT + """
