@@ -281,4 +281,4 @@ def parameter_types(fqn: Column) -> Column:
     inner = F.regexp_extract(F.coalesce(fqn, F.lit("")), r"\(([^()]*)\)$", 1)
     for _ in range(3):
         inner = F.regexp_replace(inner, r"[<\[][^<>\[\]]*[>\]]", "")
-    return F.filter(F.transform(F.split(inner, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(inner, ","), lambda x: F.trim(x)), lambda x: x != "")
