@@ -41,7 +41,7 @@ QUERIES = {
     "g30_unresolved_top": _query(lambda c: G.unresolved_targets(c.edges, 50)),
     "g22_tests_edges": _query(lambda c: G.tests_edges(c.symbols_with("is_test"), c.resolved_edges)),
     "g23_interface_dispatch": _query(lambda c: G.dispatch_edges(c.symbols_with("fqn", "name", "kind", "parent_symbol_id"), c.resolved_edges)),
-    "g24_edge_validation": _query(lambda c: G.validated_edges(c.symbols_with("name", "file_path", "line_start", "line_end"), c.edges)),
+    "g24_edge_validation": _query(lambda c: G.validated_edges(c.symbols_with("name", "file_path", "line_start", "line_end"), c.edges, c.hot_targets)),
     "g25_entry_points": _query(_entry),
     "g26_canonical_names": _query(lambda c: G.canonical_names(c.symbols_with("fqn", "canonical_fqn", "conventional_fqn"))),
     "g29_dead_code": _query(_dead),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.paths import stem
 from codeloom.functions.text import leaf
+from codeloom.operators.common import lookup_join
 
 #: Types that count for degrees and as evidence of use (TESTS is derived from them).
 USE_TYPES = ("CALLS", "INHERITS", "IMPLEMENTS", "REFERENCES", "USAGE", "CALL_REFERENCE")
@@ -173,16 +174,18 @@ def dispatch_edges(symbols: DataFrame, resolved: DataFrame) -> DataFrame:
     return new.join(calls, ["source_symbol_id", "target_symbol_id"], "left_anti")
 
 
-def validated_edges(symbols: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, dropped_by of every edge that fails validation, by the first rule that it breaks.
+def validated_edges(symbols: DataFrame, edges: DataFrame, hot: Sequence[int] = ()) -> DataFrame:
+    """id, dropped_by of every edge that fails validation, by the first rule that it breaks; hot:
+    targets of very many edges.
 
     1 a self edge whose call does not lie in the declaration; 2 a call line outside of the caller;
     3 a target of the same name in the same file; 4 a range or fallback tier beside a surviving
     edge of a better tier to the same name."""
     s = symbols.select(F.col("id").alias("source_symbol_id"), F.col("line_start").alias("s0"), F.col("line_end").alias("s1"), F.col("name").alias("sname"), F.col("file_path").alias("sfile"))
-    t = symbols.select(F.col("id").alias("target_symbol_id"), F.col("name").alias("tname"), F.col("file_path").alias("tfile"))
+    t = symbols.select(F.col("id").alias("_t"), F.col("name").alias("tname"), F.col("file_path").alias("tfile"))
     line = F.get("source_range", F.lit(0))
-    e = edges.select("id", "source_symbol_id", "target_symbol_id", "resolution_tier", line.alias("line")).join(s, "source_symbol_id", "left").join(t, "target_symbol_id", "left")
+    e = edges.select("id", "source_symbol_id", "target_symbol_id", "resolution_tier", line.alias("line")).join(s, "source_symbol_id", "left")
+    e = lookup_join(e, t, "target_symbol_id", "_t", list(hot), "left")
     inside = F.coalesce((F.col("line") >= F.col("s0")) & (F.col("line") <= F.col("s1")), F.lit(False))
     rule = (
         F.when((F.col("source_symbol_id") == F.col("target_symbol_id")) & ~inside, 1)

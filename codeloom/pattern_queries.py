@@ -41,7 +41,7 @@ TEXTS = {
 
 def pattern_graph(c: Corpus) -> PatternGraph:
     """The graph with the columns that patterns can address; texts are not read."""
-    return PatternGraph(c.symbols_with(*[p for p in NODE_PROPERTIES if p not in ("id", "label")], "parent_symbol_id"), c.edges, c.modules)
+    return PatternGraph(c.symbols_with(*[p for p in NODE_PROPERTIES if p not in ("id", "label")], "parent_symbol_id"), c.edges, c.modules, c.hot_targets)
 
 
 def graph(spark: SparkSession, sf_dir: str) -> PatternGraph:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codeloom.operators.common import cut
+from codeloom.operators.common import cut, lookup_join
 from codeloom.plans.pattern import syntax as S
 from codeloom.plans.pattern.errors import PatternError
 from codeloom.plans.pattern.graph_views import EDGE_COLUMNS, LABELS, NODE_PROPERTIES, STORED_TYPES, SYNTHETIC, PatternGraph
@@ -206,7 +206,8 @@ class Builder:
         else:
             self.frame.df = self.frame.df.join(out, on, how)
             target = self.node_frame(there, node)
-            self.frame.df = self.frame.df.join(target, F.col(b) == F.col(there + _SEP + "id"), how)
+            # nodes are one per id; those that very many edges lead to meet them where they lie
+            self.frame.df = lookup_join(self.frame.df, target, b, there + _SEP + "id", list(self.graph.hot), how)
             self.bind(there, "node")
             self.labels_of[there] = _labels(node.labels)
         self.frame.df = self.frame.df.drop(a, b)

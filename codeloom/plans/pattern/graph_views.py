@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -47,6 +47,7 @@ class PatternGraph:
     symbols: DataFrame
     edges: DataFrame
     modules: DataFrame
+    hot: Sequence[int] = ()  # nodes that very many edges lead to
 
     def _shaped(self, df: DataFrame, **columns) -> DataFrame:
         return df.select(*[columns.get(p, F.lit(None)).cast(t).alias(p) for p, t in _NODE_TYPES.items()])

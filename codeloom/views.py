@@ -15,7 +15,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.operators.common import keep_latest, latest_rows, path_exists, table_state, work_folder
+from codeloom.operators.common import HEAVY_ROWS, HEAVY_SHARE, keep_latest, latest_rows, lookup_join, path_exists, table_state, work_folder
 from codeloom.operators.lexical import corpus_stats
 from codeloom.operators.postings import LexicalIndex
 from codeloom.sources.tables import load
@@ -99,6 +99,15 @@ class Corpus:
         lean = ["id", "source_symbol_id", "target_symbol_id", "edge_type", "source_range", "resolution_tier", "resolved"]
         return self.edges.where("resolved and target_symbol_id is not null").select(*lean)
 
+    @cached_property
+    def hot_targets(self) -> list[int]:
+        """Symbols that so many edges lead to that a join by target would put them into one task: at most
+        1 / HEAVY_SHARE, settled with the edges."""
+        counts = self.resolved_edges.groupBy("target_symbol_id").agg(F.count("*").alias("n"))
+        total = self.resolved_edges.agg(F.count("*").alias("total"))
+        hot = counts.crossJoin(F.broadcast(total)).where((F.col("n") >= HEAVY_ROWS) & (F.col("n") >= F.col("total") * HEAVY_SHARE))  # one row
+        return [r["target_symbol_id"] for r in self.settled("hot_targets", "edges", lambda: hot.select("target_symbol_id", "n")).collect()]
+
     @cached_property
     def adjacency(self) -> DataFrame:
         """a, b, edge_type of resolved edges between different symbols, laid out by source: the snapshot
@@ -157,7 +166,7 @@ class Corpus:
         src = files.select(F.col("id").alias("source_symbol_id"), F.col("file_path").alias("source_path"))
         dst = files.select(F.col("id").alias("target_symbol_id"), F.col("file_path").alias("target_path"))
         imports = self.edges.where("edge_type = 'IMPORTS'").select("source_symbol_id", "target_symbol_id", "target_raw", "resolved")
-        both = imports.join(src, "source_symbol_id").join(dst, "target_symbol_id", "left")
+        both = lookup_join(imports.join(src, "source_symbol_id"), dst.withColumnRenamed("target_symbol_id", "_to"), "target_symbol_id", "_to", self.hot_targets, "left")
         return both.groupBy("source_path", "target_path", F.when(F.col("target_path").isNull(), F.coalesce("target_raw", F.lit(""))).alias("target_raw")).agg(
             F.bool_or(F.col("resolved") & F.col("target_path").isNotNull()).alias("resolved")
         )

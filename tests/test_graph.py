@@ -48,6 +48,7 @@ def test_implementations_know_direct_from_indirect(g):
 def test_tests_edges_validation_and_entry_points(g):
     assert ids(G.tests_edges(g[0], g[2]), "source_symbol_id", "target_symbol_id") == [(160, 102), (160, 141)]
     dropped = {r["id"]: r["dropped_by"] for r in G.validated_edges(g[0], g[1]).collect()}
+    assert {r["id"]: r["dropped_by"] for r in G.validated_edges(g[0], g[1], hot=[140, 141]).collect()} == dropped
     assert dropped[10] == 1 and 9 not in dropped and 2 not in dropped
     reasons = {r["id"]: r["reason"] for r in G.entry_points(g[0], g[2]).collect()}
     assert reasons[160] == "test" and reasons[121] == "override" and reasons[141] == "exported" and 150 not in reasons

@@ -99,6 +99,16 @@ def test_a_path_starts_at_its_bound_node(graph):
     assert "Cartesian" not in plan and "Join Cross" not in plan
 
 
+@pytest.mark.parametrize(
+    "text",
+    ["MATCH (s)-[c:CALLS]->(t) RETURN s.name, c.line, t.name", "MATCH (t:Function)<-[:CALLS]-(s)-[:CALLS]->(u) RETURN t.name, s.name, u.name", "MATCH (f:Function) OPTIONAL MATCH (f)-[:CALLS]->(g:Function) RETURN f.name, g.name",
+     "MATCH (f:Function) WHERE NOT EXISTS { (f)-[:CALLS]->(:Function) } RETURN f.name"],
+)
+def test_hot_targets_are_met_where_the_edges_lie(graph, text):
+    hot = PatternGraph(graph.symbols, graph.edges, graph.modules, hot=[140, 102])
+    assert answers(hot, text) == answers(graph, text)
+
+
 def test_exists_as_filter_and_value(graph):
     assert answers(graph, "MATCH (f:Function) WHERE NOT EXISTS { (s)-[:CALLS]->(f) } RETURN f.name") == [("checkBasket",), ("notify",)]
     assert answers(graph, "MATCH (f:Function) WHERE EXISTS { (f)<-[:CALLS]-(s) WHERE s.is_test = 1 } RETURN f.name") == [("taxOn",)]
