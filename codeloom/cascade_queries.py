@@ -21,20 +21,20 @@ def _references(c: Corpus) -> DataFrame:
     """What edges write where they write it, and every resolved call again as a member expression, with
     the arity of its target."""
     s = c.symbols_with("fqn", "name", "file_path", "parent_symbol_id")
+    line = F.get("source_range", F.lit(0)).alias("line")
     src = s.select(F.col("id").alias("source_symbol_id"), "file_path")
-    line = F.get("source_range", F.lit(0))
-    raw = c.edges.where("target_raw is not null and target_raw <> ''").join(src, "source_symbol_id")
-    plain = raw.select(F.col("id"), F.col("target_raw").alias("raw"), "file_path", line.alias("line"), F.lit(None).cast("int").alias("args"), F.lit(False).alias("receiver"), F.col("edge_type").isin("INHERITS", "IMPLEMENTS").alias("type_only"))
-    target = s.select(F.col("id").alias("target_symbol_id"), F.col("name").alias("tname"), "parent_symbol_id", arity(F.col("fqn")).alias("args"))
-    owner = s.select(F.col("id").alias("parent_symbol_id"), F.col("name").alias("pname"))
-    calls = c.resolved_edges.where("edge_type = 'CALLS'").join(src, "source_symbol_id").join(target, "target_symbol_id").join(owner, "parent_symbol_id")
-    again = calls.select((-F.col("id")).alias("id"), F.concat_ws(".", "pname", "tname").alias("raw"), "file_path", line.alias("line"), "args", F.lit(True).alias("receiver"), F.lit(False).alias("type_only"))
-    # the same through a subtype, which may not declare the member itself
+    plain = c.edges.where("target_raw is not null and target_raw <> ''").select("id", F.col("target_raw").alias("raw"), "source_symbol_id", line, F.lit(None).cast("int").alias("args"), F.lit(False).alias("receiver"), F.col("edge_type").isin("INHERITS", "IMPLEMENTS").alias("type_only"))
+    # types with one of their subtypes, which may not declare the member itself, and the members of both
     bases = c.resolved_edges.where("edge_type = 'INHERITS'").groupBy(F.col("target_symbol_id").alias("base")).agg(F.min("source_symbol_id").alias("sub"))
-    sub = s.select(F.col("id").alias("sub"), F.col("name").alias("subname"))
-    through = calls.join(bases, F.col("parent_symbol_id") == F.col("base")).join(sub, "sub")
-    inherited = through.select((-F.col("id") - 10_000_000_000).alias("id"), F.concat_ws(".", "subname", "tname").alias("raw"), "file_path", line.alias("line"), "args", F.lit(True).alias("receiver"), F.lit(False).alias("type_only"))
-    return plain.unionByName(again).unionByName(inherited)
+    below = bases.join(s.select(F.col("id").alias("sub"), F.struct(F.col("name").alias("name")).alias("sub_type")), "sub").select("base", "sub_type")
+    owner = s.where("name is not null").select(F.col("id").alias("parent_symbol_id"), F.col("name").alias("pname")).join(below, F.col("parent_symbol_id") == F.col("base"), "left").drop("base")
+    members = s.where("parent_symbol_id is not null").select(F.col("id").alias("target_symbol_id"), F.col("name").alias("tname"), "parent_symbol_id", arity(F.col("fqn")).alias("args")).join(owner, "parent_symbol_id").drop("parent_symbol_id")
+    calls = c.resolved_edges.where("edge_type = 'CALLS'").select("id", "source_symbol_id", "target_symbol_id", line).join(members, "target_symbol_id")
+    again = F.struct((-F.col("id")).alias("id"), F.concat("pname", F.lit("."), "tname").alias("raw"))
+    inherited = F.struct((-F.col("id") - 10_000_000_000).alias("id"), F.concat("sub_type.name", F.lit("."), "tname").alias("raw"))
+    each = calls.select(F.explode(F.when(F.col("sub_type").isNull(), F.array(again)).otherwise(F.array(again, inherited))).alias("ref"), "source_symbol_id", "line", "args")
+    both = plain.unionByName(each.select("ref.id", "ref.raw", "source_symbol_id", "line", "args", F.lit(True).alias("receiver"), F.lit(False).alias("type_only")))
+    return both.join(src, "source_symbol_id").drop("source_symbol_id")
 
 
 def _cascade(c: Corpus) -> DataFrame:

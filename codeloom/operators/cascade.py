@@ -9,9 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codeloom.operators.common import cut, few
 from codeloom.operators.graph import TYPE_KINDS, arity, subtype_closure
 from codeloom.operators.passes import parameter_types
 from codeloom.operators.traverse import reach_by_root
@@ -19,96 +20,179 @@ from codeloom.operators.traverse import reach_by_root
 #: What an import without an extension may stand for, in order.
 SCRIPT_ENDINGS = ("", ".ts", ".tsx", ".d.ts", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.d.ts", "/index.js", "/index.jsx")
 ANCESTOR_LEVELS = 5
-_BINS = 100
 
 
 def _without_list(name: Column) -> Column:
     return F.regexp_replace(name, r"\(.*$", "")
 
 
-def candidates_by(rows: DataFrame, *key: str) -> DataFrame:
-    """key, all {n, id}, by {arity: {n, id}}: candidates under a key, and those of each arity (-1: unknown)."""
-    one = rows.groupBy(*key, F.coalesce("arity", F.lit(-1)).alias("arity")).agg(F.count("*").alias("n"), F.min("id").alias("id"))
-    return one.groupBy(*key).agg(F.struct(F.sum("n").alias("n"), F.min("id").alias("id")).alias("all"), F.map_from_entries(F.collect_list(F.struct("arity", F.struct("n", "id")))).alias("by"))
-
-
-def _of_arity(step: str, narrow: Column, args: Column) -> Column:
-    """{n, id} of a step, of the wanted arity and unknown ones where the name has that arity at all."""
-    same, open_ = F.col(f"{step}.by")[args], F.col(f"{step}.by")[F.lit(-1)]
-    n = F.coalesce(same["n"], F.lit(0)) + F.coalesce(open_["n"], F.lit(0))
-    return F.when(narrow, F.struct(n.alias("n"), F.least(same["id"], open_["id"]).alias("id"))).otherwise(F.col(f"{step}.all"))
+def _stripped(raw: Column) -> Column:
+    """raw without what stands before the last '::' and without its list of arguments."""
+    return _without_list(F.regexp_replace(raw, r"^.*::", ""))
+
+
+def written_owner(raw: Column) -> Column:
+    """The type before the last dot of a member expression, or null."""
+    bare = _stripped(raw)
+    return F.when(bare.contains("."), F.regexp_extract(bare, r"([^.]*)\.[^.]*$", 1))
+
+
+#: Steps by number, in the order in which they decide, and what they are called.
+STEPS = ("no_match", "exact", "conventional", "conventional", "type_infer", "same_file", "range", "fallback", "ambiguous")
+_EXACT, _CONV, _OWNER, _ABOVE, _FILE, _RANGE, _FALLBACK, _AMBIGUOUS = range(1, 9)
+
+
+def _of_arity(narrow: Column, all_: tuple[Column, Column], same: tuple[Column, Column], open_: tuple[Column, Column]) -> Column:
+    """{n, id} of a step; where ``narrow``, of the wanted arity and unknown ones only."""
+    n = F.coalesce(same[0], F.lit(0)) + F.coalesce(open_[0], F.lit(0))
+    return F.when(narrow, F.struct(n.alias("n"), F.least(same[1], open_[1]).alias("id"))).otherwise(F.struct(F.coalesce(all_[0], F.lit(0)).alias("n"), all_[1].alias("id")))
+
+
+def _met(df: DataFrame, key: str, candidate: str, step: str, narrowed: bool = True) -> DataFrame:
+    """df with the struct ``step``: candidates of the row's name and key, ``key`` dropped. df lies by
+    name, so nothing is shuffled; no candidate meets a reference, both meet the numbers of their group."""
+    group = Window.partitionBy("name", key)
+    count, least = (lambda c, w: F.count(c).over(w)), (lambda c, w: F.min(c).over(w))
+    all_ = (count(F.col(candidate), group), least(F.col(candidate), group))
+    if narrowed:
+        each, unknown = Window.partitionBy("name", key, "arity"), F.when(F.col("arity").isNull(), F.col(candidate))
+        found = _of_arity(F.col("narrow"), all_, (count(F.col(candidate), each), least(F.col(candidate), each)), (count(unknown, group), least(unknown, group)))
+    else:
+        found = F.struct(all_[0].alias("n"), all_[1].alias("id"))
+    return df.withColumn(step, F.when(F.col("rid").isNotNull() & F.col(key).isNotNull(), found)).drop(key)
+
+
+def _around(df: DataFrame) -> DataFrame:
+    """df with the struct ``s_range``: declarations of the row's name around its line. Running counts of
+    what has begun and ended; the exclusive or of the ids that are open is the id where one is."""
+    begins = F.when(F.col("line_start") <= F.col("line_end"), F.array(F.lit(1), F.lit(-1))).otherwise(F.array(F.lit(0)))
+    rows = df.withColumn("turn", F.explode(F.when(F.col("sid").isNotNull(), F.coalesce(begins, F.array(F.lit(0)))).otherwise(F.array(F.lit(0)))))
+    at = F.when(F.col("rid").isNotNull(), F.col("line").cast("long")).when(F.col("turn") == 1, F.col("line_start").cast("long")).when(F.col("turn") == -1, F.col("line_end").cast("long") + 1)
+    rows = rows.withColumn("at", at).where("rid is not null or turn <> 0")
+    order = ["at", F.col("rid").isNotNull()]
+    sofar = lambda *by: Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    bit = F.when(F.col("turn") != 0, F.col("sid"))
+    n_of = lambda c, w: F.sum(c).over(w)
+    id_of = lambda c, w: F.bit_xor(c).over(w)
+    turn, unknown, by_name, by_arity = F.col("turn").cast("long"), F.col("arity").isNull(), sofar("name"), sofar("name", "arity")
+    counts = rows.withColumns({
+        "e_n": n_of(turn, by_arity), "e_id": id_of(bit, by_arity), "a_n": n_of(turn, by_name), "a_id": id_of(bit, by_name),
+        "o_n": n_of(F.when(unknown, turn), by_name), "o_id": id_of(F.when(unknown, bit), by_name),
+    })
+    # an id only counts where a single one is open, and then the other part of the sum is zero
+    same, open_ = (F.col("e_n"), F.when(F.col("e_n") == 1, F.col("e_id"))), (F.col("o_n"), F.when(F.col("o_n") == 1, F.col("o_id")))
+    found = _of_arity(F.col("narrow"), (F.col("a_n"), F.col("a_id")), same, open_)
+    return counts.withColumn("s_range", F.when(F.col("rid").isNotNull() & F.col("line").isNotNull(), found)).drop("turn", "at", "e_n", "e_id", "a_n", "a_id", "o_n", "o_id")
+
+
+def _nearest_members(wanted: DataFrame, links: DataFrame, members: DataFrame) -> DataFrame:
+    """root, leaf, arity, n, id of the members named leaf of the nearest ancestors of root that have one.
+
+    wanted: root, leaf; links: a, b; members: node, leaf, arity, n, id. Level by level, at most
+    ANCESTOR_LEVELS; a pair that is found is not asked again, and a root with no pair left goes no
+    further: all ancestors of all roots would be most pairs of types in a corpus of common names."""
+    links = cut(links.where("a <> b").distinct())
+    left = cut(wanted.join(members.select("leaf").distinct(), "leaf", "left_semi"))
+    front = left.select("root", F.col("root").alias("node")).distinct()
+    known, out = cut(front), None
+    front = known
+    for depth in range(ANCESTOR_LEVELS):
+        step = front.join(links, F.col("node") == F.col("a")).select("root", F.col("b").alias("node")).distinct()
+        front = cut(step.join(known, ["root", "node"], "left_anti"))
+        hits = cut(front.join(left, "root").join(members, ["node", "leaf"]).groupBy("root", "leaf", "arity").agg(F.sum("n").alias("n"), F.min("id").alias("id")))
+        out = hits if out is None else out.unionByName(hits)
+        left = cut(left.join(hits, ["root", "leaf"], "left_anti"))
+        if depth + 1 == ANCESTOR_LEVELS or not left.limit(1).count():
+            break
+        front = cut(front.join(left, "root", "left_semi"))
+        known = known.unionByName(front)
+    return out
 
 
 def resolve_cascade(symbols: DataFrame, references: DataFrame, edges: DataFrame) -> DataFrame:
     """id, tier, target, n of every reference.
 
     references: id, raw, file_path, line, args (number of arguments, or null), receiver (whether raw
-    is a member expression), type_only. Steps: exact name; conventional name; member of the type
-    that raw names (both ``conventional``); member of its nearest ancestor (``type_infer``, for
-    receivers); same file; the declaration around the line (``range``); the only one of its name, or
-    the only type (``fallback``). Overloads are narrowed by arity where the name has that arity. A
-    member expression never falls through to the last steps. Null raws are no_match."""
-    parents = symbols.select(F.col("id").alias("pid"), F.col("name").alias("parent"))
-    rows = symbols.select("id", "fqn", "name", "kind", "file_path", "line_start", "line_end", _without_list(F.col("conventional_fqn")).alias("conv"), "parent_symbol_id", arity(F.col("fqn")).alias("arity"))
-    rows = rows.join(parents, F.col("parent_symbol_id") == F.col("pid"), "left")
-    said = F.regexp_replace(F.col("raw"), r"^.*::", "")
-    bare = _without_list(said)
-    owner = F.when(bare.contains("."), F.regexp_extract(bare, r"([^.]*)\.[^.]*$", 1))
-    refs = references.select(
-        "id", "raw", "file_path", "line", "args", F.coalesce("receiver", F.lit(False)).alias("receiver"), F.coalesce("type_only", F.lit(False)).alias("type_only"),
-        _without_list(F.col("raw")).alias("stripped"), F.regexp_extract(bare, r"([^.]*)$", 1).alias("leaf"), owner.alias("owner"),
+    is a member expression), type_only. Candidates have the name that raw ends with. Steps: exact
+    name; conventional name; member of the type that raw names (both ``conventional``); member of its
+    nearest ancestor (``type_infer``, for receivers); same file; the declaration around the line
+    (``range``); the only one of its name, or the only type (``fallback``). Overloads are narrowed by
+    arity where the name has that arity. A member expression never falls through to the last steps.
+    Null raws are no_match.
+
+    Symbols and references are laid out by name once, and all steps but that of the ancestors count
+    within a name where its rows lie; only references that are left are carried on to the ancestors."""
+    s = symbols.where("name is not null")
+    parents = symbols.where("name is not null").select(F.col("id").alias("pid"), F.col("name").alias("own"))
+    members = s.where("parent_symbol_id is not null").select(F.col("id").alias("oid"), "name", arity(F.col("fqn")).alias("arity"), "parent_symbol_id")
+    owned = lambda rows: rows.join(parents, F.col("parent_symbol_id") == F.col("pid")).select("oid", "name", "arity", "own")
+    leaf = F.regexp_extract(_stripped(F.col("raw")), r"([^.]*)$", 1)
+    receiver = F.coalesce(F.col("receiver"), F.lit(False))
+    last = ~(receiver & written_owner(F.col("raw")).isNotNull())
+    laid = (
+        s.select(F.col("id").alias("sid"), "name", F.col("fqn").alias("full"), F.col("conventional_fqn").alias("conv"), F.col("file_path").alias("file"), F.col("kind").isin(*TYPE_KINDS).alias("typed"), "line_start", "line_end")
+        .unionByName(owned(members), allowMissingColumns=True)
+        .unionByName(
+            references.select(
+                F.col("id").alias("rid"), leaf.alias("name"), F.col("raw").alias("full"), "args", receiver.alias("receiver"), F.coalesce("type_only", F.lit(False)).alias("type_only"),
+                F.when(F.coalesce(last, F.lit(True)), F.col("file_path")).alias("file"), F.when(F.coalesce(last, F.lit(True)), F.col("line")).alias("line"),
+            ),
+            allowMissingColumns=True,
+        )
+        .repartition("name")
     )
+    asks = F.col("rid").isNotNull()
+    df = laid.select(
+        "sid", "oid", "rid", "name", "full", _without_list(F.when(asks, F.col("full")).otherwise(F.col("conv"))).alias("conv"), F.when(asks, written_owner(F.col("full"))).otherwise(F.col("own")).alias("own"), "file", "typed", "line_start", "line_end", "line",
+        F.when(asks, F.col("args")).when(F.col("sid").isNotNull(), arity(F.col("full"))).otherwise(F.col("arity")).alias("arity"), "type_only", "receiver",
+    ).withColumn("owner", F.when(asks, F.col("own"))).withColumn("member", F.col("receiver") & F.col("own").isNotNull())
+    # candidates of the name itself, types among them, and whether it has the arity at all
+    name, each = Window.partitionBy("name"), Window.partitionBy("name", "arity")
+    kind, unknown = F.when(F.col("typed"), F.col("sid")), F.col("arity").isNull()
+    numbers = {"all": (F.col("sid"), name), "one": (F.col("sid"), each), "open": (F.when(unknown, F.col("sid")), name), "t_all": (kind, name), "t_one": (kind, each), "t_open": (F.when(unknown, kind), name)}
+    df = df.withColumns({f"{k}_{what}": f(c).over(w) for k, (c, w) in numbers.items() for what, f in (("n", F.count), ("id", F.min))})
+    df = df.withColumn("narrow", asks & ~unknown & (F.col("one_n") > 0))
+    pair = lambda k: (F.col(f"{k}_n"), F.col(f"{k}_id"))
+    df = df.withColumn("s_name", F.when(asks, _of_arity(F.col("narrow"), pair("all"), pair("one"), pair("open")))).withColumn("s_type", F.when(asks, _of_arity(F.col("narrow"), pair("t_all"), pair("t_one"), pair("t_open"))))
+    df = df.drop(*[f"{k}_{what}" for k in numbers for what in ("n", "id")])
+    df = _met(df, "full", "sid", "s_exact", narrowed=False)
+    df = _met(_met(df, "conv", "sid", "s_conv"), "own", "oid", "s_owner")
+    df = _around(_met(df.where("rid is not null or sid is not null"), "file", "sid", "s_file")).where("rid is not null")
+    hit = F.lit(None).cast("struct<k:int,n:bigint,id:bigint>")
+    for k, step, may in reversed([(_EXACT, "s_exact", F.lit(True)), (_CONV, "s_conv", F.lit(True)), (_OWNER, "s_owner", F.lit(True)), (_FILE, "s_file", ~F.col("member")), (_RANGE, "s_range", ~F.col("member"))]):
+        hit = F.when(may & (F.col(f"{step}.n") > 0), F.struct(F.lit(k).alias("k"), F.col(f"{step}.n").alias("n"), F.col(f"{step}.id").alias("id"))).otherwise(hit)
+    count = F.coalesce(F.col("s_name.n"), F.lit(0))
+    rest = (
+        F.when(~F.col("member") & (count == 1), F.struct(F.lit(_FALLBACK).alias("k"), F.lit(1).cast("long").alias("n"), F.col("s_name.id").alias("id")))
+        .when(F.col("type_only") & (F.col("s_type.n") == 1), F.struct(F.lit(_FALLBACK).alias("k"), F.lit(1).cast("long").alias("n"), F.col("s_type.id").alias("id")))
+        .otherwise(F.struct(F.when(count > 0, _AMBIGUOUS).otherwise(0).alias("k"), count.alias("n"), F.lit(None).cast("long").alias("id")))
+    )
+    df = df.withColumn("hit", hit).withColumn("done", F.coalesce("hit", rest))
+    waits = F.when(F.col("hit").isNull() & F.col("member"), F.struct(F.col("owner").alias("root"), F.col("name").alias("leaf"), "arity", "narrow"))
+    settled = cut(df.select(F.col("rid").alias("id"), "done.k", "done.n", F.col("done.id").alias("target"), waits.alias("waits")))
 
-    def met(df: DataFrame, step: str, found: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
-        """df with the struct ``step`` of the candidates whose keys equal its columns."""
-        keys = found.select(*[F.col(k).alias(f"_{k}") for _, k in pairs], F.struct("all", "by").alias(step))
-        on = None
-        for c, k in pairs:
-            same = F.col(c) == F.col(f"_{k}")
-            on = same if on is None else on & same
-        return df.join(keys, on, "left").drop(*[f"_{k}" for _, k in pairs])
-
-    out = met(refs, "s_exact", candidates_by(rows.where("fqn is not null"), "fqn"), ("raw", "fqn"))
-    out = met(out, "s_name", candidates_by(rows.where("name is not null"), "name"), ("leaf", "name"))
-    out = met(out, "s_conv", candidates_by(rows.where("conv is not null"), "conv", "name"), ("stripped", "conv"), ("leaf", "name"))
-    out = met(out, "s_owner", candidates_by(rows.where("parent is not null"), "parent", "name"), ("owner", "parent"), ("leaf", "name"))
-    out = met(out, "s_file", candidates_by(rows.where("file_path is not null"), "file_path", "name"), ("file_path", "file_path"), ("leaf", "name"))
-    out = met(out, "s_type", candidates_by(rows.where(F.col("kind").isin(*TYPE_KINDS)), "name"), ("leaf", "name"))
-    # declarations of the name around the line: each pair of name and line once, by bins of lines
-    lines = refs.where("line is not null and not receiver").select(F.col("leaf").alias("l_name"), F.col("line").alias("l_line")).distinct().withColumn("l_bin", F.floor(F.col("l_line") / _BINS))
-    bins = F.sequence(F.floor(F.col("line_start") / _BINS), F.floor(F.greatest("line_end", "line_start") / _BINS))
-    spans = rows.where("line_start is not null and line_end is not null").select("id", "name", "arity", "line_start", "line_end", F.explode(bins).alias("bin"))
-    around = lines.join(spans, (F.col("l_name") == F.col("name")) & (F.col("l_bin") == F.col("bin")) & F.col("l_line").between(F.col("line_start"), F.col("line_end")))
-    out = met(out, "s_range", candidates_by(around.select("id", "arity", "l_name", "l_line"), "l_name", "l_line"), ("leaf", "l_name"), ("line", "l_line"))
     # ancestors of the named type, by name and level, for members that it does not declare itself
+    open_ = settled.where("waits is not null").select("id", "k", "n", "target", "waits.*")
     kinds = symbols.select(F.col("id").alias("tid"), F.col("name").alias("tname"))
     up = edges.where("edge_type in ('INHERITS', 'IMPLEMENTS') and target_symbol_id is not null").select("source_symbol_id", "target_symbol_id").distinct()
     up = up.join(kinds, F.col("source_symbol_id") == F.col("tid")).withColumnRenamed("tname", "a").drop("tid").join(kinds, F.col("target_symbol_id") == F.col("tid")).select("a", F.col("tname").alias("b"))
-    asked = refs.where("receiver and owner is not null").select(F.col("owner").alias("root")).distinct()
-    levels = reach_by_root(up.where("a <> b"), asked, ANCESTOR_LEVELS).where("root <> node")
-    wanted = refs.where("receiver and owner is not null").select(F.col("owner").alias("w_owner"), F.col("leaf").alias("w_leaf")).distinct()
-    members = rows.where("parent is not null").select("id", "arity", F.col("parent").alias("m_parent"), F.col("name").alias("m_name"))
-    above = wanted.join(levels, F.col("w_owner") == F.col("root")).join(members, (F.col("node") == F.col("m_parent")) & (F.col("w_leaf") == F.col("m_name")))
-    first = above.groupBy("w_owner", "w_leaf").agg(F.min("depth").alias("least"))
-    near = above.join(first.withColumnsRenamed({"w_owner": "f_owner", "w_leaf": "f_leaf"}), (F.col("w_owner") == F.col("f_owner")) & (F.col("w_leaf") == F.col("f_leaf")) & (F.col("depth") == F.col("least")))
-    out = met(out, "s_above", candidates_by(near.select("id", "arity", "w_owner", "w_leaf"), "w_owner", "w_leaf"), ("owner", "w_owner"), ("leaf", "w_leaf"))
-
-    narrow = F.coalesce(F.col("args").isNotNull() & F.map_contains_key(F.col("s_name.by"), F.coalesce("args", F.lit(-2))), F.lit(False))
-    member = F.col("receiver") & F.col("owner").isNotNull()
-    steps = [("s_exact", "exact", F.lit(True)), ("s_conv", "conventional", F.lit(True)), ("s_owner", "conventional", F.lit(True)), ("s_above", "type_infer", member), ("s_file", "same_file", ~member), ("s_range", "range", ~member)]
-    hit = F.lit(None).cast("struct<tier:string,n:bigint,id:bigint>")
-    for step, tier, may in reversed(steps):
-        got = F.col(f"{step}.all") if step == "s_exact" else _of_arity(step, narrow, F.col("args"))
-        hit = F.when(may & (F.coalesce(got["n"], F.lit(0)) > 0), F.struct(F.lit(tier).alias("tier"), got["n"].alias("n"), got["id"].alias("id"))).otherwise(hit)
-    every, typed = _of_arity("s_name", narrow, F.col("args")), _of_arity("s_type", narrow, F.col("args"))
-    count = F.coalesce(every["n"], F.lit(0))
-    last = (
-        F.when(~member & (count == 1), F.struct(F.lit("fallback").alias("tier"), F.lit(1).cast("long").alias("n"), every["id"].alias("id")))
-        .when(F.col("type_only") & (typed["n"] == 1), F.struct(F.lit("fallback").alias("tier"), F.lit(1).cast("long").alias("n"), typed["id"].alias("id")))
-        .otherwise(F.struct(F.when(count > 0, "ambiguous").otherwise("no_match").alias("tier"), count.alias("n"), F.lit(None).cast("long").alias("id")))
-    )
-    done = F.coalesce(hit, last)
-    return out.select("id", F.when(done["n"] > 1, "ambiguous").otherwise(done["tier"]).alias("tier"), F.when(done["n"] == 1, done["id"]).alias("target"), done["n"].alias("n"))
+    wanted = cut(open_.select("root", "leaf").distinct())
+    named = owned(members.join(few(wanted.select(F.col("leaf").alias("w")).distinct()), F.col("name") == F.col("w"), "left_semi"))
+    declared = cut(named.groupBy(F.col("own").alias("node"), F.col("name").alias("leaf"), "arity").agg(F.count("*").alias("n"), F.min("oid").alias("id")))
+    near = _nearest_members(wanted, up, declared)
+    unknown = F.col("arity").isNull()
+    above = near.groupBy("root", "leaf").agg(
+        F.sum("n").alias("a_n"), F.min("id").alias("a_id"), F.sum(F.when(unknown, F.col("n"))).alias("o_n"), F.min(F.when(unknown, F.col("id"))).alias("o_id"),
+        F.map_from_entries(F.collect_list(F.when(~unknown, F.struct("arity", F.struct("n", "id"))))).alias("by"),
+    )
+    same = F.col("by")[F.col("arity")]
+    found = _of_arity(F.col("narrow"), (F.col("a_n"), F.col("a_id")), (same["n"], same["id"]), (F.col("o_n"), F.col("o_id")))
+    late = open_.join(above, ["root", "leaf"], "left").withColumn("f", found)
+    some = F.coalesce(F.col("f.n") > 0, F.lit(False))
+    late = late.select("id", F.when(some, _ABOVE).otherwise(F.col("k")).alias("k"), F.when(some, F.col("f.n")).otherwise(F.col("n")).alias("n"), F.when(some, F.col("f.id")).otherwise(F.col("target")).alias("target"))
+    out = settled.where("waits is null").select("id", "k", "n", "target").unionByName(late)
+    tier = F.get(F.array(*[F.lit(t) for t in STEPS]), F.col("k"))
+    return out.select("id", F.when(F.col("n") > 1, "ambiguous").otherwise(tier).alias("tier"), F.when(F.col("n") == 1, F.col("target")).alias("target"), "n")
 
 
 def _repo(path: Column) -> Column:

@@ -15,7 +15,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.operators.common import HEAVY_ROWS, HEAVY_SHARE, keep_latest, latest_rows, lookup_join, path_exists, table_state, work_folder
+from codeloom.operators.common import HEAVY_ROWS, HEAVY_SHARE, few, keep_latest, latest_rows, lookup_join, path_exists, settled_rows, table_state, work_folder
 from codeloom.operators.lexical import corpus_stats
 from codeloom.operators.postings import LexicalIndex
 from codeloom.sources.tables import load
@@ -35,7 +35,15 @@ DEFINITION_MARKS = ("static final", "const ", "GetMapping", "PostMapping", "PutM
 
 
 def clean_symbols(raw: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    rows = latest_rows(raw, "id", columns or SYMBOL_COLUMNS)
+    return _flagged(latest_rows(raw, "id", columns or SYMBOL_COLUMNS))
+
+
+def settled_symbols(raw: DataFrame) -> DataFrame:
+    """As ``clean_symbols``; symbols that stand once are not shuffled."""
+    return _flagged(settled_rows(raw, "id", SYMBOL_COLUMNS))
+
+
+def _flagged(rows: DataFrame) -> DataFrame:
     for flag in ("is_test", "is_entry_point"):
         if flag in rows.columns:
             rows = rows.withColumn(flag, F.coalesce(flag, F.lit(False)))
@@ -60,6 +68,16 @@ def clean_edges(raw: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return out.withColumn("resolved", F.coalesce("resolved", F.lit(False)))
 
 
+def settled_edges(raw: DataFrame, columns: list[str]) -> DataFrame:
+    """As ``clean_edges``; edges that are stated once are not shuffled. A hash says which may be stated
+    again: others that share it are only compared with them."""
+    said = F.xxhash64("source_symbol_id", "target_symbol_id", "edge_type", F.when(F.col("target_symbol_id").isNull(), F.coalesce("target_raw", F.lit(""))))
+    rows = raw.where("id is not null")
+    again = few(rows.groupBy(said.alias("_h")).agg(F.count("*").alias("_n")).where("_n > 1").select("_h"))
+    once = rows.join(again, said == F.col("_h"), "left_anti").select(*columns).withColumn("resolved", F.coalesce("resolved", F.lit(False)))
+    return once.unionByName(clean_edges(rows.join(again, said == F.col("_h"), "left_semi"), columns))
+
+
 @dataclass(frozen=True)
 class Corpus:
     """The relations of one directory of tables; each is planned when first asked for."""
@@ -86,12 +104,12 @@ class Corpus:
 
     @cached_property
     def symbols(self) -> DataFrame:
-        return self.settled("symbols", "symbols", lambda: clean_symbols(self.table("symbols")))
+        return self.settled("symbols", "symbols", lambda: settled_symbols(self.table("symbols")))
 
     @cached_property
     def edges(self) -> DataFrame:
         """Without the ranges of targets, which no operator reads."""
-        return self.settled("edges", "edges", lambda: clean_edges(self.table("edges"), [c for c in EDGE_COLUMNS if c != "target_range"]))
+        return self.settled("edges", "edges", lambda: settled_edges(self.table("edges"), [c for c in EDGE_COLUMNS if c != "target_range"]))
 
     @cached_property
     def resolved_edges(self) -> DataFrame:
