@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.operators.common import cut, few
+from codeloom.operators.common import cut, few, laid_down
 from codeloom.operators.graph import TYPE_KINDS, arity, subtype_closure
 from codeloom.operators.passes import parameter_types
 from codeloom.operators.traverse import reach_by_root
@@ -169,7 +169,7 @@ def resolve_cascade(symbols: DataFrame, references: DataFrame, edges: DataFrame)
     )
     df = df.withColumn("hit", hit).withColumn("done", F.coalesce("hit", rest))
     waits = F.when(F.col("hit").isNull() & F.col("member"), F.struct(F.col("owner").alias("root"), F.col("name").alias("leaf"), "arity", "narrow"))
-    settled = cut(df.select(F.col("rid").alias("id"), "done.k", "done.n", F.col("done.id").alias("target"), waits.alias("waits")))
+    settled = laid_down(df.select(F.col("rid").alias("id"), "done.k", "done.n", F.col("done.id").alias("target"), waits.alias("waits")))
 
     # ancestors of the named type, by name and level, for members that it does not declare itself
     open_ = settled.where("waits is not null").select("id", "k", "n", "target", "waits.*")

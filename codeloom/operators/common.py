@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,6 +39,13 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="codeloom-checkpoint-")
 
 
+def laid_down(df: DataFrame) -> DataFrame:
+    """As ``cut``, written as columns: many rows of a few numbers take a fraction of a checkpoint's room."""
+    path = f"{work_folder(df.sparkSession)}/laid-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 _WORK: dict[str, str] = {}
 
 
