@@ -64,8 +64,9 @@ class Crf:
                 continue
             from_no, from_yes = no + t01, yes + t11
             stay, leave = no + t00, yes + t10
-            back.append((leave > stay, from_yes > from_no))
-            no, yes = (leave if leave > stay else stay) + s0, (from_yes if from_yes > from_no else from_no) + s1
+            left, held = leave > stay, from_yes > from_no
+            back.append((left, held))
+            no, yes = (leave if left else stay) + s0, (from_yes if held else from_no) + s1
         if no is None:
             return []
         at = yes > no

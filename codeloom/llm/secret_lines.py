@@ -13,14 +13,15 @@ STRONG = re.compile(
     r"|(?:access|auth|private|session|refresh|bearer)[._-]?token(?![a-z])|(?:signing|encryption|salt|private|master|shared|webhook|account)[._-]?key(?![a-z])|x-auth|authorization",
     re.I,
 )
-_WEAK = re.compile(r"^(?:key|keys|token|login|logged|user|auth|valid|curl|-u)$", re.I)
+_WEAK_WORDS = "key keys token login logged user auth valid curl -u".split()
+_WEAK, _WEAK_WORDS = re.compile(rf"^(?:{'|'.join(_WEAK_WORDS)})$", re.I), frozenset(_WEAK_WORDS)
 _HASH = re.compile(
     r"digest|checksum|(?<![a-z])sha\d*(?![a-z])|md5|hash|commit|revision|(?:trace|request)[._-]?id|uuid|(?:^|[._-])id$|(?-i:[a-z]Id$)|etag|icon|image|base64|fingerprint|nonce|integrity|pattern|regex",
     re.I,
 )
 #: Names of what is said about a secret.
 _TOLD = re.compile(r"[._-](?:label|prompt|hint|title|message|description|error|help)s?$|(?:Label|Prompt|Hint|Title|Message|Description|Error|Help)s?$", re.M)
-_READER = re.compile(r"^(?:read|getenv|environ|env|get|next_token|lookup|fetch|load|resolve|process|vault|getOrDefault|os|System)$")
+_READER = frozenset("read getenv environ env get next_token lookup fetch load resolve process vault getOrDefault os System".split())
 _OPEN_END = re.compile(r"(?:[,(\[{=:+`>|]|>-|\|-|\"\"\"|''')\s*$")
 _OPEN_LAST = frozenset(",([{=:+`>|-\"'")
 #: Words that make a quoted text prose.
@@ -34,13 +35,17 @@ _REACH = 1_000
 _KEPT = 200
 _PIECES_KEPT = 400_000
 
-_QUOTED = r"\"(?:[^\"\\\n]|\\.)+\"|(?<!\w)'(?:[^'\\\n]|\\.)+'(?!\w)|'[^\s\"'`\\]+'|`[^\s\"'`\\]+`"
+_QUOTED = r"\"(?:[^\"\\\n]++|\\.)++\"|(?<!\w)'(?:[^'\\\n]++|\\.)++'(?!\w)|'[^\s\"'`\\]+'|`[^\s\"'`\\]+`"
+#: No two parts begin alike but a quoted text and its mark, and a key's mark and the dashes (a run as
+#: well), so the most frequent come first.
 _LEX = re.compile(
-    rf"(?P<pem>-----(?:BEGIN|END) [A-Z0-9 ]+-----)|(?P<quoted>{_QUOTED})"
-    r"|(?P<mark>[\"'`(){}\[\],;|<>])|(?P<run>(?:(?!-----)[^\s\"'`(){}\[\],;|<>])+|-----)"
+    r"(?P<run>(?:[^\s\"'`(){}\[\],;|<>\-]++|-(?!----))++)|(?P<bracket>[(){}\[\],;|<>])"
+    rf"|(?P<quoted>{_QUOTED})|(?P<mark>[\"'`])|(?P<pem>-----(?:BEGIN|END) [A-Z0-9 ]+-----)|-----"
 )
 #: The pieces that ``_LEX`` reads as one, without their names.
-_PIECES = re.compile(_LEX.pattern.replace("?P<pem>", "?:").replace("?P<quoted>", "?:").replace("?P<mark>", "?:").replace("?P<run>", "?:"))
+_PIECES = re.compile(re.sub(r"\?P<\w+>", "?:", _LEX.pattern))
+_QUOTES = frozenset("\"'`")
+_MARKS = frozenset("\"'`(){}[],;|<>")
 _URL = re.compile(r"(?:[A-Za-z][\w+.\-]*:)?[A-Za-z][\w+.\-]*://")
 _USER = re.compile(r"([^:@/?#]*):([^@/]*)@")
 _ASSIGN = re.compile(r"(-{0,2}[A-Za-z_][\w.\-]*)(:=|=|:)(?=.)(?!=+$)(?!//)")
@@ -58,6 +63,29 @@ _WORD_NUMBER = re.compile(r"^[A-Za-z]+(?:[!#$*?+@][A-Za-z]+\d{2,4}|[._\-][A-Za-z
 _HOST = re.compile(r"^[\w-]+(?:\.[\w-]+)*\.(?:example|test|invalid|com|net|org|io|local|internal)$")
 _ESCAPED = re.compile(r"\\([\"'])")
 _CLASSES = (("up", re.compile(r"[A-Z]")), ("low", re.compile(r"[a-z]")), ("dig", re.compile(r"\d")), ("sp", re.compile(r"[!#$%^&*?~]")))
+
+
+def _may_be_strong(low: str) -> bool:
+    """False only where ``STRONG`` finds nothing; ``low`` is an ASCII text in lower case, as below."""
+    return "key" in low or "token" in low or "pass" in low or "secret" in low or "pwd" in low or "credential" in low or "x-auth" in low or "authorization" in low
+
+
+def _may_be_hash(low: str) -> bool:
+    """False only where ``_HASH`` finds nothing."""
+    return (
+        "id" in low or "ha" in low or "tag" in low or "digest" in low or "checksum" in low or "md5" in low or "commit" in low or "revision" in low or "icon" in low
+        or "image" in low or "base64" in low or "fingerprint" in low or "nonce" in low or "integrity" in low or "pattern" in low or "regex" in low
+    )
+
+
+def _may_stand_for_a_value(low: str) -> bool:
+    """False only where ``_PLACEHOLDER`` finds nothing."""
+    return (
+        "change" in low or "example" in low or "replace" in low or "redacted" in low or "dummy" in low or "placeholder" in low or "your" in low or "xxxx" in low or "{" in low
+        or "%" in low or "..." in low or "****" in low or low[:1] in ("<", "$") or low == "unset" or low == "none" or low == "null"
+    )
+
+
 @dataclass(slots=True)
 class Token:
     text: str
@@ -69,30 +97,35 @@ class Token:
 
 
 _IDENTIFIER = re.compile(r"[A-Za-z_]+\Z")
+_DOTTED = re.compile(r"[A-Za-z](?=[A-Za-z_]*\.)[A-Za-z_.]*\Z")
 _LETTERS = re.compile(r"[A-Za-z+/=]{9,}\Z")
+_HOST_ENDS = (".example", ".test", ".invalid", ".com", ".net", ".org", ".io", ".local", ".internal")
 _TURN = re.compile(r"[a-z][A-Z]")
 _RUN_OF_CAPITALS = re.compile(r"[A-Z]{2}|[A-Z]$")
 
 
 def _scrambled(text: str) -> bool:
     """Whether letters change case as no name does."""
-    if not _LETTERS.match(text) or text.islower():
+    if text.islower() or not _LETTERS.match(text):
         return False
     upper = sum(map(str.isupper, text))
     mixed = 0.15 * len(text) <= upper <= 0.8 * len(text) and _TURN.search(text)
     return bool(mixed and (upper >= 0.3 * len(text) or _RUN_OF_CAPITALS.search(text)))
 
 
-@lru_cache(maxsize=20_000)
 def shape(text: str) -> str:
     """The coarse shape of a token's text; a quote that is escaped in it is a quote."""
+    if len(text) < 7 and text.isdigit() and text.isascii():  # what the rules below come to for few digits
+        return "number"
     if "\\" in text:
         text = _ESCAPED.sub(r"\1", text)
-    if _PLACEHOLDER.search(text):
+    if (not text.isascii() or _may_stand_for_a_value(text.lower())) and _PLACEHOLDER.search(text):
         return "placeholder"
     if _IDENTIFIER.match(text) and not text.startswith(("AKIA", "ASIA", "gh")):  # what the rules below come to for letters
         return "letters" if _scrambled(text) else "word"
-    if _UUID.match(text):
+    if _DOTTED.match(text) and not text.startswith("eyJ"):  # the same for letters with dots
+        return "host" if text.endswith(_HOST_ENDS) and _HOST.match(text) else "word"
+    if len(text) == 36 and _UUID.match(text):
         return "uuid"
     if _HEX.match(text) and any(c.isdigit() for c in text):
         return "hex40" if len(text) >= 32 else "hex"
@@ -102,7 +135,7 @@ def shape(text: str) -> str:
         return "tagged"
     if "[" in text and "]" in text or "\\" in text:
         return "pattern"
-    if _HOST.match(text):
+    if text.endswith(_HOST_ENDS) and _HOST.match(text):
         return "host"
     if _WORD_NUMBER.match(text):
         return "wordnum"
@@ -137,7 +170,7 @@ def _split(text: str, begin: int, quote: str, out: list[Token]) -> None:
             out.append(part)
             continue
         at, end = part
-        url = _URL.match(text, at, end)
+        url = "://" in text and _URL.match(text, at, end)
         if url:
             out.append(Token(url.group(), begin + at, "op", quote))
             at = url.end()
@@ -178,7 +211,7 @@ def _split(text: str, begin: int, quote: str, out: list[Token]) -> None:
 def lex(line: str) -> list[Token]:
     out: list[Token] = []
     for m in _LEX.finditer(line):
-        _add_piece(m.group(), m.start(), m.lastgroup or "mark", out)
+        _add_piece(m.group(), m.start(), m.lastgroup or "run", out)
     return out
 
 
@@ -199,24 +232,25 @@ def _add_piece(piece: str, begin: int, kind: str, out: list[Token]) -> None:
             _split(text, begin + 1, mark, out)
         out.append(Token(mark, begin + len(piece) - 1, "mark", ""))
     else:
-        out.append(Token(piece, begin, kind, ""))
+        out.append(Token(piece, begin, "pem" if kind == "pem" else "mark", ""))
 
 
-@lru_cache(maxsize=20_000)
 def _class(text: str) -> str:
     """What a word on the way to a value says about it."""
-    if STRONG.search(text) and not _TOLD.search(text):
+    low, ascii = text.lower(), text.isascii()
+    if ascii and text.isdigit():
+        return "none"
+    if (not ascii or _may_be_strong(low)) and STRONG.search(text) and not _TOLD.search(text):
         return "STRONG" if text.isupper() else "strong"
-    if _HASH.search(text):
+    if (not ascii or _may_be_hash(low)) and _HASH.search(text):
         return "hash"
-    low = text.lower()
     if low in ("basic", "bearer"):
         return low
-    if _WEAK.match(text):
+    if low in _WEAK_WORDS or not ascii and _WEAK.match(text):
         return "weak"
-    if _READER.match(text.rpartition(".")[2]):
+    if text.rpartition(".")[2] in _READER:
         return "reader"
-    if _HOST.match(text):
+    if text.endswith(_HOST_ENDS) and _HOST.match(text):
         return "host"
     return "word" if text[:1].isalpha() else "none"
 
@@ -225,62 +259,71 @@ def described(t: Token) -> tuple:
     """All of a token that features look at, apart from its place."""
     if t.kind == "mark" or t.kind == "op":
         return t.text[:3], t.kind, t.opens
-    size = len(t.text)
+    form, length, here = _word(t.text) if len(t.text) <= _KEPT else _word.__wrapped__(t.text)
     if t.kind == "pem":
         form = "pem_" + ("private" if "PRIVATE" in t.text else "other") + ("_end" if "END" in t.text[:9] else "")
-        here = _class(t.text)
-    elif size > _KEPT:
-        form, here = shape.__wrapped__(t.text), _class.__wrapped__(t.text)
-    else:
-        form, here = shape(t.text), _class(t.text)
-    length = "0" if size < 6 else "6" if size < 9 else "9" if size < 16 else "16" if size < 28 else "28" if size < 50 else "50"
     return form, length, t.kind, bool(t.quote), here, t.inside, t.opens
 
 
-def contexts(described_tokens: list[tuple], before: str, begins: list[int] | None = None) -> Iterator[tuple]:
-    """All that the features of each token depend on; ``before`` is the context that the line above
-    leaves open. What a name says of the line holds for ``_REACH`` characters (begins: where the
-    tokens begin; without it the line is taken to be shorter)."""
-    w1 = w2 = opener = "none"
-    marks = ""
-    strong = hashed = reader = weak = -1  # where the last of each holds to
-    last_shape = "none"
-    plus = False
-    first = "first"
-    final = len(described_tokens) - 1
-    for n, d in enumerate(described_tokens):
-        if d[-1]:
-            opener = f"{w1}{marks[-2:]}"
-        if len(d) == 3:
-            yield d[:2]
-            marks = (marks + d[0])[-3:]
-            plus = plus or d[0] == "+"
-            continue
-        form, length, kind, quoted, here, inside, _ = d
-        at = begins[n] if begins is not None else 0
-        near = "strong" if strong >= at else "hash" if hashed >= at else "no"
-        plain = form in ("word", "dashed", "indexed")
-        follows = described_tokens[n + 1] if n < final else None
-        yield (
-            form, length, kind, quoted, w1, w2, marks[-2:], near, reader >= at, before, first, last_shape, plus,
-            "$" if follows is None else follows[0][:2] if len(follows) == 3 else "word", here if plain else form, weak >= at, inside, opener if inside else "",
-        )
-        w2, first = w1, "later"
-        if (plain or form in ("host", "placeholder")) and kind in ("word", "name", "value", "user", "host"):
-            if here == "strong" or here == "STRONG":
-                strong = at + _REACH
-            elif here == "hash":
-                hashed = at + _REACH
-            elif here == "reader":
-                reader = at + _REACH
-            elif here == "weak":
-                weak = at + _REACH
-            w1 = here
-        else:
-            w1 = "lit"
-        if kind == "host":
-            w1 = "host"
-        last_shape, plus, marks = form, False, ""
+@lru_cache(maxsize=20_000)
+def _word(text: str) -> tuple[str, str, str]:
+    """Shape, length and class of a token's text."""
+    size = len(text)
+    length = "0" if size < 6 else "6" if size < 9 else "9" if size < 16 else "16" if size < 28 else "28" if size < 50 else "50"
+    return shape(text), length, _class(text)
+
+
+def start(before: str) -> tuple:
+    """What is known before the first token of a line: the context that the line above leaves open,
+    the classes of the last words, what opens a quoted text, marks, where the last telling names of
+    each class hold to, the last shape, whether a plus stood before, and which token comes."""
+    return before, "none", "none", "none", "", -1, -1, -1, -1, "none", False, "first"
+
+
+def follower(d: tuple | None) -> str:
+    """What a token's features see of the next."""
+    return "$" if d is None else d[0][:2] if len(d) == 3 else "word"
+
+
+def step(state: tuple, d: tuple, following: str, at: int) -> tuple[tuple, tuple]:
+    """All that the features of a token depend on, and the state after it. What a name says of the
+    line holds for ``_REACH`` characters; ``at`` is where the token begins."""
+    before, w1, w2, opener, marks, strong, hashed, reader, weak, last_shape, plus, first = state
+    if d[-1]:
+        opener = f"{w1}{marks}"
+    if len(d) == 3:
+        return d[:2], (before, w1, w2, opener, (marks + d[0])[-2:], strong, hashed, reader, weak, last_shape, plus or d[0] == "+", first)
+    form, length, kind, quoted, here, inside, _ = d
+    near = "strong" if strong >= at else "hash" if hashed >= at else "no"
+    plain = form in ("word", "dashed", "indexed")
+    context = (
+        form, length, kind, quoted, w1, w2, marks, near, reader >= at, before, first, last_shape, plus,
+        following, here if plain else form, weak >= at, inside, opener if inside else "",
+    )
+    w2 = w1
+    if (plain or form in ("host", "placeholder")) and kind in ("word", "name", "value", "user", "host"):
+        if here == "strong" or here == "STRONG":
+            strong = at + _REACH
+        elif here == "hash":
+            hashed = at + _REACH
+        elif here == "reader":
+            reader = at + _REACH
+        elif here == "weak":
+            weak = at + _REACH
+        w1 = here
+    else:
+        w1 = "lit"
+    if kind == "host":
+        w1 = "host"
+    return context, (before, w1, w2, opener, "", strong, hashed, reader, weak, form, False, "later")
+
+
+def contexts(described_tokens: list[tuple], before: str, begins: list[int]) -> Iterator[tuple]:
+    """The context of each token; ``begins``: where the tokens begin."""
+    state = start(before)
+    for d, following, at in zip(described_tokens, [*described_tokens[1:], None], begins):
+        context, state = step(state, d, follower(following), at)
+        yield context
 
 
 def spelled(context: tuple) -> list[str]:
@@ -327,7 +370,10 @@ _LITERAL_END = re.compile(r"[\"'][A-Za-z0-9+/=]{30,}[\"']\s*[+,]?\s*$")
 
 @lru_cache(maxsize=50_000)
 def _tells(word: str) -> str:
-    return "strong" if STRONG.search(word) else "hash" if _HASH.search(word) else ""
+    low, ascii = word.lower(), word.isascii()
+    if (not ascii or _may_be_strong(low)) and STRONG.search(word):
+        return "strong"
+    return "hash" if (not ascii or _may_be_hash(low)) and _HASH.search(word) else ""
 
 
 def left_open(line: str) -> str:
@@ -347,9 +393,10 @@ def all_lines(text: str) -> Iterator[tuple[int, int, str, str]]:
     is not blank."""
     offset, before = 0, "closed"
     for n, line in enumerate(text.split("\n")):
-        if line and not line.isspace():
+        bare = line.rstrip()
+        if bare:
             yield n + 1, offset, line, before
-            before = left_open(line)
+            before = left_open(line) if bare[-1] in _OPEN_LAST else "closed"
         offset += len(line) + 1
 
 
@@ -359,22 +406,32 @@ def read_lines(text: str) -> Iterable[Line]:
 
 class Forms(dict):
     """Pieces of lines to a number for what the features see of them; pieces that look the same to
-    every feature share one. Emptied when it has grown to ``_PIECES_KEPT`` pieces."""
+    every feature share one. Beyond ``_PIECES_KEPT`` pieces, they are worked out anew."""
 
     def __init__(self) -> None:
         super().__init__()
-        self.seen: list[list[tuple]] = []
+        self.kinds: dict[tuple, int] = {}  # what features see of one token, to a number
+        self.seen: list[list[int]] = []
         self.known: dict[tuple, int] = {}
 
+    @staticmethod
+    def _looks(piece: str) -> tuple[tuple, ...]:
+        if piece[0] not in _QUOTES and "=" not in piece and ":" not in piece and piece[-1] != ".":  # one token
+            if piece[0] in _MARKS:
+                return ((piece, "mark", False),)
+            if piece[:5] != "-----":
+                if not piece[0].isalnum() and not any(map(str.isalnum, piece)):
+                    return ((piece[:3], "mark", False),)
+                form, length, here = _word.__wrapped__(piece)  # pieces are kept here
+                return ((form, length, "word", False, here, "", False),)
+        return tuple(described(t) for t in lex(piece))
+
     def __missing__(self, piece: str) -> int:
-        if _IDENTIFIER.match(piece) and len(piece) <= _KEPT and not piece.startswith("_"):  # one token
-            looks: tuple = (described(Token(piece, 0, "word", "")),)
-        else:
-            looks = tuple(described(t) for t in lex(piece))
+        looks = self._looks(piece)
         number = self.known.get(looks)
         if number is None:
             number = self.known[looks] = len(self.seen)
-            self.seen.append(list(looks))
+            self.seen.append([self.kinds.setdefault(d, len(self.kinds)) for d in looks])
         if len(piece) <= _KEPT and len(self) < _PIECES_KEPT:
             self[piece] = number
         return number
@@ -382,5 +439,6 @@ class Forms(dict):
     def of(self, line: str) -> tuple[int, ...]:
         return tuple(map(self.__getitem__, _PIECES.findall(line)))
 
-    def tokens(self, numbers: tuple[int, ...]) -> list[tuple]:
+    def tokens(self, numbers: tuple[int, ...]) -> list[int]:
+        """The numbers, in ``kinds``, of the tokens of pieces."""
         return [d for k in numbers for d in self.seen[k]]

@@ -11,7 +11,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
 from codeloom.llm.crf import Crf, train
-from codeloom.llm.secret_lines import _REACH, Forms, all_lines, contexts, described, lex, read_lines, spelled
+from codeloom.llm.secret_lines import _REACH, Forms, all_lines, contexts, described, follower, lex, read_lines, spelled, start, step
 from codeloom.llm.secret_training import labelled_texts
 
 _PEM_END = re.compile(r"-----END [A-Z0-9 ]+-----")
@@ -19,6 +19,7 @@ _CONTINUES = re.compile(r"[+\\]\s*$")
 #: Contexts of tokens, and lines as the features see them, whose results are kept; beyond, they are
 #: worked out anew.
 _MEMO = 200_000
+_UNKNOWN: list[int] = []
 
 
 @lru_cache(maxsize=1)
@@ -44,23 +45,66 @@ def fit(texts: list[tuple[str, list[tuple[int, int]]]]) -> Crf:
     return train(sequences, labels)
 
 
+class _Known(dict):
+    """A state within a line; to a token and what follows it, its score and the next state."""
+
+    def __init__(self, state: tuple) -> None:
+        super().__init__()
+        self.state = state
+
+
 class Labeller:
     """The model with what it has worked out so far: lines that look the same to all features have
-    the same labels, so most lines are only looked up. Every line is labelled, whatever it holds."""
+    the same labels, so most lines are only looked up, and the tokens of others mostly follow
+    states that are known. Every line is labelled, whatever it holds."""
 
     def __init__(self, model: Crf) -> None:
         self.model, self.forms = model, Forms()
+        self.kinds: list[tuple] = []  # of forms.kinds, by number
+        self.following: list[str] = []
         self.scores: dict[tuple, tuple[float, ...]] = {}
+        self.states: dict[tuple, _Known] = {}
+        self.steps = 0
         self.lines: dict[tuple, list[int] | None] = {}
 
-    def _path(self, tokens: list[tuple], before: str, begins: list[int] | None) -> list[int]:
+    def _score(self, context: tuple) -> tuple[float, ...]:
+        score = self.scores.get(context)
+        if score is None:
+            score = self.model.score(spelled(context))
+            if len(self.scores) < _MEMO:
+                self.scores[context] = score
+        return score
+
+    def _learn(self, known: _Known, token: int, following: str) -> tuple[tuple[float, ...], _Known]:
+        # on a line within reach, what a name tells holds to its end, so places don't matter
+        context, state = step(known.state, self.kinds[token], following, 0)
+        after = self.states.get(state)
+        if after is None:
+            after = self.states[state] = _Known(state)
+        known[token, following] = found = self._score(context), after
+        self.steps += 1
+        return found
+
+    def _short(self, tokens: list[int], before: str) -> list[int]:
+        """The labels of the tokens of a line that is shorter than a name's reach."""
+        if self.steps >= _MEMO:
+            self.states, self.steps = {}, 0
+        if len(self.kinds) < len(self.forms.kinds):
+            new = list(self.forms.kinds)[len(self.kinds) :]
+            self.kinds += new
+            self.following += map(follower, new)
+        state = start(before)
+        known = self.states.get(state)
+        if known is None:
+            known = self.states[state] = _Known(state)
+        following = [self.following[t] for t in tokens[1:]]
+        following.append("$")
         out = []
-        for context in contexts(tokens, before, begins):
-            score = self.scores.get(context)
-            if score is None:
-                score = self.model.score(spelled(context))
-                if len(self.scores) < _MEMO:
-                    self.scores[context] = score
+        for key in zip(tokens, following):
+            found = known.get(key)
+            if found is None:
+                found = self._learn(known, *key)
+            score, known = found
             out.append(score)
         return self.model.path(out)
 
@@ -68,16 +112,16 @@ class Labeller:
         """A label for each token of the line; None if none is a secret's."""
         if len(line) >= _REACH:
             tokens = lex(line)
-            got = self._path([described(t) for t in tokens], before, [t.begin for t in tokens])
+            got = self.model.path(map(self._score, contexts([described(t) for t in tokens], before, [t.begin for t in tokens])))
             return got if any(got) else None
         numbers = self.forms.of(line)
         key = (before, numbers)
-        if key in self.lines:
-            return self.lines[key]
-        got = self._path(self.forms.tokens(numbers), before, None)
-        result = got if any(got) else None
-        if len(self.lines) < _MEMO:
-            self.lines[key] = result
+        result = self.lines.get(key, _UNKNOWN)
+        if result is _UNKNOWN:
+            got = self._short(self.forms.tokens(numbers), before)
+            result = got if any(got) else None
+            if len(self.lines) < _MEMO:
+                self.lines[key] = result
         return result
 
 
